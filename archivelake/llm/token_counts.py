@@ -56,16 +56,21 @@ class PrefixTable:
         return self.counts[k] + (len(self.tokenizer.many([rest])[0]) if rest else 0)
 
     def fitting(self, budget: int) -> int:
-        """Code points of the longest prefix of at most ``budget`` tokens."""
+        """Code points of a prefix of at most ``budget`` tokens that one more code point would exceed; all if the text fits."""
         from bisect import bisect_right
 
         if self.total <= budget:
             return len(self.text)
         k = bisect_right(self.counts, budget) - 1
-        start = self._ends()[k]
-        inner = self.text[start : self._ends()[k + 1]]
-        sizes = self.tokenizer.many([inner[:j] for j in range(1, len(inner))]) if len(inner) > 1 else []
-        return start + max((j for j, ids in enumerate(sizes, 1) if self.counts[k] + len(ids) <= budget), default=0)
+        start, high = self._ends()[k], self._ends()[k + 1]
+        low, base = start, self.counts[k]
+        while high - low > 1:
+            middle = (low + high) // 2
+            if base + len(self.tokenizer.many([self.text[start:middle]])[0]) <= budget:
+                low = middle
+            else:
+                high = middle
+        return low
 
 
 def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = 512) -> DataFrame:

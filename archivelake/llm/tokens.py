@@ -1,8 +1,8 @@
 """Tokenizers kept by each Python worker, with a bounded store of pieces that were encoded before.
 
 Splitting a text where a blank follows a non-blank is exact for the two BPE files described below:
-their pre-tokenizers never build a piece across such a place. Texts for which this isn't sure (rare kinds of
-white space, other tokenizer files) are encoded whole.
+their pre-tokenizers never build a piece across such a place. In texts with rare kinds of white space only a
+printable ASCII sign counts as a non-blank; texts for other tokenizer files are encoded whole.
 """
 
 from __future__ import annotations
@@ -10,12 +10,17 @@ from __future__ import annotations
 import os
 import re
 
-#: Pieces kept by a worker before it starts afresh: bounds its memory at about 150 MB.
-MOST_PIECES = 500_000
+import numpy as np
+
+#: Pieces in each of a worker's two generations: bounds its memory at about 250 MB.
+MOST_PIECES = 450_000
 #: White space on which the libraries and Python might disagree, or which isn't a plain gap.
 RARE_SPACE = re.compile("[\x0b-\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
 PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
+SURE = re.compile(r"(?<=[!-~])(?=[ \n\t\r])")
 GAP = re.compile(r"[ \n\t\r]+")
+#: A word of letters that are one code point in any normal form, and signs after it that join no word: the pre-tokenizer cuts between them.
+PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:;=?@\[-`{}~]*)")
 _LOADED: dict[str, "Pieces"] = {}
 
 
@@ -35,6 +40,8 @@ class Pieces:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.path = full = tokenizer_path(path)
         self.kept: dict[str, object] = {}
+        self.older: dict[str, object] = {}
+        self.ends = None
         if full.endswith(".model"):
             import sentencepiece
 
@@ -56,23 +63,55 @@ class Pieces:
             self.kind = "leading"
         elif not added and before.startswith("Sequence(pretokenizers=[Split(") and "behavior=Removed, invert=True" in before and normal == 'Sequence(normalizers=[NFC(), Replace(pattern=Regex("\\s+"), content=" "), Lowercase()])':
             self.kind = "gaps"
+            vocab = model.get_vocab()
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def pieces(self, text: str) -> list[str] | None:
-        if self.kind == "whole" or RARE_SPACE.search(text):
+        if self.kind == "whole":
             return None
-        return PIECE.findall(text) if self.kind == "leading" else [p for p in GAP.split(text) if p]
+        if self.kind == "gaps":
+            return [p for p in GAP.split(text) if p]
+        return [p for p in SURE.split(text) if p] if RARE_SPACE.search(text) else PIECE.findall(text)
 
     def learn(self, pieces: list[str], make) -> None:
         """Encode those pieces that aren't kept yet; ``make`` turns ids into what is kept."""
         missing = set(pieces).difference(self.kept)
-        if missing:
-            if len(self.kept) + len(missing) > MOST_PIECES:
-                self.kept.clear()
-                missing = set(pieces)
-            order = list(missing)
-            for i in range(0, len(order), 4096):
-                part = order[i : i + 4096]
-                self.kept.update(zip(part, map(make, self.many(part)), strict=True))
+        if not missing:
+            return
+        if len(self.kept) + len(missing) > MOST_PIECES:
+            self.older, self.kept = self.kept, {}
+            missing = set(pieces)
+        known = missing & self.older.keys()
+        self.kept.update((p, self.older[p]) for p in known)
+        missing -= known
+        if self.ends is not None:
+            missing = self._learn_plain(missing, make)
+        order = list(missing)
+        for i in range(0, len(order), 4096):
+            part = order[i : i + 4096]
+            self.kept.update(zip(part, map(make, self.many(part)), strict=True))
+
+    def _learn_plain(self, missing: set[str], make) -> set[str]:
+        """Words with end-of-word tokens are encoded many in a row and cut at those; capitals and signs after a word reuse it. Returns the rest."""
+        found = [(p, m[1].lower(), m[2]) for p in missing if (m := PLAIN.fullmatch(p))]
+        words = list({w for _, w, _ in found if w not in self.kept and w not in self.older})
+        if words:
+            ids = np.array(self.many([" ".join(words)])[0])
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(words):
+                return missing
+            raw, width = make(ids), len(make([0]))
+            at = [0, *(cuts * width).tolist()]
+            self.kept.update((w, raw[a:z]) for w, a, z in zip(words, at, at[1:], strict=False))
+        tails = [t for t in {t for *_, t in found} if t and t not in self.kept]
+        if tails:
+            self.kept.update(zip(tails, map(make, self.many(tails)), strict=True))
+        kept, older = self.kept, self.older
+        for p, w, t in found:
+            word = kept[w] if w in kept else older[w]
+            kept[p] = word + kept[t] if t else word
+        return missing.difference(p for p, *_ in found)
 
 
 def loaded(path: str, use: str) -> Pieces:
