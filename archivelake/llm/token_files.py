@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_batches, prepared
+from .common import Scratch, grouped, map_batches, prepared
 from .tokens import loaded
 
 #: Keys per displacement bucket.
@@ -132,19 +132,18 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shard_ids: int =
         keys: list = []
         chunks: list[bytes] = []
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if size >= shard_ids and key != keys[-1]:
-                    yield shard(part, seq, first, width, keys, chunks)
-                    seq, first, size, keys, chunks = seq + 1, first + size, 0, [], []
-                pieces = own.pieces(text or "")
-                if pieces is None:
-                    raw = encode(own.many([text])[0])
-                else:
-                    own.learn(pieces, encode)
-                    raw = b"".join(map(own.kept.__getitem__, pieces))
-                keys.append(key)
-                chunks.append(raw + end)
-                size += len(chunks[-1]) // width
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, z in grouped(texts, 1_000_000):
+                pieces = [own.pieces(text or "") for text in texts[a:z]]
+                own.learn(set().union(*(p for p in pieces if p is not None)), encode)
+                for key, text, own_pieces in zip(ids[a:z], texts[a:z], pieces, strict=True):
+                    if size >= shard_ids and key != keys[-1]:
+                        yield shard(part, seq, first, width, keys, chunks)
+                        seq, first, size, keys, chunks = seq + 1, first + size, 0, [], []
+                    raw = encode(own.many([text or ""])[0]) if own_pieces is None else b"".join(map(own.kept.__getitem__, own_pieces))
+                    keys.append(key)
+                    chunks.append(raw + end)
+                    size += len(chunks[-1]) // width
         if keys:
             yield shard(part, seq, first, width, keys, chunks)
 
