@@ -23,6 +23,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 GROUP_BYTES = 2_000_000
 
 
+#: Rows that go to a Python worker at a time: with whole texts, the default of 10,000 holds too much at once.
+BATCH_ROWS = 500
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's batch size for Python workers to BATCH_ROWS where it is larger."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of the session; a local one is made only for local masters without a setting."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -39,6 +50,7 @@ class Scratch:
     """Tables of one operator call, written to the shared folder and read back with their lineage cut."""
 
     def __init__(self, spark: SparkSession, name: str):
+        bounded_batches(spark)
         self.spark, self.path = spark, f"{scratch_root(spark)}/archivelake/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, table: str) -> DataFrame:
@@ -138,6 +150,7 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict], schema: st
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    bounded_batches(df.sparkSession)
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

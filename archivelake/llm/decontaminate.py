@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, grouped, hashed_words, inside, joined, map_batches, prepared, window_hashes
+from .common import WORD, bounded_batches, grouped, hashed_words, inside, joined, map_batches, prepared, window_hashes
 
 WIDTH = 5
 #: Upper ends of the size partitions grow by this factor.
@@ -120,6 +120,7 @@ def search(docs: DataFrame, items: DataFrame, spark: SparkSession, threshold: fl
 
 def clean(docs: DataFrame, items: DataFrame, spark: SparkSession, threshold: float = 0.8, block_words: int = 2_000_000) -> DataFrame:
     """The documents, with all their columns, in which no item is found."""
+    bounded_batches(spark)
     for block in item_blocks(items, block_words):
         sent = spark.sparkContext.broadcast(Sketches(block, threshold))
 
