@@ -34,6 +34,8 @@ from .common import Scratch, grouped, hashed_words, inside, joined, map_batches,
 #: Count table: so many buckets of the hash space, in so many slices.
 BUCKET_BITS, SLICES = 18, 16
 BITS = 512
+#: Orders of leaders: the most leaders that a node is usually compared with.
+ORDERS = 4
 CHUNK = 512
 LEAF = 16
 NO_ID = 2**63 - 1
@@ -186,9 +188,10 @@ def members(docs: DataFrame, spark: SparkSession, width: int = 4, percent: int =
     nodes = scratch.write(base.select("rid", "bottom").join(belongs.where("rid = node"), "rid").select("node", "doc", "t", "n", "first", "bottom"), "nodes")
 
     near = nodes.select("node", "n", F.explode("bottom").alias("h"))
-    lead = near.groupBy("h").agg(F.min(F.struct("node", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1").select("h", "lead.node", F.col("lead.n").alias("ln"))
+    # a few orders of nodes, chosen by the hash: members that one leader misses meet another, and all hashes of an order agree on it
+    lead = near.groupBy("h").agg(F.min(F.struct(F.xxhash64("node", F.pmod("h", F.lit(ORDERS))).alias("o"), "node", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1").select("h", "lead.node", F.col("lead.n").alias("ln"))
     lead = scratch.write(lead.withColumnRenamed("node", "a"), "lead")
-    pairs = near.join(lead, "h").where(f"node <> a and 100 * least(n, ln) >= {percent} * greatest(n, ln)").select("a", F.col("node").alias("b")).distinct()
+    pairs = near.join(lead, "h").where(f"node <> a and 100 * least(n, ln) >= {percent} * greatest(n, ln)").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     links = scratch.write(verified(pairs, nodes, rows, scratch, "lead", width, percent), "links-1")
     scratch.release()
     comp = components(links, scratch, "first")
