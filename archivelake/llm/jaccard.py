@@ -4,11 +4,12 @@ Sets are 64-bit hashes of a text's distinct shingles. Steps, all exact:
 
 1. Rows with equal sets are one node (grouped by a 128-bit digest of the set).
 2. Leaders: nodes that share one of their smallest hashes are compared with one leader each, so a group of
-   thousands of near copies costs a few comparisons per member, not all its pairs. Verified links
-   give first components.
+   thousands of near copies costs a few comparisons per member, not all its pairs. The leader is the node whose
+   shingles are commonest on average, by counts in a table of fixed size over all shingles: within a group of edited
+   copies that is one near their common original, which links with most of them. Verified links give first components.
 3. Prefix filter: two sets of Jaccard similarity t or more share an element among their first
-   n - ceil(t n) + 1 in any common order. The order puts rare elements first, by counts in a table of fixed size
-   over all shingles. Elements whose nodes are already in one component are settled.
+   n - ceil(t n) + 1 in any common order. The order puts rare elements first, by the same counts. Elements whose
+   nodes are already in one component are settled.
 4. The rest meets per element in signature trees: leaves hold a node's bitmap and size, inner nodes the OR and AND
    of their bitmaps and the size range. A dual traversal drops pairs of subtrees whose largest possible overlap is too
    small; a frequent element is dealt to many tasks as pairs of bounded chunks.
@@ -185,19 +186,23 @@ def members(docs: DataFrame, spark: SparkSession, width: int = 4, percent: int =
     belongs = scratch.write(belongs, "belongs")
     nodes = scratch.write(base.select("rid", "bottom").join(belongs.where("rid = node"), "rid").select("node", "doc", "t", "n", "first", "bottom"), "nodes")
 
-    near = nodes.select("node", "n", F.explode("bottom").alias("h"))
-    lead = near.groupBy("h").agg(F.min(F.struct("node", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1").select("h", "lead.node", F.col("lead.n").alias("ln"))
-    lead = scratch.write(lead.withColumnRenamed("node", "a"), "lead")
+    table = order_table(made, spark)
+    places = scratch.write(map_batches(rows.select("doc", "t", "text"), prefixes(table, width, percent), "doc bigint, t bigint, common double, prefix array<bigint>, bits binary"), "prefix")
+    table.unpersist()
+    scratch.drop("sketch", "groups")
+    scratch.release()
+
+    near = nodes.join(places.select("doc", "t", "common"), ["doc", "t"]).select("node", "n", "common", F.explode("bottom").alias("h"))
+    lead = near.groupBy("h").agg(F.min(F.struct(-F.col("common"), "node", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1").select("h", F.col("lead.node").alias("a"), F.col("lead.n").alias("ln"))
+    lead = scratch.write(lead, "lead")
     pairs = near.join(lead, "h").where(f"node <> a and 100 * least(n, ln) >= {percent} * greatest(n, ln)").select("a", F.col("node").alias("b")).distinct()
     links = scratch.write(verified(pairs, nodes, rows, scratch, "lead", width, percent), "links-1")
+    scratch.drop("lead", "lead-pairs", "lead-texts")
     scratch.release()
     comp = components(links, scratch, "first")
     known = nodes.select("node", "n").join(comp, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp")) if comp is not None else nodes.select("node", "n", F.col("node").alias("comp"))
     known = scratch.write(known, "known")
 
-    table = order_table(made, spark)
-    places = scratch.write(map_batches(rows.select("doc", "t", "text"), prefixes(table, width, percent), "doc bigint, t bigint, prefix array<bigint>, bits binary"), "prefix")
-    table.unpersist()
     own = nodes.select("node", "doc", "t").join(places, ["doc", "t"]).join(known, "node").select("node", "comp", "n", "prefix", "bits")
     own = scratch.write(own, "own")
     scratch.drop("prefix")
@@ -212,6 +217,7 @@ def members(docs: DataFrame, spark: SparkSession, width: int = 4, percent: int =
     meet = meet.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi")
     pairs = meet.mapInArrow(traversed(percent), "a bigint, b bigint").distinct()
     links2 = scratch.write(verified(pairs, nodes, rows, scratch, "tree", width, percent), "links-2")
+    scratch.drop("own", "open", "tree-pairs", "tree-texts")
     scratch.release()
     # only contracted links are left to join: those of the second search between first components
     ca, cb = known.select(F.col("node").alias("a"), F.col("comp").alias("ca")), known.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
@@ -245,12 +251,13 @@ def order_table(made: DataFrame, spark: SparkSession):
 
 def prefixes(table, width: int, percent: int):
     def run(cols):
-        out = {"doc": cols["doc"], "t": cols["t"], "prefix": [], "bits": []}
+        out = {"doc": cols["doc"], "t": cols["t"], "common": [], "prefix": [], "bits": []}
         counts = table.value
         for s in shingle_sets(cols["text"], width):
             k = prefix_length(len(s), percent)
             rank = counts[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
             order = np.lexsort((s, rank))[:k]
+            out["common"].append(float(np.log2(1 + rank).mean()) if len(s) else 0.0)
             out["prefix"].append(signed(s[order]).tolist())
             flags = np.zeros(BITS, bool)
             flags[(s & np.uint64(BITS - 1)).astype(np.int64)] = True
