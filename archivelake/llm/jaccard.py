@@ -12,7 +12,9 @@ Sets are 64-bit hashes of a text's distinct shingles. Steps, all exact:
    nodes are already in one component are settled.
 4. The rest meets per element in signature trees: leaves hold a node's bitmap and size, inner nodes the OR and AND
    of their bitmaps and the size range. A dual traversal drops pairs of subtrees whose largest possible overlap is too
-   small; a frequent element is dealt to many tasks as pairs of bounded chunks.
+   small; a frequent element is dealt to many tasks as pairs of bounded chunks. A linked pair is always given at its
+   first common element; it is left out where the elements before show that this one isn't the first, or where
+   too few elements follow for the overlap it would need.
 5. Surviving pairs of different components are verified on whole sets, and components are
    joined by contraction in rounds of stored tables.
 
@@ -210,10 +212,12 @@ def members(docs: DataFrame, spark: SparkSession, width: int = 4, percent: int =
     each = own.select("node", "comp", F.explode("prefix").alias("h"))
     open_ = each.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("h", "c")
     open_ = scratch.write(open_, "open")
-    meet = each.select("node", "h").join(open_, "h").join(own.select("node", "comp", "n", "bits"), "node")
+    # each element with its place in the order and the two elements before it
+    placed = own.select("node", F.inline(F.transform("prefix", lambda h, i: F.struct(h.alias("h"), i.alias("at"), F.get("prefix", i - 1).alias("p1"), F.get("prefix", i - 2).alias("p2")))))
+    meet = placed.join(open_, "h").join(own.select("node", "comp", "n", "bits"), "node")
     meet = meet.withColumn("chunks", F.ceil(F.col("c") / CHUNK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
-    meet = meet.select("h", "node", "comp", "n", "bits", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    meet = meet.select("h", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "comp", "n", "bits")
+    meet = meet.select("h", "node", "comp", "n", "bits", "at", "p1", "p2", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    meet = meet.select("h", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "comp", "n", "bits", "at", "p1", "p2")
     meet = meet.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi")
     pairs = meet.mapInArrow(traversed(percent), "a bigint, b bigint").distinct()
     links2 = scratch.write(verified(pairs, nodes, rows, scratch, "tree", width, percent), "links-2")
@@ -269,6 +273,14 @@ def prefixes(table, width: int, percent: int):
 
 def traversed(percent: int):
     """Rows sorted by (h, lo, hi) to candidate pairs of different components."""
+    def first_common(a, b) -> bool:
+        """False if h can't be the first common element of a linked pair."""
+        n, at, *before = a[3], *a[5:]
+        m, bt, *other = b[3], *b[5:]
+        if any(p is not None and p in other for p in before):
+            return False
+        return min(n - at, m - bt) >= least_overlap(n, m, percent)
+
     def pairs_of(rows: list[tuple], lo: int, hi: int) -> set[tuple[int, int]]:
         if lo == hi:
             rows = list({r[1]: r for r in rows}.values())
@@ -282,7 +294,7 @@ def traversed(percent: int):
         out = set()
         for i, j in dual_traversal(trees[0], trees[-1], percent, lo == hi):
             a, b = parts[0][i], parts[1][j]
-            if a[2] != b[2]:
+            if a[2] != b[2] and first_common(a, b):
                 out.add((min(a[1], b[1]), max(a[1], b[1])))
         return out
 
@@ -291,7 +303,7 @@ def traversed(percent: int):
         for batch in batches:
             found: set[tuple[int, int]] = set()
             cols = {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
-            for h, lo, hi, *row in zip(*(cols[c] for c in ("h", "lo", "hi", "own", "node", "comp", "n", "bits")), strict=True):
+            for h, lo, hi, *row in zip(*(cols[c] for c in ("h", "lo", "hi", "own", "node", "comp", "n", "bits", "at", "p1", "p2")), strict=True):
                 if (h, lo, hi) != key:
                     if len(rows) > 1:
                         found |= pairs_of(rows, *key[1:])
