@@ -133,16 +133,14 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shard_ids: int =
         chunks: list[bytes] = []
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, z in grouped(texts, 1_000_000):
-                pieces = [own.pieces(text or "") for text in texts[a:z]]
-                own.learn(set().union(*(p for p in pieces if p is not None)), encode)
-                for key, text, own_pieces in zip(ids[a:z], texts[a:z], pieces, strict=True):
+            for a, z in grouped(texts):
+                for key, raw in zip(ids[a:z], own.encoded([text or "" for text in texts[a:z]], encode), strict=True):
                     if size >= shard_ids and key != keys[-1]:
                         yield shard(part, seq, first, width, keys, chunks)
                         seq, first, size, keys, chunks = seq + 1, first + size, 0, [], []
-                    raw = encode(own.many([text or ""])[0]) if own_pieces is None else b"".join(map(own.kept.__getitem__, own_pieces))
                     keys.append(key)
-                    chunks.append(raw + end)
+                    raw.append(end)
+                    chunks.append(b"".join(raw))
                     size += len(chunks[-1]) // width
         if keys:
             yield shard(part, seq, first, width, keys, chunks)

@@ -20,6 +20,9 @@ PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 SURE = re.compile(r"(?<=[!-~])(?=[ \n\t\r])")
 #: A word of letters that are one code point in any normal form, and signs after it that join no word: the pre-tokenizer cuts between them.
 PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:;=?@\[-`{}~]*)")
+#: The same letters and signs as Latin-1 bytes.
+LETTERS = bytes(c for c in range(256) if PLAIN.fullmatch(chr(c)))
+SIGNS = bytes(c for c in range(256) if c not in LETTERS and PLAIN.fullmatch("a" + chr(c)))
 _LOADED: dict[str, "Pieces"] = {}
 
 
@@ -32,15 +35,19 @@ def tokenizer_path(path: str) -> str:
     return public_tokenizers.path(path)
 
 
+def shown(piece: str | bytes) -> str:
+    return piece.decode("latin-1") if type(piece) is bytes else piece
+
+
 class Pieces:
     """``ids(text)`` as the library gives them, and ``pieces(text)`` that can be encoded one by one (None if not)."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.path = full = tokenizer_path(path)
-        self.kept: dict[str, object] = {}
-        self.older: dict[str, object] = {}
-        self.ends = None
+        self.kept: dict[str | bytes, object] = {}
+        self.older: dict[str | bytes, object] = {}
+        self.ends = self.plain = None
         if full.endswith(".model"):
             import sentencepiece
 
@@ -48,7 +55,7 @@ class Pieces:
             self.many = lambda texts: model.encode(texts, num_threads=1)
             self.size, self.kind = model.get_piece_size(), "whole"
             return
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         model = Tokenizer.from_file(full)
         model.no_truncation()
@@ -56,6 +63,7 @@ class Pieces:
         self.many = lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
         self.size = model.get_vocab_size()
         self.kind = "whole"
+        self.added = [t.content.lower() for t in model.get_added_tokens_decoder().values()]
         added = any(t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) for t in model.get_added_tokens_decoder().values())
         before, normal = str(model.pre_tokenizer), str(model.normalizer)
         if not added and before == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)" and normal == "None":
@@ -65,6 +73,14 @@ class Pieces:
             vocab = model.get_vocab()
             self.ends = np.zeros(max(vocab.values()) + 1, bool)
             self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+            if "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)" in before:
+                # lower-case words of plain letters pass the normalizer and the cutting pattern unchanged: leave those out
+                light = Tokenizer.from_file(full)
+                light.no_truncation()
+                light.no_padding()
+                light.normalizer = normalizers.Sequence([])
+                light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+                self.plain = lambda words: light.encode_batch_fast([words], add_special_tokens=False)[0].ids
 
     def pieces(self, text: str) -> list[str] | None:
         if self.kind == "whole":
@@ -73,7 +89,34 @@ class Pieces:
             return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")  # empty pieces have no ids
         return [p for p in SURE.split(text) if p] if RARE_SPACE.search(text) else PIECE.findall(text)
 
-    def learn(self, pieces: list[str] | set[str], make) -> None:
+    def keys(self, text: str) -> list[str] | list[bytes] | None:
+        """The pieces as keys of the store. Where the tokenizer lowers its input, texts that fit Latin-1 (nothing composes there) give lowered
+        Latin-1 bytes, split at ASCII white space, unless an added token might be met; others give ``pieces``."""
+        if self.kind == "gaps":
+            try:
+                low = text.encode("latin-1").lower()
+            except UnicodeEncodeError:
+                return self.pieces(text)
+            if not any(t.encode("latin-1", "replace") in low for t in self.added):
+                return low.split()
+        return self.pieces(text)
+
+    def encoded(self, texts: list[str], make) -> list[list]:
+        """What is kept for the pieces of each text, in order; whole texts are made afresh where they can't be cut."""
+        if self.kind == "whole":
+            return [[make(ids)] for ids in self.many(texts)]
+        keys = [self.keys(text) for text in texts]
+        get = self.kept.get
+        values = [list(map(get, own)) for own in keys]
+        holes = [[i for i, v in enumerate(own) if v is None] for own in values]
+        self.learn({own[i] for own, at in zip(keys, holes, strict=True) for i in at}, make)
+        kept = self.kept
+        for own, out, at in zip(keys, values, holes, strict=True):
+            for i in at:
+                out[i] = kept[own[i]]
+        return values
+
+    def learn(self, pieces: list | set, make) -> None:
         """Encode those pieces that aren't kept yet; ``make`` turns ids into what is kept."""
         missing = set(pieces).difference(self.kept)
         if not missing:
@@ -84,33 +127,45 @@ class Pieces:
         known = missing & self.older.keys()
         self.kept.update((p, self.older[p]) for p in known)
         missing -= known
-        if self.ends is not None:
-            missing = self._learn_plain(missing, make)
-        order = list(missing)
+        order = list(missing) if self.plain is None else self._learn_plain(missing, make)
         for i in range(0, len(order), 4096):
             part = order[i : i + 4096]
-            self.kept.update(zip(part, map(make, self.many(part)), strict=True))
+            self.kept.update(zip(part, map(make, self.many([shown(p) for p in part])), strict=True))
 
-    def _learn_plain(self, missing: set[str], make) -> set[str]:
-        """Words with end-of-word tokens are encoded many in a row and cut at those; capitals and signs after a word reuse it. Returns the rest."""
-        found = [(p, m[1].lower(), m[2]) for p in missing if (m := PLAIN.fullmatch(p))]
-        words = list({w for _, w, _ in found if w not in self.kept and w not in self.older})
+    def _learn_plain(self, missing: set, make) -> list:
+        """Words with end-of-word tokens are encoded many in a row and cut at those; signs after a word reuse it. Returns the rest."""
+        kept, older = self.kept, self.older
+        alone, longer, heads, rest = set(), [], [], []  # flat lists: pairs would keep the garbage collector busy
+        for p in missing:
+            if type(p) is bytes:
+                w = p.rstrip(SIGNS)
+                plain = w.isalpha() or (w and not w.translate(None, LETTERS))
+            else:
+                m = PLAIN.fullmatch(p)
+                w, plain = m and m[1], m
+            if not plain:
+                rest.append(p)
+            elif len(w) == len(p):
+                alone.add(p)
+            else:
+                longer.append(p)
+                heads.append(w)
+        words = list(alone.union(w for w in set(heads) if w not in kept and w not in older))
         if words:
-            ids = np.array(self.many([" ".join(words)])[0])
+            ids = np.array(self.plain(" ".join(map(shown, words)).lower()))
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(words):
-                return missing
+                return list(missing)
             raw, width = make(ids), len(make([0]))
             at = [0, *(cuts * width).tolist()]
-            self.kept.update((w, raw[a:z]) for w, a, z in zip(words, at, at[1:], strict=False))
-        tails = [t for t in {t for *_, t in found} if t and t not in self.kept]
-        if tails:
-            self.kept.update(zip(tails, map(make, self.many(tails)), strict=True))
-        kept, older = self.kept, self.older
-        for p, w, t in found:
-            word = kept[w] if w in kept else older[w]
-            kept[p] = word + kept[t] if t else word
-        return missing.difference(p for p, *_ in found)
+            kept.update((w, raw[a:z]) for w, a, z in zip(words, at, at[1:], strict=False))
+        tails = [p[len(w) :] for p, w in zip(longer, heads, strict=True)]
+        new = [t for t in set(tails) if t not in kept]
+        if new:
+            kept.update(zip(new, map(make, self.many([shown(t) for t in new])), strict=True))
+        for p, w, t in zip(longer, heads, tails, strict=True):
+            kept[p] = (kept[w] if w in kept else older[w]) + kept[t]
+        return rest
 
 
 def loaded(path: str, use: str) -> Pieces:
