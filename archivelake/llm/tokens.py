@@ -20,9 +20,10 @@ PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 SURE = re.compile(r"(?<=[!-~])(?=[ \n\t\r])")
 #: A word of letters that are one code point in any normal form, and signs after it that join no word: the pre-tokenizer cuts between them.
 PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:;=?@\[-`{}~]*)")
-#: The same letters and signs as Latin-1 bytes.
-LETTERS = bytes(c for c in range(256) if PLAIN.fullmatch(chr(c)))
-SIGNS = bytes(c for c in range(256) if c not in LETTERS and PLAIN.fullmatch("a" + chr(c)))
+#: Those signs.
+SIGNS = "".join(chr(c) for c in range(128) if not chr(c).isalpha() and PLAIN.fullmatch("a" + chr(c)))
+#: What ``str.split`` takes for gaps in Latin-1 and the pre-tokenizer may not.
+NO_GAPS = [b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\x85", b"\xa0"]
 _LOADED: dict[str, "Pieces"] = {}
 
 
@@ -35,18 +36,14 @@ def tokenizer_path(path: str) -> str:
     return public_tokenizers.path(path)
 
 
-def shown(piece: str | bytes) -> str:
-    return piece.decode("latin-1") if type(piece) is bytes else piece
-
-
 class Pieces:
     """``ids(text)`` as the library gives them, and ``pieces(text)`` that can be encoded one by one (None if not)."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.path = full = tokenizer_path(path)
-        self.kept: dict[str | bytes, object] = {}
-        self.older: dict[str | bytes, object] = {}
+        self.kept: dict[str, object] = {}
+        self.older: dict[str, object] = {}
         self.ends = self.plain = None
         if full.endswith(".model"):
             import sentencepiece
@@ -63,7 +60,7 @@ class Pieces:
         self.many = lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
         self.size = model.get_vocab_size()
         self.kind = "whole"
-        self.added = [t.content.lower() for t in model.get_added_tokens_decoder().values()]
+        self.added = [t.content.lower().encode("latin-1", "replace") for t in model.get_added_tokens_decoder().values()]
         added = any(t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) for t in model.get_added_tokens_decoder().values())
         before, normal = str(model.pre_tokenizer), str(model.normalizer)
         if not added and before == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)" and normal == "None":
@@ -89,16 +86,18 @@ class Pieces:
             return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")  # empty pieces have no ids
         return [p for p in SURE.split(text) if p] if RARE_SPACE.search(text) else PIECE.findall(text)
 
-    def keys(self, text: str) -> list[str] | list[bytes] | None:
-        """The pieces as keys of the store. Where the tokenizer lowers its input, texts that fit Latin-1 (nothing composes there) give lowered
-        Latin-1 bytes, split at ASCII white space, unless an added token might be met; others give ``pieces``."""
+    def keys(self, text: str) -> list[str] | None:
+        """The pieces as keys of the store. Where the tokenizer lowers its input, A-Z is lowered first in texts that fit Latin-1 (nothing composes
+        there), unless an added token might be met."""
         if self.kind == "gaps":
             try:
                 low = text.encode("latin-1").lower()
             except UnicodeEncodeError:
                 return self.pieces(text)
-            if not any(t.encode("latin-1", "replace") in low for t in self.added):
-                return low.split()
+            if not any(t in low for t in self.added):
+                text = low.decode("latin-1")
+                if not any(c in low for c in NO_GAPS):
+                    return text.split()
         return self.pieces(text)
 
     def encoded(self, texts: list[str], make) -> list[list]:
@@ -130,20 +129,15 @@ class Pieces:
         order = list(missing) if self.plain is None else self._learn_plain(missing, make)
         for i in range(0, len(order), 4096):
             part = order[i : i + 4096]
-            self.kept.update(zip(part, map(make, self.many([shown(p) for p in part])), strict=True))
+            self.kept.update(zip(part, map(make, self.many(part)), strict=True))
 
     def _learn_plain(self, missing: set, make) -> list:
         """Words with end-of-word tokens are encoded many in a row and cut at those; signs after a word reuse it. Returns the rest."""
         kept, older = self.kept, self.older
         alone, longer, heads, rest = set(), [], [], []  # flat lists: pairs would keep the garbage collector busy
         for p in missing:
-            if type(p) is bytes:
-                w = p.rstrip(SIGNS)
-                plain = w.isalpha() or (w and not w.translate(None, LETTERS))
-            else:
-                m = PLAIN.fullmatch(p)
-                w, plain = m and m[1], m
-            if not plain:
+            w = p.rstrip(SIGNS)
+            if not (w.isalpha() and (w.isascii() or PLAIN.fullmatch(w))):
                 rest.append(p)
             elif len(w) == len(p):
                 alone.add(p)
@@ -152,7 +146,7 @@ class Pieces:
                 heads.append(w)
         words = list(alone.union(w for w in set(heads) if w not in kept and w not in older))
         if words:
-            ids = np.array(self.plain(" ".join(map(shown, words)).lower()))
+            ids = np.array(self.plain(" ".join(words).lower()))
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(words):
                 return list(missing)
@@ -162,7 +156,7 @@ class Pieces:
         tails = [p[len(w) :] for p, w in zip(longer, heads, strict=True)]
         new = [t for t in set(tails) if t not in kept]
         if new:
-            kept.update(zip(new, map(make, self.many([shown(t) for t in new])), strict=True))
+            kept.update(zip(new, map(make, self.many(new)), strict=True))
         for p, w, t in zip(longer, heads, tails, strict=True):
             kept[p] = (kept[w] if w in kept else older[w]) + kept[t]
         return rest
