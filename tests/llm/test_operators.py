@@ -546,3 +546,34 @@ def test_pipeline_takes_awkward_documents(spark, tiny):
     assert p.STAGES[-1][1](spark, docs, tiny).count() == docs.count()
     for _, stage in p.STAGES:
         assert stage(spark, awkward(spark, empty=True), tiny).count() == 0
+
+
+def test_kept_pieces_give_the_librarys_ids():
+    """Latin-1 texts are lowered and split before the store is asked, others aren't: both as the library encodes the text itself."""
+    from tokenizers import Tokenizer
+
+    path = tokens.tokenizer_path("word_bpe_49k.json")
+    library, own, dice = Tokenizer.from_file(path), tokens.Pieces(path), random.Random(5)
+    parts = [*map(chr, range(256)), *"aAbEéÉ .,'!<|>\t\n" * 12, "<|endoftext|>", "<|ENDOFTEXT|>", "it's", "'S ", "İ", "H̱", "œ", "́", "Don't.", "12"]
+    texts = ["", *("".join(dice.choices(parts, k=dice.randint(0, 14))) for _ in range(4000))]
+    for i in range(0, len(texts), 500):
+        values = own.encoded(texts[i : i + 500], list)
+        assert [sum(v, []) for v in values] == [e.ids for e in library.encode_batch(texts[i : i + 500], add_special_tokens=False)]
+
+
+def test_index_rows_in_arrays_match_single_lookups():
+    Shard, fingerprint, perfect_hash = token_files.Shard, token_files.fingerprint, token_files.perfect_hash
+    keys = [None, None, -5, 0, 0, 0, 7, 2**63 - 1]
+    distinct = list(dict.fromkeys(keys))
+    seeds, slots = perfect_hash(distinct)
+    prints, places = np.zeros(len(distinct), "<u4"), np.zeros((len(distinct), 2), "<u4")
+    for key, slot in zip(distinct, slots, strict=True):
+        prints[slot], places[slot] = fingerprint(key), (keys.index(key), keys.count(key))
+    row = {"payload": b"", "width": 2, "row_starts": b"", "seeds": np.array(seeds, "<u4").tobytes(), "fingerprints": prints.tobytes(), "slots": places.tobytes()}
+    shard = Shard(row)
+    assert shard.rows_of_sorted(keys).tolist() == list(range(len(keys)))
+    assert [r for key in distinct for r in shard.rows_of(key)] == list(range(len(keys)))
+    only_null = [None, None]
+    seeds, slots = perfect_hash([None])
+    one = {"seeds": np.array(seeds, "<u4").tobytes(), "fingerprints": np.array([fingerprint(None)], "<u4").tobytes(), "slots": np.array([[0, 2]], "<u4").tobytes()}
+    assert Shard(row | one).rows_of_sorted(only_null).tolist() == [0, 1]
