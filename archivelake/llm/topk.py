@@ -68,6 +68,7 @@ class Queries:
         norms = np.linalg.norm(rows, axis=1)
         order = np.argsort(-norms, kind="stable")
         ids, rows, norms = [ids[i] for i in order], rows[order], norms[order]
+        named, numbers = np.array([v is not None for v in ids], bool), np.array([v or 0 for v in ids], np.int64)
         turned = rows @ self.basis
         heads, rests = turned[:, : self.head], np.linalg.norm(turned[:, self.head :], axis=1)
         kept: list[list[tuple]] = [[] for _ in self.ids]
@@ -87,10 +88,12 @@ class Queries:
             for n, i in enumerate(live):
                 own = slice(starts[n], starts[n + 1])
                 s, at = exact[own], c[own]
+                other = ~named[a + at] | (numbers[a + at] != self.ids[i])  # all of the query's own rows go before the cut
+                at, s = at[other], s[other]
                 if len(s) > 4 * k:
-                    cut = np.partition(s, len(s) - k - 1)[len(s) - k - 1]  # one more, for the query's own row
+                    cut = np.partition(s, len(s) - k)[len(s) - k]
                     at, s = at[s >= cut], s[s >= cut]
-                more = [(int(v), ids[a + p]) for v, p in zip(s, at, strict=True) if ids[a + p] != self.ids[i]]
+                more = [(int(v), ids[a + p]) for v, p in zip(s, at, strict=True)]
                 if more:
                     kept[i] = sorted(kept[i] + more, key=rank)[:k]
                     if len(kept[i]) == k:

@@ -433,6 +433,15 @@ def test_topk_awkward(spark):
     assert topk.search(df.limit(0), spark).count() == 0
 
 
+def test_topk_repeated_query_id(spark):
+    r = random.Random(5)
+    rows = [(i, [r.choice([0.0, 0.5, -0.25, 1.5]) for _ in range(4)]) for i in range(1, 31)]
+    own = [(50, [8.0 + n, 8.0, 8.0, 8.0]) for n in range(6)]  # each scores above all partners
+    df = spark.createDataFrame(rows + own, "vec_id bigint, embedding array<float>").coalesce(1)
+    scores = sorted((-sum(int(256 * x) * int(256 * y) for x, y in zip(a, b, strict=True)), i) for _, a in own for i, b in rows)
+    assert sorted(tuple(x) for x in topk.search(df, spark).collect()) == [(50, n + 1, i, -v) for n, (v, i) in enumerate(scores[:5])]
+
+
 # 9 ------------------------------------------------------------------------------------------------------------
 
 
