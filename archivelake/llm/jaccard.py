@@ -156,7 +156,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame | Non
 
 
 def members(docs: DataFrame, spark: SparkSession, width: int = 4, percent: int = 85, leaders: int = 8) -> DataFrame:
-    """Per document row: doc_id, n_shingles, t (hash of its text) and component_id."""
+    """Per document row: doc_id, n_shingles, component_id, t (hash of its text), rid and comp, the component's node, which tells
+    components without doc_ids apart (null without shingles)."""
     scratch = Scratch(spark, "jaccard")
     rows = prepared(docs, "doc_id", "text").select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
     fields = [("doc_id", pa.int64()), ("doc", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bottom", pa.list_(pa.int64())), ("slice", pa.int32()), ("counts", pa.list_(pa.int64()))]
@@ -232,9 +233,9 @@ def members(docs: DataFrame, spark: SparkSession, width: int = 4, percent: int =
     final = final.join(nodes.select("node", "first"), "node")
     smallest = final.groupBy("comp").agg(F.min("first").alias("component"), F.count("*").alias("c")).where("c > 1")
     smallest = scratch.write(smallest.select("comp", "component"), "smallest")
-    final = scratch.write(final.join(smallest, "comp", "left").select("node", F.coalesce("component", "first").alias("component")), "final")
+    final = scratch.write(final.join(smallest, "comp", "left").select("node", "comp", F.coalesce("component", "first").alias("component")), "final")
     out = belongs.join(final, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "doc"), F.lit(NO_ID)).alias("component_id"), "t", "rid")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "doc"), F.lit(NO_ID)).alias("component_id"), "t", "rid", "comp")
 
 
 def order_table(made: DataFrame, spark: SparkSession):
@@ -348,11 +349,12 @@ def near_copies(docs: DataFrame, spark: SparkSession, width: int = 4, percent: i
 
 
 def first_of_group(docs: DataFrame, spark: SparkSession, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with all their columns, one of each component: the row of the smallest doc_id; texts without
-    shingles stay, rows repeated exactly become one."""
+    """The documents with all their columns, one of each component: the row of the smallest doc_id (null last); unlinked
+    texts without doc_id each stay, groups under the same component_id count as one; texts without shingles stay, rows
+    repeated exactly become one."""
     scratch = Scratch(spark, "one-of-group")
     found = scratch.write(members(docs, spark, width, percent), "members")
-    keep = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "t", "rid")).alias("k")).select("k.doc", "k.t")
+    keep = found.where("n_shingles > 0").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("comp"))).agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "t", "rid")).alias("k")).select("k.doc", "k.t")
     empty = found.where("n_shingles = 0").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "t")
     keep = scratch.write(keep.unionByName(empty).distinct(), "keep").select(F.col("doc").alias("_doc"), F.col("t").alias("_t"))
     rows = docs.select(F.struct("*").alias("_row"), F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc2"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t2"))

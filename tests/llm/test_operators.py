@@ -366,6 +366,15 @@ def test_first_of_group(spark, tiny):
     assert {r["doc_id"] for r in kept} >= groups and len(kept) == len({(d, n) if c is None else c for d, n, c in brute if n})
 
 
+def test_first_of_group_keeps_unlinked_texts_without_ids(spark):
+    r = random.Random(6)
+    texts = [" ".join(r.choice("abcdefgh") + str(r.randrange(10**6)) for _ in range(20)) for _ in range(5)]
+    rows = [(None, t) for t in texts] + [(None, texts[3] + " more"), (7, texts[4] + " more")]
+    got = [tuple(x) for x in jaccard.first_of_group(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), spark).collect()]
+    assert len(got) == 5 and (7, texts[4] + " more") in got
+    assert all(sum(t.startswith(own) for _, t in got) == 1 for own in texts)
+
+
 def test_components_empty(spark):
     assert jaccard.near_copies(awkward(spark, empty=True), spark).count() == 0
     assert jaccard.first_of_group(awkward(spark, empty=True), spark).count() == 0
