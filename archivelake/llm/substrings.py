@@ -34,7 +34,9 @@ EMPTY = hashlib.sha256(b"").hexdigest()
 
 
 def sliding_min(g: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each run of ``width`` values."""
+    """Minimum of each run of ``width`` values; none if there are fewer."""
+    if len(g) < width:
+        return g[:0]
     size, m = 1, g
     while 2 * size <= width:
         m, size = np.minimum(m[: len(m) - size], m[size:]), 2 * size

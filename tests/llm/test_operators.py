@@ -165,6 +165,21 @@ def test_substrings(spark, tiny, options):
         assert got == brute_substrings(pairs_of(docs))
 
 
+def test_window_keys_of_short_groups():
+    for n in range(41):
+        r = random.Random(n)
+        h = np.array([r.getrandbits(64) for _ in range(n)], np.uint64)
+        grams = substrings.window_hashes(h, 6)
+        want = [min(grams[i : i + 15]) for i in range(len(grams) - 14)]
+        assert substrings.window_keys(h, 20, 6).tolist() == want
+
+
+def test_substrings_short_table(spark):
+    for n in (11, 17, 18):
+        docs = spark.createDataFrame([(1, "w " * n)], "doc_id bigint, text string")
+        assert [tuple(x)[:3] for x in substrings.deduplicated(docs, spark).collect()] == [(1, n, 0)]
+
+
 def test_substrings_empty(spark):
     assert substrings.deduplicated(awkward(spark, empty=True), spark).count() == 0
 
