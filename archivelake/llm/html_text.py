@@ -4,8 +4,9 @@ The standard library's parser streams events. Each run of text between block-lev
 knows its text, the tags seen in it and the region that holds it: regions that can't be content (menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles, comments of readers) are marked from tag names, roles and class or id words.
 Text-to-tag ratios of the lines are smoothed with a Gaussian kernel, and lines above the threshold (a share of their
-standard deviation) cluster into content. The region chosen is the article or main element if the page has one, else
-the container with the largest smoothed mass in those clusters; every unmarked line of it is returned, so short
+standard deviation) cluster into content. The mass of a content line counts for all regions around it, and the region chosen is
+the smallest that holds nearly all of it (``most``). If the page has article or main elements, only lines in them count, and
+the outermost such element around the region is taken. Every unmarked line of the region is returned, so short
 paragraphs inside an article are never dropped.
 
 Defined cases: null or empty html gives an empty text and 0; html without markup is its own text; unclosed and stray tags are
@@ -35,23 +36,23 @@ RAW = ("script", "style")
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, links, marked, article, container path) per line."""
+    """Collects (text, tags, marked, region) per line; per region its parent and the outermost article or main around it."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, int]] = []
         self.parts: list[str] = []
         self.tags = self.regions = 0
-        self.lines: list[tuple[str, int, bool, int, int]] = []
+        self.lines: list[tuple[str, int, bool, int]] = []
         self.parents = [-1]
+        self.outer = [-1]
 
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
             marked = any(m for _, m, _ in self.stack)
-            inner = next((r for t, _, r in reversed(self.stack) if t in ("article", "main")), -1)
             region = next((r for _, _, r in reversed(self.stack) if r >= 0), 0)
-            self.lines.append((text, self.tags, marked, inner, region))
+            self.lines.append((text, self.tags, marked, region))
             self.tags = 0
         self.parts = []
 
@@ -78,7 +79,9 @@ class Lines(HTMLParser):
         if tag in ("article", "main", "div", "section", "body", "td", "center"):
             self.regions += 1
             region = self.regions
-            self.parents.append(next((r for _, _, r in reversed(self.stack) if r >= 0), 0))
+            parent = next((r for _, _, r in reversed(self.stack) if r >= 0), 0)
+            self.parents.append(parent)
+            self.outer.append(region if self.outer[parent] == -1 and tag in ("article", "main") else self.outer[parent])
         self.stack.append((tag, marked, region))
 
     def handle_endtag(self, tag):
@@ -104,7 +107,7 @@ def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(np.pad(ratios, radius, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5) -> str:
+def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5, most: float = 0.9) -> str:
     parser = Lines()
     parser.feed(html or "")
     parser.close()
@@ -115,27 +118,21 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5) -> str:
         return ""
     ratios = smoothed(np.array([0.0 if marked else len(text) / (1 + tags) for text, tags, marked, *_ in lines]), sigma)
     content = {i for i in open_ if ratios[i] >= share * ratios.std()} or set(open_)
-    mass: dict[int, float] = {}
-    held = {lines[i][3] for i in open_} - {-1}
-    if held:  # the article or main element with the most mass
-        for i in content | ({i for i in open_ if lines[i][3] != -1} if not any(lines[i][3] in held for i in content) else set()):
-            if lines[i][3] != -1:
-                mass[lines[i][3]] = mass.get(lines[i][3], 0.0) + ratios[i] + 1e-9
-        top = max(mass.values())
-        chosen = {r for r, m in mass.items() if m >= 0.2 * top}
-        return " ".join(lines[i][0] for i in open_ if lines[i][3] in chosen)
+    outer = parser.outer
+    if any(outer[lines[i][3]] != -1 for i in open_):  # only lines in article or main elements
+        open_ = [i for i in open_ if outer[lines[i][3]] != -1]
+        content = content & set(open_) or set(open_)
+    mass = [0.0] * len(parser.parents)
     for i in content:
-        mass[lines[i][4]] = mass.get(lines[i][4], 0.0) + ratios[i] + 1e-9
-    best = max(mass, key=lambda r: (mass[r], -r))
-
-    def under(region: int) -> bool:
-        while region > 0:
-            if region == best:
-                return True
-            region = parser.parents[region]
-        return best == 0
-
-    return " ".join(lines[i][0] for i in open_ if under(lines[i][4]))
+        mass[lines[i][3]] += ratios[i] + 1e-9
+    for r in range(len(mass) - 1, 0, -1):  # parents come before their children
+        mass[parser.parents[r]] += mass[r]
+    best = max(r for r, m in enumerate(mass) if m >= most * mass[0])
+    best = outer[best] if outer[best] != -1 else best
+    inside = [best == 0]
+    for r, parent in enumerate(parser.parents[1:], 1):
+        inside.append(r == best or inside[parent])
+    return " ".join(lines[i][0] for i in open_ if inside[lines[i][3]])
 
 
 def extract(pages: DataFrame) -> DataFrame:

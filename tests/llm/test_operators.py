@@ -422,6 +422,22 @@ def test_html_cases(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body><div><section><p>{a}</p></section><section><p>{b}</p></section></div></body>", "{a} {b}"),
+        ("<body><div><div><div><p>{a}</p></div></div><table><tr><td>{b}</td></tr></table></div><div>Imprint</div></body>", "{a} {b}"),
+        ("<main><h1>Head</h1><p>Lead</p><article><p>{a}</p></article><p>End</p></main>", "Head Lead {a} End"),
+        ("<main><h1>Head</h1><p>Lead</p><article><p>{a}</p><p>{a}</p><p>{a}</p><p>{a}</p></article></main>", "Head Lead {a} {a} {a} {a}"),
+        ("<div><article><section><p>{a}</p></section><section><p>{b}</p></section></article></div><div>{b}</div>", "{a} {b}"),
+        ("<div><article><p>{a}</p></article><p>between</p><article><p>{b}</p></article></div>", "{a} {b}"),
+    ],
+)
+def test_html_text_of_several_regions(page, text):
+    a, b = "A long paragraph of words that goes on for a while. " * 6, "Another one, not so long, follows here. " * 2
+    assert html_text.main_text(page.format(a=a, b=b)) == text.format(a=a.strip(), b=b.strip())
+
+
 def test_html_table_cases(spark):
     pages = spark.createDataFrame([(None, None, None, 1), (1, "u", "<p>" * 30000 + "deep", 2), (1, "u", "x", 3)], "page_id bigint, url string, html string, text int")
     assert sorted(r["text"] for r in html_text.extract(pages).collect()) == ["", "deep", "x"]
