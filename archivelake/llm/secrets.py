@@ -1,7 +1,8 @@
 r"""Secret scans: fixed base patterns, and a battery of randomness tests for anything else.
 
 Base kinds (leftmost, non-overlapping, each kind on its own) are ``assign``, ``access`` and ``hex``.
-The battery looks at long runs of credential characters. For each run an encoding is inferred (hex,
+The battery looks at long runs of credential characters; a run that mixes "+" or "/" with "-" or "_" fits no encoding and is
+split at the ones and at the others, and runs without a digit (or of digits only) aren't tested. For each run an encoding is inferred (hex,
 base32, base64 or letters and digits), and three tests ask if it looks uniform over that alphabet: chi-squared of
 the characters (grouped so that each expected count is reasonable), runs above and below the middle
 of the alphabet, and serial correlation of neighbours. Fisher's method joins the three. Words of a language fail
@@ -29,6 +30,8 @@ ASSIGN_START = re.compile(r"[pP][aA][sS][sS][wW]|[sS][eE][cC][rR][eE][tT]|[tT][o
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+#: Parts of a run that mixes "+" or "/" with "-" or "_": first those between the former, then those between the latter.
+PARTS = (re.compile(r"[A-Za-z0-9_-]{20,}={0,2}"), re.compile(r"[A-Za-z0-9+/]{20,}={0,2}"))
 KINDS = ("assign", "access", "hex", "random")
 #: Alphabets in the order in which they are tried.
 ALPHABETS = {
@@ -64,7 +67,7 @@ def encoding(run: str) -> str | None:
 
 
 def battery(run: str) -> float | None:
-    """P-value of "uniform over its inferred alphabet"; None if no encoding fits or the run has a single class of characters."""
+    """P-value of "uniform over its inferred alphabet"; None if no encoding fits or the run has no digit or digits only."""
     kind = encoding(run)
     body = run.rstrip("=")
     n = len(body)
@@ -106,16 +109,30 @@ def battery(run: str) -> float | None:
     return upper_gamma(3, joint / 2)
 
 
+def tested_parts(run: re.Match) -> list[tuple[int, int]]:
+    """Spans to test: the run if an encoding fits it, else its parts."""
+    if encoding(run.group()) is not None:
+        return [run.span()]
+    a = run.start()
+    return [(a + m.start(), a + m.end()) for pattern in PARTS for m in pattern.finditer(run.group())]
+
+
 def random_runs(text: str, rate: float = RATE) -> list[tuple[int, int]]:
     """Runs that stay "random" after the weighted step-up procedure over all runs of the text."""
-    found = [(m.start(), m.end(), p) for m in RUN.finditer(text) if (p := battery(m.group())) is not None]
+    found = [(s, e, p) for m in RUN.finditer(text) for s, e in tested_parts(m) if (p := battery(text[s:e])) is not None]
     if not found:
         return []
     weights = [sqrt(64 / min(256, e - s)) for s, e, _ in found]
     scale = len(found) / sum(weights)
     ranked = sorted((p / (w * scale), i) for i, ((_, _, p), w) in enumerate(zip(found, weights, strict=True)))
     last = max((k for k, (q, _) in enumerate(ranked, 1) if q <= rate * k / len(found)), default=0)
-    return sorted(found[i][:2] for _, i in ranked[last:])
+    spans: list[tuple[int, int]] = []
+    for s, e, _ in sorted((found[i] for _, i in ranked[last:])):
+        if spans and s < spans[-1][1]:  # parts of both kinds that overlap are one span
+            spans[-1] = (spans[-1][0], max(e, spans[-1][1]))
+        else:
+            spans.append((s, e))
+    return spans
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

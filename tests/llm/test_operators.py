@@ -132,6 +132,14 @@ def test_battery_tells_random_from_words():
     assert secrets.upper_gamma(0.5, 1.0) == pytest.approx(0.157299, abs=1e-5) and secrets.upper_gamma(3, 2.0) == pytest.approx(0.676676, abs=1e-5)
 
 
+def test_battery_looks_into_mixed_runs():
+    for path in ("/user-files/x_y/{}", "/user-files/x_y/{}/a_b-c/d", "see/a-b/{} and"):
+        text = path.format("9fQ2mZk7Lr3TnWb8Yc5VaE1h")
+        at = text.index("9fQ2")
+        assert any(a <= at and at + 24 <= b and b - a <= 28 for a, b in secrets.random_runs(text)), text
+    assert not secrets.random_runs("/user-files-of-the-first/account_of_the_second/2024/index-page_of_the_site")
+
+
 def test_secrets_empty(spark):
     assert secrets.scan(awkward(spark, empty=True)).count() == 0
     assert secrets.scan(awkward(spark)).count() == awkward(spark).count()
