@@ -88,6 +88,21 @@ def grouped(texts: list, most: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def text_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, list[str]]]:
+    """Lists of keys and texts (the first two columns, null texts as empty) of about ``most`` characters, over the borders of batches."""
+    keys, texts, size = [], [], 0
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            keys.append(key)
+            texts.append(text or "")
+            size += len(text or "")
+            if size >= most:
+                yield keys, texts
+                keys, texts, size = [], [], 0
+    if keys:
+        yield keys, texts
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     h = h ^ (h >> np.uint64(32))

@@ -29,8 +29,9 @@ class PrefixTable:
             self.pieces = [text] if text else []
             self.counts = [0, *(len(x) for x in tokenizer.many(self.pieces))]
         else:
-            tokenizer.learn(self.pieces, len)
-            self.counts = [0, *accumulate(map(tokenizer.kept.__getitem__, self.pieces))]
+            own = list(dict.fromkeys(self.pieces))
+            counts = dict(zip(own, map(len, tokenizer.many(own)), strict=True))
+            self.counts = [0, *accumulate(map(counts.__getitem__, self.pieces))]
         self.ends = None
 
     @property
@@ -76,7 +77,7 @@ class PrefixTable:
 def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = 512) -> DataFrame:
     """Bytes and tokens of every whole text, if it's over the limit, and how many characters fit the limit."""
     def run(cols):
-        own = loaded(tokenizer, "counts")
+        own = loaded(tokenizer)
         out = {"doc_id": cols["doc_id"], "n_bytes": [], "n_tokens": [], "over_limit": [], "fitting_chars": []}
         for text in cols["text"]:
             table = PrefixTable(text or "", own)

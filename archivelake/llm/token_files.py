@@ -1,14 +1,14 @@
 """Token-ID output: raw little-endian id payloads with a minimal perfect hash index from document keys to offsets.
 
-Documents are range-partitioned and sorted by key; each task cuts its ids into shards of about
-``shard_ids`` ids (never inside the rows of one key). A shard row holds the raw payload, its key range, and its index:
+Documents are range-partitioned and sorted by key, then by text, so that the rows of one hot key spread over tasks; each task cuts its
+ids into shards of about ``shard_ids`` ids. A shard row holds the raw payload, its key range, and its index:
 displacement seeds of a minimal perfect hash over its keys and, at each slot, a 32-bit fingerprint of the
 key and the number of its first row; ``row_starts`` gives the id offset of each row. A lookup prunes shards by
 key range, hashes once, compares the fingerprint and slices the payload. Spark's committed
 writer stores the rows, so retried tasks and lost executors leave no partial shard.
 
 Defined cases: a null text counts as empty and has just the end id; a null key sorts first; rows with equal keys
-stay together, ordered by text (null as empty), and are found together; an empty table gives no shard; only the key
+follow one another, in each task ordered by text (null as empty), and are found together; an empty table gives no shard; only the key
 and text columns are read.
 """
 
@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, grouped, map_batches, prepared
-from .tokens import loaded
+from .common import Scratch, map_batches, prepared, text_groups
+from .tokens import GROUP_CHARS, loaded
 
 #: Keys per displacement bucket.
 PER_BUCKET = 4
@@ -125,8 +125,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shard_ids: int =
 
     arrow = to_arrow_schema(_parse_datatype_string(SHARD_SCHEMA))
 
-    def shard(part: int, seq: int, first: int, width: int, keys: list, chunks: list[bytes]) -> pa.RecordBatch:
-        starts = np.concatenate([[0], np.cumsum([len(c) // width for c in chunks])]).astype("<i8")
+    def shard(part: int, seq: int, first: int, width: int, keys: list, lens: np.ndarray, payload: bytes) -> pa.RecordBatch:
+        starts = np.concatenate([[0], np.cumsum(lens)]).astype("<i8")
         distinct = list(dict.fromkeys(keys))
         firsts = {k: i for i, k in reversed(list(enumerate(keys)))}
         counts: dict = {}
@@ -139,35 +139,40 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shard_ids: int =
         known = [k for k in keys if k is not None]
         row = {
             "part": part, "seq": seq, "min_key": known[0] if known else None, "max_key": known[-1] if known else None, "has_null": len(known) < len(keys),
-            "n_rows": len(keys), "n_ids": int(starts[-1]), "first": first, "width": width, "payload": b"".join(chunks), "keys": keys,
+            "n_rows": len(keys), "n_ids": int(starts[-1]), "first": first, "width": width, "payload": payload, "keys": keys,
             "row_starts": starts.tobytes(), "seeds": np.array(seeds, "<u4").tobytes(), "fingerprints": prints.tobytes(), "slots": places.tobytes(),
         }
         return pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in arrow], schema=arrow)
 
     def run(batches):
-        own = loaded(tokenizer, "ids")
+        own = loaded(tokenizer)
         kind, width = ("<u2", 2) if max(own.size, end_id + 1) <= 65536 else ("<u4", 4)
-        end = np.array([end_id], kind).tobytes()
-        encode = lambda ids: np.array(ids, kind).tobytes()
         part, seq, first, size = TaskContext.get().partitionId(), 0, 0, 0
-        keys: list = []
-        chunks: list[bytes] = []
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, z in grouped(texts):
-                for key, raw in zip(ids[a:z], own.encoded([text or "" for text in texts[a:z]], encode), strict=True):
-                    if size >= shard_ids and key != keys[-1]:
-                        yield shard(part, seq, first, width, keys, chunks)
-                        seq, first, size, keys, chunks = seq + 1, first + size, 0, [], []
-                    keys.append(key)
-                    raw.append(end)
-                    chunks.append(b"".join(raw))
-                    size += len(chunks[-1]) // width
+        keys, lens, chunks = [], [], []
+        for own_keys, texts in text_groups(batches, GROUP_CHARS):
+            ids, counts = own.flat(texts)
+            stop = np.cumsum(counts + 1)
+            closed = np.full(int(stop[-1]), end_id, kind)  # an end id after each document
+            inner = np.ones(len(closed), bool)
+            inner[stop - 1] = False
+            closed[inner] = ids
+            row = begin = 0
+            while row < len(texts):
+                upto = min(len(texts), int(np.searchsorted(stop, begin + shard_ids - size)) + 1)
+                keys += own_keys[row:upto]
+                lens.append(counts[row:upto] + 1)
+                chunks.append(closed[begin : stop[upto - 1]].tobytes())
+                size, row, begin = size + int(stop[upto - 1]) - begin, upto, int(stop[upto - 1])
+                if size >= shard_ids:
+                    yield shard(part, seq, first, width, keys, np.concatenate(lens), b"".join(chunks))
+                    seq, first, size, keys, lens, chunks = seq + 1, first + size, 0, [], [], []
         if keys:
-            yield shard(part, seq, first, width, keys, chunks)
+            yield shard(part, seq, first, width, keys, np.concatenate(lens), b"".join(chunks))
 
-    rows = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit("")))
-    return rows.mapInArrow(run, SHARD_SCHEMA)
+    # equal keys may be so many that they must lie in several tasks; rows that are equal throughout are alike, so any order of them will do
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 16), F.col("text")]
+    return rows.repartitionByRange(order[0], order[1], F.monotonically_increasing_id()).sortWithinPartitions(order[0], order[2]).mapInArrow(run, SHARD_SCHEMA)
 
 
 class TokenStore:
