@@ -490,6 +490,56 @@ def test_topk_repeated_query_id(spark):
     assert sorted(tuple(x) for x in topk.search(df, spark).collect()) == [(50, n + 1, i, -v) for n, (v, i) in enumerate(scores[:5])]
 
 
+def skewed_vectors(spark, n=4000, dim=32, seed=9):
+    """Lengths that differ widely and directions of few dimensions, as embeddings often have."""
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(n, dim)) * 0.6 ** np.arange(dim) * r.pareto(1.5, size=(n, 1))
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+
+
+def test_topk_prunes(spark):
+    df = skewed_vectors(spark)
+    counts = spark.sparkContext.accumulator((0, 0), topk.PairCounts())
+    got = sorted(tuple(r) for r in topk.search(df, spark, counter=counts).collect())
+    assert got == brute_topk([tuple(r) for r in df.collect()], 50, 5)
+    seen, scored = counts.value
+    assert 0 < scored < 0.2 * 4000 * 80, (seen, scored)
+
+
+def test_topk_levels_prune_without_lengths():
+    """Unit vectors near a few directions: lengths say nothing, partial sums do."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(3000, 32)) * 0.6 ** np.arange(32)
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
+    basis = np.linalg.eigh((x.T @ x).astype(float))[1][:, ::-1]
+    own = topk.Block(np.arange(10), x[:10], basis, 5)
+    for a in range(0, len(x), 256):
+        own.add(np.arange(a, min(a + 256, len(x))), np.ones(min(256, len(x) - a), bool), x[a : a + 256])
+    got = sorted((q, -s, i) for q, i, s in zip(*(c.to_pylist() for c in own.found().columns), strict=True))
+    scores = x[:10] @ x.T
+    assert got == [(q, -s, i) for q in range(10) for s, i in sorted(((int(v), i) for i, v in enumerate(scores[q]) if i != q), key=lambda p: (-p[0], p[1]))[:5]]
+    assert own.pairs == 30_000 and own.scored < 10_000
+
+
+def test_topk_large_integers(spark):
+    """Scores beyond 2^53 are exact; lengths whose product may pass a long raise."""
+    r = random.Random(1)
+    rows = [(i, [float(r.randrange(2**21)) for _ in range(4)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    want = brute_topk(rows, 50, 5)
+    assert max(w[3] for w in want) > 2**53 and sorted(tuple(x) for x in topk.search(df, spark).collect()) == want
+    with pytest.raises(Exception, match="too long"):
+        topk.search(spark.createDataFrame([(50, [1e12] * 4), (51, [1e12] * 4)], df.schema), spark).collect()
+
+
+def test_topk_repeated_rows(spark):
+    """A third of all rows equal, and ids that are null: repeated partners each take a rank."""
+    r = random.Random(2)
+    rows = [(i, [r.random() for _ in range(8)]) for i in range(1, 200)] + [(7, [1.0] * 8)] * 100 + [(None, [0.9] * 8)]
+    got = sorted(tuple(x) for x in topk.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), spark, chunk=16).collect())
+    assert [x[:3] for x in got if x[0] == 50] == [(50, n, 7) for n in range(1, 6)]
+
+
 # 9 ------------------------------------------------------------------------------------------------------------
 
 
