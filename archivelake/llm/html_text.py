@@ -1,13 +1,18 @@
-"""Main text of web pages: parser events, text-to-tag ratios per block, smoothing and threshold clustering.
+"""Main text of web pages: parser events, text-to-tag ratios per line, smoothing and threshold clustering.
 
-The standard library's parser streams events. Each run of text between block-level tags is one line; a line
-knows its text, the tags seen in it and the region that holds it: regions that can't be content (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, comments of readers) are marked from tag names, roles and class or id words.
-Text-to-tag ratios of the lines are smoothed with a Gaussian kernel, and lines above the threshold (a share of their
-standard deviation) cluster into content. The mass of a content line counts for all regions around it, and the region chosen is
-the smallest that holds nearly all of it (``most``). If the page has article or main elements, only lines in them count, and
-the outermost such element around the region is taken. Every unmarked line of the region is returned, so short
-paragraphs inside an article are never dropped.
+The standard library's parser streams events. Each run of text between block-level tags is one line; a line knows its text, the
+tags seen before and in it, the region that holds it and the marked element around it. Elements are marked that can't be
+content: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers. Marks come from tag names and roles,
+and from class and id names that consist of nothing but such words; inside article and main elements only names that are plain about
+it count. An element that is never closed marks nothing, since it is unknown how far it was meant to reach.
+
+If unmarked text stands in article or main elements, all of that is the result. Otherwise the ratios decide: text-to-tag ratios of the
+lines (0 for marked ones) are smoothed with a Gaussian kernel; lines of which both the ratio and the smoothed ratio reach a threshold are
+content, where the threshold is a share of the standard deviation, at most ``dense`` characters a tag. Neighbours above the threshold after
+smoothing make clusters with them. The region chosen is the smallest element around all content lines; if that is the whole page, it reaches
+from the first such cluster to the last. All unmarked lines of the region are returned, so short lines between dense ones stay.
+
+The work is linear in the length of a page, however deep its elements nest.
 
 Defined cases: null or empty html gives an empty text and 0; html without markup is its own text; unclosed and stray tags are
 tolerated; repeated rows give repeated results; an empty table gives an empty result; only page_id, url and html are read.
@@ -23,82 +28,127 @@ from pyspark.sql import DataFrame
 
 from .common import map_batches, prepared
 
-# Element names of HTML by role.
+# Element names of HTML by role, and words of class and id names.
 BLOCK = set("address article aside blockquote body br button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript object ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul video".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = set("nav footer aside form script style noscript template head title iframe object svg canvas button select textarea menu dialog audio video math".split())
+IN_HEAD = set("base link meta noscript script style template title".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
-MARKS = set("ad ads advert adverts advertisement advertisements sponsored sponsor promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side footer header masthead banner cookie cookies consent notice notices gdpr popup modal newsletter subscribe subscription signup share sharing social related recommended comment comments disqus reply replies pagination pager toolbar widget login search form copyright legal disclaimer".split())
-CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-SPLIT = re.compile(r"[^a-z0-9]+")
+PLAIN = set("ad ads advert adverts advertisement advertisements sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar cookie cookies consent gdpr popup modal newsletter subscribe subscription signup share sharing social comment comments disqus replies pagination pager toolbar login".split())
+OTHER = set("banner copyright disclaimer footer form header legal masthead notice notices related reply search side sponsor widget".split())
+FILLER = set("area bar block bottom box button buttons container content global group inner item items left link links list main outer page panel post primary right row secondary section site slot top unit wrap wrapper".split())
+IMPLIED = set("dd dt head li option p tbody td tfoot th thead tr".split())
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("td", "th", "tr", "tbody", "thead"), "tfoot": ("td", "th", "tr", "tbody", "thead")}
+#: Elements whose inside is closed to the end of such an element outside.
+SCOPES = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "option": ("select",), "p": ("td", "th", "caption", "table", "button", "object")}
+SCOPES |= dict.fromkeys(("tr", "td", "th", "tbody", "thead", "tfoot"), ("table",))
+REGIONS = ("article", "main", "div", "section", "body", "td", "center")
+SPLIT = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
-RAW = ("script", "style")
+
+
+def marking(names: str, plainly: bool) -> bool:
+    """Whether a class or id name consists of marking words, with filler and numbers; ``plainly``: of those that are plain about it."""
+    for name in names.split():
+        words = {w.lower() for w in SPLIT.split(name)} - {""}
+        found = words & PLAIN or (not plainly and words & OTHER)
+        if found and all(w in PLAIN or w in OTHER or w in FILLER or w.isdigit() for w in words):
+            return True
+    return False
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, marked, region) per line; per region its parent and the outermost article or main around it."""
+    """Collects (text, tags, mark, region) per line; per region its parent and the outermost article or main around it; per mark
+    the mark around it and whether its element was closed."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []
+        self.stack: list[tuple[str, int, int, bool]] = []  # tag, mark and region inside it, whether the mark is its own
+        self.places: dict[str, list[int]] = {}
         self.parts: list[str] = []
-        self.tags = self.regions = 0
-        self.lines: list[tuple[str, int, bool, int]] = []
-        self.parents = [-1]
-        self.outer = [-1]
+        self.tags = 0
+        self.lines: list[tuple[str, int, int, int]] = []
+        self.parents, self.outer = [-1], [-1]
+        self.around, self.closed = [-1], [False]
+        self.body = 0  # region of the body element
+        self.hidden = 0  # marked inline elements that are open
 
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            marked = any(m for _, m, _ in self.stack)
-            region = next((r for _, _, r in reversed(self.stack) if r >= 0), 0)
-            self.lines.append((text, self.tags, marked, region))
+            self.lines.append((text, self.tags, *(self.stack[-1][1:3] if self.stack else (0, 0))))
             self.tags = 0
         self.parts = []
 
+    def last(self, *tags: str) -> int:
+        return max((own[-1] for t in tags if (own := self.places.get(t))), default=-1)
+
+    def cut(self, at: int, ended: bool) -> None:
+        """Take the elements from this place on off the stack; ``ended``: the lowest of them by its own end tag."""
+        while len(self.stack) > at:
+            tag, mark, _, own = self.stack.pop()
+            self.places[tag].pop()
+            if own:
+                self.closed[mark] = ended and len(self.stack) == at or tag in IMPLIED or tag not in BLOCK
+                self.hidden -= tag not in BLOCK
+
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
             self.flush()
+            if tag not in IN_HEAD and (at := self.last("head")) >= 0 and tag != "head":
+                self.cut(at, True)
+            if tag != "br" and (at := self.last("p")) > self.last(*SCOPES["p"]):
+                self.cut(at, True)
+            while tag in CLOSES and (at := self.last(*CLOSES[tag])) > self.last(*SCOPES[tag]):
+                self.cut(at, True)
+            if tag in ("article", "main") and (at := min((own[0] for t in ("nav", "header", "footer") if (own := self.places.get(t))), default=-1)) >= 0:
+                self.cut(at, False)
         self.tags += 1
         if tag in VOID:
             return
-        if tag in CLOSES:
-            while self.stack and self.stack[-1][0] in CLOSES[tag] | {"b", "i", "em", "strong", "span", "a", "font", "u"} and any(t in CLOSES[tag] for t, *_ in self.stack[-6:]):
-                self.stack.pop()
-        elif tag in BLOCK and tag != "p":
-            while self.stack and self.stack[-1][0] == "p":
-                self.stack.pop()
         own = dict(attrs)
-        words = {w for k in ("class", "id") for w in SPLIT.split((own.get(k) or "").lower())}
+        inside = self.last("article", "main") >= 0
         marked = tag in NEVER or (own.get("role") or "").lower() in ROLES or "hidden" in own or own.get("aria-hidden") == "true"
-        if tag not in ("article", "main", "body", "html") and words & MARKS:
-            marked = True
-        if tag == "header" and not any(t in ("article", "main") for t, *_ in self.stack):
-            marked = True
-        region = -1
-        if tag in ("article", "main", "div", "section", "body", "td", "center"):
-            self.regions += 1
-            region = self.regions
-            parent = next((r for _, _, r in reversed(self.stack) if r >= 0), 0)
-            self.parents.append(parent)
-            self.outer.append(region if self.outer[parent] == -1 and tag in ("article", "main") else self.outer[parent])
-        self.stack.append((tag, marked, region))
+        if not marked and tag not in ("article", "main", "body", "html"):
+            names = f"{own.get('class') or ''} {own.get('id') or ''}"
+            marked = tag == "header" and not inside or len(names) > 1 and marking(names, inside or tag == "p" or tag not in BLOCK)
+        if tag not in BLOCK and not marked:
+            return  # inline elements change nothing
+        _, mark, region, _ = self.stack[-1] if self.stack else ("", 0, 0, False)
+        if marked:
+            self.around.append(mark)
+            self.closed.append(False)
+            mark = len(self.closed) - 1
+            self.hidden += tag not in BLOCK
+        if tag in REGIONS:
+            self.parents.append(region)
+            self.outer.append(len(self.outer) if self.outer[region] == -1 and tag in ("article", "main") else self.outer[region])
+            region = len(self.outer) - 1
+            self.body = region if tag == "body" and not self.body else self.body
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, mark, region, marked))
 
     def handle_endtag(self, tag):
         if tag in BLOCK:
             self.flush()
         self.tags += 1
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                break
-            if self.stack[i][0] in ("article", "main", "body", "nav", "footer", "aside", "form") and tag not in BLOCK:
-                break
+        if (at := self.last(tag)) > self.last(*SCOPES.get(tag, ())):
+            self.cut(at, True)
 
     def handle_data(self, data):
-        if not (self.stack and self.stack[-1][0] in RAW):
+        if not self.hidden and not (self.stack and self.stack[-1][0] in ("script", "style")):
             self.parts.append(data)
 
+    def finished(self) -> list[tuple[str, int, bool, int]]:
+        """(text, tags, whether marked, region) of all lines."""
+        self.close()
+        self.flush()
+        self.cut(0, False)
+        marked = [False]
+        for around, closed in zip(self.around[1:], self.closed[1:], strict=True):
+            marked.append(closed or marked[around])
+        return [(text, tags, marked[m], r) for text, tags, m, r in self.lines]
+
 
 def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     """Convolution with a Gaussian kernel of radius 3 sigma; ends are padded with their own value."""
@@ -107,32 +157,43 @@ def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(np.pad(ratios, radius, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5, most: float = 0.9) -> str:
+def content_lines(lines: list[tuple[str, int, bool, int]], sigma: float, share: float, dense: float) -> tuple[list[int], list[int]]:
+    """Numbers of the content lines, and of all lines of the clusters around them."""
+    ratios = np.array([0.0 if marked else len(text) / (1 + tags) for text, tags, marked, _ in lines])
+    soft = smoothed(ratios, sigma)
+    least = min(share * float(soft.std()), dense)
+    high = soft >= least
+    core = np.flatnonzero(high & (ratios >= least) & (ratios > 0))
+    if not len(core):
+        core = np.flatnonzero(ratios > 0)
+    high[core] = True
+    cluster = np.cumsum(np.concatenate([[0], high[1:] != high[:-1]]))
+    return core.tolist(), np.flatnonzero(high & np.isin(cluster, cluster[core])).tolist()
+
+
+def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5, dense: float = 20.0) -> str:
     parser = Lines()
     parser.feed(html or "")
-    parser.close()
-    parser.flush()
-    lines = parser.lines
+    lines = parser.finished()
     open_ = [i for i, line in enumerate(lines) if not line[2]]
     if not open_:
         return ""
-    ratios = smoothed(np.array([0.0 if marked else len(text) / (1 + tags) for text, tags, marked, *_ in lines]), sigma)
-    content = {i for i in open_ if ratios[i] >= share * ratios.std()} or set(open_)
     outer = parser.outer
-    if any(outer[lines[i][3]] != -1 for i in open_):  # only lines in article or main elements
-        open_ = [i for i in open_ if outer[lines[i][3]] != -1]
-        content = content & set(open_) or set(open_)
-    mass = [0.0] * len(parser.parents)
-    for i in content:
-        mass[lines[i][3]] += ratios[i] + 1e-9
-    for r in range(len(mass) - 1, 0, -1):  # parents come before their children
-        mass[parser.parents[r]] += mass[r]
-    best = max(r for r, m in enumerate(mass) if m >= most * mass[0])
-    best = outer[best] if outer[best] != -1 else best
+    if own := [i for i in open_ if outer[lines[i][3]] != -1]:
+        return " ".join(lines[i][0] for i in own)
+    core, clustered = content_lines(lines, sigma, share, dense)
+    held = [0] * len(parser.parents)
+    for i in core:
+        held[lines[i][3]] += 1
+    for r in range(len(held) - 1, 0, -1):  # parents come before their children
+        held[parser.parents[r]] += held[r]
+    best = max(r for r, n in enumerate(held) if n == len(core))
     inside = [best == 0]
     for r, parent in enumerate(parser.parents[1:], 1):
         inside.append(r == best or inside[parent])
-    return " ".join(lines[i][0] for i in open_ if inside[lines[i][3]])
+    whole = best == 0 or best == parser.body
+    first, last = (clustered[0], clustered[-1]) if whole else (0, len(lines))
+    return " ".join(lines[i][0] for i in open_ if inside[lines[i][3]] and first <= i <= last)
 
 
 def extract(pages: DataFrame) -> DataFrame:

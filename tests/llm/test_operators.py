@@ -446,6 +446,88 @@ def test_html_text_of_several_regions(page, text):
     assert html_text.main_text(page.format(a=a, b=b)) == text.format(a=a.strip(), b=b.strip())
 
 
+LONG = "A long paragraph of words that goes on for a while, and then some. " * 4
+MENU = "<ul>" + "".join(f"<li><a href='/{i}'>Item {i}</a></li>" for i in range(8)) + "</ul>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body><div><p>{a}</p></div><div><p>{b}</p></div></body>", "{a} {b}"),
+        ("<article><p>{a}</p><section id='related-work'><p>{b}</p></section><p class='legal'>Legal</p><div class='form-of-government'>Form</div></article>", "{a} {b} Legal Form"),
+        ("<article><p>{a}</p><div class='post-comments'><p>{b}</p></div><div class='ad-slot'>Buy</div><div id='sidebar_left'>x</div><p>End</p></article>", "{a} End"),
+        ("<body><nav><ul><li><a href='/'>Home</a></ul><article><p>{a}</p></article></body>", "{a}"),
+        ("<body><nav><p>{a}</p><p>{b}</p></body>", "{a} {b}"),
+        ("<main><article><p>{a}</p><p>{a}</p></article><article><p>Short.</p></article></main>", "{a} {a} Short."),
+        ("<article><p>{a}</p></article><article><p>Short.</p></article>", "{a} Short."),
+        ("<article><ul><li class='ad'><b><b><b><b><b><b><b>Buy<li>Keep</ul><p>{a}</p></article>", "Keep {a}"),
+        ("<article><ul><li class='ad'><b><i>Buy<li>Keep</ul><p>{a}</p></article>", "Keep {a}"),
+        ("<article><p>{a}<span hidden>no</span> tail</p></article>", "{a} tail"),
+        ("<article><table><tr><td class='ad'>Buy<td>Keep<tr><td>{a}</table></article>", "Keep {a}"),
+        ("<body><div><p>{a}<div class='banner'>Buy</div>tail</div></body>", "{a} tail"),
+        ("<head><title>T</title><body><p>{a}</p>", "{a}"),
+        ("<article><p>x &lt;b&gt; &eacute;&#233;&nbsp;&#x41;</p><p>{a}</p></article>", "x <b> éé A {a}"),
+    ],
+)
+def test_html_marks_and_unclosed_elements(page, text):
+    a, b = LONG, "Another one, not so long, follows here. " * 2
+    assert html_text.main_text(page.format(a=a, b=b)) == text.format(a=a.strip(), b=b.strip())
+
+
+def test_html_ratios_select_where_no_element_names_the_article(monkeypatch):
+    """Pages without article or main: menus and imprints go because of their ratios; with ratios made flat they stay."""
+    a, links = LONG.strip(), " ".join(f"Item {i}" for i in range(8))
+    pages = {
+        f"<body>{MENU}<h1>Head</h1><p>{a}</p><p>Short.</p><p>{a}</p><p>{a}</p>{MENU}</body>": ("Head", a, "Short.", a, a),
+        f"<body><div>{MENU}</div><div><div><p>{a}</p></div><div><p>{a}</p><p>x</p></div></div><div>Imprint</div></body>": (a, a, "x"),
+    }
+    for page, want in pages.items():
+        got = html_text.main_text(page)
+        assert " ".join(want) in got and links not in got and len(got) < len(" ".join(want)) + 60, got
+    monkeypatch.setattr(html_text, "smoothed", lambda ratios, sigma: np.ones(len(ratios)))
+    monkeypatch.setattr(html_text, "content_lines", lambda lines, *_: ([i for i, x in enumerate(lines) if not x[2]],) * 2)
+    assert all(links in html_text.main_text(page) for page in pages)
+
+
+def brute_content(lines, sigma=1.0, share=0.5, dense=20.0):
+    """The definition, line by line."""
+    ratios = [0.0 if m else len(t) / (1 + g) for t, g, m, _ in lines]
+    weight = {d: np.exp(-0.5 * (d / sigma) ** 2) for d in range(-3, 4)}
+    soft = [sum(w * ratios[min(max(i + d, 0), len(ratios) - 1)] for d, w in weight.items()) / sum(weight.values()) for i in range(len(ratios))]
+    mean = sum(soft) / len(soft)
+    least = min(share * (sum((x - mean) ** 2 for x in soft) / len(soft)) ** 0.5, dense)
+    core = [i for i, x in enumerate(ratios) if x > 0 and x >= least and soft[i] >= least] or [i for i, x in enumerate(ratios) if x > 0]
+    around = set()
+    for i in core:
+        around.add(i)
+        for step in (-1, 1):
+            j = i + step
+            while 0 <= j < len(lines) and (soft[j] >= least or j in core):
+                around.add(j)
+                j += step
+    return core, sorted(around)
+
+
+def test_html_clusters_by_definition():
+    for seed in range(150):
+        r = random.Random(seed)
+        lines = [("x" * r.choice([1, 5, 20, 80, 400]), r.randint(0, 6), r.random() < 0.2, 0) for _ in range(r.randint(1, 40))]
+        if any(not m for _, _, m, _ in lines):
+            assert html_text.content_lines(lines, 1.0, 0.5, 20.0) == brute_content(lines), seed
+
+
+def test_html_time_is_linear_in_nesting():
+    import time
+
+    def took(n):
+        began = time.process_time()
+        html_text.main_text("<div><b>" * n + LONG + "</div><li><b>x" * n)
+        return time.process_time() - began
+
+    took(500)
+    assert took(16_000) < 12 * max(took(4_000), 0.02)
+
+
 def test_html_table_cases(spark):
     pages = spark.createDataFrame([(None, None, None, 1), (1, "u", "<p>" * 30000 + "deep", 2), (1, "u", "x", 3)], "page_id bigint, url string, html string, text int")
     assert sorted(r["text"] for r in html_text.extract(pages).collect()) == ["", "deep", "x"]
