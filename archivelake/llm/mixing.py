@@ -10,7 +10,7 @@ plus one more pass over a seeded choice of them. A document takes what its words
 One row per source and one per shard reach the driver. A shard holds at least ``shard_words`` words and there are at most
 ``most_shards`` plus one per source: shards grow before their number does, and a hot source is many shards.
 
-Defined cases: a null text has size 0 and takes 0; repeated rows are separate rows; an empty table gives an
+Defined cases: a null text has size 0 and takes 0; repeated rows are separate rows with cuts of their own; an empty table gives an
 empty result; a source without words has target 0; only doc_id, text and source are read by ``plan``.
 """
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 from math import gcd
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,7 +29,7 @@ from .common import WORD, Scratch, prepared, small_side
 
 def targets(sizes: dict, weights: tuple = (5, 2, 1), budget: float = 1.5, repeats: float = 2.0) -> dict:
     """Words to take of each source: shares by weight, filled up to each source's cap."""
-    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
+    order = sorted(sizes, key=key_order)
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
     out, open_, left = {}, list(order), budget * sum(sizes.values())
     while open_:
@@ -43,26 +44,49 @@ def targets(sizes: dict, weights: tuple = (5, 2, 1), budget: float = 1.5, repeat
     return out
 
 
+def key_order(key) -> tuple:
+    """Strings by code point and numbers by value, null last."""
+    return (key is None, key.encode("utf-8", "surrogatepass") if isinstance(key, str) else key or 0)
+
+
 def apportion(votes: dict, seats: int, caps: dict) -> dict:
     """Sainte-Lague: each seat goes to the highest votes / (2 k + 1), ties to the smaller key; none beyond its cap.
 
-    Starts from the seats that a common divisor gives for sure, so few are dealt one by one.
+    A divisor found by bisection gives nearly all seats at once. The rest are dealt one by one, and a last pass moves any seat whose quotient is
+    below one that got none, so rounding in the divisor can't show.
     """
-    keys = sorted(votes, key=repr)
-    seats = min(seats, sum(caps[k] for k in keys))
-    total = sum(votes.values())
-    got = {k: min(caps[k], max(0, int(votes[k] * seats / total - 0.5)) if total else 0) for k in keys}
-    left = seats - sum(got.values())
-    heap = [(-votes[k] / (2 * got[k] + 1), i) for i, k in enumerate(keys) if got[k] < caps[k] and votes[k] > 0]
+    keys = sorted(votes, key=key_order)
+    v = np.array([votes[k] for k in keys], float)
+    cap = np.where(v > 0, np.array([caps[k] for k in keys], np.int64), 0) if keys else np.zeros(0, np.int64)
+    seats = min(seats, int(cap.sum()))
+
+    def by(q: float) -> np.ndarray:
+        return np.minimum(cap, np.floor((v / q + 1) / 2)).astype(np.int64)
+
+    got = np.zeros(len(keys), np.int64)
+    if seats:
+        low, high = float(v[cap > 0].min()) / (2 * int(cap.max()) + 1), 2 * float(v.max())  # all seats and none
+        for _ in range(100):
+            q = (low * high) ** 0.5
+            low, high = (low, q) if by(q).sum() <= seats else (q, high)
+        got = by(high)
+    given = lambda: np.where(got > 0, v / np.maximum(2 * got - 1, 1), np.inf)
+    wanted = lambda: np.where(got < cap, v / (2 * got + 1), -1.0)
+    heap = [(-x, i) for i, x in enumerate(wanted().tolist()) if x > 0]
     heapq.heapify(heap)
-    while left > 0 and heap:
+    for _ in range(seats - int(got.sum())):
         _, i = heapq.heappop(heap)
-        k = keys[i]
-        got[k] += 1
-        left -= 1
-        if got[k] < caps[k]:
-            heapq.heappush(heap, (-votes[k] / (2 * got[k] + 1), i))
-    return got
+        got[i] += 1
+        if got[i] < cap[i]:
+            heapq.heappush(heap, (-float(v[i]) / (2 * int(got[i]) + 1), i))
+    while seats:
+        least, most = given(), wanted()
+        i, j = len(keys) - 1 - int(np.argmin(least[::-1])), int(np.argmax(most))
+        if i == j or (-most[j], j) > (-least[i], i):
+            break
+        got[i] -= 1
+        got[j] += 1
+    return dict(zip(keys, got.tolist(), strict=True))
 
 
 def stride(n: int, seed: int) -> int:
@@ -74,16 +98,21 @@ def stride(n: int, seed: int) -> int:
 
 
 def plan(docs: DataFrame, spark: SparkSession, weights: tuple = (5, 2, 1), budget: float = 1.5, seed: int = 17, block_words: int = 32, shard_words: int = 262_144, most_shards: int = 65_536) -> DataFrame:
-    """Per document row: size, source_size, target, taken, and what its cuts are made from."""
+    """Per document row: doc_id, size, source_size, target and taken."""
     scratch = Scratch(spark, "mixing")
-    rows = prepared(docs, "doc_id", "source", "text").select(
-        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), F.xxhash64("text").alias("text_key"),
-        F.xxhash64(F.lit(seed), "doc_id", "text").alias("place"),
+    rows = prepared(docs, "doc_id", "source", "text").withColumn("rid", F.monotonically_increasing_id())
+    return planned(rows, spark, scratch, weights, budget, seed, block_words, shard_words, most_shards).drop("rid", "start", "n_blocks", "passes", "extra", "step", "shift")
+
+
+def planned(rows: DataFrame, spark: SparkSession, scratch: Scratch, weights: tuple, budget: float, seed: int, block_words: int, shard_words: int, most_shards: int) -> DataFrame:
+    """The plan of rows (rid, doc_id, source, text), with rid and what a row's cuts are made from."""
+    rows = rows.select(
+        "rid", "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("place"),
     )
     rows = scratch.write(rows, "sizes")
     sizes = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     if not sizes:
-        return rows.select("doc_id", "size", F.col("size").alias("source_size"), F.lit(0.0).alias("target"), F.col("size").alias("taken"), "text_key", F.lit(0).cast("bigint").alias("start"), *[F.lit(0).cast("bigint").alias(c) for c in ("n_blocks", "passes", "extra", "step", "shift")])
+        return rows.select("rid", "doc_id", "size", F.col("size").alias("source_size"), F.lit(0.0).alias("target"), F.col("size").alias("taken"), F.lit(0).cast("bigint").alias("start"), *[F.lit(0).cast("bigint").alias(c) for c in ("n_blocks", "passes", "extra", "step", "shift")])
     goal = targets(sizes, weights, budget)
     large = max(shard_words, -(-sum(sizes.values()) // most_shards))
     shards_of = {s: max(1, -(-n // large)) for s, n in sizes.items()}
@@ -111,12 +140,17 @@ def plan(docs: DataFrame, spark: SparkSession, weights: tuple = (5, 2, 1), budge
         f"(least(start + size, (b + 1) * {block_words}) - greatest(start, b * {block_words})) * (passes + if((b * step + shift) % n_blocks < extra, 1L, 0L)))"
     )
     return rows.withColumn("taken", F.when(F.col("size") > 0, F.expr(each)).otherwise(F.lit(0).cast("bigint"))).select(
-        "doc_id", "size", "source_size", "target", "taken", "text_key", "start", "n_blocks", "passes", "extra", "step", "shift"
+        "rid", "doc_id", "size", "source_size", "target", "taken", "start", "n_blocks", "passes", "extra", "step", "shift"
     )
 
 
-def mixed(docs: DataFrame, spark: SparkSession, block_words: int = 32, **options) -> DataFrame:
-    """The documents that the mix takes, with all their columns: one row for each pass, cut to the blocks of that pass."""
+def mixed(
+    docs: DataFrame, spark: SparkSession, weights: tuple = (5, 2, 1), budget: float = 1.5, seed: int = 17, block_words: int = 32, shard_words: int = 262_144, most_shards: int = 65_536
+) -> DataFrame:
+    """The documents that the mix takes, with all their columns: one row for each pass, cut to the blocks of that pass.
+
+    The rows are stored once with a number each, so that equal rows, and rows of one text under several ids or sources, get cuts of their own.
+    """
     import re
 
     import pyarrow as pa
@@ -124,10 +158,12 @@ def mixed(docs: DataFrame, spark: SparkSession, block_words: int = 32, **options
     from pyspark.sql.pandas.types import to_arrow_schema
 
     word = re.compile(WORD)
-    chosen = plan(docs, spark, block_words=block_words, **options).where("taken > 0").dropDuplicates(["doc_id", "text_key"])
-    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.struct("size", "taken", "start", "n_blocks", "passes", "extra", "step", "shift").alias("_mix"))
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id2"), F.xxhash64("text").alias("_key2"))
-    rows = rows.join(chosen, F.col("_id2").eqNullSafe(F.col("_id")) & (F.col("_key2") == F.col("_key"))).select("_row", "_mix")
+    scratch = Scratch(spark, "mixed")
+    stored = scratch.write(docs.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_rid")), "rows")
+    rows = stored.select(F.col("_rid").alias("rid"), "_row.doc_id", "_row.source", "_row.text")
+    chosen = planned(rows, spark, scratch, weights, budget, seed, block_words, shard_words, most_shards).where("taken > 0")
+    chosen = chosen.select(F.col("rid").alias("_rid"), F.struct("size", "taken", "start", "n_blocks", "passes", "extra", "step", "shift").alias("_mix"))
+    rows = stored.join(chosen, "_rid").select("_row", "_mix")
     schema = docs.schema
     arrow = to_arrow_schema(schema)
 

@@ -223,6 +223,47 @@ def test_apportion_is_highest_quotients():
             assert sorted(got.values()) == sorted(want.values())
 
 
+def brute_apportion(votes, seats, caps):
+    got = dict.fromkeys(votes, 0)
+    for _ in range(seats):
+        free = [i for i in votes if got[i] < caps[i] and votes[i] > 0]
+        if not free:
+            break
+        got[min(free, key=lambda i: (-votes[i] / (2 * got[i] + 1), mixing.key_order(i)))] += 1
+    return got
+
+
+def test_apportion_always_equals_brute_force():
+    large = {"a": 100_000} | {f"s{i:03}": 600 for i in range(100)}
+    assert mixing.apportion(large, 160, dict.fromkeys(large, 10**6))["a"] == 83
+    six = {"a": 900} | {f"s{i}": 13 for i in range(6)}
+    assert mixing.apportion(six, 40, dict.fromkeys(six, 10**6)) == brute_apportion(six, 40, dict.fromkeys(six, 10**6))
+    assert mixing.apportion({}, 5, {}) == {} and mixing.apportion({9: 0.0}, 5, {9: 5}) == {9: 0}
+    for seed in range(400):
+        r = random.Random(seed)
+        keys = r.choice([[f"k{i}" for i in range(9)] + [None], list(range(12))])
+        votes = {k: r.choice([0, 1, r.randint(1, 50), r.random() * 1000, 10.0 ** r.randint(0, 9)]) for k in keys}
+        caps = {k: r.choice([0, r.randint(0, 30), 10**9]) for k in keys}
+        seats = r.choice([0, 1, r.randint(0, 300), 5000 if seed % 20 == 0 else 7])
+        assert mixing.apportion(votes, seats, caps) == brute_apportion(votes, seats, caps), seed
+
+
+def test_mixed_keeps_the_plans_words_of_repeated_rows(spark):
+    """Equal rows, and one document under two sources: each row has its own cut, and the words are those of the plan."""
+    r = random.Random(4)
+    texts = [" ".join(f"w{r.randrange(900)}" for _ in range(r.randint(1, 300))) for _ in range(40)]
+    rows = [(i, t, r.choice("abc")) for i, t in enumerate(texts)] + [(5, texts[5], "a")] * 6 + [(7, texts[7], "b"), (7, texts[7], "c"), (None, texts[9], "b"), (None, texts[9], "b")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(6)
+    plan = mixing.plan(docs, spark, block_words=8, shard_words=500)
+    mix = mixing.mixed(docs, spark, block_words=8, shard_words=500)
+    planned, found = defaultdict(int), defaultdict(int)
+    for row in plan.collect():
+        planned[row["doc_id"]] += row["taken"]
+    for row in mix.collect():
+        found[row["doc_id"]] += len(WORD.findall(row["text"]))
+    assert dict(found) == {k: n for k, n in planned.items() if n}
+
+
 def test_mixing(spark, tiny):
     for docs, words in ((documents(spark, tiny), 32), (awkward(spark), 8)):
         size = lambda t: len(WORD.findall(t or ""))
