@@ -1,90 +1,250 @@
 """Token counts by prefix dynamic programming.
 
-For each text a table holds the exact token count of the prefix that ends at each piece boundary:
-count(k + 1) = count(k) + count of piece k, since no token crosses a boundary. Inside a piece the same step is taken
-from its start, for any code point. The table answers "how many tokens are in the first n characters"
-and "how many characters fit a budget" without encoding the text again.
+For each text a table holds the exact token count of every prefix, from no code point to all. It answers "how many tokens
+are in the first n characters" and "which is the longest prefix within a budget" by looking up; nothing is encoded again.
 
-Defined cases: null counts as empty; an empty text has 0 tokens, 0 bytes and isn't over any limit; repeated rows
-give repeated results; an empty table gives an empty result; only doc_id and text are read.
+The tables of a group of texts are made at once. No token crosses the border of two pieces, so the count of a prefix is that of the pieces
+before plus that of a prefix of its last piece, and each distinct piece is looked into once:
+
+* byte-level BPE, pieces of Latin-1: white space and the words after it are taken apart; prefixes of short words are encoded many at a
+  time, and long words go by recurrence: the last token t of a prefix is the one for which the last token of the prefix before t,
+  followed by t, is how the two together are encoded, so count(n) = count(n - length of t) + 1.
+* other pieces of that file are cut where its library cuts them and their parts treated alike; words of the file with word ends and texts for
+  any other file are encoded for each prefix (in time quadratic in the length of the word, or of the text).
+
+Defined cases: null counts as empty; an empty text has 0 tokens, 0 bytes and isn't over any limit; a prefix that ends inside
+the string of an added token holds ordinary text; repeated rows give repeated results; an empty table gives an empty
+result; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
+import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_batches, prepared
-from .tokens import Pieces, loaded
+from .common import bounded_batches, prepared, text_groups
+from .tokens import GROUP_CHARS, RARE_SPACE, Pieces, gathered, loaded
+
+#: Longer words go by recurrence.
+SHORT = 40
+GAPS = " \n\t\r"
+#: Pieces that aren't a gap and a word of Latin-1.
+ODD = re.compile(RARE_SPACE.pattern + r"|[^ \n\t\r][ \n\t\r]|[^\x00-\xff]")
+
+
+def recurrence(word: bytes, pieces: Pieces) -> np.ndarray:
+    """Tokens of each prefix of a word, in bytes."""
+    ids, encode, fits = pieces.bytes.ids, pieces.bytes.engine._encode_single_piece, pieces.bytes.fits
+    counts, last = [0], [b""]
+    for n in range(1, len(word) + 1):
+        for size in range(min(n, pieces.bytes.longest), 0, -1):
+            token = word[n - size : n]
+            if token not in ids:
+                continue
+            before = last[n - size]
+            if before:
+                good = fits.get((before, token))
+                if good is None:
+                    if len(fits) > 500_000:
+                        fits.clear()
+                    good = fits[before, token] = encode(before + token) == [ids[before], ids[token]]
+                if not good:
+                    continue
+            counts.append(counts[n - size] + 1)
+            last.append(token)
+            break
+    return np.array(counts[1:], np.int32)
+
+
+def by_characters(word: str, counts: np.ndarray) -> np.ndarray:
+    """Counts at the ends of bytes as counts at the ends of characters."""
+    return counts[np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in word]) - 1]
+
+
+def counts_of(texts: list[str], pieces: Pieces) -> list[int]:
+    return [len(x) for x in pieces.many(texts)] if texts else []
+
+
+def word_prefixes(words: list[str], pieces: Pieces) -> list[np.ndarray]:
+    """Tokens of each prefix of Latin-1 words (at most one blank, which leads) by the byte-level engine."""
+    out: list = [None] * len(words)
+    short = [i for i, w in enumerate(words) if len(w) <= SHORT]
+    for i in range(0, len(short), 100_000):
+        part = short[i : i + 100_000]
+        found = pieces.bytes.counts([words[j][:k] for j in part for k in range(1, len(words[j]) + 1)])
+        at = 0
+        for j in part:
+            out[j] = found[at : (at := at + len(words[j]))]
+    for i, w in enumerate(words):
+        if out[i] is None:
+            out[i], before = np.zeros(len(w), np.int32), 0
+            for m in pieces.bytes.cut.finditer(w):  # no part depends on what follows it
+                own = m.group()
+                out[i][m.start() : m.end()] = before + (word_prefixes([own], pieces)[0] if len(own) <= SHORT else by_characters(own, recurrence(own.encode(), pieces)))
+                before = int(out[i][m.end() - 1])
+    return out
+
+
+def odd_prefixes(piece: str, pieces: Pieces) -> np.ndarray:
+    """Tokens of each prefix of any piece of the byte-level file, by the parts that the library cuts."""
+    out, before, begin, base, gap = np.zeros(len(piece), np.int32), 0, 0, 0, []
+    for _, (a, z) in pieces.parts(piece):
+        if a == 0 or not piece[a - 1].isspace():  # a gap's cut depends on what follows it: begin at the gap's start
+            begin, base, gap = a, before, []
+        own = piece[a:z]
+        if z - a > SHORT and not any(c.isspace() for c in own[1:]):
+            ahead = base + sum(counts_of(gap, pieces))
+            out[a:z] = ahead + by_characters(own, recurrence(own.encode("utf-8", "surrogatepass"), pieces))
+            if own[0].isspace():
+                out[a] = base + counts_of([piece[begin : a + 1]], pieces)[0]
+        else:
+            out[a:z] = [base + n for n in counts_of([piece[begin:n] for n in range(a + 1, z + 1)], pieces)]
+        gap.append(own)
+        before = int(out[z - 1])
+    return out
+
+
+def piece_prefixes(own: list[str], pieces: Pieces) -> list[np.ndarray]:
+    """Tokens of each prefix of each piece."""
+    if pieces.kind == "gaps":
+        found = counts_of([p[:k] for p in own for k in range(1, len(p) + 1)], pieces)
+        ends = np.cumsum([len(p) for p in own]).tolist()
+        return [np.array(found[e - len(p) : e], np.int32) for p, e in zip(own, ends, strict=True)]
+    out: list = [None] * len(own)
+    gaps: dict[str, np.ndarray] = {}
+    words: dict[str, int] = {}
+    plain = []
+    for i, p in enumerate(own):
+        body = p.lstrip(GAPS)
+        if pieces.bytes is None or ODD.search(p):
+            out[i] = odd_prefixes(p, pieces) if pieces.bytes else np.array(counts_of([p[:k] for k in range(1, len(p) + 1)], pieces), np.int32)
+            continue
+        gap = p[: len(p) - len(body)]
+        gaps[gap] = gaps[gap[:-1]] = gaps[gap[-1:]] = None
+        lead = gap[-1:] == " " and body != ""
+        plain.append((i, gap, lead, words.setdefault(" " * lead + body, len(words)) if body else -1))
+    for gap in gaps:
+        gaps[gap] = word_gaps(gap, pieces)
+    found = word_prefixes(list(words), pieces)
+    for i, gap, lead, w in plain:
+        if w < 0:
+            out[i] = gaps[gap]
+            continue
+        if gap == "" or gap == " ":
+            out[i] = found[w]
+            continue
+        # before a word the last sign of a gap leaves the gap
+        ahead = int(gaps[gap[:-1]][-1]) if len(gap) > 1 else 0
+        if gap and not lead:
+            ahead += int(gaps[gap[-1]][-1])
+        tail = found[w][1:] if lead else found[w]
+        out[i] = np.concatenate([gaps[gap], ahead + tail]) if gap else tail
+    return out
+
+
+def word_gaps(gap: str, pieces: Pieces) -> np.ndarray:
+    """Tokens of each prefix of a gap that ends a text."""
+    return by_characters(gap, recurrence(gap.encode(), pieces)) if gap else np.zeros(0, np.int32)
+
+
+def tables(texts: list[str], pieces: Pieces) -> list[np.ndarray]:
+    """For each text the token count of each of its prefixes; those of shorter than all its pieces share the work."""
+    if pieces.kind == "whole":
+        return [np.array([0, *counts_of([t[:k] for k in range(1, len(t) + 1)], pieces)], np.int32) for t in texts]
+    cut, cuts, starts = [], [0], []
+    for text in texts:  # an added token is one token; what follows it begins anew, and its own proper prefixes are ordinary text
+        for part in parted(text, pieces.added):
+            cut += pieces.pieces(part)
+            cuts.append(len(cut))
+        starts.append(len(cuts) - 1)
+    coded = pa.array(cut, pa.large_string()).dictionary_encode()
+    own = piece_prefixes(coded.dictionary.to_pylist(), pieces)
+    lens = np.array([len(x) for x in own], np.int64)
+    flat = np.concatenate(own) if own else np.zeros(0, np.int32)
+    totals = np.array([x[-1] if len(x) else 0 for x in own], np.int64)
+    places, begins = coded.indices.to_numpy(), np.cumsum(lens) - lens
+    before = np.cumsum(np.concatenate([[0], totals[places]]))
+    counts = gathered(flat, begins[places], lens[places]) + np.repeat(before[:-1], lens[places])
+    ends = np.concatenate([[0], np.cumsum(lens[places])])
+    out, at = [], 0
+    for text, stop in zip(texts, starts, strict=True):
+        parts, made, base = parted(text, pieces.added), [np.zeros(1, np.int64)], 0
+        for n, part in enumerate(parts):
+            a, z = cuts[at + n], cuts[at + n + 1]
+            if pieces.kind == "gaps":
+                own_counts = spaced(part, pieces, counts[ends[a] : ends[z]] - before[a])
+            else:
+                own_counts = counts[ends[a] : ends[z]] - before[a]
+            if n + 1 < len(parts):  # this part ends with the string of an added token
+                own_counts = own_counts.copy()
+                size = next(len(t) for t in pieces.added if part.endswith(t))
+                head = len(part) - size
+                own_counts[-1] = (own_counts[head - 1] if head else 0) + 1
+            made.append(base + own_counts)
+            base += int(own_counts[-1]) if len(own_counts) else 0
+        out.append(np.concatenate(made))
+        at = stop
+    return out
+
+
+def parted(text: str, added: list[str]) -> list[str]:
+    """The text cut after each added token."""
+    out, at = [], 0
+    if any(t in text for t in added):
+        for m in re.finditer("|".join(map(re.escape, sorted(added, key=len, reverse=True))), text):
+            out.append(text[at : m.end()])
+            at = m.end()
+    return [*out, text[at:]]
+
+
+def spaced(text: str, pieces: Pieces, counts: np.ndarray) -> np.ndarray:
+    """Counts of a text whose pieces leave out the gaps between them: a gap adds none."""
+    out, at, place, last = np.zeros(len(text), np.int64), 0, 0, 0
+    for p in pieces.pieces(text):
+        out[at : at + len(p)] = counts[place : place + len(p)]
+        last = int(counts[place + len(p) - 1]) if p else last
+        at, place = at + len(p), place + len(p)
+        if at < len(text):
+            out[at] = last
+        at += 1
+    return out
 
 
 class PrefixTable:
-    """Exact counts of one text: ``ends[k]`` code points hold ``counts[k]`` tokens, from 0 to the whole text."""
-
-    def __init__(self, text: str, tokenizer: Pieces):
-        self.text, self.tokenizer = text, tokenizer
-        self.pieces = tokenizer.pieces(text)
-        if self.pieces is None:
-            self.pieces = [text] if text else []
-            self.counts = [0, *(len(x) for x in tokenizer.many(self.pieces))]
-        else:
-            own = list(dict.fromkeys(self.pieces))
-            counts = dict(zip(own, map(len, tokenizer.many(own)), strict=True))
-            self.counts = [0, *accumulate(map(counts.__getitem__, self.pieces))]
-        self.ends = None
+    """Exact counts of one text: ``counts[n]`` tokens in the first n code points."""
+
+    def __init__(self, text: str, tokenizer: Pieces, counts: np.ndarray | None = None):
+        self.text = text
+        self.counts = tables([text], tokenizer)[0] if counts is None else counts
 
     @property
     def total(self) -> int:
-        return self.counts[-1]
-
-    def _ends(self) -> list[int]:
-        if self.ends is None:
-            # gaps that are not part of any piece belong to the prefix that follows them
-            self.ends, at = [0], 0
-            for p in self.pieces:
-                at = self.text.index(p, at) + len(p)
-                self.ends.append(at)
-        return self.ends
+        return int(self.counts[-1])
 
     def count(self, n: int) -> int:
         """Tokens of the first ``n`` code points."""
-        from bisect import bisect_right
-
-        ends = self._ends()
-        k = bisect_right(ends, n) - 1
-        rest = self.text[ends[k] : n]
-        return self.counts[k] + (len(self.tokenizer.many([rest])[0]) if rest else 0)
+        return int(self.counts[n])
 
     def fitting(self, budget: int) -> int:
-        """Code points of a prefix of at most ``budget`` tokens that one more code point would exceed; all if the text fits."""
-        from bisect import bisect_right
-
+        """Code points of the longest prefix of at most ``budget`` tokens."""
         if self.total <= budget:
             return len(self.text)
-        k = bisect_right(self.counts, budget) - 1
-        start, high = self._ends()[k], self._ends()[k + 1]
-        low, base = start, self.counts[k]
-        while high - low > 1:
-            middle = (low + high) // 2
-            if base + len(self.tokenizer.many([self.text[start:middle]])[0]) <= budget:
-                low = middle
-            else:
-                high = middle
-        return low
+        return int(np.flatnonzero(self.counts <= budget)[-1])
 
 
 def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = 512) -> DataFrame:
     """Bytes and tokens of every whole text, if it's over the limit, and how many characters fit the limit."""
-    def run(cols):
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
+
+    def run(batches):
         own = loaded(tokenizer)
-        out = {"doc_id": cols["doc_id"], "n_bytes": [], "n_tokens": [], "over_limit": [], "fitting_chars": []}
-        for text in cols["text"]:
-            table = PrefixTable(text or "", own)
-            out["n_bytes"].append(len((text or "").encode("utf-8", "surrogatepass")))
-            out["n_tokens"].append(table.total)
-            out["over_limit"].append(table.total > limit)
-            out["fitting_chars"].append(table.fitting(limit))
-        return out
-
-    return map_batches(prepared(docs, "doc_id", "text"), run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean, fitting_chars bigint")
+        for keys, texts in text_groups(batches, GROUP_CHARS // 2):
+            found = [PrefixTable(text, own, counts) for text, counts in zip(texts, tables(texts, own), strict=True)]
+            columns = [keys, [len(t.encode("utf-8", "surrogatepass")) for t in texts], [t.total for t in found], [t.total > limit for t in found], [t.fitting(limit) for t in found]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fitting_chars"])
+
+    bounded_batches(docs.sparkSession)
+    return prepared(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean, fitting_chars bigint")

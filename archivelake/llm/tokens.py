@@ -134,14 +134,41 @@ class WordEnds:
         return ids, start, stop - start, np.flatnonzero(rest)
 
 
+class ByteLevel:
+    """A byte-level BPE file as an engine over words of Latin-1 with at most a leading blank."""
+
+    def __init__(self, path: str):
+        import regex
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        alphabet = byte_alphabet()
+        pairs = ((m if isinstance(m, list) else m.split(" ")) for m in model["merges"])
+        raw = lambda t: bytes(alphabet[c] for c in t)
+        self.ids = {bytes([b]): b for b in range(256)}  # by order of merging, not the file's numbers
+        for a, b in pairs:
+            self.ids.setdefault(raw(a + b), len(self.ids))
+        self.longest = max(map(len, self.ids))
+        words = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
+        self.engine = tiktoken.Encoding("bytes", pat_str=words + "|\n| ", mergeable_ranks=self.ids, special_tokens={})
+        self.cut = regex.compile(words)
+        self.fits: dict[tuple[bytes, bytes], bool] = {}
+
+    def counts(self, words: list[str]) -> np.ndarray:
+        """Tokens of each word."""
+        ends = np.flatnonzero(self.engine.encode_to_numpy("\n".join(words) + "\n") == 10) if words else np.zeros(0, np.int64)
+        return np.diff(ends, prepend=-1).astype(np.int32) - 1
+
+
 class Pieces:
     """``many(texts)`` as the library gives their ids, ``pieces(text)`` that can be encoded one by one (None if not), and ``flat(texts)``."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.path = full = tokenizer_path(path)
-        self.words = None
-        self.kind = "whole"
+        self.words = self.bytes = None
+        self.kind, self.added = "whole", []
         if full.endswith(".model"):
             import sentencepiece
 
@@ -163,6 +190,11 @@ class Pieces:
         before, normal = str(model.pre_tokenizer), str(model.normalizer)
         if not unsafe and before == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)" and normal == "None":
             self.kind = "leading"
+            self.parts = model.pre_tokenizer.pre_tokenize_str
+            self.bytes = ByteLevel(full)
+            own = sorted(w for t in model.get_vocab() if t.isascii() and (w := t.removeprefix("\u0120")).isalnum())
+            if self.bytes.counts(own).tolist() != [len(x) for x in self.many(own)]:  # both engines must agree on the file's own words
+                self.bytes = None
         elif not unsafe and before.startswith("Sequence(pretokenizers=[Split(") and "behavior=Removed, invert=True" in before and normal == 'Sequence(normalizers=[NFC(), Replace(pattern=Regex("\\s+"), content=" "), Lowercase()])':
             self.kind = "gaps"
             pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

@@ -727,11 +727,31 @@ def test_prefix_tables_are_exact():
         table = token_counts.PrefixTable(text, own)
         exact = [len(own.many([text[:n]])[0]) if n else 0 for n in range(len(text) + 1)]
         assert table.total == exact[-1]
-        if "<|" not in text and own.pieces(text) is not None:
-            assert [table.count(n) for n in range(len(text) + 1)] == exact
-            for budget in (0, 1, 3, 7):
-                n = table.fitting(budget)
-                assert exact[n] <= budget and (n == len(text) or exact[n + 1] > budget), (text, budget)
+        assert [table.count(n) for n in range(len(text) + 1)] == exact
+        for budget in (0, 1, 3, 7):
+            n = table.fitting(budget)
+            assert exact[n] <= budget and (n == len(text) or exact[n + 1] > budget), (text, budget)
+            assert n == max(i for i, c in enumerate(exact) if c <= budget) or table.total <= budget
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_prefix_tables_of_every_file(name):
+    """Many texts at once, with words beyond the border of recurrence, strange gaps and other scripts."""
+    own, r = tokens.Pieces(name), random.Random(21)
+    more = ["ab" * 60, "=-" * 40, "\u6f22\u5b57" * 30, "\u3000\u3000x", "\x85", "\xa0", "e\u0301" * 25, "'re", "<|endoftext|>", " 's", "\n\t x", "0123456789" * 6]
+    texts = ["".join(r.choice(more + ["the ", " a", "\n", "Word,"]) for _ in range(r.randint(0, 9))) for _ in range(60 if name.startswith("piece") else 300)]
+    for text, counts in zip(texts, token_counts.tables(texts, own), strict=True):
+        assert counts.tolist() == [len(own.many([text[:n]])[0]) if n else 0 for n in range(len(text) + 1)], ascii(text)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_token_counts_of_other_files(spark, name):
+    own = tokens.Pieces(name)
+    docs = spark.createDataFrame([(1, "Some words, and more."), (2, None), (3, "")], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_tokens"], r["over_limit"], r["fitting_chars"]) for r in token_counts.count_tokens(docs, name, 3).collect()}
+    n = len(own.many(["Some words, and more."])[0])
+    fits = max(i for i in range(22) if len(own.many(["Some words, and more."[:i]])[0]) <= 3)
+    assert got == {1: (n, True, fits), 2: (0, False, 0), 3: (0, False, 0)}
 
 
 def test_token_counts(spark, tiny):
