@@ -1,29 +1,38 @@
 r"""Secret scans: fixed base patterns, and a battery of randomness tests for anything else.
 
 Base kinds (leftmost, non-overlapping, each kind on its own) are ``assign``, ``access`` and ``hex``.
-The battery looks at long runs of credential characters; a run that mixes "+" or "/" with "-" or "_" fits no encoding and is
-split at the ones and at the others, and runs without a digit (or of digits only) aren't tested. For each run an encoding is inferred (hex,
-base32, base64 or letters and digits), and three tests ask if it looks uniform over that alphabet: chi-squared of
-the characters (grouped so that each expected count is reasonable), runs above and below the middle
-of the alphabet, and serial correlation of neighbours. Fisher's method joins the three. Words of a language fail
-them clearly, random keys don't: per text, a weighted Benjamini-Hochberg procedure rejects
-"random", with weights that grow as runs get shorter (short runs have little power), and what
-stays unrejected is reported as kind ``random``.
+The battery looks at runs of 20 or more credential characters; a run that mixes "+" or "/" with "-" or "_" fits no encoding and is
+split at the ones and at the others; runs of digits only are numbers and not tested. For each run an encoding is inferred (hex,
+base32, base64 or letters and digits), and three tests ask how far it is from uniform over that alphabet: chi-squared of
+classes of characters and of the number of distinct ones, runs above and below the middle of the alphabet, and serial correlation of
+neighbours. Fisher's method joins the three to one distance.
+
+A finding is a run that no ordinary name would be likely to come so near to random. The p-value of a run is the chance that an ordinary
+run of its encoding and length has as small a distance, where the logarithm of the distance of ordinary runs is taken as normal with the moments
+of made-up names (words of a fixed list in the usual styles, numbers, dates). Over all runs of all documents a
+Benjamini-Hochberg procedure keeps the share of ordinary runs among the findings below ``rate``. Each p-value is divided by a weight first, the square root of
+the run's length (of 256 at most), relative to the mean, since long runs tell more. Weighted values are rounded up to hundredths of a power of
+ten, so one count per such step, some thousand at most, is all that reaches the driver. Findings are reported as kind ``random``.
 
 Defined cases: a null text counts as empty; an empty text has no span and the digest of the empty
-string; a repeated row gives a repeated result; columns other than doc_id and text are never read.
-Spans are in code points, end exclusive. Equal starts are listed as assign, access, hex, random.
+string; a repeated row gives a repeated result (and counts as often); an empty table gives an empty result; columns other than doc_id
+and text are never read. Spans are in code points, end exclusive. Equal starts are listed as assign, access, hex, random.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
-from math import erfc, exp, gamma, log, sqrt
+from collections import Counter
+from functools import lru_cache
+from math import ceil, erfc, exp, gamma, log, log10, sqrt
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import map_batches, prepared
+from .common import Scratch, map_batches, prepared
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ASSIGN_START = re.compile(r"[pP][aA][sS][sS][wW]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK]")
@@ -44,8 +53,21 @@ ALPHABETS = {
 }
 SETS = {k: frozenset(v) for k, v in ALPHABETS.items()}
 RANKS = {k: {c: i for i, c in enumerate(v)} for k, v in ALPHABETS.items()}
-#: False discovery rate of calling a random run ordinary.
+#: Classes of characters whose numbers are compared: names hold many of some and few of others.
+CLASSES = ("0123456789", "aeiou", "dhlnrst", "bcfgjkmpqvwxyz", "AEIOUDHLNRST", "BCFGJKMPQVWXYZ", "+/-_")
+HEX_CLASSES = ("01234", "56789", "abcABC", "defDEF")
+#: Most of the findings that may be ordinary.
 RATE = 0.05
+#: Lengths at which ordinary runs are made up; between them moments are interpolated.
+LENGTHS = (20, 24, 32, 48, 80, 160, 320)
+# Words of ordinary names.
+WORDS = (
+    "the and for with from this that all new old last first next user name file data list item page index count total time date day week month year start end main test"
+    " group order type value state status report project account service server client request response message session version update delete create change image video"
+    " product customer address country city street number public private system config default option select table column string object class method result error"
+    " windows library network manager document chapter section article review history summer winter music house water light world people market north south"
+).split()
+HEX_WORDS = "dead beef cafe face feed added bad babe decade facade fade deed ace bead 00 000 0000 11 99 ff".split()
 
 
 def upper_gamma(a: float, x: float) -> float:
@@ -66,36 +88,29 @@ def encoding(run: str) -> str | None:
     return next((k for k, v in SETS.items() if own <= v), None)
 
 
-def battery(run: str) -> float | None:
-    """P-value of "uniform over its inferred alphabet"; None if no encoding fits or the run has no digit or digits only."""
-    kind = encoding(run)
-    body = run.rstrip("=")
-    n = len(body)
-    if kind is None or n < 20:
-        return None
-    has = (any(c.isdigit() for c in body), any(c.isupper() for c in body), any(c.islower() for c in body))
-    if not has[0] or sum(has) < 2:
-        return None
-    rank, size = RANKS[kind], len(ALPHABETS[kind])
+@lru_cache(1 << 8)
+def classes(kind: str) -> tuple[dict[str, int], list[float]]:
+    """The class of each character of an encoding, and the share of each class."""
+    own = [c for c in (HEX_CLASSES if kind in ("hex", "HEX") else CLASSES) if SETS[kind] & set(c)]
+    return {x: i for i, c in enumerate(own) for x in c if x in SETS[kind]}, [len(SETS[kind] & set(c)) / len(SETS[kind]) for c in own]
+
+
+def distance(kind: str, body: str) -> float:
+    """Fisher's statistic of the three tests: near 6 for random runs of any length, larger the less uniform a run is."""
+    rank, size, n = RANKS[kind], len(ALPHABETS[kind]), len(body)
     values = [rank[c] for c in body]
-    cells = max(2, min(16, n // 5, size))
-    counts = [0] * cells
-    expected = [0.0] * cells
-    for v in values:
-        counts[v * cells // size] += 1
-    for v in range(size):
-        expected[v * cells // size] += n / size
-    chi = sum((o - e) ** 2 / e for o, e in zip(counts, expected, strict=True))
-    distinct = len(set(values))
+    of, shares = classes(kind)
+    counts = Counter(map(of.__getitem__, body))
+    chi = sum((counts[i] - n * s) ** 2 / (n * s) for i, s in enumerate(shares))
     mean_distinct = size * (1 - (1 - 1 / size) ** n)
     spread = size * ((1 - 1 / size) ** n - (1 - 1 / size) ** (2 * n)) + 1e-9
-    few = erfc(max(0.0, (mean_distinct - distinct)) / sqrt(2 * max(spread, 1.0)))
-    p_chi = min(1.0, 2 * min(upper_gamma((cells - 1) / 2, chi / 2), few))
+    few = erfc(max(0.0, (mean_distinct - len(set(values)))) / sqrt(2 * max(spread, 1.0)))
+    p_chi = min(1.0, 2 * min(upper_gamma((len(shares) - 1) / 2, chi / 2), few))
     middle = [2 * v >= size for v in values]
     above = sum(middle)
     below = n - above
     if not above or not below:
-        p_runs = 1e-9
+        p_runs = 1e-12
     else:
         runs = 1 + sum(a != b for a, b in zip(middle, middle[1:], strict=False))
         mu = 2 * above * below / n + 1
@@ -105,8 +120,70 @@ def battery(run: str) -> float | None:
     total = sum((v - mean) ** 2 for v in values) or 1.0
     serial = sum((a - mean) * (b - mean) for a, b in zip(values, values[1:], strict=False)) / total
     p_serial = erfc(abs(serial * n + 1) / sqrt(2 * n))
-    joint = -2 * sum(log(max(p, 1e-12)) for p in (p_chi, p_runs, p_serial))
-    return upper_gamma(3, joint / 2)
+    return -2 * sum(log(max(p, 1e-12)) for p in (p_chi, p_runs, p_serial))
+
+
+def ordinary(kind: str, n: int, dice: random.Random) -> str:
+    """A made-up ordinary run of an encoding."""
+    if kind in ("hex", "HEX"):
+        body = ""
+        while len(body) < n:
+            body += dice.choice((dice.choice(HEX_WORDS), f"20{dice.randrange(30):02}{dice.randrange(1, 13):02}{dice.randrange(1, 29):02}", str(dice.randrange(100)) * 2))
+        return body[:n] if kind == "hex" else body[:n].upper()
+    separator = {"base64": "/", "base64url": dice.choice("-_")}.get(kind, "")
+    style = "upper" if kind == "base32" else dice.choice(("camel", "camel", "lower", "title"))
+    number = lambda: dice.choice((str(dice.randrange(10)), str(dice.randrange(100)), str(dice.randrange(1990, 2030)), f"{dice.randrange(2000, 2030)}{dice.randrange(1, 13):02}"))
+    if kind == "base32":
+        number = lambda: dice.choice("234567") * dice.randrange(1, 3)
+    parts, size = [], 0
+    while size < n:
+        word = dice.choice(WORDS)
+        if style == "upper":
+            word = word.upper()
+        elif style == "title" or style == "camel" and parts:
+            word = word.capitalize()
+        parts.append(word if dice.random() < 0.8 else number())
+        size += len(parts[-1]) + len(separator)
+    return separator.join(parts)[:n]
+
+
+@lru_cache(16)
+def moments(kind: str) -> tuple[list[float], list[float]]:
+    """Mean and deviation of the logarithm of the distance of ordinary runs, at each of LENGTHS."""
+    dice = random.Random(f"ordinary {kind}")
+    found = [np.log([max(1.0, distance(kind, ordinary(kind, n, dice))) for _ in range(200)]) for n in LENGTHS]
+    return [float(x.mean()) for x in found], [max(float(x.std()), 0.1) for x in found]
+
+
+def battery(run: str) -> float | None:
+    """P-value of "an ordinary run"; None if no encoding fits, or the run is short or digits only."""
+    kind, body = encoding(run), run.rstrip("=")
+    if kind is None or len(body) < 20 or body.isdigit():
+        return None
+    means, deviations = moments(kind)
+    at = log(min(len(body), LENGTHS[-1]))
+    places = [log(n) for n in LENGTHS]
+    z = (log(max(1.0, distance(kind, body))) - np.interp(at, places, means)) / np.interp(at, places, deviations)
+    return max(1e-15, 0.5 * erfc(-z / sqrt(2)))
+
+
+def weight(n: int) -> float:
+    return sqrt(min(256, n))
+
+
+def step_of(p: float, n: int) -> int:
+    """The weighted p-value of a run of length n, rounded up to hundredths of a power of ten."""
+    return ceil(100 * log10(p / weight(n)))
+
+
+def last_step(counts: dict[int, int], mean_weight: float, rate: float) -> int | None:
+    """Benjamini-Hochberg on counts per step: the largest step whose runs are all findings."""
+    total, below, last = sum(counts.values()), 0, None
+    for step in sorted(counts):
+        below += counts[step]
+        if 10 ** (step / 100) * mean_weight * total <= rate * below:
+            last = step
+    return last
 
 
 def tested_parts(run: re.Match) -> list[tuple[int, int]]:
@@ -117,22 +194,29 @@ def tested_parts(run: re.Match) -> list[tuple[int, int]]:
     return [(a + m.start(), a + m.end()) for pattern in PARTS for m in pattern.finditer(run.group())]
 
 
+def tested_runs(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, step) of all runs that are tested."""
+    return [(s, e, step_of(p, e - s)) for m in RUN.finditer(text) for s, e in tested_parts(m) if (p := battery(text[s:e])) is not None]
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Parts of both kinds that overlap are one span."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def random_runs(text: str, rate: float = RATE) -> list[tuple[int, int]]:
-    """Runs that stay "random" after the weighted step-up procedure over all runs of the text."""
-    found = [(s, e, p) for m in RUN.finditer(text) for s, e in tested_parts(m) if (p := battery(text[s:e])) is not None]
+    """The findings of the battery in a text that stands alone."""
+    found = tested_runs(text)
     if not found:
         return []
-    weights = [sqrt(64 / min(256, e - s)) for s, e, _ in found]
-    scale = len(found) / sum(weights)
-    ranked = sorted((p / (w * scale), i) for i, ((_, _, p), w) in enumerate(zip(found, weights, strict=True)))
-    last = max((k for k, (q, _) in enumerate(ranked, 1) if q <= rate * k / len(found)), default=0)
-    spans: list[tuple[int, int]] = []
-    for s, e, _ in sorted((found[i] for _, i in ranked[last:])):
-        if spans and s < spans[-1][1]:  # parts of both kinds that overlap are one span
-            spans[-1] = (spans[-1][0], max(e, spans[-1][1]))
-        else:
-            spans.append((s, e))
-    return spans
+    last = last_step(Counter(x for _, _, x in found), sum(weight(e - s) for s, e, _ in found) / len(found), rate)
+    return merged([(s, e) for s, e, x in found if last is not None and x <= last])
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -150,14 +234,31 @@ def spans_text(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, spark: SparkSession | None = None, rate: float = RATE) -> DataFrame:
     """Counts per base kind, the digest of the base spans, and all spans with those of the battery."""
-    def run(cols):
-        out = {"doc_id": cols["doc_id"], "n_assign": [], "n_access": [], "n_hex": [], "base_sha256": [], "spans": [], "n_random": []}
+    spark = spark or docs.sparkSession
+
+    def first(cols):
+        out = {"doc_id": cols["doc_id"], "base": [], "starts": [], "ends": [], "steps": [], "weight": []}
         for text in cols["text"]:
-            text = text or ""
-            base = base_spans(text)
-            more = [(s, 3, e) for s, e in random_runs(text)]
+            found = tested_runs(text or "")
+            out["base"].append([x for s, k, e in base_spans(text or "") for x in (s, k, e)])
+            for i, name in enumerate(("starts", "ends", "steps")):
+                out[name].append([x[i] for x in found])
+            out["weight"].append(sum(weight(e - s) for s, e, _ in found))
+        return out
+
+    schema = "doc_id bigint, base array<bigint>, starts array<bigint>, ends array<bigint>, steps array<int>, weight double"
+    made = Scratch(spark, "secrets").write(map_batches(prepared(docs, "doc_id", "text"), first, schema), "runs")
+    counts = {r["step"]: r["n"] for r in made.select(F.explode("steps").alias("step")).groupBy("step").agg(F.count("*").alias("n")).collect()}
+    total = made.agg(F.sum("weight")).first()[0] or 0.0
+    last = last_step(counts, total / max(1, sum(counts.values())), rate) if counts else None
+
+    def second(cols):
+        out = {"doc_id": cols["doc_id"], "n_assign": [], "n_access": [], "n_hex": [], "base_sha256": [], "spans": [], "n_random": []}
+        for flat, starts, ends, steps in zip(cols["base"], cols["starts"], cols["ends"], cols["steps"], strict=True):
+            base = list(zip(flat[::3], flat[1::3], flat[2::3], strict=True))
+            more = [(s, 3, e) for s, e in merged([(s, e) for s, e, x in zip(starts, ends, steps, strict=True) if last is not None and x <= last])]
             for i, name in enumerate(("n_assign", "n_access", "n_hex")):
                 out[name].append(sum(k == i for _, k, _ in base))
             out["base_sha256"].append(hashlib.sha256(spans_text(base).encode()).hexdigest())
@@ -166,4 +267,4 @@ def scan(docs: DataFrame) -> DataFrame:
         return out
 
     schema = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_random bigint"
-    return map_batches(prepared(docs, "doc_id", "text"), run, schema)
+    return map_batches(made, second, schema)

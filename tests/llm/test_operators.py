@@ -140,6 +140,57 @@ def test_battery_looks_into_mixed_runs():
     assert not secrets.random_runs("/user-files-of-the-first/account_of_the_second/2024/index-page_of_the_site")
 
 
+def brute_random(texts, rate=0.05):
+    """Findings by the definition: each weighted p-value rounded up, then the largest step that Benjamini-Hochberg accepts."""
+    runs = []
+    for i, text in texts:
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", text or ""):
+            own = set(m[0].rstrip("="))
+            mixed = own & set("+/") and own & set("-_")
+            parts = [m.span()] if not mixed else [(m.start() + x.start(), m.start() + x.end()) for a in (r"[A-Za-z0-9_-]{20,}={0,2}", r"[A-Za-z0-9+/]{20,}={0,2}") for x in re.finditer(a, m[0])]
+            for s, e in parts:
+                body = text[s:e].rstrip("=")
+                if len(body) >= 20 and not body.isdigit():
+                    runs.append((i, s, e, np.ceil(100 * np.log10(secrets.battery(text[s:e]) / min(256, e - s) ** 0.5))))
+    mean = sum(min(256, e - s) ** 0.5 for _, s, e, _ in runs) / max(1, len(runs))
+    good = [x for *_, x in runs if 10 ** (x / 100) * mean * len(runs) <= rate * sum(y <= x for *_, y in runs)]
+    found = defaultdict(list)
+    for i, s, e, x in sorted(runs):
+        if good and x <= max(good):
+            if found[i] and s < found[i][-1][1]:
+                found[i][-1] = (found[i][-1][0], max(e, found[i][-1][1]))
+            else:
+                found[i].append((s, e))
+    return found
+
+
+def test_secrets_spans_of_the_battery(spark, tiny):
+    r = random.Random(12)
+    words = "apple banana river mountain keyboard window printer cloud storage engine pipeline vector quality".split()
+    more = [(10**6 + i, f"see {''.join(r.choice(words).capitalize() for _ in range(4))}{r.randrange(99)} and a/{'_'.join(r.choice(words) for _ in range(4))}") for i in range(60)]
+    more += [(2 * 10**6 + i, f"key {''.join(r.choice(secrets.ALPHABETS['base64url']) for _ in range(r.randint(24, 60)))} x") for i in range(30)]
+    docs = documents(spark, tiny).select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id bigint, text string"))
+    want, rows = brute_random(pairs_of(docs)), dict(pairs_of(docs))
+    n = 0
+    for x in secrets.scan(docs).collect():
+        base = [p for p in brute_base(rows[x["doc_id"]]).split(",") if p]
+        spans = [(int(p.split(":")[1]), secrets.KINDS.index(p.split(":")[0]), int(p.split(":")[2])) for p in base] + [(s, 3, e) for s, e in want.get(x["doc_id"], [])]
+        assert x["spans"] == secrets.spans_text(sorted(spans))
+        n += x["n_random"]
+    assert n == sum(map(len, want.values())) and sum(i >= 2 * 10**6 for i in want) >= 25
+
+
+def test_few_findings_are_ordinary_names():
+    """Names of words that the made-up ones don't have, and random keys: the share of names among the findings stays low."""
+    r = random.Random(7)
+    words = "apple banana river mountain keyboard window printer cloud storage engine pipeline vector quality filter sample batch worker kernel buffer socket thread memory".split()
+    styles = [lambda: "".join(r.choice(words).capitalize() for _ in range(4)) + str(r.randrange(100)), lambda: "_".join(r.choice(words) for _ in range(4)), lambda: "/".join(r.choice(words) for _ in range(4)) + "/2024"]
+    names = [r.choice(styles)() for _ in range(1500)]
+    keys = ["".join(r.choice(secrets.ALPHABETS[r.choice(["alnum", "base64"])]) for _ in range(r.choice([24, 32, 40]))) for _ in range(100)]
+    found = brute_random([(0, " ".join(names)), (1, " ".join(keys))])
+    assert len(found[1]) >= 95 and len(found[0]) <= 0.1 * len(found[1])
+
+
 def test_secrets_empty(spark):
     assert secrets.scan(awkward(spark, empty=True)).count() == 0
     assert secrets.scan(awkward(spark)).count() == awkward(spark).count()
