@@ -10,6 +10,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,19 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+@contextmanager
+def session_settings(spark: SparkSession, settings: dict):
+    """Settings that hold for the jobs run inside and are put back afterwards."""
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, str(value))
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of the session; a local one is made only for local masters without a setting."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -117,8 +131,8 @@ def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * np.uint64(0xD6E8FEB86659FD93) + b)
 
 
-def hashed_words(texts: list, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts in a row, and the number of words of each text."""
+def hashed_words(texts: list, lower: bool = False, key: str = "0123456789123456") -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes (under a key of 16 characters) of the words of all texts in a row, and the number of words of each text."""
     words: list[bytes] = []
     counts = np.zeros(len(texts), dtype=np.int64)
     for i, text in enumerate(texts):
@@ -128,7 +142,7 @@ def hashed_words(texts: list, lower: bool = False) -> tuple[np.ndarray, np.ndarr
         words += own
     values = np.empty(len(words), dtype=object)
     values[:] = words
-    return (pd.util.hash_array(values, categorize=False) if words else np.zeros(0, np.uint64)), counts
+    return (pd.util.hash_array(values, hash_key=key, categorize=False) if words else np.zeros(0, np.uint64)), counts
 
 
 def window_hashes(h: np.ndarray, width: int) -> np.ndarray:

@@ -224,6 +224,68 @@ def test_substrings(spark, tiny, options):
         assert got == brute_substrings(pairs_of(docs))
 
 
+def test_substring_index_by_batches_equals_a_full_rebuild(spark, tmp_path):
+    """Batches of ascending doc_id, each added to an index that is opened anew: the rows of one call over everything."""
+    docs = awkward(spark).where("doc_id is not null and doc_id not in (6, 9)")
+    rows = docs.collect()
+    want, got = brute_substrings([(r["doc_id"], r["text"]) for r in rows]), []
+    path = f"file://{tmp_path}/index"
+    for low in range(0, 300, 60):
+        index = substrings.SubstringIndex(spark, path)
+        part = spark.createDataFrame([r for r in rows if low <= r["doc_id"] < low + 60], docs.schema)
+        got += [tuple(r) for r in index.add(part).collect()]
+    assert sorted(got, key=str) == want
+    again = substrings.SubstringIndex(spark, path)
+    assert len(again.batches) == 5 and len(again.index.names()) == 2  # runs of four batches merged to one, and one more
+    n = sum(spark.table(name).agg(F.sum("n")).first()[0] or 0 for name in again.index.names())
+    assert n == sum(spark.read.parquet(f"{path}/rows/{b}").agg(F.sum(F.size("anchors"))).first()[0] or 0 for b in again.batches)
+    # a batch is later than the index whatever its ids are
+    r = next(r for r in rows if len(WORD.findall(r["text"] or "")) > 40)
+    assert [tuple(x)[1:3] for x in again.add(spark.createDataFrame([(-5, r["text"])], "doc_id bigint, text string")).collect()] == [(len(WORD.findall(r["text"])),) * 2]
+
+
+def test_runs_merge_without_exchange_or_sort(spark, tmp_path):
+    from archivelake.llm.common import Scratch
+
+    index, scratch = substrings.FingerprintIndex(spark, f"file://{tmp_path}/runs", fanout=9), Scratch(spark, "test")
+    for i in range(3):
+        index.add(spark.range(i * 500, i * 500 + 1000).select(F.xxhash64("id").alias("h")), scratch, f"s-{i}")
+    assert scratch.read("s-2", spark.createDataFrame([], "h bigint")).count() == 500
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    with index._settings():
+        for df in (index.shared(index.names()[-1]), index._merge(*map(spark.table, index.names()[:2]))):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    index.fanout = 3
+    with index._settings():
+        gone = index.compact()
+    assert len(gone) == 3 and len(index.names()) == 1
+    whole = spark.table(index.names()[0])
+    assert whole.count() == 2000 and whole.agg(F.sum("n")).first()[0] == 3000 and whole.where("n = 2").count() == 1000
+
+
+def test_default_batches_compact(spark, tiny, monkeypatch):
+    merged = []
+    compact = substrings.FingerprintIndex.compact
+    monkeypatch.setattr(substrings.FingerprintIndex, "compact", lambda self: merged.append(len(gone := compact(self))) or gone)
+    substrings.deduplicated(documents(spark, tiny), spark)
+    assert sum(merged) >= 6  # two runs at a time, on two levels
+
+
+def test_windows_are_equal_only_if_both_hashes_are(spark, monkeypatch):
+    """With the first hash made useless, the second still tells windows apart."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[:30]), " ".join(words[30:]), " ".join(words[:25] + ["x"])]
+    run = substrings.whole_windows(20, 6)
+    cols = {"gen": [0] * 3, "rid": [0, 1, 2], "doc": [0, 1, 2], "text": texts, "hs": []}
+    cols["hs"] = [substrings.signed(substrings.window_keys(substrings.hashed_words([t])[0], 20, 6)).tolist() for t in texts]
+    out = run(cols)
+    pairs = [set(zip(a, b, strict=True)) for a, b in zip(out["a"], out["b"], strict=True)]
+    assert [len(p) for p in pairs] == [11, 11, 7] and not pairs[0] & pairs[1] and len(pairs[0] & pairs[2]) == 6
+    assert not {a for p in pairs for a, _ in p} & {b for p in pairs for _, b in p}
+
+
 def test_window_keys_of_short_groups():
     for n in range(41):
         r = random.Random(n)
