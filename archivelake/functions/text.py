@@ -13,6 +13,8 @@ STOPWORDS = (
     " he she his her you your we our i over under near next two one some"
 ).split()
 MIN_TEXT = 40
+#: Every line end: carriage returns, form feeds, separators and the Unicode ones.
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def strip(c: Column) -> Column:
@@ -55,7 +57,7 @@ def derive_tags(caption: Column, limit: int = 8) -> Column:
 
 def parse_response(response: Column) -> Column:
     """struct(caption, tags) of a model's answer: the last ``caption:`` and ``tags:`` lines, or else its first line that isn't blank and tags derived from that."""
-    lines = F.split(strip(response), "\n")
+    lines = F.split(strip(response), LINE_END)
     last = lambda key: F.try_element_at(F.filter(lines, lambda x: F.lower(strip(x)).startswith(key)), F.lit(-1))
     after = lambda x: strip(F.regexp_replace(x, r"(?s)^[^:]*:", ""))
     first = F.try_element_at(F.filter(lines, lambda x: strip(x) != ""), F.lit(1))
@@ -94,7 +96,7 @@ def entity(vec_id: Column) -> Column:
     return F.struct(
         F.when(paged, F.concat_ws("#", parts[0], F.try_element_at(parts, F.lit(2)))).otherwise(vec_id).alias("entity"),
         parts[0].alias("doc"),
-        F.when(paged, F.substring(F.try_element_at(parts, F.lit(2)), 2, 9).cast("int")).alias("page"),
+        F.when(paged & F.try_element_at(parts, F.lit(2)).rlike("^.[0-9]+$"), F.substring(F.try_element_at(parts, F.lit(2)), 2, 20).try_cast("int")).alias("page"),
     )
 
 

@@ -1,15 +1,24 @@
-"""Snapshot store: immutable Parquet versions and one pointer that is swapped last.
+"""Versioned store: immutable Parquet deltas and numbered commit markers that are created exclusively.
 
-A commit writes assets, then vectors derived from them, then moves the pointer by an atomic rename. Readers
-follow the pointer, so an interrupted commit is never seen; ``recover`` removes what it left behind.
+A commit writes the changed assets and the vectors derived from them to a folder of its own, then creates the next marker, which
+names that folder; of two writers only one gets a number, and the other takes the next, so neither change is lost. Readers follow
+the markers: the latest row of each asset counts, with the vectors of the same commit. A commit that never got a marker is never
+seen. It removes its own files when it fails; ``recover`` removes those of writers that died, by age, so it can't touch one at work.
 """
 
 from __future__ import annotations
 
+import json
 import tempfile
+import time
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Seconds after which files without a marker count as left behind.
+ABANDONED = 24 * 3600.0
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -17,61 +26,174 @@ def shared_folder(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"file://{tempfile.mkdtemp(prefix='archivelake-')}"
 
 
 class Store:
-    """Assets and their vectors at a path on any file system that Spark reads."""
+    """Assets (asset_id, state, indexed, ...) and their vectors (space, asset_id, ...) at a path on any file system that Spark reads.
+
+    ``derive`` turns assets into vectors. ``assets()`` are the current rows; ``op`` and ``version`` stay inside.
+    """
 
     def __init__(self, spark: SparkSession, path: str, derive):
         self.spark, self.path, self.derive = spark, path.rstrip("/"), derive
         self._jvm = spark.sparkContext._jvm
-        self._fs = self._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self.recover()
+        self._fs = self._at().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _at(self, *parts: str):
         return self._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
 
+    def _names(self, folder: str) -> list[str]:
+        at = self._at(folder)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(at) if not s.getPath().getName().startswith(".")) if self._fs.exists(at) else []
+
+    # reading
+
+    def commits(self) -> list[dict]:
+        """The commits that count, oldest first: from the last whole snapshot on."""
+        names = self._names("commits")
+        if not names:
+            return []
+        rows = self.spark.read.text([f"{self.path}/commits/{n}" for n in names], wholetext=True).collect()
+        found = sorted((json.loads(r[0]) for r in rows), key=lambda c: c["number"])
+        first = max((i for i, c in enumerate(found) if c["whole"]), default=0)
+        return found[first:]
+
     def current(self) -> str | None:
-        """Name of the committed snapshot; the newest marker counts."""
-        if not self._fs.exists(self._at("commits")):
-            return None
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._at("commits")) if not s.getPath().getName().startswith("."))
+        """Name of the newest commit."""
+        names = self._names("commits")
         return names[-1] if names else None
 
+    def _versions(self, kind: str) -> DataFrame | None:
+        """All rows of a kind since the last whole snapshot, with the number of their commit as ``_commit``."""
+        parts = [self.spark.read.parquet(f"{self.path}/{kind}/{c['folder']}").withColumn("_commit", F.lit(c["number"])) for c in self.commits() if kind == "assets" or c["vectors"]]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
+
+    def _latest(self) -> DataFrame | None:
+        rows = self._versions("assets")
+        return rows.groupBy(F.col("asset_id").alias("_id")).agg(F.max_by(F.struct("*"), "_commit").alias("r")).select("r.*").where("_op <> 'delete'") if rows is not None else None
+
     def assets(self) -> DataFrame | None:
-        name = self.current()
-        return self.spark.read.parquet(f"{self.path}/assets/{name}") if name else None
+        """The current rows, tombstones (state 'deleted') included until they are finished."""
+        rows = self._latest()
+        return rows.drop("_op", "_commit") if rows is not None else None
 
     def vectors(self) -> DataFrame | None:
-        name = self.current()
-        return self.spark.read.parquet(f"{self.path}/vectors/{name}") if name else None
+        """Vectors of the commit that wrote the current row of their active asset."""
+        rows = self._versions("vectors")
+        if rows is None:
+            return None if self.current() is None else self.derive(self.assets().where("state = 'active'")).limit(0)
+        live = self._latest().where("state = 'active'").select("asset_id", "_commit")
+        return rows.join(live, ["asset_id", "_commit"], "left_semi").drop("_commit")
 
-    def commit(self, assets: DataFrame, before_pointer=None) -> str:
-        """Write a whole new snapshot; ``before_pointer`` is called between writing and swapping (for tests of crashes)."""
-        last = self.current()
-        name = f"{int(last.split('-')[0]) + 1 if last else 1:012d}-{uuid.uuid4().hex[:8]}"
-        assets.write.parquet(f"{self.path}/assets/{name}")
-        stored = self.spark.read.parquet(f"{self.path}/assets/{name}")
-        self.derive(stored.where("state = 'active'")).write.partitionBy("space").parquet(f"{self.path}/vectors/{name}")
-        if before_pointer:
-            before_pointer()
+    # writing
+
+    def _write(self, assets: DataFrame, op: str, whole: bool, before_pointer=None, vectors: bool = True) -> str:
+        folder = uuid.uuid4().hex
+        try:
+            assets.withColumn("_op", F.lit(op)).write.parquet(f"{self.path}/assets/{folder}")
+            if vectors:
+                stored = self.spark.read.parquet(f"{self.path}/assets/{folder}").drop("_op")
+                self.derive(stored.where("state = 'active'")).write.partitionBy("space").parquet(f"{self.path}/vectors/{folder}")
+                vectors = self._has_data(f"vectors/{folder}")
+            if before_pointer:
+                before_pointer()
+            return self._mark(folder, op, whole, vectors)
+        except BaseException:
+            for kind in ("assets", "vectors"):
+                self._fs.delete(self._at(kind, folder), True)
+            raise
+
+    def _has_data(self, folder: str) -> bool:
+        return any(n.startswith("space=") for n in self._names(folder))
+
+    def _mark(self, folder: str, op: str, whole: bool, vectors: bool) -> str:
+        """Create the next marker; taken numbers are passed over. Readers see a marker only with its text, since it is written aside and renamed."""
         self._fs.mkdirs(self._at("commits"))
-        self._fs.create(self._at("commits", f".{name}"), True).close()
-        if not self._fs.rename(self._at("commits", f".{name}"), self._at("commits", name)):
-            raise OSError(f"snapshot {name} could not be committed")
-        return name
-
-    def recover(self) -> int:
-        """Remove snapshots that were never committed; returns how many."""
-        gone = 0
-        committed = {s.getPath().getName() for s in self._fs.listStatus(self._at("commits"))} if self._fs.exists(self._at("commits")) else set()
+        while True:
+            names = self._names("commits")
+            number = int(names[-1]) + 1 if names else 1
+            name, aside = f"{number:012d}", self._at("commits", f".{folder}")
+            out = self._fs.create(aside, True)
+            out.writeBytes(json.dumps({"number": number, "folder": folder, "op": op, "whole": whole, "vectors": vectors, "time": time.time()}))
+            out.close()
+            lock = self._at("numbers", name)
+            try:
+                self._fs.create(lock, False).close()  # exclusive: the writer that makes it owns the number
+            except Exception:  # noqa: BLE001 - a Java error: the number is taken
+                if not self._fs.exists(lock):
+                    raise
+                if name not in self._names("commits") and time.time() - self._fs.getFileStatus(lock).getModificationTime() / 1000 > 60:
+                    self._fs.delete(lock, False)  # its owner died before the marker
+                time.sleep(0.05)
+                continue
+            if not self._fs.exists(self._at("commits", name)) and self._fs.rename(aside, self._at("commits", name)):
+                return name
+            raise OSError(f"commit {name} could not be marked")
+
+    def commit(self, assets: DataFrame, before_pointer=None) -> str:
+        """Replace everything by a whole new snapshot; ``before_pointer`` is called between writing and marking (for tests of crashes)."""
+        return self._write(assets, "insert", True, before_pointer)
+
+    def insert(self, assets: DataFrame) -> str:
+        """Add assets with their vectors; one that is there already, or was deleted, is replaced."""
+        return self._write(self._ready(assets), "insert", False)
+
+    upsert = insert
+
+    def update(self, assets: DataFrame) -> str:
+        """Replace assets that are there; others are left out. Their old vectors are no longer read."""
+        own = self.assets()
+        known = own.where("state = 'active'").select("asset_id")
+        return self._write(self._ready(assets.join(known, "asset_id", "left_semi")), "update", False)
+
+    def delete(self, ids: DataFrame) -> str:
+        """Remove assets (asset_id) and their vectors."""
+        gone = self.assets().join(ids.select("asset_id"), "asset_id", "left_semi").withColumn("state", F.lit("deleted"))
+        return self._write(gone, "delete", False, vectors=False)
+
+    @staticmethod
+    def _ready(assets: DataFrame) -> DataFrame:
+        rows = assets.withColumn("state", F.lit("active")).withColumn("indexed", F.lit(True))
+        return rows.withColumn("updated_at", F.current_timestamp()) if "updated_at" in rows.columns else rows
+
+    def compact(self) -> str:
+        """Write the current rows as one whole snapshot, so that readers need no older commit."""
+        return self._write(self.assets(), "insert", True)
+
+    # care
+
+    def recover(self, older_than: float = ABANDONED) -> dict:
+        """Remove files that got no marker and are older than ``older_than`` seconds, and derive the vectors of active rows that aren't indexed."""
+        held = {json.loads(r[0])["folder"] for r in self.spark.read.text(f"{self.path}/commits", wholetext=True).collect()} if self.current() else set()
+        removed = 0
         for kind in ("assets", "vectors"):
-            if self._fs.exists(self._at(kind)):
-                for s in self._fs.listStatus(self._at(kind)):
-                    if s.getPath().getName() not in committed:
-                        self._fs.delete(s.getPath(), True)
-                        gone += kind == "assets"
-        return gone
+            for name in self._names(kind):
+                status = self._fs.getFileStatus(self._at(kind, name))
+                if name not in held and time.time() - status.getModificationTime() / 1000 >= older_than:
+                    self._fs.delete(self._at(kind, name), True)
+                    removed += kind == "assets"
+        own = self.assets()
+        broken = own.where("state = 'active' and not indexed") if own is not None and "indexed" in own.columns else None
+        n = broken.count() if broken is not None else 0
+        if n:
+            self.insert(broken)
+        return {"abandoned": removed, "reindexed": n}
+
+    def reconcile(self) -> dict:
+        """Finish tombstones, and drop the files of vectors that no current asset of their commit owns by compaction."""
+        own = self.assets()
+        if own is None:
+            return {"tombstones_finished": 0, "orphans_purged": 0}
+        tombstones = own.where("state = 'deleted'").select("asset_id")
+        n = tombstones.count()
+        if n:
+            self.delete(tombstones)
+        stored, live = self._versions("vectors"), self.vectors()
+        orphans = stored.count() - live.count() if stored is not None else 0
+        if orphans:
+            self.compact()
+        return {"tombstones_finished": n, "orphans_purged": orphans}

@@ -146,6 +146,55 @@ def test_store_never_shows_an_interrupted_commit(spark, tmp_path):
     assert len(os.listdir(tmp_path / "s/assets")) == 1 and again.assets().count() == 2
 
 
+def rows_of(spark, rows):
+    return spark.createDataFrame(rows, "asset_id string, text string, state string, indexed boolean")
+
+
+def test_store_keeps_a_running_commit_and_both_of_two_writers(spark, tmp_path):
+    path = f"file://{tmp_path}/two"
+    first = Store(spark, path, derive)
+    first.insert(rows_of(spark, [("a", "one", "active", True)]))
+
+    def another():
+        other = Store(spark, path, derive)  # opened, recovered and written to while the first one is at work
+        other.recover()
+        assert other.assets().count() == 1
+        other.insert(rows_of(spark, [("c", "three", "active", True)]))
+
+    first._write(rows_of(spark, [("b", "two", "active", True)]), "insert", False, another)
+    assert {r["asset_id"] for r in first.assets().collect()} == {"a", "b", "c"} == {r["asset_id"] for r in first.vectors().collect()}
+    assert len(first.commits()) == 3
+
+
+def test_store_lifecycle_on_disk(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/life", derive)
+    assert store.assets() is None and store.vectors() is None and store.reconcile() == {"tombstones_finished": 0, "orphans_purged": 0}
+    store.insert(rows_of(spark, [("a", "one", "active", True), ("b", "two", "active", True)]))
+    before = {r["vec_id"]: r["embedding"] for r in store.vectors().collect()}
+    store.update(rows_of(spark, [("a", "another text", "active", True), ("zzz", "not there", "active", True)]))
+    after = {r["vec_id"]: r["embedding"] for r in store.vectors().collect()}
+    assert set(after) == {"a", "b"} and after["b"] == before["b"] and after["a"] != before["a"]
+    store.delete(spark.createDataFrame([("b",)], "asset_id string"))
+    assert [r["asset_id"] for r in store.assets().collect()] == ["a"] == [r["asset_id"] for r in store.vectors().collect()]
+    store.insert(rows_of(spark, [("b", "back", "active", True)]))  # a deleted path comes back
+    assert store.vectors().count() == 2
+    store._write(rows_of(spark, [("d", "dead", "deleted", True), ("e", "half", "active", False)]), "insert", False, vectors=False)
+    assert store.recover() == {"abandoned": 0, "reindexed": 1} and store.assets().where("not indexed").count() == 0
+    assert {r["asset_id"] for r in store.vectors().collect()} == {"a", "b", "e"}
+    assert store.reconcile() == {"tombstones_finished": 1, "orphans_purged": 2}
+    assert store.reconcile() == {"tombstones_finished": 0, "orphans_purged": 0} and len(store.commits()) == 1
+    assert {r["asset_id"] for r in store.assets().collect()} == {"a", "b", "e"} == {r["asset_id"] for r in store.vectors().collect()}
+    # files of a writer that died go by age
+    rows_of(spark, [("x", "lost", "active", True)]).write.parquet(f"file://{tmp_path}/life/assets/lost")
+    assert store.recover()["abandoned"] == 0 and store.recover(older_than=0)["abandoned"] == 1
+
+
+def test_entities_and_answers_of_odd_shape(spark):
+    assert one(spark, T.entity(F.lit("a#photo.jpg")), T.entity(F.lit("d#p12345678901"))) == (("a#photo.jpg", "a", None), ("d#p12345678901", "d", None))
+    r = one(spark, T.parse_response(F.lit("x\rCaption: A dog\u2028tags: dog, park")))
+    assert tuple(r[0]) == ("A dog", ["dog", "park"])
+
+
 def png(pixels, width, height, level):
     raw = b"".join(b"\0" + bytes(v for x in range(width) for v in pixels(x, y)) for y in range(height))
     chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
