@@ -10,48 +10,105 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 TOP_K, RRF_K, GAP = 50, 60, 0.05
-#: Queries sent to all tasks at a time: the only data that is broadcast, of fixed size.
+#: About so many queries are compared at a time, by tasks that each get a share of the vectors.
 QUERY_BLOCK = 2048
 
 
+class Nearest:
+    """The k best of one block of queries (of one space) so far."""
+
+    def __init__(self, k: int):
+        self.k, self.ids, self.rows, self.q = k, [], [], None
+        self.best: tuple[np.ndarray, np.ndarray] | None = None  # per query similarities and places in ``held``
+        self.held: list = []
+
+    def ask(self, query_id, embedding) -> None:
+        self.ids.append(query_id)
+        self.rows.append(embedding)
+
+    def add(self, ids: list, rows: list) -> None:
+        if self.q is None:
+            self.q = np.array(self.rows)
+        order = np.argsort(np.array(ids, dtype=object), kind="stable")
+        sims = np.round(self.q @ np.array([rows[i] for i in order]).T, 6)
+        ids = [*self.held, *(ids[i] for i in order)]
+        if self.best is not None:
+            full = np.full((len(self.q), len(self.held)), -np.inf)
+            np.put_along_axis(full, self.best[1], self.best[0], axis=1)
+            sims = np.hstack([full, sims])
+        k = min(self.k, sims.shape[1])
+        least = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]
+        rank = np.empty(len(ids), np.int64)
+        rank[np.argsort(np.array(ids, dtype=object), kind="stable")] = np.arange(len(ids))
+        at, col = np.nonzero(sims >= least)  # all that tie with the last; ties go to the smaller id
+        order = np.lexsort((rank[col], -sims[at, col], at))
+        at, col = at[order], col[order]
+        col = col[np.arange(len(at)) - np.searchsorted(at, at) < k].reshape(len(self.q), k)
+        used, place = np.unique(col, return_inverse=True)
+        self.best = (np.take_along_axis(sims, col, axis=1), place.reshape(col.shape))
+        self.held = [ids[i] for i in used]
+
+    def found(self):
+        if self.best is not None:
+            for q, sims, places in zip(self.ids, *self.best, strict=True):
+                for s, p in zip(sims.tolist(), places.tolist(), strict=True):
+                    if s != -np.inf:
+                        yield q, self.held[p], s
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int = TOP_K) -> DataFrame:
     """(query_id, space, vec_id, rank, sim): the k most similar vectors of each space by inner product, rounded to 6 digits, ties by vec_id.
 
-    ``queries``: query_id, space, embedding; ``vectors``: space, vec_id, embedding. Queries go out in blocks;
-    each task returns its k best per query and space, so what is shuffled doesn't grow with a space's size per task.
-    Zero, null and empty vectors take no part.
+    ``queries``: query_id, space, embedding; ``vectors``: space, vec_id, embedding. One plan deals each block of queries with a share of the
+    vectors to a task, which keeps the k best per query: no more than k rows per query and share are shuffled, and nothing is
+    collected. Zero, null and empty vectors take no part.
     """
-    from ..functions.hashing import is_nonzero
-
-    queries = queries.where(is_nonzero(F.col("embedding"))).select("query_id", "space", F.col("embedding").cast("array<double>").alias("embedding"))
-    vectors = vectors.where(is_nonzero(F.col("embedding"))).select("space", "vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    schema = f"query_id bigint, space string, vec_id {dict(vectors.dtypes)['vec_id']}, sim double"
-    spark, out = queries.sparkSession, None
+    spark, parts = queries.sparkSession, 2 * queries.sparkSession.sparkContext.defaultParallelism
     blocks = max(1, -(-2 * queries.count() // QUERY_BLOCK))
-    for b in range(blocks):
-        own: dict[str, list] = {}
-        for r in queries.where(F.pmod(F.xxhash64("query_id", "space"), F.lit(blocks)) == b).collect():
-            own.setdefault(r["space"], []).append((r["query_id"], r["embedding"]))
-        sent = spark.sparkContext.broadcast({s: ([i for i, _ in v], np.array([e for _, e in v])) for s, v in own.items()})
-
-        def best(batches, sent=sent):
-            for batch in batches:
-                spaces, ids = np.array(batch.column(0).to_pylist(), dtype=object), batch.column(1).to_pylist()
-                rows, cols = batch.column(2).to_pylist(), ([], [], [], [])
-                for space in set(spaces) & set(sent.value):
-                    at = np.flatnonzero(spaces == space)
-                    at = at[np.argsort(np.array([ids[i] for i in at], dtype=object), kind="stable")]
-                    q_ids, q = sent.value[space]
-                    sims = np.round(q @ np.array([rows[i] for i in at]).T, 6)
-                    order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                    for n, q_id in enumerate(q_ids):
-                        for j in order[n]:
-                            for c, v in zip(cols, (q_id, space, ids[at[j]], float(sims[n, j])), strict=True):
-                                c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], batch.schema.field(1).type), pa.array(cols[3], pa.float64())], names=["query_id", "space", "vec_id", "sim"])
-
-        part = vectors.mapInArrow(best, schema)
-        out = part if out is None else out.unionByName(part)
+    shares = max(1, -(-parts // blocks))
+    kind = dict(vectors.dtypes)["vec_id"]
+    none = lambda t: F.lit(None).cast(t)
+    asked = queries.select(
+        "space", F.pmod(F.xxhash64("query_id", "space"), F.lit(blocks)).cast("int").alias("block"), "query_id", none(kind).alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"),
+    ).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    held = vectors.select("space", none("bigint").alias("query_id"), "vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.pmod(F.xxhash64("vec_id"), F.lit(shares)).cast("int").alias("share"))
+    held = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    group = ["space", "block", "share"]
+    both = asked.unionByName(held).repartition(min(100_000, blocks * shares), *group).sortWithinPartitions(*group, F.col("query_id").asc_nulls_last())
+
+    def best(batches):
+        key, own = None, None
+
+        def rows(key, own):
+            found = list(own.found()) if own else []
+            names = ["query_id", "space", "vec_id", "sim"]
+            columns = [[f[0] for f in found], [key[0]] * len(found), [f[1] for f in found], [f[2] for f in found]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), id_type, pa.float64()), strict=True)], names=names)
+
+        for batch in batches:
+            cols = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
+            id_type = batch.schema.field(batch.schema.get_field_index("vec_id")).type
+            ids, vecs = [], []
+            for space, b, s, q, v, e in zip(*(cols[c] for c in (*group, "query_id", "vec_id", "embedding")), strict=True):
+                if (space, b, s) != key:
+                    if own and ids:
+                        own.add(ids, vecs)
+                    if own:
+                        yield rows(key, own)
+                    key, own, ids, vecs = (space, b, s), Nearest(k), [], []
+                if e is None or not any(e):
+                    continue
+                if q is not None:
+                    own.ask(q, e)
+                elif own.ids:
+                    ids.append(v)
+                    vecs.append(e)
+            if own and ids:
+                own.add(ids, vecs)
+        if own:
+            yield rows(key, own)
+
+    out = both.select(*group, "query_id", "vec_id", "embedding").mapInArrow(best, f"query_id bigint, space string, vec_id {kind}, sim double")
     order = Window.partitionBy("query_id", "space").orderBy(F.desc("sim"), "vec_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -67,10 +124,14 @@ def fuse(ranks: DataFrame, top_k: int = TOP_K, weights: dict | None = None, k: i
     for source, value in (weights or {}).items():
         w = F.when(F.col("source") == source, float(value)).otherwise(w)
     scored = ranks.withColumn("w", w)
-    present = scored.groupBy("query_id", "entity").agg(F.sum(F.col("w") / (F.lit(float(k)) + F.col("rank"))).alias("s"), F.sum("w").alias("own"))
+    group = ["query_id", "entity"]
+    if absentee:  # the weights of all sources of the query, found in the same pass
+        sources = F.collect_set(F.struct("source", "w")).over(Window.partitionBy("query_id"))
+        scored = scored.withColumn("every", F.aggregate(sources, F.lit(0.0), lambda a, x: a + x["w"]))
+        group = [*group, "every"]
+    present = scored.groupBy(*group).agg(F.sum(F.col("w") / (F.lit(float(k)) + F.col("rank"))).alias("s"), F.sum("w").alias("own"))
     if absentee:
-        every = scored.select("query_id", "source", "w").distinct().groupBy("query_id").agg(F.sum("w").alias("every"))
-        present = present.join(every, "query_id").withColumn("s", F.col("s") + (F.col("every") - F.col("own")) / (k + top_k + 1))
+        present = present.withColumn("s", F.col("s") + (F.col("every") - F.col("own")) / (k + top_k + 1))
     return present.select("query_id", "entity", F.round("s", 6).alias("score"))
 
 
