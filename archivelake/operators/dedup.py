@@ -2,47 +2,85 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from itertools import combinations
+from math import comb
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import kept
+
 THRESHOLD = 10
-BAND_BITS, BANDS = 16, 4
+BITS = 64
 
 
-def _masks(bits: int, most: int) -> list[int]:
-    out = [0]
-    for i in range(bits):
-        out.append(1 << i)
-        if most > 1:
-            out += [1 << i | 1 << j for j in range(i)]
-    return out
+def masks(bits: int, most: int) -> list[int]:
+    """All values of ``bits`` bits with at most ``most`` set."""
+    return [sum(1 << i for i in c) for n in range(most + 1) for c in combinations(range(bits), n)]
 
 
-def band_keys(df: DataFrame, phash: str, probe: bool, threshold: int = THRESHOLD) -> DataFrame:
-    """Rows per 16-bit band of a hash; the probing side also takes every value within threshold / 4 bits, so no pair within the threshold is missed."""
-    if threshold // BANDS > 2:
-        raise ValueError("band search covers thresholds up to 11")
-    masks = _masks(BAND_BITS, threshold // BANDS) if probe else [0]
-    if threshold < BANDS and probe:
-        masks = [0]
-    bands = F.array(*[F.struct(F.lit(b).alias("band"), F.shiftrightunsigned(F.col(phash), b * BAND_BITS).bitwiseAND(0xFFFF).alias("value")) for b in range(BANDS)])
-    df = df.withColumn("_b", F.explode(bands))
-    if probe:
-        df = df.withColumn("_m", F.explode(F.array(*map(F.lit, masks))))
-        return df.select("*", F.col("_b.band").alias("band"), F.col("_b.value").bitwiseXOR(F.col("_m").cast("bigint")).alias("value")).drop("_b", "_m")
-    return df.select("*", F.col("_b.band").alias("band"), F.col("_b.value").alias("value")).drop("_b")
+def scheme(n: int, threshold: int) -> tuple[int, int, int]:
+    """(bands, bits either side varies): of two hashes within the threshold some band differs by at most threshold / bands bits, of
+    which one side varies half. Fewer, wider bands need more keys a hash and let fewer pairs through; the cheaper by both counts is taken."""
+    def cost(bands: int) -> float:
+        width, most = -(-BITS // bands), threshold // bands
+        ball = lambda r: sum(comb(width, i) for i in range(r + 1))
+        return n * bands * (ball(most - most // 2) + ball(most // 2)) + n * n * bands * ball(most) / 2.0**width / 2
 
+    bands = min((b for b in range(1, 17) if threshold // b <= 5), key=cost)
+    most = threshold // bands
+    return bands, most - most // 2, most // 2
 
-def near_pairs(df: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b, distance) of all pairs of different ids (id, phash) within the threshold, a < b.
 
-    Equal hashes are one node of the search, so a large group of copies isn't probed against itself per member.
-    """
+def band_keys(df: DataFrame, phash: str, bands: int, vary: int) -> DataFrame:
+    """Rows per band of a hash, and per value of that band within ``vary`` bits."""
+    cuts = [BITS * i // bands for i in range(bands + 1)]
+    def keys(b: int, low: int, high: int):
+        value = F.shiftrightunsigned(F.col(phash), low).bitwiseAND((1 << (high - low)) - 1) if high - low < BITS else F.col(phash)
+        own = F.from_json(F.lit(str([m if m < 1 << 63 else m - (1 << 64) for m in masks(high - low, vary)])), "array<bigint>")
+        return F.transform(own, lambda m: F.struct(F.lit(b).alias("band"), value.bitwiseXOR(m).alias("value")))
+
+    each = [keys(b, low, high) for b, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    return df.withColumn("_b", F.explode(F.concat(*each))).select("*", "_b.band", "_b.value").drop("_b")
+
+
+def close_hashes(left: DataFrame, right: DataFrame, threshold: int, n: int | None = None) -> DataFrame:
+    """(p, q, distance) of all distinct hashes p of ``left`` and q of ``right`` within the threshold."""
+    bands, vary, other = scheme(n if n is not None else left.count(), threshold)
+    a, b = band_keys(left.select("p"), "p", bands, vary), band_keys(right.select("q"), "q", bands, other)
+    distance = F.bit_count(F.col("p").bitwiseXOR(F.col("q"))).cast("int")
+    return a.join(b, ["band", "value"]).select("p", "q", distance.alias("distance")).where(F.col("distance") <= threshold).distinct()
+
+
+def hash_classes(df: DataFrame) -> DataFrame:
+    """Classes of equal hashes of (id, phash): phash, id (the smallest) and n."""
+    return df.where("phash is not null").groupBy("phash").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+
+
+def near_classes(df: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(a, b, distance, n_a, n_b) of all pairs of different hashes within the threshold, each by the smallest id of its class, a < b, with
+    the sizes of both classes. Copies aren't expanded: their members are those with the same hash."""
+    return class_pairs(kept(hash_classes(df)), threshold)
+
+
+def class_pairs(classes: DataFrame, threshold: int) -> DataFrame:
+    """``near_classes`` of stored classes."""
+    close = close_hashes(classes.select(F.col("phash").alias("p")), classes.select(F.col("phash").alias("q")), threshold, classes.count()).where("p < q")
+    a = classes.select(F.col("phash").alias("p"), F.col("id").alias("x"), F.col("n").alias("n_x"))
+    b = classes.select(F.col("phash").alias("q"), F.col("id").alias("y"), F.col("n").alias("n_y"))
+    pairs = close.join(a, "p").join(b, "q")
+    first = F.col("x") < F.col("y")
+    return pairs.select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance", F.when(first, F.col("n_x")).otherwise(F.col("n_y")).alias("n_a"), F.when(first, F.col("n_y")).otherwise(F.col("n_x")).alias("n_b")
+    )
+
+
+def near_pairs(df: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(a, b, distance) of all pairs of different ids (id, phash) within the threshold, a < b, copies expanded: for small inputs; the
+    other operators use classes."""
     rows = df.where("phash is not null").select("id", "phash")
     nodes = rows.select("phash").distinct()
-    left = band_keys(nodes.withColumnRenamed("phash", "p"), "p", True, threshold)
-    right = band_keys(nodes.withColumnRenamed("phash", "q"), "q", False, threshold)
-    close = left.join(right, ["band", "value"]).where("p <= q").select("p", "q", F.bit_count(F.col("p").bitwiseXOR(F.col("q"))).cast("int").alias("distance")).where(F.col("distance") <= threshold).distinct()
+    close = close_hashes(nodes.withColumnRenamed("phash", "p"), nodes.withColumnRenamed("phash", "q"), threshold).where("p <= q")
     a, b = rows.select(F.col("id").alias("x"), F.col("phash").alias("p")), rows.select(F.col("id").alias("y"), F.col("phash").alias("q"))
     pairs = close.join(a, "p").join(b, "q").where("x <> y and (p <> q or x < y)")
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
@@ -50,42 +88,42 @@ def near_pairs(df: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 def lookup(candidates: DataFrame, index: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """First duplicate tier of each candidate (id, sha256, pixel_hash, phash) in the index (asset_id, same columns): equal bytes, pixels, then near hash; the smallest asset_id of the tier."""
+    candidates, index = kept(candidates.select("id", "sha256", "pixel_hash", "phash")), kept(index.select("asset_id", "sha256", "pixel_hash", "phash"))
     best = lambda key: index.where(F.coalesce(F.col(key), F.lit("")) != "").groupBy(key).agg(F.min("asset_id").alias(f"by_{key}"))
     out = candidates.join(best("sha256"), "sha256", "left").join(best("pixel_hash"), "pixel_hash", "left")
-    probe = band_keys(candidates.where("phash is not null").select("phash").distinct(), "phash", True, threshold)
-    held = band_keys(index.where("phash is not null").groupBy(F.col("phash").alias("q")).agg(F.min("asset_id").alias("asset_id")), "q", False, threshold)
-    close = probe.join(held, ["band", "value"]).where(F.bit_count(F.col("phash").bitwiseXOR(F.col("q"))) <= threshold).groupBy("phash").agg(F.min("asset_id").alias("by_phash"))
+    asked = candidates.where("phash is not null").select(F.col("phash").alias("p")).distinct()
+    held = index.where("phash is not null").groupBy(F.col("phash").alias("q")).agg(F.min("asset_id").alias("asset_id"))
+    close = close_hashes(asked, held, threshold).join(held, "q").groupBy(F.col("p").alias("phash")).agg(F.min("asset_id").alias("by_phash"))
     out = out.join(close, "phash", "left")
     tier = F.when(F.col("by_sha256").isNotNull(), "sha256").when(F.col("by_pixel_hash").isNotNull(), "pixel_hash").when(F.col("by_phash").isNotNull(), "phash")
     return out.select("id", F.coalesce("by_sha256", "by_pixel_hash", "by_phash").alias("duplicate_of"), tier.alias("tier"))
 
 
-def leaders(items: DataFrame, pairs: DataFrame, most_rounds: int = 64) -> DataFrame:
+def leaders(items: DataFrame, pairs: DataFrame) -> DataFrame:
     """Greedy leaders of (id) in id order: an item leads unless it is near an earlier leader. Returns (id, leader): itself or its earliest near leader.
 
-    Each round settles every item whose earlier neighbours are settled; tables are checkpointed, so lineage stays short.
+    Each round settles every item whose earlier neighbours are settled, the first open one among them, so rounds end; tables are checkpointed,
+    so lineage stays short.
     """
-    spark = items.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        from ..sources.store import shared_folder
-
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    edges = pairs.select("a", "b").distinct().checkpoint()
-    state = items.select("id", F.lit(None).cast("boolean").alias("leads")).checkpoint()
-    for _ in range(most_rounds):
+    edges = kept(pairs.select("a", "b").distinct())
+    state = kept(items.select("id", F.lit(None).cast("boolean").alias("leads")))
+    while not state.where("leads is null").isEmpty():
         earlier = edges.join(state.select(F.col("id").alias("a"), "leads"), "a")
         seen = earlier.groupBy("b").agg(F.max(F.coalesce("leads", F.lit(False))).alias("near"), F.min(F.col("leads").isNotNull()).alias("settled"))
-        state = state.join(seen.withColumnRenamed("b", "id"), "id", "left").select(
-            "id", F.coalesce("leads", F.when(F.col("near"), F.lit(False)).when(F.coalesce("settled", F.lit(True)), F.lit(True))).alias("leads")
-        ).checkpoint()
-        if state.where("leads is null").isEmpty():
-            break
-    else:
-        raise RuntimeError("more rounds are needed; raise most_rounds")
+        leads = F.coalesce("leads", F.when(F.col("near"), F.lit(False)).when(F.coalesce("settled", F.lit(True)), F.lit(True)))
+        state = kept(state.join(seen.withColumnRenamed("b", "id"), "id", "left").select("id", leads.alias("leads")))
     led = edges.join(state.where("leads").select(F.col("id").alias("a")), "a").groupBy("b").agg(F.min("a").alias("first"))
     return state.join(led.withColumnRenamed("b", "id"), "id", "left").select("id", F.when(F.col("leads"), F.col("id")).otherwise(F.col("first")).alias("leader"))
 
 
+def greedy(files: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """``leaders`` of (id, phash) by near hashes. Equal hashes are settled as one class: the members of a class have the leader of its
+    smallest id, since all are near the same items. Rows without a hash lead themselves."""
+    classes = kept(hash_classes(files))
+    led = leaders(classes.select("id"), class_pairs(classes, threshold)).join(classes.select("id", "phash"), "id").select("phash", "leader")
+    return files.select("id", "phash").join(led, "phash", "left").select("id", F.coalesce("leader", "id").alias("leader"))
+
+
 def exact_groups(files: DataFrame) -> DataFrame:
     """Groups of more than one file by pixels, or bytes where there are none: (group_key, first, n)."""
     key = F.coalesce(F.nullif("pixel_hash", F.lit("")), F.col("sha256"))
@@ -97,7 +135,7 @@ def near_groups(files: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     key = F.coalesce(F.nullif("pixel_hash", F.lit("")), F.col("sha256"))
     keyed = files.withColumn("group_key", key)
     rest = keyed.join(exact_groups(files).select("group_key"), "group_key", "left_anti")
-    found = leaders(rest, near_pairs(rest, threshold))
+    found = greedy(rest, threshold)
     large = found.groupBy("leader").count().where("count > 1").select("leader")
     return found.join(large, "leader", "left_semi").select("leader", "id")
 
@@ -109,19 +147,19 @@ def batch_plan(candidates: DataFrame, index: DataFrame, force: bool = False, thr
     inserts of the batch: first by bytes and pixels, then by near hashes of greedy leaders. ``force`` inserts or updates everything.
     """
     known = index.select(F.col("path").alias("known_path"), F.col("sha256").alias("known_sha"))
-    rows = candidates.join(known, candidates["path"] == known["known_path"], "left")
+    rows = kept(candidates.select("id", "path", "sha256", "pixel_hash", "phash").join(known, candidates["path"] == known["known_path"], "left"))
     if force:
         return rows.select("id", F.when(F.col("known_path").isNotNull(), "update").otherwise("insert").alias("action"))
     old = rows.where("known_path is not null").select("id", F.when(F.col("known_sha") == F.col("sha256"), "unchanged").otherwise("update").alias("action"))
     new = rows.where("known_path is null").drop("known_path", "known_sha")
-    hits = lookup(new, index, threshold)
+    hits = kept(lookup(new, index, threshold))
     in_index = hits.where("tier is not null").select("id", F.lit("duplicate").alias("action"))
     open_ = new.join(hits.where("tier is null").select("id"), "id", "left_semi")
-    by = lambda key: F.row_number().over(Window.partitionBy(F.coalesce(F.nullif(key, F.lit("")), F.concat(F.lit("-"), F.col("id").cast("string")))).orderBy("id"))
-    marked = open_.withColumn("r1", by("sha256")).withColumn("r2", by("pixel_hash"))
-    copies = marked.where("r1 > 1 or r2 > 1").select("id", F.lit("duplicate").alias("action"))
-    firsts = marked.where("r1 = 1 and r2 = 1")
-    led = leaders(firsts, near_pairs(firsts, threshold))
+    first_of = lambda key: open_.where(F.coalesce(F.col(key), F.lit("")) != "").groupBy(key).agg(F.min("id").alias(f"first_{key}"))
+    marked = open_.join(first_of("sha256"), "sha256", "left").join(first_of("pixel_hash"), "pixel_hash", "left")
+    later = F.coalesce(F.col("first_sha256") < F.col("id"), F.lit(False)) | F.coalesce(F.col("first_pixel_hash") < F.col("id"), F.lit(False))
+    copies = marked.where(later).select("id", F.lit("duplicate").alias("action"))
+    led = greedy(marked.where(~later), threshold)
     rest = led.select("id", F.when(F.col("id") == F.col("leader"), "insert").otherwise("duplicate").alias("action"))
     return old.unionByName(in_index).unionByName(copies).unionByName(rest)
 

@@ -346,9 +346,11 @@ def rag_context(spark, d):
 P = "WITH " + B.PHASHES + "\n"
 
 
-@query(P + ", u AS (SELECT DISTINCT ph FROM phashes), c AS (SELECT a.ph AS p, b.ph AS q, bit_count(xor(a.ph, b.ph))::INTEGER AS distance FROM u a, u b WHERE a.ph <= b.ph AND bit_count(xor(a.ph, b.ph)) <= 10) SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, distance FROM c JOIN phashes x ON x.ph = p JOIN phashes y ON y.ph = q WHERE x.id <> y.id AND (p <> q OR x.id < y.id)")
+@query(P + """, u AS (SELECT ph, min(id) AS id, count(*) AS n FROM phashes GROUP BY 1)
+SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, bit_count(xor(x.ph, y.ph))::INTEGER AS distance, CASE WHEN x.id < y.id THEN x.n ELSE y.n END AS n_a, CASE WHEN x.id < y.id THEN y.n ELSE x.n END AS n_b
+FROM u x JOIN u y ON x.ph < y.ph AND bit_count(xor(x.ph, y.ph)) <= 10""")
 def phash_near_pairs(spark, d):
-    return dedup.near_pairs(B.phashes(spark, d))
+    return dedup.near_classes(B.phashes(spark, d))
 
 
 OLD, NEW = "id % 2 = 0", "id % 2 = 1"

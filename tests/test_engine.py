@@ -79,6 +79,32 @@ def test_band_join_finds_every_near_pair(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("n", [10, 10**6, 10**12])
+def test_every_scheme_of_bands_is_exact(spark, n):
+    """Few wide bands, as taken for many hashes, find the same pairs as many narrow ones."""
+    r = random.Random(n)
+    base = [r.getrandbits(64) for _ in range(6)]
+    hashes = set(base)
+    for _ in range(25):
+        h = r.choice(base)
+        for b in r.sample(range(64), r.randint(0, 12)):
+            h ^= 1 << b
+        hashes.add(h)
+    signed = [h - (1 << 64) if h >> 63 else h for h in hashes]
+    df = spark.createDataFrame([(h,) for h in signed], "p bigint")
+    got = {(x["p"], x["q"]): x["distance"] for x in dedup.close_hashes(df, df.withColumnRenamed("p", "q"), 10, n).collect()}
+    assert got == {(a, b): d for a in signed for b in signed if (d := ((a ^ b) % (1 << 64)).bit_count()) <= 10}
+
+
+def test_near_classes_and_long_chains(spark):
+    rows = [(i, 0) for i in range(300)] + [(1000 + i, 1) for i in range(5)] + [(2000, 1 << 40)]
+    df = spark.createDataFrame(rows, "id bigint, phash bigint")
+    assert {tuple(r) for r in dedup.near_classes(df).collect()} == {(0, 1000, 1, 300, 5), (0, 2000, 1, 300, 1), (1000, 2000, 2, 5, 1)}
+    chain = spark.createDataFrame([(i,) for i in range(12)], "id bigint")
+    steps = spark.createDataFrame([(i, i + 1) for i in range(11)], "a bigint, b bigint")
+    assert {r["id"]: r["leader"] for r in dedup.leaders(chain, steps).collect()} == {i: i - i % 2 for i in range(12)}
+
+
 def test_batch_plan_is_the_sequential_rule(spark):
     r = random.Random(5)
     base = [r.getrandbits(63) for _ in range(6)]
