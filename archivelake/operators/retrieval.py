@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -165,10 +168,6 @@ def lexical_rerank(pool: DataFrame) -> DataFrame:
 
 def neural_rerank(pool: DataFrame, scorer) -> DataFrame:
     """Re-rank with a model: ``scorer()`` is loaded once per Python worker and maps lists of (query, text) to scores."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         model = scorer()

@@ -153,9 +153,10 @@ def region_crop_bbox(spark, d):
 # vectors and retrieval
 
 
-@query("""SELECT 'text' AS space, conv_id || '#p' || turn AS vec_id, CAST(conv_id AS VARCHAR) AS asset_id, CAST(turn AS INTEGER) AS page_index, CAST(NULL AS INTEGER) AS region_index FROM conversations WHERE length(trim(text)) > 0
-UNION ALL SELECT 'visual', conv_id || '#p' || turn || '#r0', CAST(conv_id AS VARCHAR), CAST(turn AS INTEGER), 0 FROM conversations WHERE turn % 2 = 1
-UNION ALL SELECT 'clip', 'e' || vec_id, 'e' || vec_id, NULL, NULL FROM embeddings""")
+@query("WITH src AS (SELECT conv_id || '#p' || turn AS id, text AS txt FROM conversations UNION ALL SELECT conv_id || '#p' || turn || '#r0', role FROM conversations WHERE turn % 2 = 1), " + B.embedded("e", "src") + """, v AS (SELECT id, string_agg(b || ':' || CAST(round(10000 * x) AS BIGINT), ' ' ORDER BY b) AS vector FROM (SELECT id, CAST(b AS INTEGER) AS b, x FROM e) GROUP BY 1)
+SELECT 'text' AS space, conv_id || '#p' || turn AS vec_id, CAST(conv_id AS VARCHAR) AS asset_id, CAST(turn AS INTEGER) AS page_index, CAST(NULL AS INTEGER) AS region_index, vector FROM conversations JOIN v ON id = conv_id || '#p' || turn WHERE length(trim(text)) > 0
+UNION ALL SELECT 'visual', conv_id || '#p' || turn || '#r0', CAST(conv_id AS VARCHAR), CAST(turn AS INTEGER), 0, vector FROM conversations JOIN v ON id = conv_id || '#p' || turn || '#r0' WHERE turn % 2 = 1
+UNION ALL SELECT 'clip', 'e' || vec_id, 'e' || vec_id, NULL, NULL, array_to_string(list_transform(embedding[1:4], lambda x: CAST(CAST(round(10000 * CAST(x AS DOUBLE)) AS BIGINT) AS VARCHAR)), ' ') FROM embeddings""")
 def vectors_flatten(spark, d):
     e = H.hash_embedding(F.col("text"))
     none = F.lit(None).cast("array<double>")
@@ -163,7 +164,11 @@ def vectors_flatten(spark, d):
     turns = B.read(spark, d, "conversations").select("conv_id", F.struct(F.col("turn").cast("int").alias("page_index"), e.alias("text_vector"), F.when(F.col("turn") % 2 == 1, F.array(region)).otherwise(F.filter(F.array(region), lambda r: F.lit(False))).alias("regions")).alias("p"))
     docs = turns.groupBy(F.col("conv_id").cast("string").alias("asset_id")).agg(F.lit("pdf").alias("kind"), F.collect_list("p").alias("pages"), F.first(F.struct(none.alias("visual"), none.alias("text"), none.alias("clip"))).alias("embeddings"))
     images = B.read(spark, d, "embeddings").select(F.concat(F.lit("e"), "vec_id").alias("asset_id"), F.lit("image").alias("kind"), F.struct(none.alias("visual"), none.alias("text"), F.col("embedding").cast("array<double>").alias("clip")).alias("embeddings"))
-    return V.flatten(docs.unionByName(images, allowMissingColumns=True)).select("space", "vec_id", "asset_id", "page_index", "region_index")
+    rows = V.flatten(docs.unionByName(images, allowMissingColumns=True))
+    value = lambda x: F.round(x.cast("double") * 10000).cast("bigint").cast("string")
+    filled = F.filter(F.transform("embedding", lambda x, i: F.when(x != 0, F.concat(i, F.lit(":"), value(x)))), lambda x: x.isNotNull())
+    vector = F.when(F.col("space") == "clip", F.array_join(F.transform(F.slice("embedding", 1, 4), value), " ")).otherwise(F.array_join(filled, " "))
+    return rows.select("space", "vec_id", "asset_id", "page_index", "region_index", vector.alias("vector"))
 
 
 KNN = """WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS sim FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0)
@@ -220,17 +225,33 @@ def matched_spaces(spark, d):
 # searches
 
 
+LAKE = "WITH " + B.lake_ctes() + "\n"
+
+
 def _live(spark, d):
     return B.assets(spark, d).select("asset_id", "state", "kind", "has_text", "labels")
 
 
-def _search(spark, d, **filters):
-    fused = R.fuse(B.texts_ranks(spark, d)).withColumn("asset_id", F.col("entity"))
-    return search.assemble(fused, _live(spark, d), **filters).select("query_id", "rank", "entity", "score")
+def _search(spark, d, **options):
+    """Text search of the benchmark items over the nested assets, as result rows."""
+    asked = B.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = search.text_search(asked, B.lake_vectors(spark, d), B.lake(spark, d), H.hash_embedding, **options)
+    return found.withColumn("objects", F.array_join("objects", ","))
 
 
 def _search_sql(where: str = "TRUE", limit: int = 10) -> str:
-    return SEARCH + f"SELECT query_id, CAST(rank AS INTEGER) AS rank, entity, score FROM (SELECT f.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity) AS rank FROM fused f JOIN assets a ON a.asset_id = f.entity WHERE a.state = 'active' AND {where}) WHERE rank <= {limit}"
+    return LAKE + f"""SELECT query_id, CAST(rank AS INTEGER) AS rank, entity AS id, path, page, kind, score, caption, objects, matched, FALSE AS reranked
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity) AS rank FROM hits WHERE {where}) WHERE rank <= {limit}"""
+
+
+def _again_sql(limit: int, gap: str) -> str:
+    words = "list_distinct(list_filter(string_split_regex(lower({}), '\\s+'), lambda x: x <> ''))"
+    return LAKE + f""", pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity) AS position FROM hits) WHERE position <= {max(3 * limit, 20)}),
+g AS (SELECT query_id, max(score) FILTER (position = 1) AS a, max(score) FILTER (position = 2) AS b FROM pool GROUP BY 1),
+w AS (SELECT pool.*, b IS NOT NULL AND {gap} AS reranked, round(len(list_intersect({words.format("t.text")}, {words.format("ce")})) / greatest(1, len({words.format("t.text")})), 6) AS ce_score
+  FROM pool JOIN g USING (query_id) JOIN benchmark t ON item_id = query_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN reranked THEN ce_score END DESC, position) AS rank FROM w)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, entity AS id, path, page, kind, score, caption, objects, matched, reranked FROM o WHERE rank <= {limit}"""
 
 
 @query(_search_sql())
@@ -238,10 +259,15 @@ def search_text(spark, d):
     return _search(spark, d)
 
 
-@query(_search_sql(limit=30))
+@query(_again_sql(5, "TRUE"))
 def search_pool(spark, d):
-    fused = R.fuse(B.texts_ranks(spark, d)).withColumn("asset_id", F.col("entity"))
-    return search.assemble(fused, _live(spark, d), limit=30).select("query_id", "rank", "entity", "score")
+    """The re-rank looks at the pool of 20, so rows beyond the limit of 5 come up."""
+    return _search(spark, d, limit=5, rerank=R.lexical_rerank)
+
+
+@query(_again_sql(10, "CASE WHEN a > 0 THEN (a - b) / a ELSE 1.0 END < 0.01"))
+def search_gated(spark, d):
+    return _search(spark, d, rerank=R.lexical_rerank, gap=0.01)
 
 
 @query(_search_sql("kind = 'pdf'"))
@@ -254,9 +280,9 @@ def search_filter_has_text(spark, d):
     return _search(spark, d, with_text=True)
 
 
-@query(_search_sql("lang = 'fr'"))
+@query(_search_sql("list_contains(labels, 'user')"))
 def search_filter_object(spark, d):
-    return _search(spark, d, label=" FR ")
+    return _search(spark, d, label=" User ")
 
 
 @query(SEARCH + "SELECT query_id, count(*) AS n, count(*) FILTER (state = 'active') AS live FROM fused JOIN assets ON asset_id = entity GROUP BY 1")
@@ -301,13 +327,16 @@ def page_types(spark, d):
     return B.read(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(pages, lambda p: p["page_type"]), ",").alias("page_types"))
 
 
-@query("WITH k AS (" + KNN + ") SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (SELECT query_id, vec_id, round(1.0::DOUBLE / (60 + rank), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM k WHERE vec_id % 11 <> 0) WHERE r <= 20")
+@query("WITH k AS (" + KNN + """) SELECT query_id, CAST(r AS INTEGER) AS rank, CAST(vec_id AS VARCHAR) AS id, '/lake/' || vec_id || '.png' AS path, score, 'clip' AS matched
+FROM (SELECT query_id, vec_id, round(1.0::DOUBLE / (60 + rank), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(1.0::DOUBLE / (60 + rank), 6) DESC, CAST(vec_id AS VARCHAR)) AS r FROM k WHERE vec_id % 11 <> 0) WHERE r <= 20""")
 def search_by_vector(spark, d):
-    near = knn_top_k(spark, d)
-    live = B.read(spark, d, "embeddings").where("vec_id % 11 <> 0").select("vec_id")
-    order = Window.partitionBy("query_id").orderBy("rank")
-    rows = near.join(live, "vec_id", "left_semi").withColumn("score", F.round(F.lit(1.0) / (60 + F.col("rank")), 6)).withColumn("rank", F.row_number().over(order))
-    return rows.where("rank <= 20").select("query_id", "rank", "vec_id", "score")
+    v = B.read(spark, d, "embeddings")
+    none = F.lit(None)
+    held = v.select(F.lit("clip").alias("space"), "vec_id", F.col("vec_id").cast("string").alias("asset_id"), none.cast("int").alias("page_index"), "embedding")
+    assets = v.select(F.col("vec_id").cast("string").alias("asset_id"), F.when(F.col("vec_id") % 11 == 0, "deleted").otherwise("active").alias("state"), F.concat(F.lit("/lake/"), "vec_id", F.lit(".png")).alias("path"), F.lit("image").alias("kind"))
+    full = B.lake(spark, d).limit(0).unionByName(assets, allowMissingColumns=True)
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return search.image_search(asked, held, full).select("query_id", "rank", "id", "path", "score", "matched")
 
 
 @query(KNN.replace("rank <= 50", "rank <= 13").join(["WITH k AS (", ") SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM k WHERE vec_id <> query_id AND vec_id % 11 <> 0) WHERE r <= 12"]))

@@ -51,6 +51,43 @@ def no_labels():
     return F.array().cast("array<string>")
 
 
+def lake(spark: SparkSession, d: str) -> DataFrame:
+    """Nested assets: documents as images, conversations as paged files whose even turns hold a region."""
+    rows = read(spark, d, "documents")
+    label = lambda c: F.struct(c.alias("label"))
+    images = rows.select(
+        F.concat(F.lit("d"), "doc_id").alias("asset_id"), F.concat(F.lit("/lake/d"), "doc_id", F.lit(".png")).alias("path"), F.lit("image").alias("kind"),
+        F.when(F.col("doc_id") % 11 == 0, "deleted").otherwise("active").alias("state"), F.array(label(F.col("lang"))).alias("objects"),
+        F.struct(F.substring(F.substring_index("text", "\n", 1), 1, 300).alias("caption"), F.array("source").alias("tags")).alias("scene"),
+        F.struct(F.col("text").alias("full_text"), (F.length(T.strip(F.col("text"))) > 0).alias("has_text")).alias("ocr"),
+    )
+    region = F.struct(F.struct(F.col("role").alias("caption")).alias("scene"), F.array(label(F.col("role"))).alias("objects"))
+    page = F.struct(F.col("turn").cast("int").alias("page_index"), F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("text")).alias("text"), F.when(F.col("turn") % 2 == 0, F.array(region)).otherwise(F.filter(F.array(region), lambda _: F.lit(False))).alias("regions"))
+    files = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(page)).alias("pages"))
+    files = files.select(
+        F.concat(F.lit("c"), "conv_id").alias("asset_id"), F.concat(F.lit("/lake/c"), "conv_id", F.lit(".pdf")).alias("path"), F.lit("pdf").alias("kind"),
+        F.when(F.col("conv_id") % 11 == 0, "deleted").otherwise("active").alias("state"), "pages",
+    )
+    return images.unionByName(files, allowMissingColumns=True)
+
+
+def lake_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of ``lake``: texts of images and pages, and the visual inputs of images and regions."""
+    own = lake(spark, d)
+    none = F.lit(None).cast("int")
+    images = own.where("kind = 'image'").select("asset_id", F.inline(F.array(
+        F.struct(F.lit("text").alias("space"), F.col("ocr.full_text").alias("txt")),
+        F.struct(F.lit("visual").alias("space"), T.visual_input(F.col("scene.caption"), F.col("scene.tags"), F.transform("objects", lambda o: o["label"])).alias("txt")),
+    ))).select("space", F.col("asset_id").alias("vec_id"), "asset_id", none.alias("page_index"), "txt")
+    pages = own.where("kind = 'pdf'").select("asset_id", F.explode("pages").alias("p")).withColumn("page_id", F.concat("asset_id", F.lit("#p"), "p.page_index"))
+    texts = pages.select(F.lit("text").alias("space"), F.col("page_id").alias("vec_id"), "asset_id", "p.page_index", F.col("p.text").alias("txt"))
+    regions = pages.select("asset_id", "page_id", "p.page_index", F.posexplode("p.regions").alias("region_index", "r"))
+    visual = T.visual_input(F.col("r.scene.caption"), no_labels(), F.transform("r.objects", lambda o: o["label"]))
+    regions = regions.select(F.lit("visual").alias("space"), F.concat("page_id", F.lit("#r"), "region_index").alias("vec_id"), "asset_id", "page_index", visual.alias("txt"))
+    every = images.unionByName(texts).unionByName(regions)
+    return every.select("space", "vec_id", "asset_id", "page_index", H.hash_embedding(F.col("txt")).alias("embedding"))
+
+
 def embedded(name: str, source: str) -> str:
     """CTEs of sparse unit vectors name(id, b, x) from source(id, txt)."""
     return f"""{name}_t AS (SELECT id, unnest(list_filter(string_split_regex(lower(txt), '\\s+'), lambda x: x <> '')) AS t FROM {source}),
@@ -81,6 +118,26 @@ def search_ctes() -> str:
     )
 
 
+def lake_ctes() -> str:
+    """CTEs of ``lake``: ents (live images and pages), ranks per space and fused."""
+    return ",\n".join(
+        [
+            """pg AS (SELECT 'c' || conv_id AS asset, 'c' || conv_id || '#p' || turn AS id, turn, role, conv_id, CASE WHEN turn % 3 = 0 THEN '' ELSE text END AS txt FROM conversations)""",
+            """ents AS (SELECT 'd' || doc_id AS entity, '/lake/d' || doc_id || '.png' AS path, CAST(NULL AS INTEGER) AS page, 'image' AS kind, substr(split_part(text, chr(10), 1), 1, 300) AS caption, lang AS objects, [lang] AS labels,
+  length(trim(text)) > 0 AS has_text, substr(split_part(text, chr(10), 1), 1, 300) || ' ' || source || ' ' || lang || ' ' || text AS ce FROM documents WHERE doc_id % 11 <> 0
+UNION ALL SELECT id, '/lake/' || asset || '.pdf', CAST(turn AS INTEGER), 'pdf', CASE WHEN txt <> '' THEN substr(txt, 1, 120) WHEN turn % 2 = 0 THEN role ELSE 'page ' || (turn + 1) END, CASE WHEN turn % 2 = 0 THEN role ELSE '' END,
+  list(role) FILTER (turn % 2 = 0) OVER (PARTITION BY conv_id), length(trim(txt)) > 0, txt || CASE WHEN turn % 2 = 0 THEN ' ' || role || ' ' || role ELSE '' END FROM pg WHERE conv_id % 11 <> 0)""",
+            "dt AS (SELECT 'd' || doc_id AS id, text AS txt FROM documents UNION ALL SELECT id, txt FROM pg)",
+            "dv AS (SELECT 'd' || doc_id AS id, array_to_string(list_filter([substr(split_part(text, chr(10), 1), 1, 300), source, lang], lambda x: x <> ''), ' ') AS txt FROM documents UNION ALL SELECT id || '#r0', role || ' ' || role FROM pg WHERE turn % 2 = 0)",
+            "bq AS (SELECT item_id AS id, text AS txt FROM benchmark)", embedded("et", "dt"), embedded("ev", "dv"), embedded("eq", "bq"), ranked("rt", "eq", "et"), ranked("rv", "eq", "ev"),
+            """ranks AS (SELECT 'text' AS source, query_id, entity, rank FROM rt UNION ALL SELECT 'visual', query_id, replace(entity, '#r0', ''), rank FROM rv)""",
+            FUSED.split("\n", 1)[1],
+            """hits AS (SELECT f.query_id, f.entity, f.score, path, page, kind, caption, objects, labels, has_text, ce, CASE WHEN n = 2 THEN 'visual,text' ELSE src END AS matched
+  FROM fused f JOIN ents USING (entity) JOIN (SELECT query_id, entity, count(*) AS n, any_value(source) AS src FROM ranks GROUP BY 1, 2) USING (query_id, entity))""",
+        ]
+    )
+
+
 def texts_ranks(spark: SparkSession, d: str) -> DataFrame:
     """Ranks per space of all benchmark items over all assets."""
     from ..operators import retrieval as R

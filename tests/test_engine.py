@@ -80,6 +80,72 @@ def test_band_join_finds_every_near_pair(spark):
 
 
 @pytest.mark.parametrize("n", [10, 10**6, 10**12])
+def nested(spark, rows):
+    """Nested assets from (asset_id, state, caption, text, labels, pages of (index, text, region captions))."""
+    kind = "asset_id string, path string, kind string, state string, scene struct<caption:string,tags:array<string>>, objects array<struct<label:string>>, ocr struct<full_text:string,has_text:boolean>,"
+    kind += " pages array<struct<page_index:int,text:string,regions:array<struct<scene:struct<caption:string>,objects:array<struct<label:string>>>>>>"
+    made = []
+    for asset, state, caption, text, labels, pages in rows:
+        own = [(i, t, [((c,), [(c.upper(),)]) for c in caps]) for i, t, caps in pages] if pages else None
+        made.append((asset, f"/x/{asset}", "pdf" if pages else "image", state, (caption, ["tag"]), [(x,) for x in labels], (text, bool(text)), own))
+    return spark.createDataFrame(made, kind)
+
+
+def ranks_of(spark, rows):
+    return spark.createDataFrame(rows, "query_id bigint, source string, entity string, rank int, asset_id string, page_index int")
+
+
+def test_result_rows_of_images_and_pages(spark):
+    assets = nested(spark, [("a", "active", "a cat", "on a mat", ["Cat"], None), ("p", "active", "", "", [], [(0, "", ["chart"]), (1, "words " * 40, []), (2, " ", [])]), ("gone", "deleted", "x", "y", [], None)])
+    ranks = ranks_of(spark, [(1, "text", "p#p1", 1, "p", 1), (1, "text", "gone", 2, "gone", None), (1, "visual", "a", 1, "a", None), (1, "text", "a", 3, "a", None), (1, "visual", "p#p0", 2, "p", 0), (1, "text", "p#p2", 9, "p", 2)])
+    top = lambda **k: {r["id"]: r for r in search.results(ranks, assets, **k).collect()}
+    got = top()
+    assert set(got) == {"a", "p#p0", "p#p1", "p#p2"} and got["a"]["matched"] == "visual,text" and got["p#p1"]["matched"] == "text"
+    assert [got[i]["caption"] for i in ("a", "p#p0", "p#p1", "p#p2")] == ["a cat", "chart", ("words " * 40)[:120], " "]
+    assert (got["p#p0"]["page"], got["p#p0"]["kind"], got["p#p0"]["path"], got["p#p0"]["objects"]) == (0, "pdf", "/x/p", ["CHART"]) and got["a"]["objects"] == ["Cat"]
+    assert got["a"]["rank"] == 1 and not got["a"]["reranked"]
+    assert set(top(with_text=True)) == {"a", "p#p1"} and set(top(kind="pdf")) == {"p#p0", "p#p1", "p#p2"}
+    assert set(top(label="chart")) == {"p#p0", "p#p1", "p#p2"} and set(top(label="cat ")) == {"a"} and top(label="dog") == {}
+
+
+def test_rerank_reorders_the_pool_across_the_limit(spark):
+    assets = nested(spark, [(f"i{n:02}", "active", f"thing {'wanted words' if n == 15 else ''}", "", [], None) for n in range(25)])
+    ranks = ranks_of(spark, [(1, "text", f"i{n:02}", n + 1, f"i{n:02}", None) for n in range(25)])
+    asked = spark.createDataFrame([(1, "wanted words")], "query_id bigint, text string")
+    go = lambda **k: [(r["id"], r["reranked"]) for r in search.results(ranks, assets, asked, 3, **k).orderBy("rank").collect()]
+    assert go() == [("i00", False), ("i01", False), ("i02", False)]
+    assert go(rerank=R.lexical_rerank) == [("i15", True), ("i00", True), ("i01", True)]
+    assert go(rerank=R.lexical_rerank, gap=1e-9) == go() and go(rerank=R.lexical_rerank, gap=0.5)[0] == ("i15", True)
+    scorer = lambda: lambda pairs: [1.0 if "thing" in t and i == 2 else 0.0 for i, (q, t) in enumerate(pairs)]
+    again = go(rerank=lambda pool: R.neural_rerank(pool.coalesce(1), scorer))
+    assert len(again) == 3 and all(x[1] for x in again)
+    clip = ranks.unionByName(ranks_of(spark, [(1, "clip", "i02", 1, "i02", None)]))
+    blended = [r["id"] for r in search.results(clip, assets, asked, 3, rerank=R.lexical_rerank).orderBy("rank").collect()]
+    assert blended[:2] == ["i02", "i15"]  # 2 / 62 + 1 / 61 beats 2 / 61 + 1 / 111
+
+
+def test_text_search_end_to_end(spark):
+    assets = nested(spark, [("a", "active", "madrid metro", "", [], None), ("b", "active", "", "madrid metro timetable", [], None), ("p", "active", "", "", [], [(0, "warehouse safety", []), (1, "madrid metro timetable", [])])])
+    rows = [("visual", "a", "a", None, "madrid metro"), ("text", "b", "b", None, "madrid metro timetable"), ("text", "p#p0", "p", 0, "warehouse safety"), ("text", "p#p1", "p", 1, "madrid metro timetable")]
+    vectors = spark.createDataFrame(rows, "space string, vec_id string, asset_id string, page_index int, txt string").withColumn("embedding", H.hash_embedding(F.col("txt")))
+    asked = spark.createDataFrame([(1, "madrid metro timetable"), (2, " \n")], "query_id bigint, text string")
+    got = search.text_search(asked, vectors, assets, H.hash_embedding).orderBy("rank").collect()
+    assert {r["query_id"] for r in got} == {1} and [r["id"] for r in got if r["matched"] == "text"][:2] == ["b", "p#p1"] and got[0]["score"] > got[-1]["score"]
+    found = search.text_search(asked, vectors, assets, H.hash_embedding, kind="pdf")
+    assert {r["id"] for r in found.collect()} == {"p#p0", "p#p1"}
+    texts = spark.createDataFrame([("b", "madrid metro timetable"), ("p#p1", "page words")], "id string, text string")
+    found = search.text_search(asked, vectors, assets, H.hash_embedding)
+    silent = search.ask(found, texts, asked).first()
+    assert silent["answer"] == search.UNAVAILABLE and "page words" in silent["context"] and silent["sources"][0] in ("a", "b", "p#p1")
+    assert search.ask(found, texts, asked, lambda: lambda q, c: f"{q}: {len(c) > 5}").first()["answer"] == "madrid metro timetable: True"
+
+    def broken():
+        raise OSError("no model")
+
+    assert search.ask(found, texts, asked, broken).first()["answer"] == search.UNAVAILABLE
+    assert search.agent_rows(found).columns == ["query_id", "rank", "id", "kind", "page", "caption", "score", "matched"]
+
+
 def test_every_scheme_of_bands_is_exact(spark, n):
     """Few wide bands, as taken for many hashes, find the same pairs as many narrow ones."""
     r = random.Random(n)
