@@ -1,67 +1,79 @@
-"""Command line: index a folder, search it, show counts, reconcile."""
+"""Command line: index, search, watch and measure folders, show counts, reconcile."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import schema
-from .functions import hashing
-from .operators import dedup, lifecycle, search, vectors
+from .archive import Archive, report_text
 from .sources import scan
-from .sources.store import Store
 
 
-def derive(assets: DataFrame) -> DataFrame:
-    """Vectors of file-level assets: stand-in caption and labels for the visual space."""
-    visual = F.concat_ws(" ", "caption", F.array_join("labels", " "))
-    return assets.select(F.lit("visual").alias("space"), F.col("asset_id").alias("vec_id"), "asset_id", F.col("asset_id").alias("entity"), hashing.hash_embedding(visual).alias("embedding"))
+def shown(r) -> str:
+    page = f" (page {r['page'] + 1})" if r["page"] is not None else ""
+    return f"{r['rank']:>3}  {r['score']:.6f}  {r['path']}{page}\n     {r['caption']}\n     {', '.join(r['objects'])}"
 
 
-def index(spark: SparkSession, store: Store, folder: str) -> dict:
-    """Plan the folder against the store and commit the new state; returns the tally of actions."""
-    found = scan.hashed(scan.files(spark, folder)).join(scan.images(spark, folder), "path", "left")
-    found = found.select("path", "size_bytes", "sha256", F.coalesce("pixel_hash", F.lit("")).alias("pixel_hash"), hashing.hex_to_long(F.coalesce("phash", F.lit(""))).alias("phash"))
-    found = found.withColumn("id", F.col("path")).checkpoint() if spark.sparkContext.getCheckpointDir() else found.withColumn("id", F.col("path"))
-    old = store.assets()
-    if old is None:
-        old = spark.createDataFrame([], "asset_id string, path string, size_bytes bigint, sha256 string, pixel_hash string, phash bigint, caption string, labels array<string>, state string, indexed boolean")
-    plan = dedup.batch_plan(found, old.where("state = 'active'"))
-    tally = {r["action"]: r["n"] for r in plan.groupBy("action").agg(F.count("*").alias("n")).collect()}
-    taken = found.join(plan.where("action in ('insert', 'update')").select("id"), "id", "left_semi")
-    new = taken.select(F.col("path").alias("asset_id"), "path", "size_bytes", "sha256", "pixel_hash", "phash", hashing.stub_caption(F.col("path")).alias("caption"), hashing.stub_labels(F.col("path")).alias("labels"), F.lit("active").alias("state"), F.lit(True).alias("indexed"))
-    store.commit(old.join(new.select("asset_id"), "asset_id", "left_anti").unionByName(new))
-    return tally
+def parser() -> argparse.ArgumentParser:
+    top = argparse.ArgumentParser(prog="archivelake")
+    top.add_argument("--store", default="archivelake-store")
+    verbs = top.add_subparsers(dest="verb", required=True)
+    for verb in ("index", "bench", "watch"):
+        p = verbs.add_parser(verb)
+        p.add_argument("path")
+        p.add_argument("--force", action="store_true")
+        p.add_argument("--at-once", type=int, default=None, help="tasks that use the captioning model at a time")
+    verbs.choices["bench"].add_argument("--warm-up", action="store_true")
+    verbs.choices["watch"].add_argument("--seconds", type=float, default=5.0)
+    verbs.choices["watch"].add_argument("--rounds", type=int, default=None, help="stop after so many looks")
+    p = verbs.add_parser("search")
+    p.add_argument("query")
+    p.add_argument("--limit", type=int, default=10)
+    p.add_argument("--kind", choices=["image", "pdf"])
+    p.add_argument("--has-text", action="store_true")
+    p.add_argument("--object")
+    for verb in ("stats", "reconcile", "recover", "version"):
+        verbs.add_parser(verb)
+    return top
 
 
-def main(argv: list[str] | None = None) -> int:
-    parser = argparse.ArgumentParser(prog="archivelake")
-    parser.add_argument("verb", choices=["index", "search", "stats", "reconcile", "version"])
-    parser.add_argument("what", nargs="?", default="")
-    parser.add_argument("--store", default="archivelake-store")
-    parser.add_argument("--limit", type=int, default=10)
-    args = parser.parse_args(argv)
+def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    args = parser().parse_args(argv)
     if args.verb == "version":
         print(schema.VERSION)
         return 0
-    spark = SparkSession.builder.getOrCreate()
-    store = Store(spark, args.store, derive)
-    if args.verb == "index":
-        print(json.dumps(index(spark, store, args.what), sort_keys=True))
-    elif store.current() is None:
-        print("the store is empty")
+    archive = Archive(spark or SparkSession.builder.getOrCreate(), args.store)
+    if args.verb in ("index", "bench"):
+        if scan.files(archive.spark, args.path).isEmpty():
+            print(f"nothing to index at {args.path}")
+        elif args.verb == "bench":
+            if args.warm_up:  # loads models and compiles code
+                archive.duplicates(args.path)["exact"].count()
+            print(report_text(archive.index(args.path, args.force, args.at_once), args.warm_up))
+        else:
+            print(json.dumps(archive.index(args.path, args.force, args.at_once)["stats"], sort_keys=True))
+    elif args.verb == "watch":
+        n = 0
+        while args.rounds is None or n < args.rounds:
+            stats = archive.index(args.path, args.force, args.at_once)["stats"]
+            if stats.get("indexed") or stats.get("updated"):
+                print(json.dumps(stats, sort_keys=True), flush=True)
+            n += 1
+            if args.rounds is None or n < args.rounds:
+                time.sleep(args.seconds)
     elif args.verb == "search":
-        asked = spark.createDataFrame([(1, args.what)], "query_id bigint, text string")
-        for r in search.text_search(asked, store.vectors(), store.assets().select("asset_id", "state"), hashing.hash_embedding, args.limit).orderBy("rank").collect():
-            print(r["rank"], r["score"], r["asset_id"])
+        found = archive.search(args.query, args.limit, kind=args.kind, has_text=args.has_text, label=args.object).orderBy(F.col("rank")).collect()
+        print("\n".join(map(shown, found)) if found else "no results")
     elif args.verb == "stats":
-        for r in vectors.stats(store.assets(), store.vectors()).collect():
-            print(r["name"], r["n"])
+        for name, n in archive.stats().items():
+            print(name, n)
     else:
-        print(json.dumps(lifecycle.reconcile(store.assets(), store.vectors()).first().asDict()))
+        print(json.dumps(archive.reconcile() if args.verb == "reconcile" else archive.recover()))
     return 0
 
 

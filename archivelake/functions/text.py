@@ -72,6 +72,12 @@ def flatten_blocks(blocks: Column) -> Column:
     return F.struct(text.alias("full_text"), (~is_blank(text)).alias("has_text"))
 
 
+def flatten_ocr(blocks: Column) -> Column:
+    """struct(full_text, text_blocks, has_text) of recognised text blocks."""
+    text = F.array_join(blocks, "\n")
+    return F.struct(text.alias("full_text"), blocks.alias("text_blocks"), (~is_blank(text)).alias("has_text"))
+
+
 def page_type(text_len: Column, n_images: Column) -> Column:
     return (
         F.when(text_len >= MIN_TEXT, F.when(n_images >= 1, "mixed").otherwise("born_digital_text"))

@@ -13,4 +13,4 @@ ASSETS = (
 )
 VECTORS = "space string, vec_id string, asset_id string, page_index int, region_index int, embedding array<float>"
 SPACES = ("visual", "text", "clip")
-VERSION = "3.0-stage0"
+VERSION = "0.2"

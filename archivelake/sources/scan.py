@@ -69,11 +69,16 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def documents(rows: DataFrame, reader: Callable[[bytes], list[tuple[str, list]]]) -> DataFrame:
-    """Pages of binary documents: ``reader`` turns bytes into (text, image boxes) per page and is called in the workers."""
+    """Pages of binary documents: ``reader`` turns bytes into (text, image boxes) per page and is called in the workers; a document
+    that it fails on has no pages."""
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(p, i, t, len(boxes)) for p, c in zip(b["path"], b["content"], strict=True) for i, (t, boxes) in enumerate(reader(bytes(c)))]
-            yield pd.DataFrame(out, columns=["path", "page_index", "text", "n_images"])
-
-    pages = rows.select("path", "content").mapInPandas(one, "path string, page_index int, text string, n_images int")
-    return pages.withColumn("page_type", text.page_type(F.length("text"), F.col("n_images")))
+            out = []
+            for path, content in zip(b["path"], b["content"], strict=True):
+                try:
+                    out += [(path, i, t, [[float(v) for v in box] for box in boxes]) for i, (t, boxes) in enumerate(reader(bytes(content)))]
+                except Exception:  # noqa: BLE001 - an unreadable document must not stop the others
+                    continue
+            yield pd.DataFrame(out, columns=["path", "page_index", "text", "boxes"])
+
+    return rows.select("path", "content").mapInPandas(one, "path string, page_index int, text string, boxes array<array<double>>")

@@ -8,10 +8,11 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from archivelake import models
+from archivelake import cli, models, schema
+from archivelake.archive import Archive
 from archivelake.functions import hashing as H
 from archivelake.functions import text as T
-from archivelake.operators import dedup, lifecycle, reporting, search
+from archivelake.operators import dedup, lifecycle, records, reporting, search
 from archivelake.operators import retrieval as R
 from archivelake.operators import vectors as V
 from archivelake.sources import scan
@@ -331,3 +332,104 @@ def test_entry_and_reports(spark, tiny):
     timings = {r["stage"]: r["n"] for r in e.queries()["stage_timings"](spark, tiny).collect()}
     assert set(timings) == set(reporting.STAGES) and timings["write"] == 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+GRADIENT = lambda shift: lambda x, y: ((4 * x + shift) % 256, 4 * y % 256, 2 * (x + y) % 256)
+
+
+def noise(seed):
+    r = random.Random(seed)
+    rows = [[r.randrange(256) for _ in range(48 * 3)] for _ in range(48)]
+    return lambda x, y: rows[y][3 * x : 3 * x + 3]
+
+
+def folder_of(tmp_path, **files):
+    folder = tmp_path / "files"
+    folder.mkdir(exist_ok=True)
+    for name, data in files.items():
+        (folder / name.replace("_", ".")).write_bytes(data)
+    return folder
+
+
+def pages_reader():
+    """Of test documents: pages divided by form feeds, each text and number of images after a bar."""
+    def read(data):
+        if data.startswith(b"broken"):
+            raise ValueError("broken")
+        return [(t, [[0.0, 0.0, 10.0, 10.0]] * int(n)) for t, n in (p.split("|") for p in data.decode().split("\f"))]
+
+    return read
+
+
+def test_archive_end_to_end(spark, tmp_path):
+    text = "Quarterly figures of the harbour, with tables and notes."
+    folder = folder_of(tmp_path, a_png=png(noise(1), 48, 48, 6), b_png=png(noise(2), 48, 48, 6), copy_png=png(noise(1), 48, 48, 1), doc_pdf=f"{text}|0\fscan|1\f|12".encode(), bad_pdf=b"broken")
+    own = Archive(spark, f"file://{tmp_path}/archive", reader=pages_reader())
+    report = own.index(f"file://{folder}")
+    assert report["stats"] == {"indexed": 4, "duplicate": 1} and report["processed"] == 4 and set(report["timings"]) == set(reporting.STAGES)
+    assert own.index(f"file://{folder}")["stats"] == {"unchanged": 4, "duplicate": 1}
+    doc = own.asset(f"{folder}/doc.pdf")
+    assert [p["page_type"] for p in doc["pages"]] == ["born_digital_text", "scanned", "figure"] and [len(p["regions"]) for p in doc["pages"]] == [0, 1, 8]
+    assert doc["pages"][0]["text_input"] == text and doc["pages"][1]["regions"][0]["region_id"].endswith("doc.pdf#p1#r0") and doc["n_pages"] == 3
+    assert own.asset(f"{folder}/bad.pdf")["pages"] is None
+    image = own.asset(f"{folder}/b.png")
+    assert image["models_used"] == {"objects": "stub", "faces": "disabled", "scene": "stub", "ocr": "stub"} and image["resolution"] == {"width": 48, "height": 48} and image["format"] == "PNG"
+    stats = own.stats()
+    assert stats["assets"] == 4 and stats["text"] == 2 and stats["visual"] == 2 + 9 and stats["clip"] == 0
+    best = own.search("quarterly harbour figures").orderBy("rank").collect()
+    assert any(r["id"].endswith("doc.pdf#p0") and r["page"] == 0 and r["caption"] == text[:120] for r in best) and not any(r["reranked"] for r in best)
+    assert {r["kind"] for r in own.search("quarterly harbour figures", kind="image").collect()} == {"image"}
+    assert {r["id"] for r in own.search("quarterly", has_text="on").collect()} <= {f"{folder}/doc.pdf#p0", f"{folder}/doc.pdf#p1"}
+    listed = {r["id"]: r for r in own.library().collect()}
+    assert listed[f"{folder}/doc.pdf"]["caption"] == "PDF · 3 pages" and listed[f"{folder}/b.png"]["n_faces"] == 0
+    back = records.from_json(records.to_json(own.assets().where("kind = 'pdf'")))
+    assert back.schema.simpleString() == records.to_schema(own.assets()).schema.simpleString() and back.where("n_pages = 3").first()["pages"][0]["text"] == text
+    own.delete(f"{folder}/doc.pdf#p1")
+    assert own.asset(f"{folder}/doc.pdf") is None and own.stats()["text"] == 0
+    (folder / "b.png").write_bytes(png(noise(3), 48, 48, 6))
+    assert own.index(f"file://{folder}")["stats"] == {"unchanged": 2, "updated": 1, "indexed": 1, "duplicate": 1}
+    name = own.start(lambda a: a.index(f"file://{folder}", force=True))
+    assert own.jobs[name].wait()["state"] == "done" and own.status(name)["processed"] == 5 and own.status("x") == {"state": "unknown"}
+    exact = own.duplicates(f"file://{folder}")["exact"].collect()
+    assert [r["n"] for r in exact] == [2]
+    assert own.settings("yes")["enable_faces"] and not own.settings("no")["enable_faces"] and own.health()["scene"] is False
+
+
+def test_archive_with_models(spark, tmp_path):
+    """Models in place of the stand-ins: their labels are recorded, a failing one falls back for its row, faces come only where enabled."""
+    folder = folder_of(tmp_path, a_png=png(noise(1), 48, 48, 6), b_png=png(noise(2), 48, 48, 6))
+
+    def objects():
+        return lambda path: [("crane", 0.5, [1, 2, 3, 4])] if path.endswith("a.png") else 1 / 0
+
+    def ocr():
+        return lambda path: [{"rec_texts": ["Pier", "", "7"]}] if path.endswith("a.png") else [[[[0, 0], ("north", 0.9)], None, "x"]]
+
+    pixels = lambda: lambda path: [1.0, 0.0] if path.endswith("a.png") else [0.6, 0.8]
+    own = Archive(spark, f"file://{tmp_path}/m", models.Models(
+        objects=models.Model(objects, "detector"), ocr=models.Model(ocr, "reader"), scene=models.Model(lambda: lambda p: "Caption: A pier\nTags: pier; sea", "captioner"),
+        faces=models.Model(lambda: lambda p: [([0.1, 0.2], [0, 0, 1, 1], 0.9)], "faces"), clip=models.Model(pixels, "pixels"), clip_text=models.Model(lambda: lambda t: [0.6, 0.8], "pixels"), enable_faces=True,
+    ))
+    assert own.index(f"file://{folder}")["processed"] == 2
+    a, b = own.asset(f"{folder}/a.png"), own.asset(f"{folder}/b.png")
+    assert a["models_used"] == {"objects": "detector", "faces": "faces", "scene": "captioner", "ocr": "reader"} and b["models_used"]["objects"] == "stub"
+    assert a["ocr"] == {"full_text": "Pier\n7", "text_blocks": ["Pier", "7"], "has_text": True} and b["ocr"]["full_text"] == "north"
+    assert a["faces"][0]["face_id"] == "a.png#0" and a["scene"] == {"caption": "A pier", "tags": ["pier", "sea"]} and a["embeddings"]["visual_input"] == "A pier pier sea crane"
+    found = own.search("a pier", label="CRANE").collect()
+    assert [r["id"] for r in found] == [f"{folder}/a.png"] and found[0]["matched"] == "visual,text,clip"
+    assert [r["id"] for r in own.search_image([0.5, 0.9]).orderBy("rank").collect()] == [f"{folder}/b.png", f"{folder}/a.png"]
+    assert [r["id"] for r in own.similar(f"{folder}/a.png").collect()] == [f"{folder}/b.png"]
+    uploaded = own.process("../c.png", png(noise(4), 48, 48, 6))
+    assert uploaded["processed"] == 1 and uploaded["path"].endswith("/c.png") and own.stats()["assets"] == 3
+
+
+def test_cli(spark, tmp_path, capsys):
+    folder = folder_of(tmp_path, a_png=png(noise(1), 48, 48, 6))
+    store = ["--store", f"file://{tmp_path}/cli"]
+    run = lambda *a: (cli.main([*store, *a], spark), capsys.readouterr().out)[1]
+    assert run("version").strip() == schema.VERSION
+    assert '"indexed": 1' in run("watch", f"file://{folder}", "--rounds", "2", "--seconds", "0")
+    assert '"unchanged": 1' in run("index", f"file://{folder}")
+    assert "a.png" in run("search", "a street view scene room landscape", "--kind", "image") and run("search", "x", "--kind", "pdf").strip() == "no results"
+    assert "assets 1" in run("stats") and "orphans_purged" in run("reconcile") and "processed  1" in run("bench", f"file://{folder}", "--force", "--warm-up")
+    assert "nothing to index" in run("index", f"file://{tmp_path}/cli/commits")
