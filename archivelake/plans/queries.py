@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..functions import text as T
-from ..operators import dedup, lifecycle, reporting, search
+from .. import models as M
+from ..operators import dedup, lifecycle, records, reporting, search
 from ..operators import retrieval as R
 from ..operators import vectors as V
+from ..sources.store import Store, shared_folder
 from . import tables as B
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -370,6 +373,61 @@ def rag_context(spark, d):
     return search.rag_context(hits.select("query_id", "rank", F.concat(F.lit("/lake/"), "asset_id", F.lit(".pdf")).alias("path"), "page_index", F.col("role").alias("caption"), F.array(F.lit("turn"), "role").alias("labels"), "text"))
 
 
+@query(_search_sql().replace("AS id, path, page, kind, score, caption, objects, matched, FALSE AS reranked", "AS id, kind, page, caption, score, matched"))
+def agent_results(spark, d):
+    return search.agent_rows(_search(spark, d))
+
+
+@query(LAKE + """, a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity) AS rank FROM hits)
+SELECT query_id, string_agg('[' || rank || '] ' || split_part(path, '/', -1) || CASE WHEN page IS NULL THEN '' ELSE ' p' || (page + 1) END || ': ' || caption || ' ' || objects || ' ', chr(10) ORDER BY rank) AS context,
+  string_agg(entity, ',' ORDER BY rank) AS sources, 'The answering model is unavailable; these are the sources.' AS answer FROM a WHERE rank <= 5 GROUP BY 1""")
+def ask_sources(spark, d):
+    asked = B.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = search.text_search(asked, B.lake_vectors(spark, d), B.lake(spark, d), H.hash_embedding, limit=5)
+    no_texts = found.limit(0).select("id", F.lit("").alias("text"))
+    return search.ask(found, no_texts, asked).withColumn("sources", F.array_join("sources", ","))
+
+
+# records
+
+
+@query(A + f"""SELECT path, l1 AS first_label, caption, caption || ' ' || caption || ' ' || CASE WHEN l1 = l2 THEN l1 ELSE l1 || ' ' || l2 END AS visual_input, upper(lower(regexp_extract(path, '\\.([^./]+)$', 1))) AS format, 'disabled' AS faces, 'stub' AS scene
+  FROM (SELECT path, {POOL}[seed % 7 + 1] AS l1, {POOL}[seed // 7 % 7 + 1] AS l2, ['outdoor urban scene','indoor room','natural landscape','street view'][seed % 4 + 1] AS caption FROM (SELECT path, CAST('0x' || left(sha256(path), 8) AS BIGINT) AS seed FROM assets))""")
+def image_records(spark, d):
+    none = F.lit("")
+    files = B.assets(spark, d).select("path", "sha256", none.alias("pixel_hash"), none.alias("phash"), F.length("text").cast("bigint").alias("size_bytes"), F.lit(64).alias("width"), F.lit(48).alias("height"))
+    made = records.images(files, M.Models())
+    return made.select("path", F.get("objects.label", 0).alias("first_label"), F.col("scene.caption").alias("caption"), "embeddings.visual_input", "format", F.col("models_used")["faces"].alias("faces"), F.col("models_used")["scene"].alias("scene"))
+
+
+BOXES = "turn % 11"
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, trim(CASE WHEN turn % 3 = 0 THEN '' ELSE text END) AS txt, {BOXES} AS n FROM conversations),
+k AS (SELECT *, CASE WHEN length(txt) >= 40 THEN CASE WHEN n >= 1 THEN 'mixed' ELSE 'born_digital_text' END WHEN n >= 2 THEN 'figure' WHEN n = 1 THEN 'scanned' ELSE 'born_digital_text' END AS page_type FROM p)
+SELECT '/lake/c' || conv_id || '.pdf' AS path, count(*) AS n_pages, string_agg(page_type, ',' ORDER BY turn) AS page_types, sum(CASE WHEN page_type = 'born_digital_text' THEN 0 WHEN n > 0 THEN least(8, n) ELSE 1 END)::BIGINT AS n_regions,
+  sum(CASE WHEN txt <> '' THEN 1 ELSE 0 END)::BIGINT AS n_texts, 'PDF · ' || count(*) || ' pages' AS caption FROM k GROUP BY conv_id""")
+def document_records(spark, d):
+    path = F.concat(F.lit("/lake/c"), "conv_id", F.lit(".pdf")).alias("path")
+    turns = B.read(spark, d, "conversations")
+    box = F.array(*[F.lit(float(x)) for x in (0, 0, 9, 9)])
+    pages = turns.select(path, F.col("turn").cast("int").alias("page_index"), F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("text")).alias("text"), F.array_repeat(box, F.expr(BOXES).cast("int")).alias("boxes"))
+    files = turns.select(path).distinct().select("path", F.lit("sha256:0").alias("sha256"), F.lit(0).cast("bigint").alias("size_bytes"))
+    made = records.documents(files, pages, M.Models())
+    shown = records.summaries(made).select("path", "caption")
+    regions = F.aggregate("pages", F.lit(0).cast("bigint"), lambda n, p: n + F.size(p["regions"]))
+    texts = F.size(F.filter("pages", lambda p: F.exists(p["text_vector"], lambda x: x != 0)))
+    rows = made.select("path", F.col("n_pages").cast("bigint").alias("n_pages"), F.array_join(F.transform("pages", lambda p: p["page_type"]), ",").alias("page_types"), regions.alias("n_regions"), texts.cast("bigint").alias("n_texts"))
+    return rows.join(shown, "path")
+
+
+@query("SELECT '/lake/d' || doc_id || '.png' AS path, lang AS label, source AS tag, length(text) AS n FROM documents")
+def json_import(spark, d):
+    """Records written as JSON and read again."""
+    back = records.from_json(records.to_json(B.lake(spark, d).where("kind = 'image'")))
+    return back.select("path", F.get("objects.label", 0).alias("label"), F.get("scene.tags", 0).alias("tag"), F.length("ocr.full_text").cast("bigint").alias("n"))
+
+
 # duplicates and ingest
 
 P = "WITH " + B.PHASHES + "\n"
@@ -485,6 +543,22 @@ def recover_rows(spark, d):
     return fixed.select("asset_id", "indexed").join(vectors, "asset_id")
 
 
+@query("""WITH own AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 5 = 0 THEN 'updated ' ELSE '' END || s_name AS text FROM supplier WHERE s_suppkey % 3 <> 0 OR s_suppkey % 2 = 1)
+SELECT 'asset' AS kind, id, text FROM own UNION ALL SELECT 'vector', id, NULL FROM own""")
+def store_lifecycle(spark, d):
+    """Insert, update, delete and insert again in a store on disk; its rows, and the assets of its vectors."""
+    derive = lambda rows: rows.select(F.lit("text").alias("space"), F.col("asset_id").alias("vec_id"), "asset_id", H.hash_embedding(F.col("text")).alias("embedding"))
+    store = Store(spark, f"{shared_folder(spark)}/archivelake/store-{uuid.uuid4().hex}", derive)
+    own = B.read(spark, d, "supplier").select(F.col("s_suppkey").alias("asset_id"), F.col("s_name").alias("text"))
+    store.insert(own)
+    store.update(own.where("asset_id % 5 = 0").withColumn("text", F.concat(F.lit("updated "), "text")))
+    store.delete(own.where("asset_id % 3 = 0"))
+    back = own.where("asset_id % 3 = 0 and asset_id % 2 = 1")
+    store.insert(back.withColumn("text", F.when(F.col("asset_id") % 5 == 0, F.concat(F.lit("updated "), "text")).otherwise(F.col("text"))))
+    assets = store.assets().select(F.lit("asset").alias("kind"), F.col("asset_id").alias("id"), "text")
+    return assets.unionByName(store.vectors().select(F.lit("vector").alias("kind"), F.col("asset_id").alias("id"), F.lit(None).cast("string").alias("text")))
+
+
 def _vectors(spark, d):
     return B.read(spark, d, "embeddings").select(F.lit("clip").alias("space"), F.col("vec_id"), F.when(F.col("vec_id") % 17 != 0, F.col("vec_id") * 3).alias("asset_id"))
 
