@@ -4,7 +4,8 @@ Items are partitioned by their number of distinct five-word shingles. The sketch
 bottom-k MinHash values, where k follows from the largest size of its partition: an item of n
 shingles of which a document holds at least 0.8 n misses at most 0.2 n, so one of any
 floor(0.2 n) + 1 of them is in the document. Taking k at least that large makes the candidate search
-complete, however long the document is. Candidates are verified by exact containment.
+complete, however long the document is. Candidates are verified by exact containment of whole shingle sets; a shingle is its 64-bit
+hash, so two different ones are taken for one with a chance of 2^-64.
 
 Items are taken in blocks of at most ``block_words`` words; a block's sketches and shingles are the only data sent to
 all tasks, so what is sent has a fixed bound however large the benchmark is.

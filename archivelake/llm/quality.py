@@ -7,7 +7,7 @@ the logistic of the difference of the two log densities plus the log prior ratio
 
 Defined cases: a null text counts as empty; an empty text is scored like any other (its statistics are
 zeros); a null label or a label other than 0 and 1 is left out; repeated label rows of a document count
-once; with no row of one class the score is the share of class 1 (0.5 without any row); an empty
+once, and a document with labels of both kinds is left out; with no row of one class the score is the share of class 1 (0.5 without any row); an empty
 table gives an empty result. Columns other than those named are never read.
 """
 
@@ -120,7 +120,9 @@ def vectors(docs: DataFrame) -> DataFrame:
 
 def moments(x: DataFrame, labels: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
     """Count, sum and sum of products of each class: at most 2 * (k + 2) rows reach the driver, each summed over all rows."""
-    labels = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").distinct()
+    quality = F.col("quality").cast("double")
+    labels = labels.where(quality.isin(0.0, 1.0) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(quality).alias("low"), F.max(quality).alias("high"))
+    labels = labels.where("low = high").select("doc_id", F.col("low").cast("int").alias("label"))
     rows = x.join(labels, "doc_id").select("label", "x")
     k = len(NAMES)
 

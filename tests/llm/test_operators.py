@@ -89,6 +89,10 @@ def test_quality_awkward(spark):
     labels = spark.createDataFrame([(3, 1, 0), (3, 1, 0), (12, 0, 0), (15, None, 0), (18, 7, 0), (None, 1, 1), (21, 0, 1), (24, 1, 0)], "doc_id bigint, quality int, toxic int")
     got = quality.classify(docs, labels, spark).collect()
     assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
+    odd = spark.createDataFrame([(3, 0.7), (12, 0.0), (15, 1.0), (15, 0.0), (18, 1.0), (18, 1.0)], "doc_id bigint, quality double")
+    found = quality.moments(quality.vectors(docs), odd)
+    rows = {i: sum(1 for r in docs.collect() if r["doc_id"] == i) for i in (12, 18)}
+    assert {c: m[0] for c, m in found.items()} == {0: rows[12], 1: rows[18]}  # 0.7 is no label, and 15 has two
     none = quality.classify(docs, labels.limit(0), spark).collect()
     assert {r["score"] for r in none} == {0.5}
     assert quality.classify(awkward(spark, empty=True), labels, spark).count() == 0
