@@ -6,11 +6,12 @@ lost executor costs a re-run of tasks and never data.
 
 from __future__ import annotations
 
+import atexit
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pandas as pd
@@ -60,12 +61,26 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+_MADE: list["Scratch"] = []
+
+
+def _remove_all() -> None:
+    """When the driver ends, remove what its calls left in the shared folder."""
+    for scratch in _MADE:
+        with suppress(Exception):  # the session may have ended first
+            scratch.keep_only()
+
+
 class Scratch:
-    """Tables of one operator call, written to the shared folder and read back with their lineage cut."""
+    """Tables of one operator call, written to the shared folder and read back with their lineage cut. Operators drop tables once used; those
+    that a result still reads stay until ``keep_only()`` or the end of the driver."""
 
     def __init__(self, spark: SparkSession, name: str):
         bounded_batches(spark)
         self.spark, self.path = spark, f"{scratch_root(spark)}/archivelake/{name}-{uuid.uuid4().hex}"
+        if not _MADE:
+            atexit.register(_remove_all)
+        _MADE.append(self)
 
     def write(self, df: DataFrame, table: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.path}/{table}")
@@ -80,6 +95,15 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def keep_only(self, *tables: str) -> None:
+        """Remove all other tables of this call."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(at):
+            for s in fs.listStatus(at):
+                if s.getPath().getName() not in tables:
+                    fs.delete(s.getPath(), True)
+
     def release(self) -> None:
         """Let Spark's cleaner remove the shuffle files of steps that are already written as tables."""
         gc.collect()

@@ -25,8 +25,6 @@ get the smallest doc_id linked to them, or null; an empty table gives an empty r
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +37,8 @@ BUCKET_BITS, SLICES = 18, 16
 BITS = 512
 CHUNK = 512
 LEAF = 16
+#: Pairs of one text that are verified together.
+MEMBERS = 256
 NO_ID = 2**63 - 1
 
 
@@ -200,7 +200,7 @@ def members(docs: DataFrame, spark: SparkSession, width: int = 4, percent: int =
     lead = scratch.write(lead, "lead")
     pairs = near.join(lead, "h").where(f"node <> a and 100 * least(n, ln) >= {percent} * greatest(n, ln)").select("a", F.col("node").alias("b")).distinct()
     links = scratch.write(verified(pairs, nodes, rows, scratch, "lead", width, percent), "links-1")
-    scratch.drop("lead", "lead-pairs", "lead-texts")
+    scratch.drop("lead", "lead-pairs", "lead-led")
     scratch.release()
     comp = components(links, scratch, "first")
     known = nodes.select("node", "n").join(comp, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp")) if comp is not None else nodes.select("node", "n", F.col("node").alias("comp"))
@@ -222,7 +222,7 @@ def members(docs: DataFrame, spark: SparkSession, width: int = 4, percent: int =
     meet = meet.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi")
     pairs = meet.mapInArrow(traversed(percent), "a bigint, b bigint").distinct()
     links2 = scratch.write(verified(pairs, nodes, rows, scratch, "tree", width, percent), "links-2")
-    scratch.drop("own", "open", "tree-pairs", "tree-texts")
+    scratch.drop("own", "open", "tree-pairs", "tree-led")
     scratch.release()
     # only contracted links are left to join: those of the second search between first components
     ca, cb = known.select(F.col("node").alias("a"), F.col("comp").alias("ca")), known.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
@@ -234,6 +234,7 @@ def members(docs: DataFrame, spark: SparkSession, width: int = 4, percent: int =
     smallest = final.groupBy("comp").agg(F.min("first").alias("component"), F.count("*").alias("c")).where("c > 1")
     smallest = scratch.write(smallest.select("comp", "component"), "smallest")
     final = scratch.write(final.join(smallest, "comp", "left").select("node", "comp", F.coalesce("component", "first").alias("component")), "final")
+    scratch.keep_only("belongs", "final")
     out = belongs.join(final, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "doc"), F.lit(NO_ID)).alias("component_id"), "t", "rid", "comp")
 
@@ -321,27 +322,31 @@ def traversed(percent: int):
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, scratch: Scratch, name: str, width: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets link."""
+    """The pairs (a, b) whose whole sets link. Each text is fetched once and goes to the pairs it is in as b, or to those it leads as a: pairs
+    are dealt by a, at most about MEMBERS of them together with one copy of the text of a."""
     pairs = scratch.write(pairs, f"{name}-pairs")
     scratch.release()
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = ends.join(nodes.select("node", "doc", "t"), "node").join(rows.select("doc", "t", "text"), ["doc", "t"]).select("node", "text").dropDuplicates(["node"])
-    texts = scratch.write(texts, f"{name}-texts")
-    scratch.release()
-    a = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    b = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-
-    def check(cols):
-        one = lru_cache(64)(lambda text: next(shingle_sets([text], width)))
-        out = {"a": [], "b": []}
-        for x, y, tx, ty in zip(cols["a"], cols["b"], cols["ta"], cols["tb"], strict=True):
-            p, q = one(tx), one(ty)
-            if linked(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q), percent):
-                out["a"].append(x)
-                out["b"].append(y)
-        return out
-
-    return map_batches(pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb"), check, "a bigint, b bigint")
+    led = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
+    led = scratch.write(led, f"{name}-led")
+    members = pairs.join(led, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"), "b")
+    heads = led.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("a").alias("b"))
+    needs = members.unionByName(heads).join(nodes.select("node", "doc", "t"), "node").select("doc", "t", "a", "salt", "kind", "b")
+    texts = rows.select("doc", "t", "text").join(needs.select("doc", "t").distinct(), ["doc", "t"], "left_semi").dropDuplicates(["doc", "t"])
+    dealt = texts.join(needs, ["doc", "t"]).select("a", "salt", "kind", "b", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
+
+    def check(batches):
+        key, head = None, None
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            cols = [batch.column(i).to_pylist() for i in range(5)]
+            for a, salt, kind, b, own in zip(*cols[:4], shingle_sets(cols[4], width), strict=True):
+                if kind == 0:
+                    key, head = (a, salt), own
+                elif (a, salt) == key and linked(len(np.intersect1d(head, own, assume_unique=True)), len(head), len(own), percent):
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in range(2)], names=["a", "b"])
+
+    return dealt.mapInArrow(check, "a bigint, b bigint")
 
 
 def near_copies(docs: DataFrame, spark: SparkSession, width: int = 4, percent: int = 85) -> DataFrame:
