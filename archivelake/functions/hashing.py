@@ -20,11 +20,6 @@ def file_digest(content: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(content, 256))
 
 
-def pixel_digest(pixels: Column) -> Column:
-    """Empty where there are no decoded pixels."""
-    return F.when(F.octet_length(pixels) > 0, F.concat(F.lit("px:"), F.sha2(pixels, 256))).otherwise(F.lit(""))
-
-
 def dhash_bits(gray: Column) -> Column:
     """64 signs of a 9 wide, 8 high gray array, row by row: 1 where a pixel is brighter than its right neighbour."""
     at = lambda i: F.get(gray, (i / 8).cast("int") * 9 + i % 8)

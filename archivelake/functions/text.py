@@ -104,7 +104,3 @@ def entity(vec_id: Column) -> Column:
         parts[0].alias("doc"),
         F.when(paged & F.try_element_at(parts, F.lit(2)).rlike("^.[0-9]+$"), F.substring(F.try_element_at(parts, F.lit(2)), 2, 20).try_cast("int")).alias("page"),
     )
-
-
-def truthy(c: Column, words: tuple = ("1", "true", "on", "yes")) -> Column:
-    return F.coalesce(F.lower(c).isin(*words), F.lit(False))

@@ -177,7 +177,3 @@ def embedding_label(models: Models) -> str:
 
 # What the embedding model expects before queries and passages.
 PREFIXES = {"query": "search_query: ", "document": "search_document: "}
-
-
-def face_id(path: Column, index: Column) -> Column:
-    return F.concat(T.basename(path), F.lit("#"), index)

@@ -30,10 +30,6 @@ def delete(current: DataFrame, ids: DataFrame, version: int) -> DataFrame:
     return current.join(ids.select("asset_id"), "asset_id", "left_semi").withColumn("version", F.lit(version)).withColumn("op", F.lit("delete"))
 
 
-def purge(vectors: DataFrame, ids: DataFrame) -> DataFrame:
-    return vectors.join(ids.select("asset_id"), "asset_id", "left_anti")
-
-
 def recover(assets: DataFrame, derive) -> tuple[DataFrame, DataFrame]:
     """Assets left unindexed by a crash, marked indexed, and their vectors derived anew by ``derive``."""
     broken = assets.where("state = 'active' and not indexed")

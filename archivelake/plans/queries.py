@@ -15,6 +15,7 @@ from ..operators import dedup, lifecycle, records, reporting, search
 from ..operators import retrieval as R
 from ..operators import vectors as V
 from ..sources.store import Store, shared_folder
+from ..streaming import watch
 from . import tables as B
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -615,6 +616,12 @@ def stage_timings(spark, d):
     return reporting.stage_timings(B.read(spark, d, "events").select(stage.alias("stage"), F.col("value").alias("seconds")))
 
 
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def event_windows(spark, d):
+    """The windowed count of the file stream, over a whole table."""
+    return watch.windowed_counts(B.read(spark, d, "events")).select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
+
+
 @query("SELECT event_type, count(*) AS n, round(CASE WHEN sum(value) > 0 THEN count(*) / sum(value) ELSE 0 END, 3) AS per_s FROM events GROUP BY 1")
 def throughput(spark, d):
     rows = B.read(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("wall"))

@@ -316,6 +316,28 @@ def test_scan_hashes_and_watch(spark, tmp_path):
     assert len(seen) == 3
 
 
+def test_watch_loop_and_late_events(spark, tmp_path):
+    folder = folder_of(tmp_path, a_png=png(noise(1), 48, 48, 6))
+    empty = spark.createDataFrame([], "path string, sha256 string")
+    seen, known = [], [empty]
+
+    def ingest(df):
+        rows = df.select("path", "sha256").collect()
+        seen.append(len(rows))
+        known[0] = known[0].unionByName(spark.createDataFrame(rows, empty.schema))
+
+    watch.watch(spark, f"file://{folder}", lambda: known[0], ingest, 0.0, lambda: len(seen) == 2)
+    assert seen == [1, 0]
+    source, n = tmp_path / "events", iter(range(9))
+    write = lambda rows: spark.createDataFrame(rows, "ts string, event_type string").coalesce(1).write.mode("append").parquet(f"file://{source}/{next(n)}")
+    for part in ([("2024-01-01 10:05:00", "a"), ("2024-01-01 10:50:00", "a")], [("2024-01-01 13:00:00", "b")], [("2024-01-01 10:06:00", "a")]):  # the last one is too late
+        write(part)
+        rows = spark.readStream.schema("ts string, event_type string").option("recursiveFileLookup", "true").parquet(f"file://{source}")
+        watch.windowed_counts(rows).writeStream.format("parquet").outputMode("append").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(f"file://{tmp_path}/out").collect()
+    assert [(str(r["start"]), r["event_type"], r["n"]) for r in got] == [("2024-01-01 10:00:00", "a", 2)]
+
+
 def test_model_stage_falls_back_per_row(spark):
     def load():
         return lambda path: {"a": "A"}[path]
