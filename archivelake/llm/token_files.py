@@ -3,7 +3,7 @@
 Documents are range-partitioned and sorted by key, then by text, so that the rows of one hot key spread over tasks; each task cuts its
 ids into shards of about ``shard_ids`` ids. A shard row holds the raw payload, its key range, and its index:
 displacement seeds of a minimal perfect hash over its keys and, at each slot, a 32-bit fingerprint of the
-key and the number of its first row; ``row_starts`` gives the id offset of each row. A lookup prunes shards by
+key and the number of its first row; ``row_starts`` gives the id offset of each row. A lookup finds the part and its shard by
 key range, hashes once, compares the fingerprint and slices the payload. Spark's committed
 writer stores the rows, so retried tasks and lost executors leave no partial shard.
 
@@ -176,26 +176,31 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shard_ids: int =
 
 
 class TokenStore:
-    """Stored shards; ``starts`` of parts are known once all are written (one number per task reaches the driver)."""
+    """Stored shards, a folder per part; ``starts`` and key ranges of parts are known once all are written (one row per task reaches the driver)."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         self.shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
-        totals = {r["part"]: r["n"] for r in self.shards.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
-        self.bases, at = {}, 0
-        for part in sorted(totals):
-            self.bases[part], at = at, at + totals[part]
+        sums = [F.sum("n_ids").alias("n"), F.min("min_key").alias("low"), F.max("max_key").alias("high"), F.max("has_null").alias("has_null")]
+        self.bases, self.ranges, at = {}, {}, 0
+        for r in sorted(self.shards.groupBy("part").agg(*sums).collect(), key=lambda r: r["part"]):
+            self.bases[r["part"]], at = at, at + r["n"]
+            self.ranges[r["part"]] = (r["low"], r["high"], r["has_null"])
 
     @classmethod
     def create(cls, docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, shard_ids: int = 1_000_000) -> "TokenStore":
-        write_shards(prepared(docs, "doc_id", "text"), tokenizer, end_id, shard_ids).write.mode("overwrite").parquet(path)
+        write_shards(prepared(docs, "doc_id", "text"), tokenizer, end_id, shard_ids).write.mode("overwrite").partitionBy("part").parquet(path)
         return cls(docs.sparkSession, path)
 
     def lookup(self, key: int | None) -> list[np.ndarray]:
-        """The ids of each row with this key; only shards whose key range holds it are read, without their key lists."""
+        """The ids of each row with this key. Part ranges, known since the store was opened, name the folder (more than one only for a key
+        that spans parts); of its shards only those that may hold the key are read, and one hash finds the row."""
+        parts = [p for p, (low, high, null) in self.ranges.items() if (null if key is None else low is not None and low <= key <= high)]
+        if not parts:
+            return []
         hit = F.col("has_null") if key is None else (F.col("min_key") <= key) & (F.col("max_key") >= key)
-        rows = self.shards.where(hit).select("payload", "width", "row_starts", "seeds", "fingerprints", "slots").collect()
-        return [s.ids_of(i) for s in (Shard(r.asDict()) for r in rows) for i in s.rows_of(key)]
+        rows = self.shards.where(F.col("part").isin(parts) & hit).select("part", "seq", "payload", "width", "row_starts", "seeds", "fingerprints", "slots").collect()
+        return [s.ids_of(i) for s in (Shard(r.asDict()) for r in sorted(rows, key=lambda r: (r["part"], r["seq"]))) for i in s.rows_of(key)]
 
     def documents(self) -> DataFrame:
         """Start, length and checksum of every row's ids, read from the payloads through the index."""

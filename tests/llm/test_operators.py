@@ -13,6 +13,7 @@ pytest.importorskip("archivelake.llm")
 from pyspark.sql import functions as F  # noqa: E402
 
 from archivelake.llm import decontaminate, html_text, jaccard, mixing, quality, secrets, substrings, token_counts, token_files, tokens, topk  # noqa: E402
+from archivelake.llm.common import session_settings  # noqa: E402
 from archivelake.llm.queries import QUERIES  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -444,6 +445,18 @@ def test_token_files_round_trip(spark, tiny, tmp_path):
         assert store.lookup(10**12) == [] and store.lookup(-5) == []
 
 
+def test_token_files_of_one_hot_key(spark, tmp_path):
+    """Rows of one key lie in several parts and shards, and a lookup finds them all; other keys are read from their own part only."""
+    r = random.Random(3)
+    rows = [(7, " ".join(r.choice("abcdefgh") * 3 for _ in range(20))) for _ in range(400)] + [(i, "other words") for i in range(100, 300)]
+    with session_settings(spark, {"spark.sql.adaptive.coalescePartitions.enabled": "false"}):  # else so few rows are one task
+        store = token_files.TokenStore.create(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), f"file://{tmp_path}/hot", shard_ids=500)
+    holders = [p for p, (low, high, _) in store.ranges.items() if low <= 7 <= high]
+    assert len(holders) > 1 and len(store.lookup(7)) == 400 and len(store.lookup(150)) == 1
+    got = sorted((tuple(x) for x in store.documents().collect()), key=lambda x: x[1])
+    assert [x[0] for x in got] == [7] * 400 + list(range(100, 300)) and all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:], strict=False))
+
+
 def test_token_files_empty(spark, tmp_path):
     assert token_files.TokenStore.create(awkward(spark, empty=True), f"file://{tmp_path}/e").documents().count() == 0
 
