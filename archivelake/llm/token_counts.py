@@ -68,24 +68,35 @@ def counts_of(texts: list[str], pieces: Pieces) -> list[int]:
     return [len(x) for x in pieces.many(texts)] if texts else []
 
 
-def word_prefixes(words: list[str], pieces: Pieces) -> list[np.ndarray]:
-    """Tokens of each prefix of Latin-1 words (at most one blank, which leads) by the byte-level engine."""
-    out: list = [None] * len(words)
-    short = [i for i, w in enumerate(words) if len(w) <= SHORT]
-    for i in range(0, len(short), 100_000):
-        part = short[i : i + 100_000]
-        found = pieces.bytes.counts([words[j][:k] for j in part for k in range(1, len(words[j]) + 1)])
-        at = 0
-        for j in part:
-            out[j] = found[at : (at := at + len(words[j]))]
+def word_prefixes(words: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of each prefix of Latin-1 words (at most one blank, which leads) by the byte-level engine: all in a row, and where each word's begin."""
+    starts, flat, size = np.zeros(len(words), np.int64), [], 0
+    short = sorted((i for i, w in enumerate(words) if 0 < len(w) <= SHORT), key=words.__getitem__)
+    if short:
+        # in sorted order a word shares its first letters, and their counts, with the one before
+        own = [words[i] for i in short]
+        lens = np.fromiter(map(len, own), np.int64, len(own))
+        held = np.arange(int(lens.max())) < lens[:, None]
+        letters = np.zeros(held.shape, np.uint8)
+        letters[held] = np.frombuffer("".join(own).encode("latin-1"), np.uint8)
+        same = np.zeros(len(short), np.int64)
+        same[1:] = np.argmin(np.hstack([(letters[1:] == letters[:-1]) & held[1:], np.zeros((len(short) - 1, 1), bool)]), axis=1)
+        new = held & (np.arange(held.shape[1]) >= same[:, None])
+        counts = np.zeros(held.shape, np.int32)
+        counts[new] = pieces.bytes.counts([w[:k] for w, a, n in zip(own, same.tolist(), lens.tolist(), strict=True) for k in range(a + 1, n + 1)])
+        rows = np.maximum.accumulate(np.where(new, np.arange(len(short), dtype=np.int32)[:, None], 0), axis=0)
+        flat.append(np.take_along_axis(counts, rows, axis=0)[held])
+        starts[short], size = np.cumsum(lens) - lens, int(lens.sum())
     for i, w in enumerate(words):
-        if out[i] is None:
-            out[i], before = np.zeros(len(w), np.int32), 0
+        if len(w) > SHORT:
+            counts, before = np.zeros(len(w), np.int32), 0
             for m in pieces.bytes.cut.finditer(w):  # no part depends on what follows it
-                own = m.group()
-                out[i][m.start() : m.end()] = before + (word_prefixes([own], pieces)[0] if len(own) <= SHORT else by_characters(own, recurrence(own.encode(), pieces)))
-                before = int(out[i][m.end() - 1])
-    return out
+                part = m.group()
+                counts[m.start() : m.end()] = before + (word_prefixes([part], pieces)[0] if len(part) <= SHORT else by_characters(part, recurrence(part.encode(), pieces)))
+                before = int(counts[m.end() - 1])
+            flat.append(counts)
+            starts[i], size = size, size + len(w)
+    return np.concatenate(flat) if flat else np.zeros(0, np.int32), starts
 
 
 def odd_prefixes(piece: str, pieces: Pieces) -> np.ndarray:
@@ -107,42 +118,42 @@ def odd_prefixes(piece: str, pieces: Pieces) -> np.ndarray:
     return out
 
 
-def piece_prefixes(own: list[str], pieces: Pieces) -> list[np.ndarray]:
-    """Tokens of each prefix of each piece."""
+def piece_prefixes(own: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of each prefix of each piece: all in a row, and where each piece's begin."""
+    starts = np.zeros(len(own), np.int64)
     if pieces.kind == "gaps":
         found = counts_of([p[:k] for p in own for k in range(1, len(p) + 1)], pieces)
-        ends = np.cumsum([len(p) for p in own]).tolist()
-        return [np.array(found[e - len(p) : e], np.int32) for p, e in zip(own, ends, strict=True)]
-    out: list = [None] * len(own)
-    gaps: dict[str, np.ndarray] = {}
+        lens = np.fromiter(map(len, own), np.int64, len(own))
+        return np.array(found, np.int32), np.cumsum(lens) - lens
     words: dict[str, int] = {}
-    plain = []
+    quick, place, made, late = [], [], [], []
     for i, p in enumerate(own):
-        body = p.lstrip(GAPS)
         if pieces.bytes is None or ODD.search(p):
-            out[i] = odd_prefixes(p, pieces) if pieces.bytes else np.array(counts_of([p[:k] for k in range(1, len(p) + 1)], pieces), np.int32)
-            continue
-        gap = p[: len(p) - len(body)]
-        gaps[gap] = gaps[gap[:-1]] = gaps[gap[-1:]] = None
-        lead = gap[-1:] == " " and body != ""
-        plain.append((i, gap, lead, words.setdefault(" " * lead + body, len(words)) if body else -1))
-    for gap in gaps:
-        gaps[gap] = word_gaps(gap, pieces)
-    found = word_prefixes(list(words), pieces)
-    for i, gap, lead, w in plain:
-        if w < 0:
-            out[i] = gaps[gap]
+            made.append((i, odd_prefixes(p, pieces) if pieces.bytes else np.array(counts_of([p[:k] for k in range(1, len(p) + 1)], pieces), np.int32)))
             continue
-        if gap == "" or gap == " ":
-            out[i] = found[w]
+        if p[0] == " " and len(p) > 1 and p[1] not in GAPS or p[0] not in GAPS:
+            quick.append(i)
+            place.append(words.setdefault(p, len(words)))
             continue
-        # before a word the last sign of a gap leaves the gap
-        ahead = int(gaps[gap[:-1]][-1]) if len(gap) > 1 else 0
-        if gap and not lead:
-            ahead += int(gaps[gap[-1]][-1])
-        tail = found[w][1:] if lead else found[w]
-        out[i] = np.concatenate([gaps[gap], ahead + tail]) if gap else tail
-    return out
+        body = p.lstrip(GAPS)
+        gap = p[: len(p) - len(body)]
+        lead = gap[-1] == " " and body != ""
+        late.append((i, gap, lead, words.setdefault(" " * lead + body, len(words)) if body else -1))
+    flat, begins = word_prefixes(list(words), pieces)
+    starts[quick] = begins[place]
+    gaps: dict[str, np.ndarray] = {}
+    alone = lambda gap: gaps[gap] if gap in gaps else gaps.setdefault(gap, word_gaps(gap, pieces))
+    names = list(words)
+    for i, gap, lead, w in late:
+        counts = alone(gap)
+        if w >= 0:  # before a word the last sign of a gap leaves the gap
+            ahead = (int(alone(gap[:-1])[-1]) if len(gap) > 1 else 0) + (0 if lead else int(alone(gap[-1])[-1]))
+            counts = np.concatenate([counts, ahead + flat[begins[w] + lead : begins[w] + len(names[w])]])
+        made.append((i, counts))
+    size = len(flat)
+    for i, counts in made:
+        starts[i], size = size, size + len(counts)
+    return np.concatenate([flat, *(c for _, c in made)]), starts
 
 
 def word_gaps(gap: str, pieces: Pieces) -> np.ndarray:
@@ -161,11 +172,11 @@ def tables(texts: list[str], pieces: Pieces) -> list[np.ndarray]:
             cuts.append(len(cut))
         starts.append(len(cuts) - 1)
     coded = pa.array(cut, pa.large_string()).dictionary_encode()
-    own = piece_prefixes(coded.dictionary.to_pylist(), pieces)
-    lens = np.array([len(x) for x in own], np.int64)
-    flat = np.concatenate(own) if own else np.zeros(0, np.int32)
-    totals = np.array([x[-1] if len(x) else 0 for x in own], np.int64)
-    places, begins = coded.indices.to_numpy(), np.cumsum(lens) - lens
+    own = coded.dictionary.to_pylist()
+    flat, begins = piece_prefixes(own, pieces)
+    lens = np.fromiter(map(len, own), np.int64, len(own))
+    totals = np.where(lens > 0, flat[np.minimum(np.maximum(begins + lens - 1, 0), max(len(flat) - 1, 0))], 0) if len(flat) else np.zeros(len(own), np.int64)
+    places = coded.indices.to_numpy()
     before = np.cumsum(np.concatenate([[0], totals[places]]))
     counts = gathered(flat, begins[places], lens[places]) + np.repeat(before[:-1], lens[places])
     ends = np.concatenate([[0], np.cumsum(lens[places])])
@@ -241,7 +252,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
 
     def run(batches):
         own = loaded(tokenizer)
-        for keys, texts in text_groups(batches, GROUP_CHARS // 2):
+        for keys, texts in text_groups(batches, GROUP_CHARS):
             found = [PrefixTable(text, own, counts) for text, counts in zip(texts, tables(texts, own), strict=True)]
             columns = [keys, [len(t.encode("utf-8", "surrogatepass")) for t in texts], [t.total for t in found], [t.total > limit for t in found], [t.fitting(limit) for t in found]]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fitting_chars"])
