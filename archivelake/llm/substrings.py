@@ -10,7 +10,8 @@ A document's words covered by a window of ``width`` words that also starts earli
    sort, since all runs share buckets and order. ``fanout`` runs of a level are merged to one of the next in the same way. What is
    found twice is shared.
 3. Verification: only texts with shared fingerprints are read again; their whole windows that took those are compared across
-   all documents by two 64-bit hashes from word hashes under different keys.
+   all documents by two hashes, of 64 and 32 bits, from word hashes under different keys (of 10^13 windows, some pair that differs has equal
+   hashes with a chance below 1 in 1000).
 4. The texts with repeated windows are read once more and cut.
 
 ``SubstringIndex`` is stored in a folder and can be opened again: ``add`` gives the results of a new batch, to which all batches
@@ -172,12 +173,12 @@ def whole_windows(width: int, gram: int):
             h, _ = hashed_words([text])
             other, _ = hashed_words([text], key="fedcba9876543210")
             at = np.flatnonzero(np.isin(window_keys(h, width, gram), np.array(hs, np.int64).view(np.uint64)))
-            a, b = window_hashes(h, width)[at], window_hashes(other, width)[at]
+            a, b = window_hashes(h, width)[at], (window_hashes(other, width)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
             order = np.lexsort((at, b, a))
             again = np.zeros(len(at), bool)
             again[order[1:]] = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
             out["a"].append(signed(a[~again]).tolist())
-            out["b"].append(signed(b[~again]).tolist())
+            out["b"].append(b[~again].tolist())
             out["starts"].append(at[~again].tolist())
             out["own"].append(at[again].tolist())
         return out
@@ -199,7 +200,7 @@ def verified(scratch: Scratch, made: DataFrame, texts: DataFrame, shared: DataFr
         f()
     scratch.release()
     windows = texts.select("gen", F.col("doc").alias("text_doc"), "t", "text").join(holds, ["gen", "text_doc", "t"]).select("gen", "rid", "doc", "text", "hs")
-    windows = scratch.write(map_batches(windows, whole_windows(width, gram), "gen bigint, rid bigint, doc bigint, a array<bigint>, b array<bigint>, starts array<int>, own array<int>"), "windows")
+    windows = scratch.write(map_batches(windows, whole_windows(width, gram), "gen bigint, rid bigint, doc bigint, a array<bigint>, b array<int>, starts array<int>, own array<int>"), "windows")
     scratch.drop("copies", "holds")
     scratch.release()
     each = windows.select("gen", "rid", "doc", F.inline(F.arrays_zip("a", "b", "starts")))
