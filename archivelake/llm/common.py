@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
@@ -105,8 +106,10 @@ class Scratch:
                     fs.delete(s.getPath(), True)
 
     def release(self) -> None:
-        """Let Spark's cleaner remove the shuffle files of steps that are already written as tables."""
+        """Let Spark's cleaner remove the shuffle files of steps that are already written as tables. What Python lets go of reaches the JVM a
+        moment later, by a thread of its own; collected before that, the last step's files would stay until the next call."""
         gc.collect()
+        time.sleep(0.4)
         self.spark.sparkContext._jvm.System.gc()
 
 

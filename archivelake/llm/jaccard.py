@@ -213,16 +213,23 @@ def members(docs: DataFrame, spark: SparkSession, width: int = 4, percent: int =
     each = own.select("node", "comp", F.explode("prefix").alias("h"))
     open_ = each.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("h", "c")
     open_ = scratch.write(open_, "open")
-    # each element with its place in the order and the two elements before it
-    placed = own.select("node", F.inline(F.transform("prefix", lambda h, i: F.struct(h.alias("h"), i.alias("at"), F.get("prefix", i - 1).alias("p1"), F.get("prefix", i - 2).alias("p2")))))
-    meet = placed.join(open_, "h").join(own.select("node", "comp", "n", "bits"), "node")
+    scratch.release()
+    # the open elements of each node, found on narrow rows; what else a traversal needs is joined by node: bits and size, the element's place in the
+    # order and the two elements before it
+    alive = each.select("node", "h").join(open_, "h").groupBy("node").agg(F.collect_list(F.struct("h", "c")).alias("hs"))
+    alive = scratch.write(alive, "alive")
+    scratch.drop("open")
+    scratch.release()
+    meet = alive.join(own, "node").select("node", "comp", "n", "bits", "prefix", F.inline("hs"))
+    meet = meet.withColumn("at", (F.array_position("prefix", F.col("h")) - 1).cast("int"))
+    meet = meet.select("h", "c", "node", "comp", "n", "bits", "at", F.get("prefix", F.col("at") - 1).alias("p1"), F.get("prefix", F.col("at") - 2).alias("p2"))
     meet = meet.withColumn("chunks", F.ceil(F.col("c") / CHUNK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
     meet = meet.select("h", "node", "comp", "n", "bits", "at", "p1", "p2", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     meet = meet.select("h", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "comp", "n", "bits", "at", "p1", "p2")
     meet = meet.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi")
     pairs = meet.mapInArrow(traversed(percent), "a bigint, b bigint").distinct()
     links2 = scratch.write(verified(pairs, nodes, rows, scratch, "tree", width, percent), "links-2")
-    scratch.drop("own", "open", "tree-pairs", "tree-led")
+    scratch.drop("own", "alive", "tree-pairs", "tree-led")
     scratch.release()
     # only contracted links are left to join: those of the second search between first components
     ca, cb = known.select(F.col("node").alias("a"), F.col("comp").alias("ca")), known.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
