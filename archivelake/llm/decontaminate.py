@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded_batches, grouped, hashed_words, inside, joined, map_batches, prepared, window_hashes
+from .common import WORD, bounded_batches, grouped, hashed_words, inside, joined, map_batches, mapped, prepared, window_hashes
 
 WIDTH = 5
 #: Upper ends of the size partitions grow by this factor.
@@ -134,5 +134,5 @@ def clean(docs: DataFrame, items: DataFrame, spark: SparkSession, threshold: flo
                 keep[[d for d, *_ in sent.value.matches(texts)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = mapped(docs, run, docs.schema)
     return docs

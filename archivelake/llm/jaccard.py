@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, grouped, hashed_words, inside, joined, map_batches, mix, prepared, signed, window_hashes
+from .common import Scratch, grouped, hashed_words, inside, joined, map_batches, mapped, mix, prepared, signed, window_hashes
 
 #: Count table: so many buckets of the hash space, in so many slices.
 BUCKET_BITS, SLICES = 18, 16
@@ -182,7 +182,7 @@ def members(docs: DataFrame, spark: SparkSession, width: int = 4, percent: int =
             yield pa.RecordBatch.from_arrays([pa.array(v, f[1]) for v, f in zip([[None] * SLICES] * 7 + [list(range(SLICES)), part.tolist()], fields, strict=True)], names=[f[0] for f in fields])
 
     schema = "doc_id bigint, doc bigint, t bigint, n bigint, f1 bigint, f2 bigint, bottom array<bigint>, slice int, counts array<bigint>"
-    made = scratch.write(rows.mapInArrow(sketch, schema).withColumn("rid", F.monotonically_increasing_id()), "sketch")
+    made = scratch.write(mapped(rows, sketch, schema).withColumn("rid", F.monotonically_increasing_id()), "sketch")
     base = made.where("slice is null").drop("slice", "counts")
     groups = scratch.write(base.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("rid").alias("node"), F.min("doc").alias("first")), "groups")
     belongs = base.select("rid", "doc_id", "doc", "t", "n", "f1", "f2").join(groups, ["n", "f1", "f2"], "left").drop("f1", "f2")
@@ -227,7 +227,7 @@ def members(docs: DataFrame, spark: SparkSession, width: int = 4, percent: int =
     meet = meet.select("h", "node", "comp", "n", "bits", "at", "p1", "p2", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     meet = meet.select("h", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "comp", "n", "bits", "at", "p1", "p2")
     meet = meet.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi")
-    pairs = meet.mapInArrow(traversed(percent), "a bigint, b bigint").distinct()
+    pairs = mapped(meet, traversed(percent), "a bigint, b bigint").distinct()
     links2 = scratch.write(verified(pairs, nodes, rows, scratch, "tree", width, percent), "links-2")
     scratch.drop("own", "alive", "tree-pairs", "tree-led")
     scratch.release()
@@ -353,7 +353,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, scratch: Scrat
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in range(2)], names=["a", "b"])
 
-    return dealt.mapInArrow(check, "a bigint, b bigint")
+    return mapped(dealt, check, "a bigint, b bigint")
 
 
 def near_copies(docs: DataFrame, spark: SparkSession, width: int = 4, percent: int = 85) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, Scratch, prepared, small_side
+from .common import WORD, Scratch, mapped, prepared, small_side
 
 
 def targets(sizes: dict, weights: tuple = (5, 2, 1), budget: float = 1.5, repeats: float = 2.0) -> dict:
@@ -198,4 +198,4 @@ def mixed(
                 columns[schema.names.index("n_chars")] = pa.array([len(t) for t in out], pa.int64())
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_batches, prepared
+from .common import Scratch, map_batches, mapped, prepared
 
 SYMBOL_END = re.compile(r"[^\w\s.,;:!?'\")\]]+(?=\s|$)")
 SENTENCE_END = re.compile(r"[.!?](?=\s|$)")
@@ -198,4 +198,4 @@ def accepted(docs: DataFrame, labels: DataFrame, spark: SparkSession, threshold:
             z = np.array([statistics(t) for t in texts]).reshape(len(texts), len(NAMES))
             yield batch.filter(pa.array(sent.value.score(z) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_batches, prepared, text_groups
+from .common import Scratch, map_batches, mapped, prepared, text_groups
 from .tokens import GROUP_CHARS, loaded
 
 #: Keys per displacement bucket.
@@ -172,7 +172,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shard_ids: int =
     # equal keys may be so many that they must lie in several tasks; rows that are equal throughout are alike, so any order of them will do
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 16), F.col("text")]
-    return rows.repartitionByRange(order[0], order[1], F.monotonically_increasing_id()).sortWithinPartitions(order[0], order[2]).mapInArrow(run, SHARD_SCHEMA)
+    return mapped(rows.repartitionByRange(order[0], order[1], F.monotonically_increasing_id()).sortWithinPartitions(order[0], order[2]), run, SHARD_SCHEMA)
 
 
 class TokenStore:
