@@ -361,12 +361,11 @@ def near_copies(docs: DataFrame, spark: SparkSession, width: int = 4, percent: i
 
 
 def first_of_group(docs: DataFrame, spark: SparkSession, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with all their columns, one of each component: the row of the smallest doc_id (null last); unlinked
-    texts without doc_id each stay, groups under the same component_id count as one; texts without shingles stay, rows
-    repeated exactly become one."""
+    """The documents with all their columns, one of each component: the row of the smallest doc_id (null last); texts
+    that aren't linked each stay, under one doc_id or none; texts without shingles stay, rows repeated exactly become one."""
     scratch = Scratch(spark, "one-of-group")
     found = scratch.write(members(docs, spark, width, percent), "members")
-    keep = found.where("n_shingles > 0").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("comp"))).agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "t", "rid")).alias("k")).select("k.doc", "k.t")
+    keep = found.where("n_shingles > 0").groupBy("comp").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "t", "rid")).alias("k")).select("k.doc", "k.t")
     empty = found.where("n_shingles = 0").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "t")
     keep = scratch.write(keep.unionByName(empty).distinct(), "keep").select(F.col("doc").alias("_doc"), F.col("t").alias("_t"))
     rows = docs.select(F.struct("*").alias("_row"), F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc2"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t2"))

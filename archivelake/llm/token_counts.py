@@ -73,14 +73,14 @@ def word_prefixes(words: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndar
     starts, flat, size = np.zeros(len(words), np.int64), [], 0
     short = sorted((i for i, w in enumerate(words) if 0 < len(w) <= SHORT), key=words.__getitem__)
     if short:
-        # in sorted order a word shares its first letters, and their counts, with the one before
+        # in sorted order a word shares its first letters, and their counts, with the one before; places past a word's end hold no letter
         own = [words[i] for i in short]
         lens = np.fromiter(map(len, own), np.int64, len(own))
         held = np.arange(int(lens.max())) < lens[:, None]
         letters = np.zeros(held.shape, np.uint8)
         letters[held] = np.frombuffer("".join(own).encode("latin-1"), np.uint8)
         same = np.zeros(len(short), np.int64)
-        same[1:] = np.argmin(np.hstack([(letters[1:] == letters[:-1]) & held[1:], np.zeros((len(short) - 1, 1), bool)]), axis=1)
+        same[1:] = np.argmin(np.hstack([(letters[1:] == letters[:-1]) & held[1:] & held[:-1], np.zeros((len(short) - 1, 1), bool)]), axis=1)
         new = held & (np.arange(held.shape[1]) >= same[:, None])
         counts = np.zeros(held.shape, np.int32)
         counts[new] = pieces.bytes.counts([w[:k] for w, a, n in zip(own, same.tolist(), lens.tolist(), strict=True) for k in range(a + 1, n + 1)])

@@ -557,7 +557,19 @@ def test_first_of_group(spark, tiny):
     brute = brute_components(pairs_of(docs), 5, 80)
     groups = {c for d, n, c in brute if n and c is not None}
     kept = [r for r in got.collect() if WORD.findall(r["text"] or "")]
-    assert {r["doc_id"] for r in kept} >= groups and len(kept) == len({(d, n) if c is None else c for d, n, c in brute if n})
+    assert {r["doc_id"] for r in kept} >= groups
+    # doc_id 9 names two texts that nothing links: each is a group of its own
+    assert len(kept) == len({(d, n) if c is None else c for d, n, c in brute if n}) + 1
+    assert sorted(len(WORD.findall(r["text"])) for r in kept if r["doc_id"] == 9) == sorted(len(WORD.findall(r["text"])) for r in docs.where("doc_id = 9").collect())
+
+
+def test_first_of_group_keeps_unlinked_texts_of_one_id(spark):
+    r = random.Random(16)
+    texts = [" ".join(r.choice("abcdefgh") + str(r.randrange(10**6)) for _ in range(20)) for _ in range(4)]
+    rows = [(5, t) for t in texts] + [(5, texts[0] + " more"), (5, texts[1]), (2, texts[2] + " more"), (8, texts[3])]
+    got = sorted(tuple(x) for x in jaccard.first_of_group(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), spark).collect())
+    assert len(got) == 4 and (2, texts[2] + " more") in got and (5, texts[1]) in got and (5, texts[3]) in got
+    assert all(sum(t.startswith(own) for _, t in got) == 1 for own in texts)
 
 
 def test_first_of_group_keeps_unlinked_texts_without_ids(spark):
@@ -874,6 +886,39 @@ def test_prefix_tables_of_every_file(name):
         assert counts.tolist() == [len(own.many([text[:n]])[0]) if n else 0 for n in range(len(text) + 1)], ascii(text)
 
 
+def control_texts(seed=33, n=1500):
+    """Short texts of every code point below U+0100, NUL and its neighbours often, and strings of added tokens; many are another one and a letter more."""
+    r = random.Random(seed)
+    parts = [*(chr(i) for i in range(256)), *"\0\0\0\0\x01\x7f\x80\xad", "WORD", "the", " a", "word\0", "<|endoftext|>", "<|end\0oftext|>", "漢", "\u3000", "\ufeff"]
+    out = ["WORD", "WORD\0", "WORD\0\0", "WORD\0x", "\0", "\0\0", ""]
+    for _ in range(n):
+        out.append(r.choice(out) + r.choice(parts) if r.random() < 0.4 else "".join(r.choice(parts) for _ in range(r.randint(1, 9))))
+    return out
+
+
+def test_counts_of_control_characters_and_whatever_the_company():
+    own = tokens.Pieces("byte_bpe_50k.json")
+    texts = control_texts()
+    want = [len(x) for x in own.many(texts)]
+    r = random.Random(4)
+    for size in (1500, 40, 3):
+        order = r.sample(range(len(texts)), len(texts))
+        got = {i: t for a in range(0, len(order), size) for i, t in zip(order[a : a + size], token_counts.tables([texts[i] for i in order[a : a + size]], own), strict=True)}
+        assert [int(got[i][-1]) for i in range(len(texts))] == want
+    for text, counts in list(zip(texts, (got[i] for i in range(len(texts))), strict=True))[:300]:
+        assert counts.tolist() == [len(own.many([text[:n]])[0]) if n else 0 for n in range(len(text) + 1)], ascii(text)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_control_characters_are_the_librarys(name):
+    own, texts = tokens.Pieces(name), control_texts(seed=35, n=4000)
+    texts += [f"{a}{b}" for a in map(chr, range(256)) for b in ("a", "'", "9", " ", "\xe9")]
+    ids, counts = own.flat(texts)
+    ends = np.cumsum(counts)
+    for text, a, z, want in zip(texts, ends - counts, ends, own.many(texts), strict=True):
+        assert ids[a:z].tolist() == want, ascii(text)
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
 def test_token_counts_of_other_files(spark, name):
     own = tokens.Pieces(name)
