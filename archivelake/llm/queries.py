@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, jaccard, mixing, quality, secrets, substrings, token_counts, token_files, topk
+from . import decontaminate, html_text, jaccard, mixing, quality, secrets, sharding, substrings, token_counts, token_files, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,11 +51,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"), spark)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_secret_scan, op3_substring_dedup, op4_mixing, op5_token_files, op6_ngram_jaccard_join,
-        op7_html_extraction, op8_exact_top_k, op9_decontamination, op10_token_counts,
+        op7_html_extraction, op8_exact_top_k, op9_decontamination, op10_token_counts, op13_sharding,
     )
 }
 
