@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, jaccard, mixing, quality, secrets, sharding, substrings, token_counts, token_files, topk
+from . import decontaminate, html_text, jaccard, lexical, mixing, quality, secrets, sharding, substrings, token_counts, token_files, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), spark)
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"), spark)
 
@@ -59,7 +63,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_secret_scan, op3_substring_dedup, op4_mixing, op5_token_files, op6_ngram_jaccard_join,
-        op7_html_extraction, op8_exact_top_k, op9_decontamination, op10_token_counts, op13_sharding,
+        op7_html_extraction, op8_exact_top_k, op9_decontamination, op10_token_counts, op12_lexical_search, op13_sharding,
     )
 }
 
@@ -79,5 +83,32 @@ WITH v AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op12_lexical_search": r"""
+WITH t AS (
+  SELECT rid, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS rid, doc_id, text FROM documents)
+), f AS (SELECT rid, doc_id, term, count(*) AS tf FROM t GROUP BY rid, doc_id, term),
+n AS (SELECT rid, CAST(sum(tf) AS BIGINT) AS n FROM f GROUP BY rid),
+s AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM n),
+w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM f GROUP BY term), s
+), q AS (
+  SELECT iid, item_id, term, count(*) AS reps
+  FROM (
+    SELECT iid, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT row_number() OVER () AS iid, item_id, text FROM benchmark)
+  ) GROUP BY iid, item_id, term
+), p AS (
+  SELECT f.rid, f.doc_id, f.term, (1000000000 * f.tf) // (1000 * f.tf + 12 * (75 + (25 * n.n * s.n_docs) // s.n_terms)) AS impact
+  FROM f JOIN n ON f.rid = n.rid, s
+), c AS (
+  SELECT q.iid, q.item_id, p.rid, p.doc_id, CAST(sum(q.reps * w.w * p.impact) AS BIGINT) AS score
+  FROM q JOIN p ON q.term = p.term JOIN w ON q.term = w.term GROUP BY q.iid, q.item_id, p.rid, p.doc_id
+), r AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM c WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
 """,
 }
