@@ -560,6 +560,30 @@ def store_lifecycle(spark, d):
     return assets.unionByName(store.vectors().select(F.lit("vector").alias("kind"), F.col("asset_id").alias("id"), F.lit(None).cast("string").alias("text")))
 
 
+@query("""WITH own AS (SELECT c_custkey AS id, c_name || CASE WHEN c_custkey % 4 = 1 THEN ' late' WHEN c_custkey % 4 = 2 THEN ' twice' ELSE '' END AS text FROM customer WHERE c_custkey % 4 <> 3 AND c_custkey % 10 <> 0)
+SELECT 'asset' AS kind, id, text FROM own UNION ALL SELECT 'vector', id, NULL FROM own UNION ALL SELECT 'folder', count(*), NULL FROM (SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3)""")
+def store_compaction(spark, d):
+    """A snapshot during which others insert and delete: nothing is lost, and the replaced folders are removed. Rows, assets of vectors, and the number of folders left."""
+    derive = lambda rows: rows.select(F.lit("text").alias("space"), F.col("asset_id").alias("vec_id"), "asset_id", H.hash_embedding(F.col("text")).alias("embedding"))
+    path = f"{shared_folder(spark)}/archivelake/store-{uuid.uuid4().hex}"
+    store, other = Store(spark, path, derive), Store(spark, path, derive)
+    own = B.read(spark, d, "customer").select(F.col("c_custkey").alias("asset_id"), F.col("c_name").alias("text"))
+    store.insert(own.where("asset_id % 4 = 0 or asset_id % 4 = 2"))
+    store.update(own.where("asset_id % 4 = 2").withColumn("text", F.concat("text", F.lit(" twice"))))
+
+    def meanwhile():
+        other.insert(own.where("asset_id % 4 = 1").withColumn("text", F.concat("text", F.lit(" late"))))
+        other.delete(own.where("asset_id % 10 = 0"))
+
+    store.compact(meanwhile)
+    store.vacuum(0)
+    found, rows = store.vectors(), store.assets()
+    assets = rows.select(F.lit("asset").alias("kind"), F.col("asset_id").alias("id"), "text")
+    none = F.lit(None).cast("string").alias("text")
+    left = spark.range(1).select(F.lit("folder").alias("kind"), F.lit(len(store._names("assets"))).cast("bigint").alias("id"), none)
+    return assets.unionByName(found.select(F.lit("vector").alias("kind"), F.col("asset_id").alias("id"), none)).unionByName(left)
+
+
 def _vectors(spark, d):
     return B.read(spark, d, "embeddings").select(F.lit("clip").alias("space"), F.col("vec_id"), F.when(F.col("vec_id") % 17 != 0, F.col("vec_id") * 3).alias("asset_id"))
 
