@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 
 import pandas as pd
@@ -67,18 +67,21 @@ def stage(load: Callable[[], Callable[[str], object]], fallback: Callable[[str],
     return run
 
 
+#: How a page of recognised text gives its strings, by what kind of thing it is: a mapping names them, a sequence holds (box, (text, confidence)).
+SHAPES = (
+    (Mapping, lambda page: page.get("rec_texts") or ()),
+    (Sequence, lambda page: (line[1][0] for line in page if listed(line, 2) and listed(line[1], 1))),
+)
+
+
+def listed(x, least: int) -> bool:
+    return isinstance(x, Sequence) and not isinstance(x, str) and len(x) >= least
+
+
 def text_blocks(result) -> list[str]:
-    """Recognised blocks of a result of either shape: pages as mappings with ``rec_texts``, or as lists of (box, (text, confidence))."""
-    blocks: list[str] = []
-    for page in result or []:
-        texts = page.get("rec_texts") if hasattr(page, "get") else None
-        if texts is not None:
-            blocks += [str(t) for t in texts if t]
-            continue
-        for line in page or []:
-            if isinstance(line, (list, tuple)) and len(line) > 1 and isinstance(line[1], (list, tuple)) and line[1] and line[1][0]:
-                blocks.append(str(line[1][0]))
-    return blocks
+    """The texts of all pages that aren't empty."""
+    shown = (strings(page) for page in result or () for kind, strings in SHAPES if isinstance(page, kind))
+    return [str(text) for strings in shown for text in strings if text]
 
 
 def _seed(path: str) -> int:

@@ -148,18 +148,20 @@ def agent_rows(found: DataFrame) -> DataFrame:
     return found.select("query_id", "rank", "id", "kind", "page", "caption", "score", "matched")
 
 
+NOTHING = "(no matching items)"
 UNAVAILABLE = "The answering model is unavailable; these are the sources."
 
 
 def ask(found: DataFrame, texts: DataFrame, queries: DataFrame, model=None, top: int = 5) -> DataFrame:
-    """(query_id, answer, context, sources): a model's answer from the best results of each query.
+    """(query_id, answer, context, sources): a model's answer from the best results of each query; one without results is asked with a note in their place.
 
     ``found`` are result rows, ``texts`` (id, text) their full texts. ``model()`` is loaded once per Python worker and maps (question, context)
     to an answer; if it is missing, can't be loaded or fails, the answer says so and the sources stand.
     """
     hits = found.where(F.col("rank") <= top).join(texts, "id", "left").withColumn("page_index", F.col("page")).withColumn("labels", F.col("objects"))
     sources = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("sources"))
-    rows = queries.select("query_id", F.col("text").alias("question")).join(rag_context(hits.withColumn("text", F.coalesce("text", F.lit("")))), "query_id").join(sources, "query_id")
+    rows = queries.select("query_id", F.col("text").alias("question")).join(rag_context(hits.withColumn("text", F.coalesce("text", F.lit("")))), "query_id", "left").join(sources, "query_id", "left")
+    rows = rows.withColumns({"context": F.coalesce("context", F.lit(NOTHING)), "sources": F.coalesce("sources", F.array().cast(sources.schema["sources"].dataType))})
     if model is None:
         return rows.select("query_id", F.lit(UNAVAILABLE).alias("answer"), "context", "sources")
 

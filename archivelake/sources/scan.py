@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,13 +18,44 @@ def clean_path(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "/")
 
 
-def files(spark: SparkSession, folder: str, every: bool = False) -> DataFrame:
-    """Files of a folder and its subfolders with an indexed extension in any case; a single file is taken as it is."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+def plain(path: str) -> str:
+    """A path that Spark's readers take by the letter: signs of patterns lose their meaning."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(at) and fs.getFileStatus(at).isFile()
+
+
+def files(spark: SparkSession, where: str | list[str], every: bool = False) -> DataFrame:
+    """Files of a folder and its subfolders with an indexed extension in any case; a single file, or each of a list, is taken as it is."""
+    every = every or isinstance(where, list) or is_file(spark, where)
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(located(where))
     rows = rows.withColumn("path", clean_path(F.col("path")))
     return rows if every else rows.where(text.is_indexable(F.col("path")))
 
 
+def located(where: str | list[str]) -> str | list[str]:
+    return [plain(p) for p in where] if isinstance(where, list) else plain(where)
+
+
+def listing(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """path, size_bytes and modificationTime of all files below the folders; contents aren't read."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(located(folders))
+    return rows.select(clean_path(F.col("path")).alias("path"), F.col("length").alias("size_bytes"), "modificationTime")
+
+
+def outermost(folders: list[str]) -> list[str]:
+    """Without those that lie in another one."""
+    out: list[str] = []
+    for f in sorted({f.rstrip("/") for f in folders}):
+        if not out or not f.startswith(f"{out[-1]}/"):
+            out.append(f)
+    return out
+
+
 def hashed(rows: DataFrame) -> DataFrame:
     return rows.select("path", "modificationTime", F.col("length").alias("size_bytes"), hashing.file_digest(F.col("content")).alias("sha256"))
 
@@ -48,9 +80,9 @@ def lanczos(gray: np.ndarray, width: int = 9, height: int = 8, lobes: int = 3) -
     return np.clip(np.rint(weights(gray.shape[0], height) @ gray @ weights(gray.shape[1], width).T), 0, 255).astype(int)
 
 
-def images(spark: SparkSession, folder: str) -> DataFrame:
+def images(spark: SparkSession, where: str | list[str]) -> DataFrame:
     """path, width, height, pixel_hash and phash of decodable images; empty hashes for the rest."""
-    raw = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "false").load(folder).select("image.*")
+    raw = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "false").load(located(where)).select("image.*")
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib

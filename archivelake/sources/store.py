@@ -38,7 +38,9 @@ def shared_folder(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if master != "local" and not master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"file://{tempfile.mkdtemp(prefix='archivelake-')}"
+    root = f"file://{tempfile.mkdtemp(prefix='archivelake-')}"
+    spark.conf.set("spark.checkpoint.dir", root)
+    return root
 
 
 class Store:
