@@ -1,16 +1,19 @@
-"""Three-tier duplicates: equal bytes, equal pixels, near perceptual hashes; greedy groups by rounds, not components."""
+"""Three-tier duplicates: equal bytes, equal pixels, near perceptual hashes; greedy groups by the sequential rule."""
 
 from __future__ import annotations
 
 from itertools import combinations
 from math import comb
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import kept
 
 THRESHOLD = 10
+#: Pairs that one task settles or joins.
+SETTLED = 1_000_000
 BITS = 64
 
 
@@ -99,21 +102,96 @@ def lookup(candidates: DataFrame, index: DataFrame, threshold: int = THRESHOLD)
     return out.select("id", F.coalesce("by_sha256", "by_pixel_hash", "by_phash").alias("duplicate_of"), tier.alias("tier"))
 
 
-def leaders(items: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Greedy leaders of (id) in id order: an item leads unless it is near an earlier leader. Returns (id, leader): itself or its earliest near leader.
-
-    Each round settles every item whose earlier neighbours are settled, the first open one among them, so rounds end; tables are checkpointed,
-    so lineage stays short.
-    """
-    edges = kept(pairs.select("a", "b").distinct())
-    state = kept(items.select("id", F.lit(None).cast("boolean").alias("leads")))
+def components(edges: DataFrame, at_once: int = SETTLED) -> DataFrame:
+    """(node, comp) of all nodes of the edges (a, b), comp being the smallest node that is reached. Each round cuts the edges in ranges of a; a task joins what its range
+    connects to one root, and what is left are edges between roots of the same node. Once ``at_once`` edges are left, one task finishes."""
+    def joined(batches):
+        root: dict = {}
+
+        def top(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for batch in batches:
+            for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, y = top(root.setdefault(a, a)), top(root.setdefault(b, b))
+                root[max(x, y)] = min(x, y)
+        nodes = list(root)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(n) for n in nodes], pa.int64())], names=["node", "root"])
+
+    mapping, left = None, edges.count()
+    while left:
+        parts = -(-left // at_once)
+        spread = edges.select("a", "b").coalesce(1) if parts == 1 else edges.select("a", "b").repartitionByRange(parts, "a", "b")
+        roots = kept(spread.mapInArrow(joined, "node bigint, root bigint"))
+        own = roots.groupBy("node").agg(F.min("root").alias("comp")) if parts > 1 else roots.withColumnRenamed("root", "comp")
+        mapping = own if mapping is None else mapping.join(own.select(F.col("node").alias("comp"), F.col("comp").alias("_up")), "comp", "left").select("node", F.coalesce("_up", "comp").alias("comp"))
+        if parts == 1:
+            break
+        mapping = kept(mapping)
+        edges = kept(roots.join(own, "node").where("root <> comp").select(F.least("root", "comp").alias("a"), F.greatest("root", "comp").alias("b")).distinct())
+        left = edges.count()
+    return mapping if mapping is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+
+
+def settled(edges: DataFrame) -> DataFrame:
+    """(id, first): of edges (comp, a, b), whole components in each task, the smallest leading neighbour of each b; null where b leads."""
+    def run(batches):
+        comp, leads = None, {}
+        b, first = None, None
+
+        def closed(out):
+            if b is not None:
+                leads[b] = first is None
+                out.append((b, first))
+
+        for batch in batches:
+            out: list[tuple] = []
+            for c, x, y in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                if (c, y) != (comp, b):
+                    closed(out)
+                    if c != comp:
+                        comp, leads = c, {}
+                    b, first = y, None
+                if first is None and leads.get(x, True):  # an item without earlier neighbours leads
+                    first = x
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(2)], names=["id", "first"])
+        out = []
+        closed(out)
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(2)], names=["id", "first"])
+
+    return edges.select("comp", "a", "b").repartition("comp").sortWithinPartitions("comp", "b", "a").mapInArrow(run, "id bigint, first bigint")
+
+
+def by_rounds(edges: DataFrame) -> DataFrame:
+    """``settled`` for components of any size: each round settles every item whose earlier neighbours are settled, the first open one among them, so rounds end."""
+    state = kept(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("leads", F.lit(None).cast("boolean")))
     while not state.where("leads is null").isEmpty():
         earlier = edges.join(state.select(F.col("id").alias("a"), "leads"), "a")
         seen = earlier.groupBy("b").agg(F.max(F.coalesce("leads", F.lit(False))).alias("near"), F.min(F.col("leads").isNotNull()).alias("settled"))
         leads = F.coalesce("leads", F.when(F.col("near"), F.lit(False)).when(F.coalesce("settled", F.lit(True)), F.lit(True)))
         state = kept(state.join(seen.withColumnRenamed("b", "id"), "id", "left").select("id", leads.alias("leads")))
-    led = edges.join(state.where("leads").select(F.col("id").alias("a")), "a").groupBy("b").agg(F.min("a").alias("first"))
-    return state.join(led.withColumnRenamed("b", "id"), "id", "left").select("id", F.when(F.col("leads"), F.col("id")).otherwise(F.col("first")).alias("leader"))
+    return edges.join(state.where("leads").select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("first"))
+
+
+def leaders(items: DataFrame, pairs: DataFrame, at_once: int = SETTLED) -> DataFrame:
+    """Greedy leaders of (id) in id order: an item leads unless it is near an earlier leader. Returns (id, leader): itself or its earliest near leader.
+
+    What an item becomes depends on its connected component only. Components of up to ``at_once`` pairs are settled in one task each, by the rule as it stands; larger ones in rounds
+    over stored tables.
+    """
+    edges = kept(pairs.select("a", "b").distinct())
+    placed = edges.join(components(edges, at_once).withColumnsRenamed({"node": "a"}), "a")
+    sizes = kept(placed.groupBy("comp").agg(F.count("*").alias("n")))
+    large = sizes.where(F.col("n") > at_once).select("comp")
+    if large.isEmpty():
+        found = settled(placed)
+    else:
+        placed = kept(placed)
+        rest = kept(placed.join(large, "comp", "left_semi").select("a", "b"))
+        found = settled(placed.join(large, "comp", "left_anti")).unionByName(by_rounds(rest))
+    return items.select("id").join(found, "id", "left").select("id", F.coalesce("first", "id").alias("leader"))
 
 
 def greedy(files: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing as H
 from ..functions import text as T
 from .. import models as M
-from ..operators import dedup, lifecycle, records, reporting, search
+from ..operators import dedup, lifecycle, metric, records, reporting, search
 from ..operators import retrieval as R
 from ..operators import vectors as V
 from ..sources.store import Store, shared_folder
@@ -183,7 +183,7 @@ SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, sim FROM (SELECT *, row_
 def knn_top_k(spark, d):
     v = B.read(spark, d, "embeddings").select(F.lit("clip").alias("space"), "vec_id", "embedding")
     asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "space", "embedding")
-    return R.knn(asked, v).select("query_id", "vec_id", "rank", "sim")
+    return metric.MetricIndex.build(v).search(asked).select("query_id", "vec_id", "rank", "sim")
 
 
 @query("""WITH s AS (SELECT query_id, label AS entity, rank FROM (""" + KNN + """) k JOIN (SELECT vec_id, label FROM embeddings) USING (vec_id))
