@@ -2,15 +2,16 @@
 
 The standard library's parser streams events. Each run of text between block-level tags is one line; a line knows its text, the
 tags seen before and in it, the region that holds it and the marked element around it. Elements are marked that can't be
-content: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers. Marks come from tag names and roles,
-and from class and id names that consist of nothing but such words; inside article and main elements only names that are plain about
-it count. An element that is never closed marks nothing, since it is unknown how far it was meant to reach.
+content: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers. Tag names and roles mark for good;
+class and id names that consist of nothing but such words set the ratio of their lines to 0. Inside article and main elements only names that are plain about
+it count, and names of lists (menus, sharing and the like) don't count where the element as a whole holds ``dense`` characters a tag or more, as prose does.
+An element that is never closed marks nothing, since it is unknown how far it was meant to reach.
 
-If unmarked text stands in article or main elements, all of that is the result. Otherwise the ratios decide: text-to-tag ratios of the
-lines (0 for marked ones) are smoothed with a Gaussian kernel; lines of which both the ratio and the smoothed ratio reach a threshold are
+The ratios decide: text-to-tag ratios of the lines are smoothed with a Gaussian kernel; lines of which both the ratio and the smoothed ratio reach a threshold are
 content, where the threshold is a share of the standard deviation, at most ``dense`` characters a tag. Neighbours above the threshold after
-smoothing make clusters with them. The region chosen is the smallest element around all content lines; if that is the whole page, it reaches
-from the first such cluster to the last. All unmarked lines of the region are returned, so short lines between dense ones stay.
+smoothing make clusters with them. If article or main elements hold half or more of the content's ratios, they are the region, all of them; an article that only
+teases beside a denser part of the page isn't. Otherwise the region is the smallest element around all content lines; if that is the whole page, it reaches
+from the first such cluster to the last. All lines of the region that aren't marked are returned, so short lines between dense ones stay.
 
 The work is linear in the length of a page, however deep its elements nest.
 
@@ -35,6 +36,7 @@ NEVER = set("nav footer aside form script style noscript template head title ifr
 IN_HEAD = set("base link meta noscript script style template title".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 PLAIN = set("ad ads advert adverts advertisement advertisements sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar cookie cookies consent gdpr popup modal newsletter subscribe subscription signup share sharing social comment comments disqus replies pagination pager toolbar login".split())
+LISTS = set("nav navbar navigation menu breadcrumb breadcrumbs share sharing social pagination pager toolbar".split())
 OTHER = set("banner copyright disclaimer footer form header legal masthead notice notices related reply search side sponsor widget".split())
 FILLER = set("area bar block bottom box button buttons container content global group inner item items left link links list main outer page panel post primary right row secondary section site slot top unit wrap wrapper".split())
 IMPLIED = set("dd dt head li option p tbody td tfoot th thead tr".split())
@@ -47,19 +49,24 @@ SPLIT = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
 
 
-def marking(names: str, plainly: bool) -> bool:
-    """Whether a class or id name consists of marking words, with filler and numbers; ``plainly``: of those that are plain about it."""
+#: How an element is marked: not at all, as a list by its names, by its names, by what it is.
+OPEN, LIST, NAMED, HARD = range(4)
+
+
+def marking(names: str, plainly: bool) -> int:
+    """How class or id names mark that consist of marking words, with filler and numbers; ``plainly``: of those that are plain about it."""
+    out = OPEN
     for name in names.split():
         words = {w.lower() for w in SPLIT.split(name)} - {""}
         found = words & PLAIN or (not plainly and words & OTHER)
         if found and all(w in PLAIN or w in OTHER or w in FILLER or w.isdigit() for w in words):
-            return True
-    return False
+            out = max(out, LIST if found <= LISTS else NAMED)
+    return out
 
 
 class Lines(HTMLParser):
     """Collects (text, tags, mark, region) per line; per region its parent and the outermost article or main around it; per mark
-    the mark around it and whether its element was closed."""
+    the mark around it, its kind, whether it lies in an article or main, and whether its element was closed."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -69,7 +76,7 @@ class Lines(HTMLParser):
         self.tags = 0
         self.lines: list[tuple[str, int, int, int]] = []
         self.parents, self.outer = [-1], [-1]
-        self.around, self.closed = [-1], [False]
+        self.around, self.closed, self.kinds, self.within = [-1], [False], [OPEN], [False]
         self.body = 0  # region of the body element
         self.hidden = 0  # marked inline elements that are open
 
@@ -108,16 +115,18 @@ class Lines(HTMLParser):
             return
         own = dict(attrs)
         inside = self.last("article", "main") >= 0
-        marked = tag in NEVER or (own.get("role") or "").lower() in ROLES or "hidden" in own or own.get("aria-hidden") == "true"
-        if not marked and tag not in ("article", "main", "body", "html"):
+        marked = HARD * (tag in NEVER or (own.get("role") or "").lower() in ROLES or "hidden" in own or own.get("aria-hidden") == "true" or tag == "header" and not inside)
+        if not marked and tag not in ("main", "body", "html"):
             names = f"{own.get('class') or ''} {own.get('id') or ''}"
-            marked = tag == "header" and not inside or len(names) > 1 and marking(names, inside or tag == "p" or tag not in BLOCK)
+            marked = marking(names, inside or tag in ("p", "article") or tag not in BLOCK) if len(names) > 1 else OPEN
         if tag not in BLOCK and not marked:
             return  # inline elements change nothing
         _, mark, region, _ = self.stack[-1] if self.stack else ("", 0, 0, False)
         if marked:
             self.around.append(mark)
             self.closed.append(False)
+            self.kinds.append(marked)
+            self.within.append(inside)
             mark = len(self.closed) - 1
             self.hidden += tag not in BLOCK
         if tag in REGIONS:
@@ -126,7 +135,7 @@ class Lines(HTMLParser):
             region = len(self.outer) - 1
             self.body = region if tag == "body" and not self.body else self.body
         self.places.setdefault(tag, []).append(len(self.stack))
-        self.stack.append((tag, mark, region, marked))
+        self.stack.append((tag, mark, region, marked > OPEN))
 
     def handle_endtag(self, tag):
         if tag in BLOCK:
@@ -139,15 +148,27 @@ class Lines(HTMLParser):
         if not self.hidden and not (self.stack and self.stack[-1][0] in ("script", "style")):
             self.parts.append(data)
 
-    def finished(self) -> list[tuple[str, int, bool, int]]:
-        """(text, tags, whether marked, region) of all lines."""
+    def finished(self, dense: float = 20.0) -> list[tuple[str, int, int, int]]:
+        """(text, tags, how marked, region) of all lines."""
         self.close()
         self.flush()
         self.cut(0, False)
-        marked = [False]
-        for around, closed in zip(self.around[1:], self.closed[1:], strict=True):
-            marked.append(closed or marked[around])
-        return [(text, tags, marked[m], r) for text, tags, m, r in self.lines]
+        chars, tags = [0] * len(self.kinds), [1] * len(self.kinds)
+        for text, n, m, _ in self.lines:
+            chars[m], tags[m] = chars[m] + len(text), tags[m] + n
+        for m in range(len(self.kinds) - 1, 0, -1):  # marks come before those inside them
+            chars[self.around[m]] += chars[m]
+            tags[self.around[m]] += tags[m] - 1
+        marked = [OPEN]
+        for m in range(1, len(self.kinds)):
+            prose = self.kinds[m] == LIST and self.within[m] and chars[m] >= dense * tags[m]
+            marked.append(max(marked[self.around[m]], self.kinds[m] if self.closed[m] and not prose else OPEN))
+        return [(text, n, marked[m], r) for text, n, m, r in self.lines]
+
+
+def ratios_of(lines: list[tuple[str, int, int, int]]) -> np.ndarray:
+    """Characters a tag of each line; 0 for marked ones."""
+    return np.array([0.0 if marked else len(text) / (1 + tags) for text, tags, marked, _ in lines])
 
 
 def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -157,9 +178,8 @@ def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(np.pad(ratios, radius, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def content_lines(lines: list[tuple[str, int, bool, int]], sigma: float, share: float, dense: float) -> tuple[list[int], list[int]]:
-    """Numbers of the content lines, and of all lines of the clusters around them."""
-    ratios = np.array([0.0 if marked else len(text) / (1 + tags) for text, tags, marked, _ in lines])
+def content_lines(ratios: np.ndarray, sigma: float, share: float, dense: float) -> tuple[list[int], list[int], float]:
+    """Numbers of the content lines, of all lines of the clusters around them, and the threshold."""
     soft = smoothed(ratios, sigma)
     least = min(share * float(soft.std()), dense)
     high = soft >= least
@@ -168,32 +188,37 @@ def content_lines(lines: list[tuple[str, int, bool, int]], sigma: float, share:
         core = np.flatnonzero(ratios > 0)
     high[core] = True
     cluster = np.cumsum(np.concatenate([[0], high[1:] != high[:-1]]))
-    return core.tolist(), np.flatnonzero(high & np.isin(cluster, cluster[core])).tolist()
+    return core.tolist(), np.flatnonzero(high & np.isin(cluster, cluster[core])).tolist(), least
 
 
 def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5, dense: float = 20.0) -> str:
     parser = Lines()
     parser.feed(html or "")
-    lines = parser.finished()
-    open_ = [i for i, line in enumerate(lines) if not line[2]]
-    if not open_:
+    lines = parser.finished(dense)
+    ratios = ratios_of(lines) if lines else np.zeros(0)
+    if not ratios.any():
         return ""
+    core, clustered, least = content_lines(ratios, sigma, share, dense)
     outer = parser.outer
-    if own := [i for i in open_ if outer[lines[i][3]] != -1]:
-        return " ".join(lines[i][0] for i in own)
-    core, clustered = content_lines(lines, sigma, share, dense)
-    held = [0] * len(parser.parents)
-    for i in core:
-        held[lines[i][3]] += 1
-    for r in range(len(held) - 1, 0, -1):  # parents come before their children
-        held[parser.parents[r]] += held[r]
-    best = max(r for r, n in enumerate(held) if n == len(core))
-    inside = [best == 0]
-    for r, parent in enumerate(parser.parents[1:], 1):
-        inside.append(r == best or inside[parent])
-    whole = best == 0 or best == parser.body
-    first, last = (clustered[0], clustered[-1]) if whole else (0, len(lines))
-    return " ".join(lines[i][0] for i in open_ if inside[lines[i][3]] and first <= i <= last)
+    named = [outer[r] != -1 for *_, r in lines]
+    first, last = 0, len(lines)
+    if 2 * sum(ratios[i] for i in core if named[i]) >= sum(ratios[i] for i in core):
+        within = named
+    else:
+        held = [0] * len(parser.parents)
+        for i in core:
+            held[lines[i][3]] += 1
+        for r in range(len(held) - 1, 0, -1):  # parents come before their children
+            held[parser.parents[r]] += held[r]
+        best = max(r for r, n in enumerate(held) if n == len(core))
+        inside = [best == 0]
+        for r, parent in enumerate(parser.parents[1:], 1):
+            inside.append(r == best or inside[parent])
+        within = [inside[r] for *_, r in lines]
+        if best in (0, parser.body):
+            first, last = clustered[0], clustered[-1]
+    shown = lambda i: within[i] and first <= i <= last and (not lines[i][2] or lines[i][2] < HARD and ratios[i] >= max(least, 1e-9))
+    return " ".join(line[0] for i, line in enumerate(lines) if shown(i))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -667,11 +667,47 @@ def test_html_ratios_select_where_no_element_names_the_article(monkeypatch):
     for page, want in pages.items():
         got = html_text.main_text(page)
         assert " ".join(want) in got and links not in got and len(got) < len(" ".join(want)) + 60, got
-    monkeypatch.setattr(html_text, "smoothed", lambda ratios, sigma: np.ones(len(ratios)))
-    monkeypatch.setattr(html_text, "content_lines", lambda lines, *_: ([i for i, x in enumerate(lines) if not x[2]],) * 2)
+    monkeypatch.setattr(html_text, "ratios_of", lambda lines: np.array([float(x[2] < html_text.HARD) for x in lines]))
     assert all(links in html_text.main_text(page) for page in pages)
 
 
+def test_html_ratios_decide_on_the_registered_pages(monkeypatch):
+    """Every page of the table goes through ratios, smoothing and clusters: with ratios made flat, adverts get into the text of many pages."""
+    import html as h
+
+    import duckdb
+
+    raw = [r[0] for r in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()]
+    seen, lines = [], html_text.content_lines
+    monkeypatch.setattr(html_text, "content_lines", lambda *args: seen.append(1) or lines(*args))
+    own = [html_text.main_text(x) for x in raw]
+    assert len(seen) == len(raw)
+    for x, text in zip(raw, own, strict=True):
+        body = re.search(r"<article>(.*?)</article>", x, re.S)[1]
+        assert text == " ".join(h.unescape(re.sub(r"<[^>]*>", "", re.sub(r"</?(p|h1|br)[^>]*>", " ", body))).split())
+    monkeypatch.setattr(html_text, "ratios_of", lambda lines: np.ones(len(lines)))
+    flat = [html_text.main_text(x) for x in raw]
+    assert sum(a != b for a, b in zip(own, flat, strict=True)) > 0.1 * len(raw)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # names of lists don't drop prose
+        ("<article><p>{a}</p><section id='share'><p>{a}</p></section><div class='social-group'><p>{a}</p></div></article>", "{a} {a} {a}"),
+        ("<article><p>{a}</p><div class='menu'>{links}</div><div id='share'><a href='/'>Tell</a> <a href='/'>Send</a></div></article>", "{a}"),
+        # what other names say holds for prose as well
+        ("<article><p>{a}</p><div class='comments'><p>{a}</p></div></article>", "{a}"),
+        # articles of readers beside the main one, by name
+        ("<article><p>{a}</p></article><article class='comment'><p>{a}</p></article><article id='comment-2'><p>{a}</p></article>", "{a}"),
+        # an article that only teases beside the page's text
+        ("<body><div><p>{a}</p><p>{a}</p><p>{a}</p></div><article><a href='/x'>More</a> <a href='/y'>to read</a></article></body>", "{a} {a} {a}"),
+    ],
+)
+def test_html_density_decides_between_and_inside_regions(page, text):
+    assert html_text.main_text(page.format(a=LONG, links=MENU)) == text.format(a=LONG.strip())
+
+
 def brute_content(lines, sigma=1.0, share=0.5, dense=20.0):
     """The definition, line by line."""
     ratios = [0.0 if m else len(t) / (1 + g) for t, g, m, _ in lines]
@@ -696,7 +732,7 @@ def test_html_clusters_by_definition():
         r = random.Random(seed)
         lines = [("x" * r.choice([1, 5, 20, 80, 400]), r.randint(0, 6), r.random() < 0.2, 0) for _ in range(r.randint(1, 40))]
         if any(not m for _, _, m, _ in lines):
-            assert html_text.content_lines(lines, 1.0, 0.5, 20.0) == brute_content(lines), seed
+            assert html_text.content_lines(html_text.ratios_of(lines), 1.0, 0.5, 20.0)[:2] == brute_content(lines), seed
 
 
 def test_html_time_is_linear_in_nesting():
