@@ -2,8 +2,9 @@ r"""Secret scans: fixed base patterns, and a battery of randomness tests for any
 
 Base kinds (leftmost, non-overlapping, each kind on its own) are ``assign``, ``access`` and ``hex``.
 The battery looks at runs of 20 or more credential characters; a run that mixes "+" or "/" with "-" or "_" fits no encoding and is
-split at the ones and at the others; runs of digits only are numbers and not tested. For each run an encoding is inferred (hex,
-base32, base64 or letters and digits), and three tests ask how far it is from uniform over that alphabet: chi-squared of
+split at the ones and at the others; runs of digits only are numbers and not tested. Of a run with any of the four signs, the parts of 20 or more letters and digits between
+them are tested as well, each as one more hypothesis: a key in a path or behind a prefix stands in such a part. For each run an encoding is inferred (hex, letters of one case,
+base32 or letters and digits of either case, letters and digits, base64), and three tests ask how far it is from uniform over that alphabet: chi-squared of
 classes of characters and of the number of distinct ones, runs above and below the middle of the alphabet, and serial correlation of
 neighbours. Fisher's method joins the three to one distance.
 
@@ -39,6 +40,8 @@ ASSIGN_START = re.compile(r"[pP][aA][sS][sS][wW]|[sS][eE][cC][rR][eE][tT]|[tT][o
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+#: Letters and digits between the signs of a run.
+PURE = re.compile(r"[A-Za-z0-9]{20,}")
 #: Parts of a run that mixes "+" or "/" with "-" or "_": first those between the former, then those between the latter.
 PARTS = (re.compile(r"[A-Za-z0-9_-]{20,}={0,2}"), re.compile(r"[A-Za-z0-9+/]{20,}={0,2}"))
 KINDS = ("assign", "access", "hex", "random")
@@ -46,7 +49,12 @@ KINDS = ("assign", "access", "hex", "random")
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
+    "lower": "abcdefghijklmnopqrstuvwxyz",
+    "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base32lower": "abcdefghijklmnopqrstuvwxyz234567",
+    "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "base36upper": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "alnum": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
@@ -67,6 +75,11 @@ WORDS = (
     " product customer address country city street number public private system config default option select table column string object class method result error"
     " windows library network manager document chapter section article review history summer winter music house water light world people market north south"
 ).split()
+CONSONANTS, VOWELS = "tnsrlhdcmfpgwybvkxjqz", "eaoiu"
+#: Letters come less often the later they stand.
+CUMULATED = {letters: np.cumsum(1 / np.arange(2, len(letters) + 2)).tolist() for letters in (CONSONANTS, VOWELS)}
+#: Encodings of one case, whose ordinary runs are long words of any language as well as names.
+MIXED = ("lower", "upper", "base32", "base32lower", "base36", "base36upper")
 HEX_WORDS = "dead beef cafe face feed added bad babe decade facade fade deed ace bead 00 000 0000 11 99 ff".split()
 
 
@@ -123,6 +136,12 @@ def distance(kind: str, body: str) -> float:
     return -2 * sum(log(max(p, 1e-12)) for p in (p_chi, p_runs, p_serial))
 
 
+def syllables(dice: random.Random) -> str:
+    """A made-up word of consonants and vowels by turns, as in names and in words of any language."""
+    some = lambda letters, n: "".join(dice.choices(letters, cum_weights=CUMULATED[letters], k=n))
+    return "".join(some(CONSONANTS, dice.choice((1, 1, 2))) + some(VOWELS, 1) + some(CONSONANTS, dice.choice((0, 0, 1))) for _ in range(dice.randrange(1, 4)))
+
+
 def ordinary(kind: str, n: int, dice: random.Random) -> str:
     """A made-up ordinary run of an encoding."""
     if kind in ("hex", "HEX"):
@@ -131,13 +150,15 @@ def ordinary(kind: str, n: int, dice: random.Random) -> str:
             body += dice.choice((dice.choice(HEX_WORDS), f"20{dice.randrange(30):02}{dice.randrange(1, 13):02}{dice.randrange(1, 29):02}", str(dice.randrange(100)) * 2))
         return body[:n] if kind == "hex" else body[:n].upper()
     separator = {"base64": "/", "base64url": dice.choice("-_")}.get(kind, "")
-    style = "upper" if kind == "base32" else dice.choice(("camel", "camel", "lower", "title"))
+    style = {"upper": "upper", "base32": "upper", "base36upper": "upper", "lower": "lower", "base32lower": "lower", "base36": "lower"}.get(kind) or dice.choice(("camel", "camel", "lower", "title"))
     number = lambda: dice.choice((str(dice.randrange(10)), str(dice.randrange(100)), str(dice.randrange(1990, 2030)), f"{dice.randrange(2000, 2030)}{dice.randrange(1, 13):02}"))
-    if kind == "base32":
+    if kind in ("base32", "base32lower"):
         number = lambda: dice.choice("234567") * dice.randrange(1, 3)
+    elif kind in ("lower", "upper"):
+        number = lambda: ""
     parts, size = [], 0
     while size < n:
-        word = dice.choice(WORDS)
+        word = syllables(dice) if kind in MIXED and dice.random() < 0.5 else dice.choice(WORDS)
         if style == "upper":
             word = word.upper()
         elif style == "title" or style == "camel" and parts:
@@ -147,12 +168,14 @@ def ordinary(kind: str, n: int, dice: random.Random) -> str:
     return separator.join(parts)[:n]
 
 
-@lru_cache(16)
+@lru_cache(32)
 def moments(kind: str) -> tuple[list[float], list[float]]:
-    """Mean and deviation of the logarithm of the distance of ordinary runs, at each of LENGTHS."""
+    """Mean and deviation of the logarithm of the distance of ordinary runs, at each of LENGTHS. Encodings of one case, whose lower tail is longer than a normal
+    one, take the deviation that puts their lowest hundredth where it is."""
     dice = random.Random(f"ordinary {kind}")
-    found = [np.log([max(1.0, distance(kind, ordinary(kind, n, dice))) for _ in range(200)]) for n in LENGTHS]
-    return [float(x.mean()) for x in found], [max(float(x.std()), 0.1) for x in found]
+    found = [np.log([max(1.0, distance(kind, ordinary(kind, n, dice))) for _ in range(400 if kind in MIXED else 200)]) for n in LENGTHS]
+    tails = [float(x.mean() - np.quantile(x, 0.01)) / 2.326 if kind in MIXED else 0.0 for x in found]
+    return [float(x.mean()) for x in found], [max(float(x.std()), tail, 0.1) for x, tail in zip(found, tails, strict=True)]
 
 
 def battery(run: str) -> float | None:
@@ -187,11 +210,10 @@ def last_step(counts: dict[int, int], mean_weight: float, rate: float) -> int |
 
 
 def tested_parts(run: re.Match) -> list[tuple[int, int]]:
-    """Spans to test: the run if an encoding fits it, else its parts."""
-    if encoding(run.group()) is not None:
-        return [run.span()]
-    a = run.start()
-    return [(a + m.start(), a + m.end()) for pattern in PARTS for m in pattern.finditer(run.group())]
+    """Spans to test: the run if an encoding fits it, else its parts; and its parts of letters and digits."""
+    patterns = (PURE,) if encoding(run.group()) is not None else (*PARTS, PURE)
+    own = [run.span()] if len(patterns) == 1 else []
+    return list(dict.fromkeys(own + [(run.start() + m.start(), run.start() + m.end()) for pattern in patterns for m in pattern.finditer(run.group())]))
 
 
 def tested_runs(text: str) -> list[tuple[int, int, int]]:

@@ -145,6 +145,40 @@ def test_battery_looks_into_mixed_runs():
     assert not secrets.random_runs("/user-files-of-the-first/account_of_the_second/2024/index-page_of_the_site")
 
 
+#: Least share of random keys of 24, 32 and 40 characters with p <= 0.001, and of ordinary runs of words outside the model at most, per encoding.
+POWER = {
+    "hex": (0.75, 0.85, 0.95, 0.05), "HEX": (0.55, 0.8, 0.9, 0.05), "lower": (0.3, 0.35, 0.6, 0.015), "upper": (0.15, 0.5, 0.6, 0.015), "base32": (0.15, 0.4, 0.55, 0.01), "base32lower": (0.15, 0.35, 0.6, 0.01),
+    "base36": (0.3, 0.65, 0.75, 0.01), "base36upper": (0.35, 0.55, 0.7, 0.01), "alnum": (0.88, 0.95, 0.95, 0.05), "base64": (0.88, 0.95, 0.95, 0.05), "base64url": (0.88, 0.95, 0.95, 0.05),
+}
+
+
+@pytest.mark.parametrize("kind", list(POWER))
+def test_power_and_false_alarms_per_encoding(kind):
+    r = random.Random(f"power {kind}")
+    for n, least in zip((24, 32, 40), POWER[kind], strict=False):
+        keys = ["".join(r.choice(secrets.ALPHABETS[kind]) for _ in range(n)) for _ in range(150)]
+        assert np.mean([(secrets.battery(k) or 1.0) <= 0.001 for k in keys]) >= least, n
+    if kind in secrets.MIXED:
+        words = "apple banana river mountain keyboard window printer cloud storage engine pipeline vector quality filter sample dienst verwaltung gesellschaft bibliothek entwicklung".split()
+        runs = ["".join(r.choice(words) for _ in range(6))[: r.choice([24, 32, 40])] for _ in range(400)]
+        runs = [x[:8] + r.choice("234567") + x[9:] if "3" in kind else x for x in runs]
+        runs = [x.upper() if kind in ("upper", "base32", "base36upper") else x for x in runs]
+        assert np.mean([(secrets.battery(x) or 1.0) <= 0.001 for x in runs]) <= POWER[kind][3]
+
+
+def test_keys_in_paths_and_behind_prefixes():
+    r = random.Random(31)
+    key = lambda n: "".join(r.choice(secrets.ALPHABETS["alnum"]) for _ in range(n))
+    found = 0
+    for _ in range(40):
+        own = key(r.choice((24, 32)))
+        text = r.choice(("see /srv/data/files/{}/index of", "sk_live_{} x", "https://host/a/{}/b", "the-first-name-{} x")).format(own)
+        at = text.index(own)
+        found += any(s <= at and at + len(own) <= e for s, e in secrets.random_runs(text))
+    assert found >= 34
+    assert not secrets.random_runs("/usr/share/documents/windows/libraries/manager and user_name_of_the_account_service")
+
+
 def brute_random(texts, rate=0.05):
     """Findings by the definition: each weighted p-value rounded up, then the largest step that Benjamini-Hochberg accepts."""
     runs = []
@@ -152,7 +186,8 @@ def brute_random(texts, rate=0.05):
         for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", text or ""):
             own = set(m[0].rstrip("="))
             mixed = own & set("+/") and own & set("-_")
-            parts = [m.span()] if not mixed else [(m.start() + x.start(), m.start() + x.end()) for a in (r"[A-Za-z0-9_-]{20,}={0,2}", r"[A-Za-z0-9+/]{20,}={0,2}") for x in re.finditer(a, m[0])]
+            parts = {m.span()} if not mixed else {(m.start() + x.start(), m.start() + x.end()) for a in (r"[A-Za-z0-9_-]{20,}={0,2}", r"[A-Za-z0-9+/]{20,}={0,2}") for x in re.finditer(a, m[0])}
+            parts |= {(m.start() + x.start(), m.start() + x.end()) for x in re.finditer("[A-Za-z0-9]{20,}", m[0])}
             for s, e in parts:
                 body = text[s:e].rstrip("=")
                 if len(body) >= 20 and not body.isdigit():
