@@ -1,6 +1,6 @@
 """Substring removal with a log-structured fingerprint index.
 
-A document's words covered by a window of ``width`` words that also starts earlier are removed, exactly.
+A document's words covered by a window of ``width`` words that also starts earlier are removed; windows are equal if their hashes of 128 bits are.
 
 1. Each text gives the fingerprints of its sampled windows: hashes of ``gram`` words, of which the
    smallest in every window of ``width`` words is taken. Equal windows take the same fingerprint, so a repeated window always shows as a
@@ -173,12 +173,12 @@ def whole_windows(width: int, gram: int):
             h, _ = hashed_words([text])
             other, _ = hashed_words([text], key="fedcba9876543210")
             at = np.flatnonzero(np.isin(window_keys(h, width, gram), np.array(hs, np.int64).view(np.uint64)))
-            a, b = window_hashes(h, width)[at], (window_hashes(other, width)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            a, b = window_hashes(h, width)[at], window_hashes(other, width)[at]
             order = np.lexsort((at, b, a))
             again = np.zeros(len(at), bool)
             again[order[1:]] = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
             out["a"].append(signed(a[~again]).tolist())
-            out["b"].append(b[~again].tolist())
+            out["b"].append(signed(b[~again]).tolist())
             out["starts"].append(at[~again].tolist())
             out["own"].append(at[again].tolist())
         return out
@@ -200,7 +200,7 @@ def verified(scratch: Scratch, made: DataFrame, texts: DataFrame, shared: DataFr
         f()
     scratch.release()
     windows = texts.select("gen", F.col("doc").alias("text_doc"), "t", "text").join(holds, ["gen", "text_doc", "t"]).select("gen", "rid", "doc", "text", "hs")
-    windows = scratch.write(map_batches(windows, whole_windows(width, gram), "gen bigint, rid bigint, doc bigint, a array<bigint>, b array<int>, starts array<int>, own array<int>"), "windows")
+    windows = scratch.write(map_batches(windows, whole_windows(width, gram), "gen bigint, rid bigint, doc bigint, a array<bigint>, b array<bigint>, starts array<int>, own array<int>"), "windows")
     scratch.drop("copies", "holds")
     scratch.release()
     each = windows.select("gen", "rid", "doc", F.inline(F.arrays_zip("a", "b", "starts")))
