@@ -14,6 +14,7 @@ from .. import models as M
 from ..operators import dedup, lifecycle, metric, records, reporting, search
 from ..operators import retrieval as R
 from ..operators import vectors as V
+from ..sources.pages import PagesSource
 from ..sources.store import Store, shared_folder
 from ..streaming import watch
 from . import tables as B
@@ -412,7 +413,12 @@ def document_records(spark, d):
     path = F.concat(F.lit("/lake/c"), "conv_id", F.lit(".pdf")).alias("path")
     turns = B.read(spark, d, "conversations")
     box = F.array(*[F.lit(float(x)) for x in (0, 0, 9, 9)])
-    pages = turns.select(path, F.col("turn").cast("int").alias("page_index"), F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("text")).alias("text"), F.array_repeat(box, F.expr(BOXES).cast("int")).alias("boxes"))
+    page = F.struct(F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("text")).alias("text"), F.array_repeat(box, F.expr(BOXES).cast("int")).alias("boxes"))
+    papers = turns.groupBy(path).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", page.alias("p")))), lambda x: x["p"]).alias("pages"))
+    container = f"{shared_folder(spark)}/archivelake/pages-{uuid.uuid4().hex}"
+    papers.select(F.to_json(F.struct("path", "pages"))).write.text(container)
+    spark.dataSource.register(PagesSource)
+    pages = spark.read.format("archive_pages").schema("path string, page_index int, text string, boxes array<array<double>>").option("path", container.replace("file:/", "file:///").replace("file://///", "file:///")).load()
     files = turns.select(path).distinct().select("path", F.lit("sha256:0").alias("sha256"), F.lit(0).cast("bigint").alias("size_bytes"))
     made = records.documents(files, pages, M.Models())
     shown = records.summaries(made).select("path", "caption")
