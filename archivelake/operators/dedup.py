@@ -105,8 +105,10 @@ def lookup(candidates: DataFrame, index: DataFrame, threshold: int = THRESHOLD)
 def components(edges: DataFrame, at_once: int = SETTLED) -> DataFrame:
     """(node, comp) of all nodes of the edges (a, b), comp being the smallest node that is reached. Each round cuts the edges in ranges of a; a task joins what its range
     connects to one root, and what is left are edges between roots of the same node. Once ``at_once`` edges are left, one task finishes."""
+    kind = dict(edges.dtypes)["a"]
+
     def joined(batches):
-        root: dict = {}
+        root, of = {}, None
 
         def top(x):
             while root[x] != x:
@@ -114,17 +116,19 @@ def components(edges: DataFrame, at_once: int = SETTLED) -> DataFrame:
             return x
 
         for batch in batches:
+            of = batch.schema.field(0).type
             for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x, y = top(root.setdefault(a, a)), top(root.setdefault(b, b))
                 root[max(x, y)] = min(x, y)
         nodes = list(root)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(n) for n in nodes], pa.int64())], names=["node", "root"])
+        if nodes:
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, of), pa.array([top(n) for n in nodes], of)], names=["node", "root"])
 
     mapping, left = None, edges.count()
     while left:
         parts = -(-left // at_once)
         spread = edges.select("a", "b").coalesce(1) if parts == 1 else edges.select("a", "b").repartitionByRange(parts, "a", "b")
-        roots = kept(spread.mapInArrow(joined, "node bigint, root bigint"))
+        roots = kept(spread.mapInArrow(joined, f"node {kind}, root {kind}"))
         own = roots.groupBy("node").agg(F.min("root").alias("comp")) if parts > 1 else roots.withColumnRenamed("root", "comp")
         mapping = own if mapping is None else mapping.join(own.select(F.col("node").alias("comp"), F.col("comp").alias("_up")), "comp", "left").select("node", F.coalesce("_up", "comp").alias("comp"))
         if parts == 1:
@@ -137,8 +141,10 @@ def components(edges: DataFrame, at_once: int = SETTLED) -> DataFrame:
 
 def settled(edges: DataFrame) -> DataFrame:
     """(id, first): of edges (comp, a, b), whole components in each task, the smallest leading neighbour of each b; null where b leads."""
+    kind = dict(edges.dtypes)["a"]
+
     def run(batches):
-        comp, leads = None, {}
+        comp, leads, of = None, {}, None
         b, first = None, None
 
         def closed(out):
@@ -148,6 +154,7 @@ def settled(edges: DataFrame) -> DataFrame:
 
         for batch in batches:
             out: list[tuple] = []
+            of = batch.schema.field(1).type
             for c, x, y in zip(*(col.to_pylist() for col in batch.columns), strict=True):
                 if (c, y) != (comp, b):
                     closed(out)
@@ -156,12 +163,13 @@ def settled(edges: DataFrame) -> DataFrame:
                     b, first = y, None
                 if first is None and leads.get(x, True):  # an item without earlier neighbours leads
                     first = x
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(2)], names=["id", "first"])
-        out = []
-        closed(out)
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(2)], names=["id", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], of) for i in range(2)], names=["id", "first"])
+        if b is not None:
+            out = []
+            closed(out)
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], of) for i in range(2)], names=["id", "first"])
 
-    return edges.select("comp", "a", "b").repartition("comp").sortWithinPartitions("comp", "b", "a").mapInArrow(run, "id bigint, first bigint")
+    return edges.select("comp", "a", "b").repartition("comp").sortWithinPartitions("comp", "b", "a").mapInArrow(run, f"id {kind}, first {kind}")
 
 
 def by_rounds(edges: DataFrame) -> DataFrame:

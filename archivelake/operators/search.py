@@ -43,6 +43,26 @@ def doc_labels():
     return F.array_union(F.coalesce(F.transform("objects", lambda o: o["label"]), none), F.coalesce(regions, none))
 
 
+def facts(assets: DataFrame, with_text: bool | None = None, label: str | None = None) -> DataFrame:
+    """What the filters in force ask of live assets, in narrow columns: kind, and only where it is asked for labels, or which pages hold text. Nested pages stay behind."""
+    own = [F.col("asset_id"), F.coalesce("kind", F.lit("image")).alias("kind")]
+    if label and label.strip():
+        own.append(doc_labels().alias("labels"))
+    if with_text:
+        own += [F.coalesce("ocr.has_text", F.lit(False)).alias("_own"), F.transform("pages", lambda p: F.struct(p["page_index"].alias("at"), (~T.is_blank(p["text"])).alias("text"))).alias("_texts")]
+    return assets.where("state = 'active'").select(*own)
+
+
+def drawn(hits: DataFrame, assets: DataFrame, limit: int, kind: str | None = None, with_text: bool | None = None, label: str | None = None) -> DataFrame:
+    """Hits (query_id, entity, score, asset_id, page_index, ...) on live assets through the filters, cut to the pool; their contents are fetched afterwards."""
+    rows = hits.join(facts(assets, with_text, label), "asset_id")
+    is_page = F.col("page_index").isNotNull()
+    rows = rows.withColumn("kind", F.when(is_page, "pdf").otherwise(F.col("kind")))
+    if with_text:
+        rows = rows.withColumn("has_text", F.when(is_page, F.coalesce(F.exists("_texts", lambda t: (t["at"] == F.col("page_index")) & t["text"]), F.lit(False))).otherwise(F.col("_own")))
+    return pooled(rows, limit, kind, with_text, label).select(*hits.columns, "rank")
+
+
 def described(hits: DataFrame, assets: DataFrame) -> DataFrame:
     """Hits (asset_id, page_index, ...) on live nested assets, with what a result shows and what filters and re-ranking need:
     path, page, kind, caption, objects, labels, has_text and text."""
@@ -89,7 +109,7 @@ def results(ranks: DataFrame, assets: DataFrame, queries: DataFrame | None = Non
         F.first("asset_id").alias("asset_id"), F.first("page_index").alias("page_index"), F.min(F.when(F.col("source") == "clip", F.col("rank"))).alias("clip_rank"), F.collect_set("source").alias("sources")
     )
     hits = fused.join(by_source, ["query_id", "entity"])
-    pool = pooled(described(hits, assets), limit, **filters).withColumnRenamed("rank", "position")
+    pool = described(drawn(hits, assets, limit, **filters), assets).withColumnRenamed("rank", "position")
     matched = F.array_join(F.filter(F.array(*map(F.lit, ("visual", "text", "clip"))), lambda s: F.array_contains("sources", s)), ",")
     pool = pool.withColumn("matched", matched)
     if rerank is None:

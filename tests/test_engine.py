@@ -445,6 +445,24 @@ def test_archive_with_models(spark, tmp_path):
     assert uploaded["processed"] == 1 and uploaded["path"].endswith("/c.png") and own.stats()["assets"] == 3
 
 
+def test_no_pages_are_carried_to_the_pool(spark, tiny):
+    """Filters see narrow facts; nested pages meet the rows of the pool only."""
+    from archivelake.plans import tables as B
+
+    assets = B.lake(spark, tiny)
+    assert search.facts(assets).columns == ["asset_id", "kind"]
+    hits = spark.createDataFrame([(1, "c1#p1", 0.5, "c1", 1), (1, "c1#p0", 0.4, "c1", 0), (1, "d1", 0.3, "d1", None), (1, "c1#p99", 0.2, "c1", 99)], "query_id bigint, entity string, score double, asset_id string, page_index int")
+    for options in ({}, {"with_text": True}, {"label": "user"}, {"kind": "pdf", "with_text": True}):
+        pool = search.drawn(hits, assets, 10, **options)
+        assert pool.columns == [*hits.columns, "rank"]
+        joins = [x for x in pool._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join " in x]
+        assert len(joins) == 1
+        plan = pool._jdf.queryExecution().optimizedPlan().toString()
+        assert "pages#" not in plan[: plan.index("Join ")]
+        whole = search.pooled(search.described(hits, assets), 10, options.get("kind"), options.get("with_text"), options.get("label"))
+        assert sorted((r["entity"], r["rank"]) for r in pool.collect()) == sorted((r["entity"], r["rank"]) for r in whole.collect())
+
+
 def test_cli(spark, tmp_path, capsys):
     folder = folder_of(tmp_path, a_png=png(noise(1), 48, 48, 6))
     store = ["--store", f"file://{tmp_path}/cli"]

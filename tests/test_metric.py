@@ -119,5 +119,12 @@ def test_a_long_chain_takes_few_jobs(spark):
     assert found == {i: i - i % 2 for i in range(n)} and jobs < 20, jobs
 
 
+def test_leaders_of_named_items(spark):
+    names = ["/a", "/b", "/é", "/🙂", "/z", "/c#p1"]
+    pairs = [("/a", "/b"), ("/b", "/z"), ("/z", "/é"), ("/é", "/🙂")]
+    items, edges = spark.createDataFrame([(n,) for n in names], "id string"), spark.createDataFrame(pairs, "a string, b string")
+    assert {r["id"]: r["leader"] for r in dedup.leaders(items, edges, 2).collect()} == {r["id"]: r["leader"] for r in dedup.leaders(items, edges).collect()} == sequential(names, pairs)
+
+
 def test_no_pairs(spark):
     assert dedup.leaders(spark.range(3), spark.createDataFrame([], "a bigint, b bigint")).where("id = leader").count() == 3
