@@ -8,9 +8,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
@@ -27,6 +25,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 GROUP_BYTES = 2_000_000
 
 
+#: Setting under which shuffle files go at the end of the query that made them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows that go to a Python worker at a time: with whole texts, the default of 10,000 holds too much at once.
 BATCH_ROWS = 500
 
@@ -75,17 +75,19 @@ def _remove_all() -> None:
 
 class Scratch:
     """Tables of one operator call, written to the shared folder and read back with their lineage cut. Operators drop tables once used; those
-    that a result still reads stay until ``keep_only()`` or the end of the driver."""
+    that a result still reads stay until ``keep_only()`` or the end of the driver. With ``clean`` Spark removes the shuffle files of a table once it is written."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, clean: bool = False):
         bounded_batches(spark)
+        self.settings = {CLEANUP: "true"} if clean else {}
         self.spark, self.path = spark, f"{scratch_root(spark)}/archivelake/{name}-{uuid.uuid4().hex}"
         if not _MADE:
             atexit.register(_remove_all)
         _MADE.append(self)
 
     def write(self, df: DataFrame, table: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.path}/{table}")
+        with session_settings(self.spark, self.settings):
+            df.write.mode("overwrite").parquet(f"{self.path}/{table}")
         return self.read(table, df)
 
     def read(self, table: str, like: DataFrame) -> DataFrame:
@@ -106,13 +108,6 @@ class Scratch:
                 if s.getPath().getName() not in tables:
                     fs.delete(s.getPath(), True)
 
-    def release(self) -> None:
-        """Let Spark's cleaner remove the shuffle files of steps that are already written as tables. What Python lets go of reaches the JVM a
-        moment later, by a thread of its own; collected before that, the last step's files would stay until the next call."""
-        gc.collect()
-        time.sleep(0.4)
-        self.spark.sparkContext._jvm.System.gc()
-
 
 def text_or_empty(text) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")

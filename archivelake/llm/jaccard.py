@@ -158,7 +158,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame | Non
 def members(docs: DataFrame, spark: SparkSession, width: int = 4, percent: int = 85, leaders: int = 8) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id, t (hash of its text), rid and comp, the component's node, which tells
     components without doc_ids apart (null without shingles)."""
-    scratch = Scratch(spark, "jaccard")
+    scratch = Scratch(spark, "jaccard", clean=True)
     rows = prepared(docs, "doc_id", "text").select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
     fields = [("doc_id", pa.int64()), ("doc", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bottom", pa.list_(pa.int64())), ("slice", pa.int32()), ("counts", pa.list_(pa.int64()))]
 
@@ -193,7 +193,6 @@ def members(docs: DataFrame, spark: SparkSession, width: int = 4, percent: int =
     places = scratch.write(map_batches(rows.select("doc", "t", "text"), prefixes(table, width, percent), "doc bigint, t bigint, common double, prefix array<bigint>, bits binary"), "prefix")
     table.unpersist()
     scratch.drop("sketch", "groups")
-    scratch.release()
 
     near = nodes.join(places.select("doc", "t", "common"), ["doc", "t"]).select("node", "n", "common", F.explode("bottom").alias("h"))
     lead = near.groupBy("h").agg(F.min(F.struct(-F.col("common"), "node", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1").select("h", F.col("lead.node").alias("a"), F.col("lead.n").alias("ln"))
@@ -201,7 +200,6 @@ def members(docs: DataFrame, spark: SparkSession, width: int = 4, percent: int =
     pairs = near.join(lead, "h").where(f"node <> a and 100 * least(n, ln) >= {percent} * greatest(n, ln)").select("a", F.col("node").alias("b")).distinct()
     links = scratch.write(verified(pairs, nodes, rows, scratch, "lead", width, percent), "links-1")
     scratch.drop("lead", "lead-pairs", "lead-led")
-    scratch.release()
     comp = components(links, scratch, "first")
     known = nodes.select("node", "n").join(comp, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp")) if comp is not None else nodes.select("node", "n", F.col("node").alias("comp"))
     known = scratch.write(known, "known")
@@ -209,17 +207,14 @@ def members(docs: DataFrame, spark: SparkSession, width: int = 4, percent: int =
     own = nodes.select("node", "doc", "t").join(places, ["doc", "t"]).join(known, "node").select("node", "comp", "n", "prefix", "bits")
     own = scratch.write(own, "own")
     scratch.drop("prefix")
-    scratch.release()
     each = own.select("node", "comp", F.explode("prefix").alias("h"))
     open_ = each.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("h", "c")
     open_ = scratch.write(open_, "open")
-    scratch.release()
     # the open elements of each node, found on narrow rows; what else a traversal needs is joined by node: bits and size, the element's place in the
     # order and the two elements before it
     alive = each.select("node", "h").join(open_, "h").groupBy("node").agg(F.collect_list(F.struct("h", "c")).alias("hs"))
     alive = scratch.write(alive, "alive")
     scratch.drop("open")
-    scratch.release()
     meet = alive.join(own, "node").select("node", "comp", "n", "bits", "prefix", F.inline("hs"))
     meet = meet.withColumn("at", (F.array_position("prefix", F.col("h")) - 1).cast("int"))
     meet = meet.select("h", "c", "node", "comp", "n", "bits", "at", F.get("prefix", F.col("at") - 1).alias("p1"), F.get("prefix", F.col("at") - 2).alias("p2"))
@@ -230,7 +225,6 @@ def members(docs: DataFrame, spark: SparkSession, width: int = 4, percent: int =
     pairs = mapped(meet, traversed(percent), "a bigint, b bigint").distinct()
     links2 = scratch.write(verified(pairs, nodes, rows, scratch, "tree", width, percent), "links-2")
     scratch.drop("own", "alive", "tree-pairs", "tree-led")
-    scratch.release()
     # only contracted links are left to join: those of the second search between first components
     ca, cb = known.select(F.col("node").alias("a"), F.col("comp").alias("ca")), known.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
     upper = components(links2.join(ca, "a").join(cb, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), scratch, "second")
@@ -332,7 +326,6 @@ def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, scratch: Scrat
     """The pairs (a, b) whose whole sets link. Each text is fetched once and goes to the pairs it is in as b, or to those it leads as a: pairs
     are dealt by a, at most about MEMBERS of them together with one copy of the text of a."""
     pairs = scratch.write(pairs, f"{name}-pairs")
-    scratch.release()
     led = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
     led = scratch.write(led, f"{name}-led")
     members = pairs.join(led, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"), "b")
@@ -363,7 +356,7 @@ def near_copies(docs: DataFrame, spark: SparkSession, width: int = 4, percent: i
 def first_of_group(docs: DataFrame, spark: SparkSession, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents with all their columns, one of each component: the row of the smallest doc_id (null last); texts
     that aren't linked each stay, under one doc_id or none; texts without shingles stay, rows repeated exactly become one."""
-    scratch = Scratch(spark, "one-of-group")
+    scratch = Scratch(spark, "one-of-group", clean=True)
     found = scratch.write(members(docs, spark, width, percent), "members")
     keep = found.where("n_shingles > 0").groupBy("comp").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "t", "rid")).alias("k")).select("k.doc", "k.t")
     empty = found.where("n_shingles = 0").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "t")

@@ -37,7 +37,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, grouped, hashed_words, inside, map_batches, prepared, session_settings, signed, text_or_empty, window_hashes
+from .common import CLEANUP, Scratch, grouped, hashed_words, inside, map_batches, prepared, session_settings, signed, text_or_empty, window_hashes
 
 #: Places in the order of documents: those of earlier batches, then those without doc_id, then by doc_id.
 EARLIER, LEAST = -(2**63), -(2**63) + 1
@@ -78,7 +78,7 @@ class FingerprintIndex:
     def _settings(self):
         """One file per bucket when writing; its order is relied on when reading."""
         return session_settings(
-            self.spark, {"spark.sql.shuffle.partitions": self.buckets, "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
+            self.spark, {CLEANUP: "true", "spark.sql.shuffle.partitions": self.buckets, "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
         )
 
     def _put(self, counts: DataFrame, level: int) -> str:
@@ -198,20 +198,16 @@ def verified(scratch: Scratch, made: DataFrame, texts: DataFrame, shared: DataFr
     holds = scratch.write(holds, "holds")
     for f in done:
         f()
-    scratch.release()
     windows = texts.select("gen", F.col("doc").alias("text_doc"), "t", "text").join(holds, ["gen", "text_doc", "t"]).select("gen", "rid", "doc", "text", "hs")
     windows = scratch.write(map_batches(windows, whole_windows(width, gram), "gen bigint, rid bigint, doc bigint, a array<bigint>, b array<bigint>, starts array<int>, own array<int>"), "windows")
     scratch.drop("copies", "holds")
-    scratch.release()
     each = windows.select("gen", "rid", "doc", F.inline(F.arrays_zip("a", "b", "starts")))
     firsts = scratch.write(each.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where(F.col("first") < F.col("last")).select("a", "b", "first"), "firsts")
-    scratch.release()
     late = each.join(firsts, ["a", "b"]).where(F.col("doc") > F.col("first")).select("gen", "rid", F.col("starts").alias("start"))
     late = late.unionByName(windows.select("gen", "rid", F.explode("own").alias("start")))
     late = late.groupBy("gen", "rid").agg(F.collect_list("start").alias("starts")).join(meta.select("gen", "rid", F.col("text_doc").alias("doc"), "t"), ["gen", "rid"])
     late = scratch.write(late.select(*key, "starts"), "late")
     scratch.drop("windows", "firsts")
-    scratch.release()
     return meta, late
 
 
@@ -239,7 +235,7 @@ def results(rows: DataFrame, meta: DataFrame, late: DataFrame, width: int) -> Da
 
 def deduplicated(docs: DataFrame, spark: SparkSession, width: int = 20, gram: int = 6, batches: int = 4, fanout: int = 2) -> DataFrame:
     """Words, removed words and the digest of what is kept, per document."""
-    scratch = Scratch(spark, "substrings")
+    scratch = Scratch(spark, "substrings", clean=True)
     rows = with_keys(docs)
     made = scratch.write(sampled(rows, width, gram), "sampled")
     points = made.select(F.percentile_approx("doc", [i / batches for i in range(1, batches)], 1000).alias("p")).first()["p"] if batches > 1 else []
@@ -254,7 +250,6 @@ def deduplicated(docs: DataFrame, spark: SparkSession, width: int = 20, gram: in
         found, gone = index.add(batch.select(F.explode("anchors").alias("h")), scratch, f"shared-{i}")
         index.drop(gone)
         shared = found if shared is None else shared.unionByName(found)
-        scratch.release()
     shared = scratch.write(shared.distinct(), "shared")
     index.drop(index.names())
     scratch.drop(*(f"shared-{i}" for i in range(len(bounds) - 1)))
@@ -295,7 +290,7 @@ class SubstringIndex:
     def add(self, docs: DataFrame) -> DataFrame:
         """The results of a new batch, which becomes part of the index."""
         spark, name, gen = self.spark, uuid.uuid4().hex, len(self.batches)
-        scratch = Scratch(spark, "substring-batch")
+        scratch = Scratch(spark, "substring-batch", clean=True)
         with_keys(docs).write.parquet(f"{self.path}/texts/{name}")
         rows = spark.read.parquet(f"{self.path}/texts/{name}")
         sampled(rows, self.width, self.gram).write.parquet(f"{self.path}/rows/{name}")
