@@ -5,6 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 from math import comb
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from .tables import kept
 
 THRESHOLD = 10
+#: What a pair that meets costs of a key that is shuffled, and hashes of a bucket and side that meet in one task.
+PAIR, MEET = 0.004, 20_000
 #: Pairs that one task settles or joins.
 SETTLED = 1_000_000
 BITS = 64
@@ -22,37 +25,91 @@ def masks(bits: int, most: int) -> list[int]:
     return [sum(1 << i for i in c) for n in range(most + 1) for c in combinations(range(bits), n)]
 
 
-def scheme(n: int, threshold: int) -> tuple[int, int, int]:
-    """(bands, bits either side varies): of two hashes within the threshold some band differs by at most threshold / bands bits, of
-    which one side varies half. Fewer, wider bands need more keys a hash and let fewer pairs through; the cheaper by both counts is taken."""
+def cuts(bands: int) -> list[int]:
+    return [BITS * i // bands for i in range(bands + 1)]
+
+
+def scheme(n: int, threshold: int) -> tuple[int, int]:
+    """(bands, bits that one side varies): of two hashes within the threshold some band differs by at most threshold / bands bits. Fewer, wider bands need more keys
+    a hash and let fewer pairs meet; the cheaper by both counts is taken, a pair that meets being worth ``PAIR`` of a key that is shuffled."""
     def cost(bands: int) -> float:
         width, most = -(-BITS // bands), threshold // bands
-        ball = lambda r: sum(comb(width, i) for i in range(r + 1))
-        return n * bands * (ball(most - most // 2) + ball(most // 2)) + n * n * bands * ball(most) / 2.0**width / 2
+        ball = sum(comb(width, i) for i in range(most + 1))
+        return n * bands * (ball + 1) + PAIR * n * n * bands * ball / 2.0**width / 2
 
-    bands = min((b for b in range(1, 17) if threshold // b <= 5), key=cost)
-    most = threshold // bands
-    return bands, most - most // 2, most // 2
+    bands = min((b for b in range(1, BITS + 1) if threshold // b <= 5), key=cost)
+    return bands, threshold // bands
 
 
 def band_keys(df: DataFrame, phash: str, bands: int, vary: int) -> DataFrame:
     """Rows per band of a hash, and per value of that band within ``vary`` bits."""
-    cuts = [BITS * i // bands for i in range(bands + 1)]
+    at = cuts(bands)
     def keys(b: int, low: int, high: int):
         value = F.shiftrightunsigned(F.col(phash), low).bitwiseAND((1 << (high - low)) - 1) if high - low < BITS else F.col(phash)
         own = F.from_json(F.lit(str([m if m < 1 << 63 else m - (1 << 64) for m in masks(high - low, vary)])), "array<bigint>")
         return F.transform(own, lambda m: F.struct(F.lit(b).alias("band"), value.bitwiseXOR(m).alias("value")))
 
-    each = [keys(b, low, high) for b, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    each = [keys(b, low, high) for b, (low, high) in enumerate(zip(at, at[1:], strict=False))]
     return df.withColumn("_b", F.explode(F.concat(*each))).select("*", "_b.band", "_b.value").drop("_b")
 
 
-def close_hashes(left: DataFrame, right: DataFrame, threshold: int, n: int | None = None) -> DataFrame:
-    """(p, q, distance) of all distinct hashes p of ``left`` and q of ``right`` within the threshold."""
-    bands, vary, other = scheme(n if n is not None else left.count(), threshold)
-    a, b = band_keys(left.select("p"), "p", bands, vary), band_keys(right.select("q"), "q", bands, other)
-    distance = F.bit_count(F.col("p").bitwiseXOR(F.col("q"))).cast("int")
-    return a.join(b, ["band", "value"]).select("p", "q", distance.alias("distance")).where(F.col("distance") <= threshold).distinct()
+def close_hashes(left: DataFrame, right: DataFrame, threshold: int, n: int | None = None, below: bool = False, chunk: int = MEET) -> DataFrame:
+    """(p, q, distance) of all distinct hashes p of ``left`` and q of ``right`` within the threshold; ``below``: only p < q.
+
+    Hashes meet in buckets, in which all distances are counted on arrays. A pair is given in the first band in which it meets, so none comes twice. Buckets of more than
+    ``chunk`` hashes a side are dealt to several tasks as pairs of chunks.
+    """
+    bands, most = scheme(n if n is not None else left.count(), threshold)
+    at = cuts(bands)
+    kinds = [np.uint64(((1 << (z - a)) - 1) << a) for a, z in zip(at, at[1:], strict=False)]
+    key, side = ["band", "value"], F.col("side")
+    both = band_keys(left.select(F.col("p").alias("x"), F.lit(0).alias("side")), "x", bands, most).unionByName(band_keys(right.select(F.col("q").alias("x"), F.lit(1).alias("side")), "x", bands, 0))
+    over = lambda s: F.ceil(F.count_if(side == s) / chunk).cast("int")
+    large = both.groupBy(*key).agg(over(0).alias("lefts"), over(1).alias("rights")).where("lefts > 0 and rights > 0 and lefts + rights > 2")
+    dealt = both.join(large, key, "left").withColumns({"lefts": F.coalesce("lefts", F.lit(1)), "rights": F.coalesce("rights", F.lit(1))})
+    own = F.pmod(F.xxhash64("x"), F.when(side == 0, F.col("lefts")).otherwise(F.col("rights"))).cast("int")
+    dealt = dealt.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), F.when(side == 0, F.col("rights")).otherwise(F.col("lefts")) - 1))})
+    dealt = dealt.withColumns({"i": F.when(side == 0, F.col("own")).otherwise(F.col("other")), "j": F.when(side == 0, F.col("other")).otherwise(F.col("own"))})
+    group = [*key, "i", "j"]
+    dealt = dealt.select(*group, "side", "x").repartition(*group).sortWithinPartitions(*group, "side")
+
+    def pairs(p: np.ndarray, q: np.ndarray, band: int):
+        step = max(1, (1 << 20) // len(p))
+        for a in range(0, len(q), step):
+            x = p.view(np.uint64)[:, None] ^ q[a : a + step].view(np.uint64)[None, :]
+            d = np.bitwise_count(x)
+            near = d <= threshold
+            if below:
+                near &= p[:, None] < q[None, a : a + step]
+            r, c = np.nonzero(near)
+            x = x[r, c]
+            first = np.bitwise_count(x & kinds[band]) <= most
+            for mask in kinds[:band]:
+                first &= np.bitwise_count(x & mask) > most
+            r, c = r[first], c[first]
+            yield p[r], q[a + c], d[r, c].astype(np.int32)
+
+    def meet(batches):
+        at, held = None, []
+        for batch in batches:
+            cols = [c.to_numpy() for c in batch.columns]
+            change = np.zeros(batch.num_rows, bool)
+            for c in cols[:5]:
+                change[1:] |= c[1:] != c[:-1]
+            starts = np.concatenate([[0], np.flatnonzero(change)]) if batch.num_rows else []
+            found = []
+            for a, z in zip(starts, [*starts[1:], batch.num_rows], strict=False):
+                if (own := tuple(c[a] for c in cols[:4])) != at:
+                    at, held = own, []
+                if cols[4][a] == 0:
+                    held.append(cols[5][a:z])
+                elif held:
+                    held = [np.concatenate(held)] if len(held) > 1 else held
+                    found += pairs(held[0], cols[5][a:z], int(own[0]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["p", "q", "distance"])
+
+    return dealt.mapInArrow(meet, "p bigint, q bigint, distance int")
 
 
 def hash_classes(df: DataFrame) -> DataFrame:
@@ -68,7 +125,7 @@ def near_classes(df: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 def class_pairs(classes: DataFrame, threshold: int) -> DataFrame:
     """``near_classes`` of stored classes."""
-    close = close_hashes(classes.select(F.col("phash").alias("p")), classes.select(F.col("phash").alias("q")), threshold, classes.count()).where("p < q")
+    close = close_hashes(classes.select(F.col("phash").alias("p")), classes.select(F.col("phash").alias("q")), threshold, classes.count(), below=True)
     a = classes.select(F.col("phash").alias("p"), F.col("id").alias("x"), F.col("n").alias("n_x"))
     b = classes.select(F.col("phash").alias("q"), F.col("id").alias("y"), F.col("n").alias("n_y"))
     pairs = close.join(a, "p").join(b, "q")

@@ -160,7 +160,14 @@ def test_every_scheme_of_bands_is_exact(spark, n):
     signed = [h - (1 << 64) if h >> 63 else h for h in hashes]
     df = spark.createDataFrame([(h,) for h in signed], "p bigint")
     got = {(x["p"], x["q"]): x["distance"] for x in dedup.close_hashes(df, df.withColumnRenamed("p", "q"), 10, n).collect()}
-    assert got == {(a, b): d for a in signed for b in signed if (d := ((a ^ b) % (1 << 64)).bit_count()) <= 10}
+    want = {(a, b): d for a in signed for b in signed if (d := ((a ^ b) % (1 << 64)).bit_count()) <= 10}
+    assert got == want
+    # buckets in pieces; each pair once
+    rows = dedup.close_hashes(df.repartition(3), df.withColumnRenamed("p", "q"), 10, n, below=True, chunk=4).collect()
+    assert len(rows) == len({(x["p"], x["q"]) for x in rows}) and {(x["p"], x["q"]): x["distance"] for x in rows} == {(a, b): d for (a, b), d in want.items() if a < b}
+    for threshold in (0, 3, 15):
+        got = {(x["p"], x["q"]) for x in dedup.close_hashes(df, df.withColumnRenamed("p", "q"), threshold, n).collect()}
+        assert got == {(a, b) for a in signed for b in signed if ((a ^ b) % (1 << 64)).bit_count() <= threshold}
 
 
 def test_near_classes_and_long_chains(spark):
