@@ -7,8 +7,8 @@ floor(0.2 n) + 1 of them is in the document. Taking k at least that large makes
 complete, however long the document is. Candidates are verified by exact containment of whole shingle sets; a shingle is its 64-bit
 hash, so two different ones are taken for one with a chance of 2^-64.
 
-Items are taken in blocks of at most ``block_words`` words; a block's sketches and shingles are the only data sent to
-all tasks, so what is sent has a fixed bound however large the benchmark is.
+Items are taken in blocks of at most ``block_words`` words or one item, rows that repeat an item once with their number; a block's sketches
+and shingles are the only data sent to all tasks, so what is sent has a fixed bound however large the benchmark is.
 
 Defined cases: words are compared with A-Z lower-cased; an item of fewer than five words is one shingle of all its words; null or
 empty items and documents match nothing; repeated rows give repeated matches; an empty table on either side gives no match;
@@ -26,6 +26,8 @@ from .common import WORD, bounded_batches, grouped, hashed_words, inside, joined
 WIDTH = 5
 #: Upper ends of the size partitions grow by this factor.
 STEP = 1.25
+#: Repeated matches are made from rows that stand for at most so many.
+COPIES = 10_000
 
 
 def sized(h: np.ndarray, width: int) -> np.ndarray:
@@ -35,18 +37,20 @@ def sized(h: np.ndarray, width: int) -> np.ndarray:
 class Sketches:
     """Sorted sketch values of a block of items, with the item of each, and all their shingles."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float):
+    def __init__(self, items: list[tuple[int, str, int]], threshold: float):
         self.threshold = threshold
         self.ids: list[int] = []
+        self.rows: list[int] = []
         self.shingles: list[np.ndarray] = []
         widths = set()
-        for item_id, text in items:
+        for item_id, text, rows in items:
             h, _ = hashed_words([text], lower=True)
             if not len(h):
                 continue
             width = min(WIDTH, len(h))
             widths.add(width)
             self.ids.append(item_id)
+            self.rows.append(rows)
             self.shingles.append(np.unique(sized(window_hashes(h, width), width)))
         self.widths = sorted(widths)
         values, owners = [], []
@@ -90,13 +94,21 @@ class Sketches:
 
 
 def item_blocks(items: DataFrame, block_words: int):
-    """Blocks of (item_id, text), each of at most ``block_words`` words or one item."""
-    rows = prepared(items, "item_id", "text").where("text is not null")
-    sized_items = rows.withColumn("w", F.regexp_count("text", F.lit(WORD)))
-    total = sized_items.agg(F.sum("w")).first()[0] or 0
+    """Blocks of (item_id, text, number of rows), each of at most ``block_words`` words or one item; the first may be empty."""
+    rows = prepared(items, "item_id", "text").where("text is not null").groupBy("item_id", "text").agg(F.count("*").alias("n"))
+    rows = rows.withColumn("w", F.regexp_count("text", F.lit(WORD)))
+    total = rows.agg(F.sum("w")).first()[0] or 0
     parts = max(1, -(-2 * total // block_words))
     for p in range(parts):
-        yield [(r["item_id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).collect()]
+        block, words = [], 0
+        for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).collect():
+            if block and words + r["w"] > block_words:
+                yield block
+                block, words = [], 0
+            block.append((r["item_id"], r["text"], r["n"]))
+            words += r["w"]
+        if block or not p:
+            yield block
 
 
 def search(docs: DataFrame, items: DataFrame, spark: SparkSession, threshold: float = 0.8, block_words: int = 2_000_000) -> DataFrame:
@@ -106,17 +118,18 @@ def search(docs: DataFrame, items: DataFrame, spark: SparkSession, threshold: fl
         sent = spark.sparkContext.broadcast(Sketches(block, threshold))
 
         def run(cols, sent=sent):
-            s, out = sent.value, {"item_id": [], "doc_id": [], "n_found": [], "n_shingles": [], "containment": []}
+            s, out = sent.value, {"item_id": [], "doc_id": [], "n_found": [], "n_shingles": [], "containment": [], "copies": []}
             for d, i, n, of in s.matches(cols["text"]):
-                for name, v in zip(out, (s.ids[i], cols["doc_id"][d], n, of, n / of), strict=True):
-                    out[name].append(v)
+                for a in range(0, s.rows[i], COPIES):
+                    for name, v in zip(out, (s.ids[i], cols["doc_id"][d], n, of, n / of, min(COPIES, s.rows[i] - a)), strict=True):
+                        out[name].append(v)
             return out
 
-        found.append(map_batches(prepared(docs, "doc_id", "text"), run, "item_id bigint, doc_id bigint, n_found bigint, n_shingles bigint, containment double"))
+        found.append(map_batches(prepared(docs, "doc_id", "text"), run, "item_id bigint, doc_id bigint, n_found bigint, n_shingles bigint, containment double, copies int"))
     out = found[0]
     for df in found[1:]:
         out = out.unionByName(df)
-    return out
+    return out.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies")
 
 
 def clean(docs: DataFrame, items: DataFrame, spark: SparkSession, threshold: float = 0.8, block_words: int = 2_000_000) -> DataFrame:

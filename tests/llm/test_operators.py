@@ -909,6 +909,22 @@ def test_decontamination(spark, tiny, block_words):
             assert {r["doc_id"] for r in left.collect()} == {i for i, _ in pairs_of(docs)} - {w[1] for w in want}
 
 
+def test_decontamination_of_repeated_items(spark, monkeypatch):
+    """An item that a third of all rows repeat is sent once, each row gets its matches, and no block passes its bound."""
+    monkeypatch.setattr(decontaminate, "COPIES", 7)
+    text = "one passage of ten words that many items share alike"
+    items = [(5, text)] * 50 + [(6, text), (None, text), (None, text)] + [(i, f"another item number {i} with words of its own here") for i in range(10, 60)]
+    df = spark.createDataFrame(items, "item_id bigint, text string")
+    blocks = list(decontaminate.item_blocks(df, 150))
+    assert all(len(b) == 1 or sum(len(t.split()) for _, t, _ in b) <= 150 for b in blocks)
+    assert sorted(((i, t, n) for b in blocks for i, t, n in b), key=str) == sorted({(i, t, items.count((i, t))) for i, t in items}, key=str)
+    docs = spark.createDataFrame([(1, f"before it {text} and after"), (2, "another item number 12 with words of its own here"), (3, "clean")], "doc_id bigint, text string")
+    want = brute_leaks(pairs_of(docs), items)
+    for block_words in (150, 2_000_000):
+        assert sorted((tuple(r)[:4] for r in decontaminate.search(docs, df, spark, block_words=block_words).collect()), key=str) == want
+        assert [r["doc_id"] for r in decontaminate.clean(docs, df, spark, block_words=block_words).collect()] == [3]
+
+
 def test_decontamination_empty(spark, tiny):
     items = spark.read.parquet(f"{tiny}/benchmark.parquet")
     assert decontaminate.search(awkward(spark, empty=True), items, spark).count() == 0
