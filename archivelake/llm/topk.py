@@ -2,10 +2,12 @@
 
 Each component x becomes floor(256 x). The rotation comes from the second moments of all candidates, gathered as sums
 (dimension x dimension numbers reach the driver). Candidates are range-partitioned and sorted by descending length and stored in
-chunks; queries are stored in blocks of about ``block`` rows. Each query's first floor is its k-th best score in the chunk of the longest
-vectors (one chunk per dimension, a fixed size, reaches the driver). One plan deals each block, with a share of all chunks,
-to a task of its own, which takes its chunks by descending length and keeps each query's k best so far, whose last score is the
-query's floor from then on. A candidate is left out as soon as a bound falls below the floor:
+chunks. Each query's first floor is its k-th best score in the chunk of the longest vectors (one chunk per dimension, a fixed size,
+reaches the driver); its floor over its length is the least length that a partner of its needs. Queries of like need share blocks of
+about half ``block`` rows, and a chunk is dealt only to blocks whose least need its longest vector meets: nothing is sent where
+lengths alone decide (the needs, one number per block, reach the driver; where lengths are alike, each block gets all chunks).
+One plan deals each block, with a share of its chunks, to a task of its own, which takes its chunks by descending length and keeps each
+query's k best so far, whose last score is the query's floor from then on. A candidate is left out as soon as a bound falls below the floor:
 
 * the largest length of the chunk times the query's length (then all that follow are left out too),
 * after each of several levels of rotated coordinates, the partial sum plus the product of the residual lengths.
@@ -28,9 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, prepared
+from .common import Scratch, prepared, small_side
 
 SCALE = 256
+#: Queries are told apart by need in at most so many steps.
+LEVELS = 64
 PACKED = "dim int, top double, ids binary, named binary, ints binary"
 
 
@@ -148,6 +152,12 @@ class Block:
         last = np.flatnonzero(np.bincount(self.kept[0], minlength=len(self.ids)) == self.k)
         self.floor[last] = np.maximum(self.floor[last], self.kept[1][np.searchsorted(self.kept[0], last, "right") - 1])
 
+    def need(self) -> np.ndarray:
+        """The least length at which a candidate can reach each query's floor; below zero where any can."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            least = (self.floor * (1 - 1e-9) - 1e-9) / self.norms
+        return np.where((self.floor > 0) & (self.norms > 0), least, -1.0)
+
     def found(self) -> pa.RecordBatch:
         q, score, ids, named = self.kept
         return pa.RecordBatch.from_arrays([pa.array(self.ids[q], pa.int64()), pa.array(ids, pa.int64(), mask=~named), pa.array(score, pa.int64())], names=["query_id", "vec_id", "score"])
@@ -178,36 +188,75 @@ def packed(rows: DataFrame, most: int) -> DataFrame:
     return rows.select("vec_id", "v", "dim", "norm", "block").mapInArrow(run, "block int, " + PACKED)
 
 
-def search(vectors: DataFrame, spark: SparkSession, every: int = 50, k: int = 5, block: int = 2048, head: int = 8, chunk: int = 256, counter=None) -> DataFrame:
-    """For each row whose vec_id is divisible by ``every``, its k best partners; ``counter``, an accumulator with PairCounts, gets the pairs seen and scored."""
+def search(vectors: DataFrame, spark: SparkSession, every: int = 50, k: int = 5, block: int = 2048, head: int = 8, chunk: int = 256, counter=None, met_counter=None) -> DataFrame:
+    """For each row whose vec_id is divisible by ``every``, its k best partners; ``counter``, an accumulator with PairCounts, gets the pairs
+    seen and scored, ``met_counter`` the number of chunks dealt to blocks."""
     scratch = Scratch(spark, "topk")
     ints = scratch.write(integers(vectors), "ints")
     bases = rotation(ints)
     order = ["dim", F.desc("norm"), F.xxhash64("vec_id", "v")]  # and the row's number, so that rows may be many that are equal
     chunks = packed(ints.withColumn("block", F.lit(0)).repartitionByRange(*order, F.monotonically_increasing_id()).sortWithinPartitions(*order), chunk).drop("block")
     chunks = scratch.write(chunks, "chunks")
-    asked = ints.where(F.col("vec_id") % every == 0)
-    n_blocks = max(1, -(-2 * asked.count() // block))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n_blocks)).cast("int"))
-    blocks = scratch.write(packed(asked.repartition("block").sortWithinPartitions("block", "dim"), block), "blocks")
-    shares = max(1, min(chunks.count() // 8, -(-2 * spark.sparkContext.defaultParallelism // n_blocks)))
     longest = {r["dim"]: arrays(*r["c"], r["dim"]) for r in chunks.groupBy("dim").agg(F.max_by(F.struct("ids", "named", "ints"), "top").alias("c")).collect()}
 
+    def needing(batches):
+        """With each query the least length of a partner that can reach its first floor; below zero where any can."""
+        for batch in batches:
+            ids, vectors, dims = (batch.column(n).to_pylist() for n in ("vec_id", "v", "dim"))
+            need = np.full(len(ids), -1.0)
+            for d in set(dims):
+                at = [i for i, k in enumerate(dims) if k == d]
+                own = Block(np.array([ids[i] for i in at], np.int64), np.array([vectors[i] for i in at], np.int64), bases[d], k, head)
+                own.add(*longest[d])
+                need[at] = own.need()
+            yield batch.append_column("need", pa.array(need, pa.float64()))
+
+    asked = ints.where(F.col("vec_id") % every == 0).select("vec_id", "v", "dim", "norm")
+    asked = scratch.write(asked.mapInArrow(needing, "vec_id bigint, v array<bigint>, dim int, norm double, need double"), "asked")
+    n_blocks = max(1, -(-2 * asked.count() // block))
+    ends = sorted(set(asked.approxQuantile("need", [i / n for i in range(1, n)], 0.001))) if (n := min(LEVELS, n_blocks)) > 1 else []
+    asked = asked.withColumn("level", sum((F.when(F.col("need") > e, 1).otherwise(0) for e in ends), F.lit(0)))
+    sizes, base, dealt = asked.groupBy("dim", "level").count().orderBy("dim", "level").collect(), 0, []
+    for r in sizes:
+        dealt.append((r["dim"], r["level"], n := -(-2 * r["count"] // block), base))
+        base += n
+    dealt = spark.createDataFrame(dealt, "dim int, level int, n int, base int")
+    asked = asked.join(small_side(dealt, len(sizes)), ["dim", "level"]).withColumn("block", (F.col("base") + F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.col("n"))).cast("int"))
+    blocks = packed(asked.repartition("block").sortWithinPartitions("block"), block)
+
     def seeded(batches):
         for batch in batches:
-            floors = []
+            floors, needs = [], []
             for dim, *own in zip(*(batch.column(n).to_pylist() for n in ("dim", "ids", "named", "ints")), strict=True):
                 ids, _, rows = arrays(*own, dim)
                 one = Block(ids, rows, bases[dim], k, head)
                 one.add(*longest[dim])
                 floors.append(one.floor.tobytes())
-            yield batch.append_column("floors", pa.array(floors, pa.binary()))
+                needs.append(float(one.need().min()))
+            yield batch.append_column("floors", pa.array(floors, pa.binary())).append_column("need", pa.array(needs, pa.float64()))
+
+    blocks = scratch.write(blocks.mapInArrow(seeded, "block int, " + PACKED + ", floors binary, need double"), "blocks")
+    needs: dict[int, list] = {}
+    for r in blocks.groupBy("dim", "block").agg(F.min("need").alias("need")).collect():
+        needs.setdefault(r["dim"], []).append((r["need"], r["block"]))
+    needs = {d: sorted(v) for d, v in needs.items()}
+    shares = max(1, min(chunks.count() // 8, -(-2 * spark.sparkContext.defaultParallelism // n_blocks)))
+    sent = spark.sparkContext.broadcast({d: (np.array([n for n, _ in v]), np.array([b for _, b in v], np.int32)) for d, v in needs.items()})
 
-    blocks = blocks.mapInArrow(seeded, "block int, " + PACKED + ", floors binary")
+    def met(batches):
+        """The chunks once for each block that needs them."""
+        for batch in batches:
+            for i, (d, top) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if d in sent.value:
+                    least, names = sent.value[d]
+                    for b in names[: np.searchsorted(least, top, "right")].tolist():
+                        if met_counter is not None:
+                            met_counter.add(1)
+                        yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in batch.columns), pa.array([b], pa.int32())], names=[*batch.schema.names, "block"])
 
     # each block with each share of the chunks; within a group the queries come first, then chunks by descending length
-    left = blocks.select("*", F.lit(0).alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
-    right = chunks.withColumn("share", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shares)).cast("int")).select("*", F.lit(1).alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+    left = blocks.drop("need").select("*", F.lit(0).alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+    right = chunks.mapInArrow(met, PACKED + ", block int").withColumn("share", F.pmod(F.xxhash64("ids", "top"), F.lit(shares)).cast("int")).withColumn("kind", F.lit(1))
     group = ["dim", "block", "share"]
     dealt = left.unionByName(right.withColumn("floors", F.lit(None).cast("binary"))).repartition(min(100_000, n_blocks * shares), *group).sortWithinPartitions(*group, "kind", F.desc("top")).select(*group, "kind", "ids", "named", "ints", "floors")
 

@@ -842,6 +842,18 @@ def test_topk_prunes(spark):
     assert 0 < scored < 0.2 * 4000 * 80, (seen, scored)
 
 
+def test_topk_deals_chunks_by_need(spark):
+    """Blocks get only chunks whose longest vector can reach a floor; the result is that of brute force all the same."""
+    df = skewed_vectors(spark)
+    dealt = spark.sparkContext.accumulator(0)
+    got = sorted(tuple(r) for r in topk.search(df, spark, every=20, block=20, chunk=64, met_counter=dealt).collect())
+    assert got == brute_topk([tuple(r) for r in df.collect()], 20, 5)
+    everything = 20 * -(-4000 // 64)  # 200 queries in blocks of about ten
+    assert 20 <= dealt.value < 0.6 * everything, (dealt.value, everything)
+    same = spark.createDataFrame([(i, [1.0, 2.0, -1.0]) for i in range(200)], "vec_id bigint, embedding array<double>")  # one need for all
+    assert sorted(tuple(r) for r in topk.search(same, spark, every=2, block=8, chunk=16).collect()) == brute_topk([tuple(r) for r in same.collect()], 2, 5)
+
+
 def test_topk_levels_prune_without_lengths():
     """Unit vectors near a few directions: lengths say nothing, partial sums do."""
     r = np.random.default_rng(3)
