@@ -8,7 +8,8 @@ order and their words form one stream of blocks; the quota is dealt as whole pas
 plus one more pass over a seeded choice of them. A document takes what its words' blocks are dealt.
 
 One row per source and one per shard reach the driver. A shard holds at least ``shard_words`` words and there are at most
-``most_shards`` plus one per source: shards grow before their number does, and a hot source is many shards.
+``most_shards`` plus one per source: shards grow before their number does, and a hot source is many shards. Equal rows lie in one
+shard until they fill it; then they are numbered and dealt to shards in parts. Rows without words are in no shard.
 
 Defined cases: a null text has size 0 and takes 0; repeated rows are separate rows with cuts of their own; an empty table gives an
 empty result; a source without words has target 0; only doc_id, text and source are read by ``plan``.
@@ -97,6 +98,31 @@ def stride(n: int, seed: int) -> int:
     return a
 
 
+def spread(rows: DataFrame, large: int, seed: int) -> DataFrame:
+    """Rows (rid, source, doc_id, size, place, n_shards, shard) with equal ones that hold more than ``large`` words dealt anew in parts of about a quarter of that.
+
+    Their numbers are made per stored partition, which the upper bits of ``rid`` name, and by how many lie in the partitions before it, so no task holds a group.
+    At most one group per ``large`` words is that large, which bounds what is sent to all tasks.
+    """
+    rows = rows.withColumn("g", F.xxhash64("source", "place")).withColumn("part", F.shiftright("rid", 33))
+    groups = rows.groupBy("g").agg(F.sum("size").alias("n")).where(F.col("n") > large).select("g")
+    hot = rows.join(F.broadcast(groups), "g", "left_semi")
+    before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = hot.groupBy("g", "part").count().withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    hot = hot.withColumn("copy", F.row_number().over(Window.partitionBy("g", "part").orderBy("rid")) - 1).join(bases, ["g", "part"])
+    dealt = F.expr(f"(base + copy) div greatest(1L, {large} div (4 * size))")
+    hot = hot.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "place", dealt), F.col("n_shards"))).drop("copy", "base")
+    return rows.join(F.broadcast(groups), "g", "left_anti").unionByName(hot).drop("g", "part")
+
+
+def shard_sizes(rows: DataFrame) -> dict:
+    """Words of each shard, by source."""
+    found: dict = {}
+    for r in rows.groupBy("source", "shard").agg(F.sum("size").alias("n")).collect():
+        found.setdefault(r["source"], {})[r["shard"]] = r["n"]
+    return found
+
+
 def plan(docs: DataFrame, spark: SparkSession, weights: tuple = (5, 2, 1), budget: float = 1.5, seed: int = 17, block_words: int = 32, shard_words: int = 262_144, most_shards: int = 65_536) -> DataFrame:
     """Per document row: doc_id, size, source_size, target and taken."""
     scratch = Scratch(spark, "mixing")
@@ -119,11 +145,13 @@ def planned(rows: DataFrame, spark: SparkSession, scratch: Scratch, weights: tup
     sources = spark.createDataFrame([(s, sizes[s], goal[s], shards_of[s]) for s in sizes], "source string, source_size bigint, target double, n_shards bigint")
     rows = rows.join(small_side(sources, len(sizes)), rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "place"), F.col("n_shards")))
-    found: dict = {}
-    for r in rows.groupBy("source", "shard").agg(F.sum("size").alias("n")).collect():
-        found.setdefault(r["source"], {})[r["shard"]] = r["n"]
+    empty, rows = rows.where("size = 0"), rows.where("size > 0")
+    found = shard_sizes(rows)
+    if any(n > 4 * large for v in found.values() for n in v.values()):
+        rows = scratch.write(spread(rows, large, seed), "spread")
+        found = shard_sizes(rows)
     blocks = {s: {k: -(-n // block_words) for k, n in v.items()} for s, v in found.items()}
-    quota = apportion(goal, round(sum(goal.values()) / block_words), {s: 2 * sum(v.values()) for s, v in blocks.items()})
+    quota = apportion(goal, round(sum(goal.values()) / block_words), {s: 2 * sum(blocks.get(s, {}).values()) for s in goal})
     dealt = []
     for s, v in found.items():
         own = apportion(v, quota[s], {k: 2 * b for k, b in blocks[s].items()})
@@ -139,9 +167,10 @@ def planned(rows: DataFrame, spark: SparkSession, scratch: Scratch, weights: tup
         f"aggregate(sequence(start div {block_words}, (start + size - 1) div {block_words}), 0L, (acc, b) -> acc + "
         f"(least(start + size, (b + 1) * {block_words}) - greatest(start, b * {block_words})) * (passes + if((b * step + shift) % n_blocks < extra, 1L, 0L)))"
     )
-    return rows.withColumn("taken", F.when(F.col("size") > 0, F.expr(each)).otherwise(F.lit(0).cast("bigint"))).select(
-        "rid", "doc_id", "size", "source_size", "target", "taken", "start", "n_blocks", "passes", "extra", "step", "shift"
-    )
+    cuts = ["start", "n_blocks", "passes", "extra", "step", "shift"]
+    none = empty.withColumns({c: F.lit(0).cast("bigint") for c in ["taken", *cuts]})
+    columns = ["rid", "doc_id", "size", "source_size", "target", "taken", *cuts]
+    return rows.withColumn("taken", F.expr(each)).select(columns).unionByName(none.select(columns))
 
 
 def mixed(

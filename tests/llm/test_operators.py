@@ -439,6 +439,28 @@ def test_mixing(spark, tiny):
         assert goal == {}
 
 
+def test_mixing_spreads_equal_rows_over_shards(spark):
+    """Equal rows that hold a third of all words, and as many rows without words: no window gets them all, and however the rows lie the mix is the same."""
+    rows = [(7, "the same ten words again and again in each row", "a")] * 600 + [(i, " ".join(f"w{i}x{j}" for j in range(20)), "a") for i in range(100, 700)] + [(None, None, "b"), (8, " ", None)] * 300
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = []
+    for parts in (1, 5):
+        laid = df.repartition(parts, "text").withColumn("rid", F.monotonically_increasing_id())
+        narrow = laid.select("rid", "source", "doc_id", F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).cast("bigint").alias("size"), F.xxhash64("doc_id", "text").alias("place"), F.lit(18).cast("bigint").alias("n_shards"), F.lit(3).cast("bigint").alias("shard"))
+        own = [r for r in mixing.spread(narrow.where("size > 0"), 1000, 1).collect()]
+        assert sorted(r["rid"] for r in own) == sorted(r["rid"] for r in narrow.where("size > 0").collect())
+        per = {}
+        for r in own:
+            if r["doc_id"] == 7:
+                per[r["shard"]] = per.get(r["shard"], 0) + r["size"]
+        assert sum(per.values()) == 6000 and len(per) > 8 and max(per.values()) <= 1250, per
+        got.append(sorted((tuple(r) for r in mixing.plan(df.repartition(parts), spark, block_words=4, shard_words=1000).collect()), key=str))
+    assert got[0] == got[1] and len(got[0]) == 1800
+    for source, size in (("a", 18000), ("b", 0)):
+        own = [r for r in got[0] if r[2] == size]
+        assert own and abs(sum(r[4] for r in own) - own[0][3]) <= 0.01 * size and all(r[4] <= 2 * r[1] for r in own), source
+
+
 def test_mixed_texts_hold_the_taken_words(spark, tiny):
     docs = documents(spark, tiny)
     plan = {r["doc_id"]: r["taken"] for r in mixing.plan(docs, spark).collect()}
