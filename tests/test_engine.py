@@ -215,6 +215,43 @@ def test_greedy_groups_are_not_transitive(spark):
     assert {(r["leader"], r["id"]) for r in got.collect()} == {(1, 1), (1, 2)}
 
 
+def clustered(r, n, base, most):
+    """Signed hashes around ``base`` centres, up to ``most`` bits away."""
+    centres, out = [r.getrandbits(64) for _ in range(base)], []
+    for _ in range(n):
+        h = r.choice(centres)
+        for b in r.sample(range(64), r.randint(0, most)):
+            h ^= 1 << b
+        out.append(h - (1 << 64) if h >> 63 else h)
+    return out
+
+
+@pytest.mark.parametrize("block", [40, 10_000])
+def test_greedy_by_blocks_is_the_sequential_rule(spark, block):
+    hashes = [*clustered(random.Random(block), 150, 12, 12), None, None]
+    want, leads = {}, []
+    for i, h in enumerate(hashes):
+        first = next((j for j in leads if h is not None and ((h ^ hashes[j]) % (1 << 64)).bit_count() <= 10), i)
+        want[i] = first
+        if first == i and h is not None:
+            leads.append(i)
+    files = spark.createDataFrame(list(enumerate(hashes)), "id bigint, phash bigint")
+    assert {r["id"]: r["leader"] for r in dedup.greedy(files.repartition(3), block=block).collect()} == want
+    named = files.select(F.concat(F.lit("f"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("id"), "phash")
+    assert {r["id"]: r["leader"] for r in dedup.greedy(named, block=block).collect()} == {f"f{i:04}": f"f{j:04}" for i, j in want.items()}
+
+
+def test_greedy_writes_no_pairs(spark, monkeypatch):
+    """Tables that near groups keep grow with the files, not with the pairs: 400 files around one hash have some 80,000."""
+    sizes, keep = [], dedup.kept
+    monkeypatch.setattr(dedup, "kept", lambda df: (out := keep(df), sizes.append(out.count()))[0])
+    hashes = clustered(random.Random(1), 400, 1, 5)
+    rows = [(i, f"s{i}", "", h) for i, h in enumerate(hashes)]
+    got = dedup.near_groups(spark.createDataFrame(rows, "id bigint, sha256 string, pixel_hash string, phash bigint"))
+    assert got.count() == 400 and got.select("leader").distinct().count() == 1
+    assert max(sizes) <= 400
+
+
 def test_lifecycle(spark):
     v = spark.createDataFrame([("a", 1, "insert", 1.0), ("a", 3, "update", 3.0), ("b", 2, "insert", 2.0), ("b", 4, "delete", 2.0)], "asset_id string, version bigint, op string, value double")
     assert [tuple(r) for r in lifecycle.latest(v).collect()] == [("a", 3, "update", 3.0)]
