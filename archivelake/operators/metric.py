@@ -22,13 +22,15 @@ from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .retrieval import TOP_K, Nearest
+from .retrieval import TOP_K, Nearest, runs, vectors_of
 from .tables import kept
 
 #: Pivots per space at most, vectors per pivot aimed at, and sampled vectors per pivot.
 PIVOTS, PER_PIVOT, SAMPLED = 256, 1024, 16
 #: Visitors and vectors of a cell that meet in one task, vectors compared at a time, and vectors of a cell that set floors.
 QUERY_BLOCK, SHARE, RUN, SEEDS = 4096, 65_536, 512, 1024
+#: Visits that a task gives at a time.
+VISITS = 8192
 CELL = ["space", "dim", "cell"]
 #: More than rounding moves a score.
 SLACK = 2e-6
@@ -151,6 +153,9 @@ class MetricIndex:
                             counter.add((len(picked), int((own.n > 0).sum())))
                     row += [i] * len(picked)
                     cell += [int(c) for c in picked]
+                    if len(row) >= VISITS:  # each visit holds the query's vector
+                        yield batch.take(pa.array(row, pa.int64())).append_column("cell", pa.array(cell, pa.int32()))
+                        row, cell = [], []
                 yield batch.take(pa.array(row, pa.int64())).append_column("cell", pa.array(cell, pa.int32()))
 
         return asked.select("query_id", "space", "embedding", "dim", "floor").mapInArrow(run, "query_id bigint, space string, embedding array<double>, dim int, floor double, cell int")
@@ -167,40 +172,30 @@ class MetricIndex:
         both = left.unionByName(right).repartition(parts, *group).sortWithinPartitions(*group, F.col("query_id").asc_nulls_last(), "x")
 
         def best(batches):
-            def rows():
-                found = list(own.found())
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([f[0] for f in found], [key[0]] * len(found), [f[1] for f in found], [f[2] for f in found]), (pa.int64(), pa.string(), id_type, pa.float64()), strict=True)], names=["query_id", "space", "vec_id", "sim"])
-
-            def compare():
-                """The rows gathered so far, unless the bound of their distances excludes them for every query."""
-                if ids and own.ids:
-                    one = Cells(cells[key[:2]].pivots[key[2] : key[2] + 1], {0: (len(ids), dists[0], dists[-1], float(np.linalg.norm(vecs, axis=1).max()))})
-                    floor = np.array(floors) if own.best is None or own.best[0].shape[1] < k else np.maximum(floors, own.best[0][:, -1])
-                    if (one.bounds(np.array(own.rows))[:, 0] >= floor - SLACK).any():
-                        own.add(ids, vecs)
-
-            key, own, floors, ids, vecs, dists = None, None, [], [], [], []
+            key, own, floors = None, None, []
             for batch in batches:
-                id_type = batch.schema.field(batch.schema.get_field_index("vec_id")).type
-                for *at, q, v, e, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if tuple(at) != key:
+                query_ids, vec_ids, vectors, bounds = (batch.column(c) for c in (5, 6, 7, 8))
+                for at, a, z in runs(batch, 5, query_ids):
+                    if at != key:
                         if own:
-                            compare()
-                            yield rows()
-                        key, own, floors, ids, vecs, dists = tuple(at), Nearest(k), [], [], [], []
-                    if q is not None:
-                        own.ask(q, e)
-                        floors.append(x)
+                            yield from own.batches(key[0], vec_ids.type)
+                        key, own, floors = at, Nearest(k), []
+                    x, places = vectors_of(vectors.slice(a, z - a))
+                    by = bounds.slice(a, z - a).to_numpy()[places]
+                    if query_ids[a].is_valid:
+                        own.ask(query_ids.slice(a, z - a).to_numpy()[places], x)
+                        floors.append(by)
                     elif own.ids:
-                        ids.append(v)
-                        vecs.append(e)
-                        dists.append(x)
-                        if len(ids) >= RUN:
-                            compare()
-                            ids, vecs, dists = [], [], []
+                        floors = [np.concatenate(floors)]
+                        ids = vec_ids.slice(a, z - a).to_numpy(zero_copy_only=False)[places]
+                        for b in range(0, len(ids), RUN):  # only queries that the bound of the run's distances doesn't exclude
+                            part = x[b : b + RUN]
+                            one = Cells(cells[key[:2]].pivots[key[2] : key[2] + 1], {0: (len(part), by[b], by[b + len(part) - 1], float(np.linalg.norm(part, axis=1).max()))})
+                            which = np.flatnonzero(one.bounds(own.asked())[:, 0] >= np.maximum(floors[0], own.floors()) - SLACK)
+                            if len(which):
+                                own.add(ids[b : b + RUN], part, which)
             if own:
-                compare()
-                yield rows()
+                yield from own.batches(key[0], vec_ids.type)
 
         out = both.select(*group, "query_id", "vec_id", "embedding", "x").mapInArrow(best, f"query_id bigint, space string, vec_id {kind}, sim double")
         order = Window.partitionBy("query_id", "space").orderBy(F.desc("sim"), "vec_id")

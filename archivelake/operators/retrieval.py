@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,49 +15,93 @@ from ..functions import text as T
 
 TOP_K, RRF_K, GAP = 50, 60, 0.05
 #: About so many queries are compared at a time, by tasks that each get a share of the vectors.
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 8192
+#: Queries and vectors whose scores are in memory at a time.
+ASKED, MET = 1024, 512
+
+
+def vectors_of(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of a column as a matrix, without null, empty and zero ones, and their places."""
+    at = np.flatnonzero(pc.greater(pc.fill_null(pc.list_value_length(column), 0), 0).to_numpy(zero_copy_only=False))
+    if not len(at):
+        return np.zeros((0, 0)), at
+    x = (column if len(at) == len(column) else column.take(pa.array(at))).flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(at), -1)
+    some = (x != 0).any(axis=1)
+    return (x, at) if some.all() else (x[some], at[some])
 
 
 class Nearest:
-    """The k best of one block of queries (of one space) so far."""
+    """The k best of one block of queries (of one space) so far: a row of k scores and ids per query, and nothing else of the vectors met."""
 
     def __init__(self, k: int):
         self.k, self.ids, self.rows, self.q = k, [], [], None
-        self.best: tuple[np.ndarray, np.ndarray] | None = None  # per query similarities and places in ``held``
-        self.held: list = []
+        self.sims = self.best = None
 
-    def ask(self, query_id, embedding) -> None:
-        self.ids.append(query_id)
-        self.rows.append(embedding)
+    def ask(self, query_ids: np.ndarray, rows: np.ndarray) -> None:
+        if len(query_ids):
+            self.ids.append(query_ids)
+            self.rows.append(rows)
 
-    def add(self, ids: list, rows: list) -> None:
+    def asked(self) -> np.ndarray:
         if self.q is None:
-            self.q = np.array(self.rows)
-        order = np.argsort(np.array(ids, dtype=object), kind="stable")
-        sims = np.round(self.q @ np.array([rows[i] for i in order]).T, 6)
-        ids = [*self.held, *(ids[i] for i in order)]
-        if self.best is not None:
-            full = np.full((len(self.q), len(self.held)), -np.inf)
-            np.put_along_axis(full, self.best[1], self.best[0], axis=1)
-            sims = np.hstack([full, sims])
-        k = min(self.k, sims.shape[1])
-        least = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]
-        rank = np.empty(len(ids), np.int64)
-        rank[np.argsort(np.array(ids, dtype=object), kind="stable")] = np.arange(len(ids))
-        at, col = np.nonzero(sims >= least)  # all that tie with the last; ties go to the smaller id
-        order = np.lexsort((rank[col], -sims[at, col], at))
-        at, col = at[order], col[order]
-        col = col[np.arange(len(at)) - np.searchsorted(at, at) < k].reshape(len(self.q), k)
-        used, place = np.unique(col, return_inverse=True)
-        self.best = (np.take_along_axis(sims, col, axis=1), place.reshape(col.shape))
-        self.held = [ids[i] for i in used]
-
-    def found(self):
-        if self.best is not None:
-            for q, sims, places in zip(self.ids, *self.best, strict=True):
-                for s, p in zip(sims.tolist(), places.tolist(), strict=True):
-                    if s != -np.inf:
-                        yield q, self.held[p], s
+            self.q, self.rows = np.concatenate(self.rows), []
+            self.sims = np.full((len(self.q), self.k), -np.inf)
+        return self.q
+
+    def floors(self) -> np.ndarray:
+        """The k-th best score of each query, -inf if it has fewer."""
+        self.asked()
+        return self.sims[:, -1]
+
+    def add(self, ids: np.ndarray, x: np.ndarray, which: np.ndarray | None = None) -> None:
+        """Meet vectors; ``which``: places of the queries that do, all if None."""
+        q = self.asked()
+        if self.best is None:
+            self.best = np.zeros(self.sims.shape, np.int64) if ids.dtype.kind == "i" else np.full(self.sims.shape, "", object)
+        which = np.arange(len(q)) if which is None else which
+        for a in range(0, len(which), ASKED):
+            for b in range(0, len(x), MET):
+                self._met(which[a : a + ASKED], ids[b : b + MET], x[b : b + MET])
+
+    def _met(self, own: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        sims, k = np.round(self.q[own] @ x.T, 6), self.k
+        floor = self.sims[own, -1]
+        if len(ids) > k and (new := np.flatnonzero(floor == -np.inf)).size:
+            floor[new] = np.partition(sims[new], -k, axis=1)[:, -k]
+        at, col = np.nonzero(sims >= floor[:, None])  # all that tie with the last; ties go to the smaller id
+        if not len(at):
+            return
+        rows = np.unique(at)
+        row = np.concatenate([np.repeat(rows, k), at])
+        sim = np.concatenate([self.sims[own[rows]].ravel(), sims[at, col]])
+        name = np.concatenate([self.best[own[rows]].ravel(), ids[col]])
+        order = np.lexsort((name if name.dtype != object else np.unique(name, return_inverse=True)[1], -sim, row))
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        order, row, place = order[place < k], own[row[place < k]], place[place < k]
+        self.sims[row, place], self.best[row, place] = sim[order], name[order]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query ids, vector ids and scores."""
+        if self.best is None:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        at, col = np.nonzero(self.sims != -np.inf)
+        return np.concatenate(self.ids)[at], self.best[at, col], self.sims[at, col]
+
+    def batches(self, space: str, kind: pa.DataType, most: int = 65_536) -> Iterator[pa.RecordBatch]:
+        """``found`` as query_id, space, vec_id, sim, some rows at a time."""
+        found = self.found()
+        for a in range(0, len(found[0]), most):
+            q, v, s = (c[a : a + most] for c in found)
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array([space] * len(q), pa.string()), pa.array(v, kind), pa.array(s, pa.float64())], names=["query_id", "space", "vec_id", "sim"])
+
+
+def runs(batch: pa.RecordBatch, columns: int, asked: pa.Array) -> Iterator[tuple[tuple, int, int]]:
+    """(key, from, to) of the runs of equal first ``columns`` columns; queries and vectors are runs of their own."""
+    rows = list(zip(*(batch.column(c).to_pylist() for c in range(columns)), asked.is_null().to_pylist(), strict=True))
+    starts = [i for i in range(len(rows)) if not i or rows[i] != rows[i - 1]]
+    for a, z in zip(starts, [*starts[1:], len(rows)], strict=True):
+        yield rows[a][:-1], a, z
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -70,46 +115,33 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = TOP_K) -> DataFrame:
     blocks = max(1, -(-2 * queries.count() // QUERY_BLOCK))
     shares = max(1, -(-parts // blocks))
     kind = dict(vectors.dtypes)["vec_id"]
+    numbers = {dict(df.dtypes)["embedding"] for df in (queries, vectors)}
+    numbers = numbers.pop() if numbers == {"array<float>"} else "array<double>"
     none = lambda t: F.lit(None).cast(t)
     asked = queries.select(
-        "space", F.pmod(F.xxhash64("query_id", "space"), F.lit(blocks)).cast("int").alias("block"), "query_id", none(kind).alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"),
+        "space", F.pmod(F.xxhash64("query_id", "space"), F.lit(blocks)).cast("int").alias("block"), "query_id", none(kind).alias("vec_id"), F.col("embedding").cast(numbers).alias("embedding"),
     ).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    held = vectors.select("space", none("bigint").alias("query_id"), "vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.pmod(F.xxhash64("vec_id"), F.lit(shares)).cast("int").alias("share"))
+    held = vectors.select("space", none("bigint").alias("query_id"), "vec_id", F.col("embedding").cast(numbers).alias("embedding"), F.pmod(F.xxhash64("vec_id"), F.lit(shares)).cast("int").alias("share"))
     held = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     group = ["space", "block", "share"]
     both = asked.unionByName(held).repartition(min(100_000, blocks * shares), *group).sortWithinPartitions(*group, F.col("query_id").asc_nulls_last())
 
     def best(batches):
         key, own = None, None
-
-        def rows(key, own):
-            found = list(own.found()) if own else []
-            names = ["query_id", "space", "vec_id", "sim"]
-            columns = [[f[0] for f in found], [key[0]] * len(found), [f[1] for f in found], [f[2] for f in found]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), id_type, pa.float64()), strict=True)], names=names)
-
         for batch in batches:
-            cols = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-            id_type = batch.schema.field(batch.schema.get_field_index("vec_id")).type
-            ids, vecs = [], []
-            for space, b, s, q, v, e in zip(*(cols[c] for c in (*group, "query_id", "vec_id", "embedding")), strict=True):
-                if (space, b, s) != key:
-                    if own and ids:
-                        own.add(ids, vecs)
+            query_ids, vec_ids, vectors = (batch.column(c) for c in (3, 4, 5))
+            for at, a, z in runs(batch, 3, query_ids):
+                if at != key:
                     if own:
-                        yield rows(key, own)
-                    key, own, ids, vecs = (space, b, s), Nearest(k), [], []
-                if e is None or not any(e):
-                    continue
-                if q is not None:
-                    own.ask(q, e)
-                elif own.ids:
-                    ids.append(v)
-                    vecs.append(e)
-            if own and ids:
-                own.add(ids, vecs)
+                        yield from own.batches(key[0], vec_ids.type)
+                    key, own = at, Nearest(k)
+                x, places = vectors_of(vectors.slice(a, z - a))
+                if query_ids[a].is_valid:
+                    own.ask(query_ids.slice(a, z - a).to_numpy()[places], x)
+                elif own.ids and len(x):
+                    own.add(vec_ids.slice(a, z - a).to_numpy(zero_copy_only=False)[places], x)
         if own:
-            yield rows(key, own)
+            yield from own.batches(key[0], vec_ids.type)
 
     out = both.select(*group, "query_id", "vec_id", "embedding").mapInArrow(best, f"query_id bigint, space string, vec_id {kind}, sim double")
     order = Window.partitionBy("query_id", "space").orderBy(F.desc("sim"), "vec_id")

@@ -1,12 +1,14 @@
 """The pivot index against brute force, and greedy leaders by component against the sequential rule."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from archivelake.operators import dedup
+from archivelake.operators import retrieval as R
 from archivelake.operators.metric import Cells, MetricIndex, Visits, chosen, nearest
 
 
@@ -128,3 +130,27 @@ def test_leaders_of_named_items(spark):
 
 def test_no_pairs(spark):
     assert dedup.leaders(spark.range(3), spark.createDataFrame([], "a bigint, b bigint")).where("id = leader").count() == 3
+
+
+def test_nearest_keeps_little(spark):
+    """Scores in memory are a piece of the queries by a piece of the vectors, whatever many queries hold; the k best and their ties are as by brute force."""
+    rng, k, held = np.random.default_rng(4), 20, 0
+    q, x = rng.integers(-3, 4, (3000, 8)).astype(float), rng.integers(-3, 4, (6000, 8)).astype(float)
+    ids = rng.permutation(len(x)) + 7
+    own = R.Nearest(k)
+    own.ask(np.arange(len(q)), q)
+    tracemalloc.start()
+    for a in range(0, len(x), 2500):
+        own.add(ids[a : a + 2500], x[a : a + 2500])
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 100e6
+    query_ids, got, sims = own.found()
+    for i in range(0, len(q), 300):
+        every = q[i] @ x.T
+        assert [(v, s) for p, v, s in zip(query_ids, got, sims, strict=True) if p == i] == [(ids[j], every[j]) for j in np.lexsort((ids, -every))[:k]]
+    named = R.Nearest(2)
+    named.ask(np.array([5]), np.ones((1, 1)))
+    named.add(np.array(["b", "d"], object), np.ones((2, 1)))
+    named.add(np.array(["c", "a"], object), np.ones((2, 1)))
+    assert list(named.found()[1]) == ["a", "b"]
