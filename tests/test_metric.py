@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from archivelake.functions import hashing as H
 from archivelake.operators import dedup
 from archivelake.operators import retrieval as R
 from archivelake.operators.metric import Cells, MetricIndex, Visits, chosen, nearest
@@ -154,3 +155,13 @@ def test_nearest_keeps_little(spark):
     named.add(np.array(["b", "d"], object), np.ones((2, 1)))
     named.add(np.array(["c", "a"], object), np.ones((2, 1)))
     assert list(named.found()[1]) == ["a", "b"]
+
+
+def test_embedder_gets_whole_texts(spark):
+    """Python gets one string a text, not a list of its words, and makes the same vectors."""
+    texts = ["a B\u0085 a", "", " \t", None, "x" * 3000 + " y", *(f"w{i} w{i % 7} w{i % 3}" for i in range(600))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", "text", H.hash_embedding(F.col("text")).alias("e"))
+    assert "array_join" in df._jdf.queryExecution().optimizedPlan().toString()
+    for i, text, e in df.collect():
+        want = np.bincount([H.bucket(w) for w in (text or "").lower().split()], minlength=64)
+        assert np.allclose(e, want / (np.linalg.norm(want) or 1))
