@@ -5,6 +5,7 @@ import random
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,6 +253,43 @@ def test_greedy_writes_no_pairs(spark, monkeypatch):
     assert max(sizes) <= 400
 
 
+def test_tiles_give_every_class_pair_once(spark, monkeypatch):
+    """Several blocks, ids of both kinds, and no pair is shuffled: the plan joins nothing."""
+    monkeypatch.setattr(dedup, "BLOCK", 40)
+    monkeypatch.setattr(dedup, "few_meet", lambda *_: False)
+    hashes = sorted(set(clustered(random.Random(3), 130, 9, 9)))
+    random.Random(4).shuffle(hashes)
+    rows = [(i, h, 1 + i % 3) for i, h in enumerate(hashes)]
+    classes = spark.createDataFrame(rows, "id bigint, phash bigint, n bigint")
+    want = sorted((a, b, d, n, m) for a, p, n in rows for b, q, m in rows if a < b and (d := ((p ^ q) % (1 << 64)).bit_count()) <= 10)
+    found = dedup.class_pairs(classes, 10)
+    assert sorted(tuple(r) for r in found.collect()) == want
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    named = classes.withColumn("id", F.concat(F.lit("é"), F.lpad(F.col("id").cast("string"), 4, "0")))
+    assert sorted((int(r["a"][1:]), int(r["b"][1:]), *r[2:]) for r in dedup.class_pairs(named, 10).collect()) == want
+
+
+@pytest.mark.parametrize("sizes", [(0, 5), (1, 1), (17, 9000), (40, 8192)])
+def test_near_and_earliest_hashes(sizes):
+    rng = np.random.default_rng(sum(sizes))
+    p, q = (rng.integers(0, 1 << 8, n).astype(np.uint64) for n in sizes)
+    every = np.bitwise_count(p[:, None] ^ q) <= 2
+    got = [x for r, c, d in dedup.near(p, q, 2, most=50) for x in zip(r.tolist(), c.tolist(), d.tolist(), strict=True)]
+    assert sorted(got) == [(r, c, int(p[r] ^ q[c]).bit_count()) for r, c in np.argwhere(every).tolist()]
+    assert dedup.earliest(p, q, 2).tolist() == [int(e.argmax()) if e.any() else -1 for e in every]
+
+
+def test_lookup_meets_in_slices(spark, monkeypatch):
+    """The smallest near asset is found without a list of pairs: the join that gives one isn't called."""
+    monkeypatch.setattr(dedup, "close_hashes", None)
+    hashes = clustered(random.Random(8), 120, 10, 9)
+    rows = [(i, f"s{i}", f"p{i}", h) for i, h in enumerate(hashes)]
+    asked = spark.createDataFrame(rows[:60], "id bigint, sha256 string, pixel_hash string, phash bigint")
+    index = spark.createDataFrame(rows[60:], "asset_id bigint, sha256 string, pixel_hash string, phash bigint")
+    near = {i: min((j for j in range(60, 120) if ((hashes[i] ^ hashes[j]) % (1 << 64)).bit_count() <= 10), default=None) for i in range(60)}
+    assert {r["id"]: r["duplicate_of"] for r in dedup.lookup(asked, index).collect()} == near and any(near.values())
+
+
 def test_lifecycle(spark):
     v = spark.createDataFrame([("a", 1, "insert", 1.0), ("a", 3, "update", 3.0), ("b", 2, "insert", 2.0), ("b", 4, "delete", 2.0)], "asset_id string, version bigint, op string, value double")
     assert [tuple(r) for r in lifecycle.latest(v).collect()] == [("a", 3, "update", 3.0)]
