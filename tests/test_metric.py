@@ -1,6 +1,8 @@
 """The pivot index against brute force, and greedy leaders by component against the sequential rule."""
 
+import hashlib
 import random
+import sys
 import tracemalloc
 
 import numpy as np
@@ -165,3 +167,14 @@ def test_embedder_gets_whole_texts(spark):
     for i, text, e in df.collect():
         want = np.bincount([H.bucket(w) for w in (text or "").lower().split()], minlength=64)
         assert np.allclose(e, want / (np.linalg.norm(want) or 1))
+
+
+def test_embedder_remembers_little():
+    """Buckets are remembered for so many short words, not for long ones: a worker's share of them doesn't grow with the texts."""
+    words = [f"{i}{'é' * (i % 3 * 100)}" for i in range(150_000)]
+    got, most = [], 0
+    for a in range(0, len(words), 30_000):
+        got += [H.bucket(w) for w in words[a : a + 30_000]]
+        most = max(most, sum(map(sys.getsizeof, H._BUCKETS)))
+    assert most < 8e6
+    assert got[::5000] == [hashlib.sha256(w.encode()).digest()[-1] % 64 for w in words[::5000]] and [H.bucket(w) for w in words[::5000]] == got[::5000]
