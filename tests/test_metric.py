@@ -6,6 +6,7 @@ import sys
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,3 +179,46 @@ def test_embedder_remembers_little():
         most = max(most, sum(map(sys.getsizeof, H._BUCKETS)))
     assert most < 8e6
     assert got[::5000] == [hashlib.sha256(w.encode()).digest()[-1] % 64 for w in words[::5000]] and [H.bucket(w) for w in words[::5000]] == got[::5000]
+
+
+def task_of(spark, monkeypatch, plan):
+    """What a task of ``plan`` does with its Arrow batches."""
+    found = []
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, f, schema: found.append(f) or spark.createDataFrame([], schema))
+    plan()
+    monkeypatch.undo()
+    return found[-1]
+
+
+def shared_batches(key, columns, q, x, ids, by=None, size=10_000):
+    """Batches of a task: the key, then queries and vectors as they are sorted, 10,000 rows at a time. ``by``: the last column, for queries and for vectors."""
+    for a, z, ask in [(a, min(a + size, n), ask) for ask, n in ((True, len(q)), (False, len(x))) for a in range(0, n, size)]:
+        none, rows = pa.nulls(z - a, pa.int64()), (q if ask else x)[a:z]
+        own = [pa.array([k] * (z - a), pa.string() if isinstance(k, str) else pa.int32()) for k in key]
+        own += [pa.array(np.arange(a, z)), none] if ask else [none, pa.array(ids[a:z])]
+        own.append(pa.array(list(rows), pa.list_(pa.float64())))
+        yield pa.RecordBatch.from_arrays(own + ([pa.array(by[0 if ask else 1][a:z], pa.float64())] if by else []), names=columns)
+
+
+def held_by(task, batches, x, q, ids, k, most):
+    """Runs a task within ``most`` bytes and checks its rows by brute force."""
+    batches = list(batches)
+    tracemalloc.start()
+    out = [b.to_pandas() for b in task(iter(batches))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    rows = {n: np.concatenate([b[n] for b in out]) for n in ("query_id", "vec_id", "sim")}
+    for i in range(0, len(q), 400):
+        every, own = np.round(q[i] @ x.T, 6), rows["query_id"] == i
+        assert sorted(zip(-rows["sim"][own], rows["vec_id"][own], strict=True)) == [(-every[j], ids[j]) for j in np.lexsort((ids, -every))[:k]]
+    assert peak < most, peak
+
+
+def test_similar_task_keeps_little(spark, monkeypatch):
+    """A task of ``similar_assets`` takes memory by its queries' k best, not by the vectors of a batch or those that some query holds."""
+    rng = np.random.default_rng(5)
+    q, x = rng.integers(-9, 10, (4000, 16)).astype(float), rng.integers(-9, 10, (25_000, 16)).astype(float)
+    ids = rng.permutation(len(x)) + 3
+    some = spark.createDataFrame([("clip", 1, [1.0])], "space string, vec_id bigint, embedding array<double>")
+    task = task_of(spark, monkeypatch, lambda: R.knn(some.withColumnRenamed("vec_id", "query_id"), some, 13))
+    held_by(task, shared_batches(("clip", 0, 0), ["space", "block", "share", "query_id", "vec_id", "embedding"], q, x, ids), x, q, ids, 13, 150e6)
