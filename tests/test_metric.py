@@ -222,3 +222,18 @@ def test_similar_task_keeps_little(spark, monkeypatch):
     some = spark.createDataFrame([("clip", 1, [1.0])], "space string, vec_id bigint, embedding array<double>")
     task = task_of(spark, monkeypatch, lambda: R.knn(some.withColumnRenamed("vec_id", "query_id"), some, 13))
     held_by(task, shared_batches(("clip", 0, 0), ["space", "block", "share", "query_id", "vec_id", "embedding"], q, x, ids), x, q, ids, 13, 150e6)
+
+
+def test_rollup_task_keeps_little(spark, monkeypatch):
+    """A task of the pivot index, which ``entity_rollup`` goes through, doesn't take memory by the vectors of its cell that some query holds."""
+    rng = np.random.default_rng(6)
+    q, x = rng.integers(-9, 10, (3000, 16)).astype(float), rng.integers(-9, 10, (25_000, 16)).astype(float)
+    pivot = x.mean(axis=0)
+    dist = np.linalg.norm(x - pivot, axis=1)
+    x, dist, ids = x[np.argsort(dist)], np.sort(dist), rng.permutation(len(x)) + 3
+    table = spark.createDataFrame([], "space string, vec_id bigint, embedding array<double>, dim int, cell int, dist double, length double")
+    visitors = spark.createDataFrame([], "query_id bigint, space string, embedding array<double>, dim int, floor double, cell int")
+    index = MetricIndex(table, {("clip", 16): Cells(pivot[None], {0: (len(x), dist[0], dist[-1], float(np.linalg.norm(x, axis=1).max()))})})
+    task = task_of(spark, monkeypatch, lambda: index._met(visitors, table, {("clip", 16, 0): (1, 1)}, 50))
+    columns = ["space", "dim", "cell", "block", "share", "query_id", "vec_id", "embedding", "x"]
+    held_by(task, shared_batches(("clip", 16, 0, 0, 0), columns, q, x, ids, (np.full(len(q), -np.inf), dist)), x, q, ids, 50, 150e6)
