@@ -181,6 +181,21 @@ def test_embedder_remembers_little():
     assert got[::5000] == [hashlib.sha256(w.encode()).digest()[-1] % 64 for w in words[::5000]] and [H.bucket(w) for w in words[::5000]] == got[::5000]
 
 
+def test_pool_embedder_task_keeps_little():
+    """A task of ``search_pool`` embeds by one text and a bounded number of words, not by all words of its texts or the texts of a batch."""
+    texts = [" ".join(f"{i:04d}{j:020d}" for j in range(1500)) for i in range(256)]
+    column = pa.array(texts)
+    H._BUCKETS.clear()
+    tracemalloc.start()
+    got = H._embedded.func(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for i in range(0, len(texts), 64):
+        want = np.bincount([hashlib.sha256(w.encode()).digest()[-1] % 64 for w in texts[i].split(" ")], minlength=64)
+        assert np.allclose(got[i].as_py(), want / np.linalg.norm(want))
+    assert peak < 25e6, peak
+
+
 def task_of(spark, monkeypatch, plan):
     """What a task of ``plan`` does with its Arrow batches."""
     found = []
